@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.ngram_jaccard import ngram_jaccard
+from tessella.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +21,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op5_ngram_jaccard": op5_ngram_jaccard}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(_table(spark, sf_dir, "documents"), joined=True)
+    return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op5_ngram_jaccard": op5_ngram_jaccard, "op9_substring_dedup": op9_substring_dedup}
 ORACLES: dict[str, str] = {}
