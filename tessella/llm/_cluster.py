@@ -13,6 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at a time. Texts can be long, so it is well below Spark's default of 10,000.
+BATCH_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds: Arrow batches of this session have ``BATCH_ROWS`` rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share.
 

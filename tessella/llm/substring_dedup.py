@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import _sketch, _text
-from tessella.llm._cluster import cut, remove
+from tessella.llm._cluster import bound_batches, cut, remove
 
 #: Runs that the index holds before it merges them.
 FANOUT = 2
@@ -247,6 +247,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shorter than a window stay whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rest = [c for c in docs.columns if c != text]
     data = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     plain = data.select("doc", "text")
