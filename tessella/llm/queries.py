@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.ngram_jaccard import ngram_jaccard
+from tessella.llm.packing import pack
 from tessella.llm.substring_dedup import substring_dedup
+from tessella.llm.token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,5 +29,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op5_ngram_jaccard": op5_ngram_jaccard, "op9_substring_dedup": op9_substring_dedup}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Query] = {
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_packing": op6_packing,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_token_files": op10_token_files,
+}
 ORACLES: dict[str, str] = {}
