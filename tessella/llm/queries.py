@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import oracles
+from tessella.llm.license_scan import license_scan
 from tessella.llm.ngram_jaccard import ngram_jaccard
 from tessella.llm.packing import pack
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.topk import top_k
+from tessella.llm.url_filter import rule_table, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +24,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The rules of ``op1_url_filter``: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Where a document would lie as a file: 64 ids a folder, every sixteenth its licence file.
+_NAMED = "CASE WHEN doc_id % 16 = 0 THEN concat('LICENSE.', CAST(doc_id AS VARCHAR(20))) ELSE concat(CAST(doc_id AS VARCHAR(20)), '.txt') END"
+
+
+def _path(divided: str) -> str:
+    return f"concat('/', source, '/', lang, '/', CAST({divided} AS VARCHAR(20)), '/', {_NAMED})"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_path("doc_id div 64")).alias("path"))
+    return license_scan(documents, "doc_id", "path", "text")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(_table(spark, sf_dir, "documents"), joined=True)
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,9 +67,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
+    "op4_top_k": op4_top_k,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_packing": op6_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": oracles.url_filter(URL_RULES),
+    "op4_top_k": oracles.TOP_K,
+    "op8_license_scan": oracles.license_scan(_path("doc_id // 64")),
+}
