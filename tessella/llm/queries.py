@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import oracles
+from tessella.llm.language import language_id
 from tessella.llm.license_scan import license_scan
+from tessella.llm.lm import lm_score
 from tessella.llm.ngram_jaccard import ngram_jaccard
 from tessella.llm.packing import pack
 from tessella.llm.substring_dedup import substring_dedup
@@ -38,6 +40,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -46,6 +52,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_path("doc_id div 64")).alias("path"))
     return license_scan(documents, "doc_id", "path", "text")
@@ -68,9 +78,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op3_language_id": op3_language_id,
     "op4_top_k": op4_top_k,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
@@ -78,5 +90,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.url_filter(URL_RULES),
     "op4_top_k": oracles.TOP_K,
+    "op7_lm_score": op7_lm_score,
     "op8_license_scan": oracles.license_scan(_path("doc_id // 64")),
 }
