@@ -69,3 +69,46 @@ SELECT o.doc_id, o.path, coalesce(o.best.name, i.given.name) AS license, coalesc
   CASE WHEN o.best IS NULL AND i.given IS NOT NULL THEN i.above END AS directory
 FROM own o LEFT JOIN (SELECT * FROM inherited WHERE k = 1) i ON o.folder = i.folder
 """
+
+
+_SPLIT = "list_filter(regexp_split_to_array(" + _FOLD + ", '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+
+DECONTAMINATE = f"""
+WITH dw AS MATERIALIZED (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+iw AS MATERIALIZED (SELECT item_id, {_SPLIT.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+i5 AS MATERIALIZED (SELECT item_id, len(w) AS l, least(5, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda p: array_to_string(w[p : p + least(5, len(w)) - 1], ' '))) AS s FROM iw WHERE len(w) > 0),
+ic AS (SELECT item_id, s, count(*) AS c FROM i5 GROUP BY ALL),
+sizes AS (SELECT DISTINCT item_id, l, k FROM i5),
+ds AS MATERIALIZED (SELECT doc_id, len(w) AS n, k.k, unnest(range(0, len(w) - k.k + 1)) AS p, unnest(list_transform(range(1, len(w) - k.k + 2), lambda p: array_to_string(w[p : p + k.k - 1], ' '))) AS s
+  FROM dw, (SELECT DISTINCT k FROM sizes) k WHERE len(w) >= k.k),
+hit AS MATERIALIZED (SELECT ds.doc_id, ds.n, ds.p, ds.s, ic.item_id, ic.c FROM ds JOIN ic ON ds.s = ic.s JOIN sizes z ON z.item_id = ic.item_id AND z.k = ds.k),
+pairs AS (SELECT DISTINCT h.doc_id, h.n, h.item_id, z.k, least(z.l, h.n) AS span, z.l - z.k + 1 AS ni FROM hit h JOIN sizes z USING (item_id)),
+wins AS (SELECT *, unnest(range(0, n - span + 1)) AS start FROM pairs),
+common AS (SELECT w.doc_id, w.item_id, w.start, w.span, w.k, w.ni, h.s, least(count(*), any_value(h.c)) AS c
+  FROM wins w JOIN hit h ON w.doc_id = h.doc_id AND w.item_id = h.item_id AND h.p BETWEEN w.start AND w.start + w.span - w.k GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, start, span, sum(c) / (span - k + 1 + ni - sum(c)) AS similarity FROM common GROUP BY doc_id, item_id, start, span, k, ni)
+SELECT doc_id, item_id, start::BIGINT AS start, span::BIGINT AS n_words, similarity::DOUBLE AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM scored WHERE similarity >= 0.8) WHERE r = 1
+"""
+
+#: One step of CRC-32 over the bits of an ASCII string: the register and the number of the bit.
+_MET = "xor(c, if(i % 8 = 0, ord(substr(k, (i // 8 + 1)::INTEGER, 1)), 0)::BIGINT)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], range(8 * length(k))), lambda c, i: xor({_MET} >> 1, 3988292384 * ({_MET} & 1))), 4294967295)"
+
+LANGUAGE_ID = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, coalesce({_CRC} % 5 = 0, false) AS held_out,
+  trim(regexp_replace({_FOLD.format("text")}, '[^\\p{{L}}]+', ' ', 'g')) AS t FROM (SELECT *, doc_id::VARCHAR AS k FROM documents)),
+p AS (SELECT doc_id, string_split(' ' || t || ' ', '') AS l FROM d WHERE t <> ''),
+g AS (SELECT doc_id, unnest(l) AS g FROM p UNION ALL
+  SELECT doc_id, unnest(list_transform(list_zip(l, l[2:]), lambda z: z[1] || z[2])) FROM p UNION ALL
+  SELECT doc_id, unnest(list_transform(list_filter(list_zip(l, l[2:], l[3:]), lambda z: z[2] <> ' '), lambda z: z[1] || z[2] || z[3])) FROM p),
+c AS MATERIALIZED (SELECT doc_id, g, count(*) AS c FROM g WHERE g IS NOT NULL AND g <> ' ' GROUP BY ALL),
+own AS (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, g) - 1 AS r FROM c) WHERE r < 300),
+learned AS (SELECT * FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, g) - 1 AS r
+  FROM c JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g) WHERE r < 300),
+far AS (SELECT o.doc_id, l.lang, sum(coalesce(abs(o.r - x.r), 300)) AS far, count(*) AS n
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM learned) l LEFT JOIN learned x ON x.lang = l.lang AND x.g = o.g GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) AS k FROM far) WHERE k = 1)
+SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - far::DOUBLE / (n * 300), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN best b USING (doc_id)
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import oracles
+from tessella.llm.decontaminate import contamination
 from tessella.llm.language import language_id
 from tessella.llm.license_scan import license_scan
 from tessella.llm.lm import lm_score
@@ -40,6 +41,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "item_id", "start", "n_words", "similarity")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +84,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_top_k": op4_top_k,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -89,6 +96,8 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.url_filter(URL_RULES),
+    "op2_decontaminate": oracles.DECONTAMINATE,
+    "op3_language_id": oracles.LANGUAGE_ID,
     "op4_top_k": oracles.TOP_K,
     "op7_lm_score": op7_lm_score,
     "op8_license_scan": oracles.license_scan(_path("doc_id // 64")),
