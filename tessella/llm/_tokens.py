@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers; beyond that, new ones are encoded where they occur.
-MEMORY_PIECES = 700_000
+MEMORY_PIECES = 1_000_000
 #: Pieces that are encoded in one call.
 _TOGETHER = 50
 
@@ -42,36 +42,47 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        plain = [p for p in pieces if p[:1] == " " and not p.isspace()]
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Ids of each word with a space before it."""
+        plain = [w for w in words if w and not w.isspace()]
         for k in range(0, len(plain), _TOGETHER):
             group = plain[k : k + _TOGETHER]
-            ids = np.asarray(self.tokenizer.encode("".join(group), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode(" " + " ".join(group), add_special_tokens=False).ids, "<u4")
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(group) and first[0] == 0:
-                into.update(zip(group, (x.tobytes() for x in np.split(ids, first[1:])), strict=True))
+                data, edges = ids.tobytes(), [*(first * 4).tolist(), 4 * len(ids)]
+                into.update((w, data[i:j]) for w, i, j in zip(group, edges, edges[1:], strict=False))
             else:
-                into.update((p, self._whole(p)) for p in group)
-        into.update((p, self._whole(p)) for p in pieces if p[:1] != " " or p.isspace())
+                into.update((w, self._whole(" " + w)) for w in group)
+        into.update((w, self._whole(" " + w)) for w in words if not w or w.isspace())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts: list[list[str] | None] = []
+        known = self.memory.get
+        cuts: list[tuple[str, list[str], list[bytes | None]] | None] = []
+        new: set[str] = set()
         for text in texts:
             if not self.splits or "  " in text or any(s in text for s in self.special):
                 cuts.append(None)
-            else:
-                head, *rest = text.split(" ")
-                cuts.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
-        new = list({p for cut in cuts if cut for p in cut if p not in self.memory})
-        known, extra = self.memory, None
-        if len(known) + len(new) > MEMORY_PIECES:
-            extra = {}
-            self._learn(new, extra)
-            look = lambda p: known.get(p) or extra[p]
-        else:
-            self._learn(new, known)
-            look = known.__getitem__
-        return [self._whole(text) if cut is None else b"".join(map(look, cut)) for text, cut in zip(texts, cuts, strict=True)]
+                continue
+            head, *words = text.split(" ")
+            found = list(map(known, words))
+            if None in found:
+                new.update(w for w, f in zip(words, found, strict=True) if f is None)
+            cuts.append((head, words, found))
+        fresh: dict[str, bytes] = {}
+        self._learn(list(new), fresh)
+        if len(self.memory) + len(fresh) <= MEMORY_PIECES:
+            self.memory.update(fresh)
+        out = []
+        for text, cut in zip(texts, cuts, strict=True):
+            if cut is None:
+                out.append(self._whole(text))
+                continue
+            head, words, found = cut
+            if None in found:
+                found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            out.append((self._whole(head) if head else b"") + b"".join(found))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
