@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tessella.operators import dedup
+from tessella.plans import dedup_queries, ledger_queries, rule_queries, scan_queries
+from tessella.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+_MODULES = (scan_queries, dedup_queries, ledger_queries, rule_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet")
+    """Duplicate groups with their keepers."""
+    return dedup.groups(dedup_queries.members0(spark, folder))
