@@ -70,8 +70,8 @@ def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.totals(dedup.groups(members0(spark, sf_dir)))
 
 
-@query(f"""WITH {GROUPS} SELECT g.group_id, 0 AS status, '{{"group_id":' || g.group_id || ',"size":' || g.size || ',"n_files":' || g.n_files || ',"reclaimable":' || g.reclaimable || ',"hash":"' || g.hash || '","files":[' ||
-  string_agg('{{"path":"' || m.path || '","id":' || m.id || ',"mtime_ns":' || m.mtime_ns || '}}', ',' ORDER BY m.path) || ']}}' AS json FROM grp g JOIN members m USING (group_id) GROUP BY ALL""")
+@query(f"""WITH {GROUPS}, j AS (SELECT group_id, string_agg('{{"path":"' || path || '","id":' || id || ',"mtime_ns":' || mtime_ns || '}}', ',' ORDER BY path) AS files FROM members GROUP BY group_id)
+SELECT group_id, 0 AS status, '{{"group_id":' || group_id || ',"size":' || size || ',"n_files":' || n_files || ',"reclaimable":' || reclaimable || ',"hash":"' || hash || '","files":[' || files || ']}}' AS json FROM grp JOIN j USING (group_id)""")
 def dedup_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = members0(spark, sf_dir)
     return dedup.report(dedup.groups(found), found)
