@@ -99,6 +99,5 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op3_language_id": oracles.LANGUAGE_ID,
     "op4_top_k": oracles.TOP_K,
-    "op7_lm_score": op7_lm_score,
     "op8_license_scan": oracles.license_scan(_path("doc_id // 64")),
 }
