@@ -22,8 +22,8 @@ from tessella.llm.ngram_jaccard import ngram_jaccard
 from tessella.llm.packing import pack
 from tessella.llm.substring_dedup import substring_dedup
 
-#: A document is rejected if it is farther from every profile than this leaves: clean text scores 0.4 or more.
-LEAST_LANGUAGE_SCORE = 0.25
+#: A document is rejected if hardly any of its n-grams is in a profile; clean text scores 0.4 or more, very short text less.
+LEAST_LANGUAGE_SCORE = 0.05
 #: The shingles of the near-duplicate stage and its similarity, in hundredths.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
