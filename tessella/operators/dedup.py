@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import stage
+
 #: Bytes of a sample and the size up to which a file is hashed as a whole at once (production values).
 CHUNK, SMALL = 65536, 131072
 
@@ -59,11 +61,19 @@ def full_hash(files: DataFrame) -> DataFrame:
 
 
 def candidates(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
-    """Hashed members of all stages up to the full hash. Contents are read for surviving ids only."""
-    alive = collapse_identity(size_candidates(files.drop("content")))
+    """Hashed members of all stages up to the full hash.
+
+    Each stage's survivors are written, since a stage reads them twice: to count
+    and to keep. Contents are read for surviving ids only, once to take samples
+    and once, of what is left, for the full hash; they are never written.
+    """
     content = files.select("id", "content")
-    buckets = sampled(alive.join(content, "id"), chunk, small)
-    return shared(full_hash(buckets), ["size", "hash"])
+    sized = stage(size_candidates(files.drop("content")), "sized")
+    alive = stage(collapse_identity(sized), "alive")
+    samples = [c.alias(n) for n, c in sample_hashes(F.col("content"), F.col("size"), chunk, small).items()]
+    taken = stage(alive.join(content, "id").select(*alive.columns, *samples), "samples")
+    buckets = shared(taken, ["size", "head", "mid1", "mid2", "tail"])
+    return shared(stage(full_hash(buckets.join(content, "id")), "hashed"), ["size", "hash"])
 
 
 def hidden(path: Column) -> Column:
