@@ -81,21 +81,19 @@ class Templates:
         """``score, name`` of the notice that an array of terms is nearest to; equal scores go to the greater name."""
         vocabulary = F.array(*[F.lit(t) for t in self.idf])
         weight = F.create_map(*[F.lit(x) for t, w in self.idf.items() for x in (t, w)])
+        # one literal map from a term to its weight in every notice keeps the expression, and what is compiled of it, small
+        names = list(self.vectors)
+        unit = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(self.vectors[n].get(t, 0.0)) for n in names]))])
         own = F.filter(words, lambda t: F.array_contains(vocabulary, t))
         counts = F.transform(F.array_sort(F.array_distinct(own)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(own, lambda x: x == t)) * weight[t]).alias("w")))
         other = (F.size(words) - F.size(own)) * (self.unknown * self.unknown)
         known = F.struct(counts.alias("counts"), other.alias("other"))
 
         def scored(x: Column) -> Column:
-            counts, other = x["counts"], x["other"]
-            norm = F.sqrt(F.aggregate(counts, other.cast("double"), lambda a, c: a + c["w"] * c["w"]))
-
-            def option(name: str, vector: dict[str, float]) -> Column:
-                unit = F.create_map(*[F.lit(v) for t, w in vector.items() for v in (t, w)])
-                dot = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c["w"] * F.coalesce(unit[c["t"]], F.lit(0.0)))
-                return F.struct(F.round(F.when(norm > 0, dot / norm).otherwise(0.0), 6).alias("score"), F.lit(name).alias("name"))
-
-            return F.array_max(F.array(*[option(*x) for x in self.vectors.items()]))
+            norm = F.sqrt(F.aggregate(x["counts"], x["other"].cast("double"), lambda a, c: a + c["w"] * c["w"]))
+            dots = F.aggregate(x["counts"], F.array(*[F.lit(0.0) for _ in names]), lambda a, c: F.zip_with(a, unit[c["t"]], lambda s, u: s + c["w"] * u))
+            scores = F.transform(dots, lambda d: F.round(F.when(norm > 0, d / norm).otherwise(0.0), 6))
+            return F.array_max(F.zip_with(scores, F.array(*[F.lit(n) for n in names]), lambda s, n: F.struct(s.alias("score"), n.alias("name"))))
 
         return F.transform(F.array(known), scored)[0]
 
