@@ -21,6 +21,9 @@ n-grams reaches ``num / den``. No link between different texts is lost:
   parity bitmaps are at most the size of the symmetric difference. Under a key
   that is done in blocks of bounded size, before any pair is a row. What is
   left is verified on the sets themselves.
+* These links give the components, but not every link in them. A class links
+  only within its component, so at the end all sets of a component are compared,
+  each pair once, in blocks whose links are added up before they are rows.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from tessella.llm._graph import components
 COMBINE_MISSES = 24
 #: Classes under one key that are compared with each other in one piece.
 BLOCK_ROWS = 2048
+#: N-grams of the sets of one component that are compared with each other in one piece.
+BLOCK_GRAMS = 1 << 18
 _SHIFT = np.uint64(64 - (_sketch.SKETCH_SLOTS.bit_length() - 1))
 _SET_SCHEMA = "doc string, n bigint, cls binary, commonness double, keys array<bigint>, bits binary"
 
@@ -242,21 +247,18 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     return near.mapInArrow(prune, "a binary, b binary")
 
 
-def _verified(near: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int, label: str) -> DataFrame:
-    """Those of ``near(a, b)``, pairs of classes, that link."""
-    spark = docs.sparkSession
-    near = cut(near, label + "-near")
-    either = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c")))
+def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """``c, items``: the sets of the classes in ``wanted(c)``, and few others."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(_text.signed(_hash64(batch.column(0).to_pylist())))], ["k"])
 
-    wanted = spark.sparkContext.broadcast(_sketch.bloom(either.mapInArrow(keys, "k bigint")))
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch.bloom(wanted.mapInArrow(keys, "k bigint")))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
+        bits, seen = shared.value, set()
         for batch in batches:
             found: dict[bytes, np.ndarray] = {}
             for shingles in shingle_sets(batch.column(0), width):
@@ -267,15 +269,91 @@ def _verified(near: DataFrame, docs: DataFrame, text: str, width: int, num: int,
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _text.list_array(list(found.values()), pa.int64())], ["c", "items"])
 
+    return docs.select(F.col(text).alias("text")).mapInArrow(contents, "c binary, items array<bigint>").dropDuplicates(["c"])
+
+
+def _verified(near: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int, label: str) -> DataFrame:
+    """Those of ``near(a, b)``, pairs of classes, that link."""
+    near = cut(near, label + "-near")
+    either = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c")))
     if not bool(near.take(1)):
         return near
-    sets = docs.select(F.col(text).alias("text")).mapInArrow(contents, "c binary, items array<bigint>").dropDuplicates(["c"])
-    sets = cut(sets.join(either.distinct(), "c", "left_semi"), label + "-contents")
+    sets = cut(_contents(docs, text, width, either).join(either.distinct(), "c", "left_semi"), label + "-contents")
     shared = F.size(F.array_intersect("ia", "ib"))
     both = near.join(sets.select(F.col("c").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("ib")), "b")
     return cut(both.where(shared * den >= (F.size("ia") + F.size("ib") - shared) * num).select("a", "b"), label + "-links")
 
 
+def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.ndarray:
+    """With how many of the others each of ``sets``, all different, links.
+
+    ``sides`` tells the block of each; pairs of unequal blocks count, or all if
+    there is one block.
+    """
+    sizes = np.asarray([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, sides = sizes[order], sides[order]
+    _, items = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    ends = np.searchsorted(sizes, sizes * den // num, side="right")
+    two = bool((sides != sides[0]).any())
+    own, out = np.zeros(int(items.max()) + 1, bool), np.zeros(len(sets), np.int64)
+    for a in range(len(sets)):
+        end = int(ends[a])
+        if end <= a + 1:
+            continue
+        held = items[starts[a] : starts[a] + sizes[a]]
+        own[held] = True
+        first, last = int(starts[a + 1]), int(starts[end - 1] + sizes[end - 1])
+        shared = np.add.reduceat(own[items[first:last]], starts[a + 1 : end] - first, dtype=np.int64)
+        own[held] = False
+        link = shared * den >= (sizes[a + 1 : end] + sizes[a] - shared) * num
+        if two:
+            link &= sides[a + 1 : end] != sides[a]
+        out[order[a + 1 : end]] += link
+        out[order[a]] += int(link.sum())
+    return out
+
+
+def _link_counts(roots: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``cls, n_links`` of the classes in ``roots(cls, root)`` that link."""
+    parts = roots.join(classes.select("cls", "n"), "cls").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("grams"))
+    placed = cut(roots.join(parts, "root").where("held > 1").select("cls", "root", "held", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")), "jaccard-members")
+    of_two = placed.where("held = 2").select("cls", F.lit(1).cast("bigint").alias("n_links"))
+    more = placed.where("held > 2")
+    if not more.take(1):
+        return of_two
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    split = more.withColumn("own", own).join(_contents(docs, text, width, more.select(F.col("cls").alias("c"))).withColumnRenamed("c", "cls"), "cls")
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "items")
+    piece = ["root", "lo", "hi"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(now: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(held) < 2 or now[1] != now[2] and len({x[0] for x in held}) < 2:
+                return
+            found = linked([x[2] for x in held], np.asarray([x[0] for x in held]), num, den)
+            some = np.flatnonzero(found)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([held[k][1] for k in some], pa.binary()), pa.array(found[some])], ["cls", "n"])
+
+        now, held = None, []
+        for batch in batches:
+            items = batch.column("items")
+            flat, ends = items.values.to_numpy(), items.offsets.to_numpy()
+            columns = [batch.column(c).to_pylist() for c in (*piece, "own", "cls")]
+            for k, (root, lo, hi, *row) in enumerate(zip(*columns, strict=True)):
+                if (root, lo, hi) != now:
+                    yield from counted(now, held)
+                    now, held = (root, lo, hi), []
+                held.append((*row, flat[ends[k] : ends[k + 1]].copy()))
+        yield from counted(now, held)
+
+    found = split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "cls binary, n bigint")
+    return of_two.unionByName(found.groupBy("cls").agg(F.sum("n").alias("n_links")))
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Near-duplicate groups of ``docs``: ``<id_col>, n_shingles, component_id, n_links``, a row per row of ``docs``.
 
@@ -309,7 +387,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
             links = cut(links.unionByName(found).distinct(), "jaccard-links")
             roots = components(links, "jaccard-roots").withColumnRenamed("node", "cls")
 
-    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+    ends = _link_counts(roots, classes, docs, text, width, num, den)
     members = sets.groupBy("cls").agg(F.min("doc").alias("least")).where("cls is not null").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(ends, "cls", "left")
     best = members.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = members.join(best, "root").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

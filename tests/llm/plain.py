@@ -43,6 +43,17 @@ def jaccard_groups(docs, width=3, num=90, den=100):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def jaccard_links(docs, width=3, num=90, den=100):
+    """``{id: n_links}``: with how many other different sets each of ``{id: text}`` links."""
+    sets = {i: frozenset(shingles(t, width)) for i, t in docs.items()}
+
+    def links(a, b):
+        both = len(a & b)
+        return a != b and both and both * den >= num * (len(a) + len(b) - both)
+
+    return {i: sum(bool(links(x, y)) for y in set(sets.values())) for i, x in sets.items()}
+
+
 def substring_dedup(docs, window=50):
     """``{id: kept words}`` of ``{id: text}``."""
     first, out = {}, {}

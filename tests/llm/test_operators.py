@@ -84,6 +84,24 @@ def test_jaccard_of_a_group_whose_members_are_far_from_its_centre(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard(df).collect()} == plain.jaccard_groups(dict(rows))
 
 
+def test_jaccard_counts_every_link_in_a_component(spark, docs, monkeypatch):
+    rng = random.Random(6)
+    texts = dict(TEXTS)
+    for group in range(3):
+        base = sentence(rng, 80, 10**6).split()
+        for k in range(40):
+            w = list(base)
+            for at in rng.sample(range(80), rng.randrange(4)):
+                w[at] = f"e{rng.randrange(3)}"
+            texts[10**6 + 100 * group + k] = " ".join(w[: 78 + k % 3])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = plain.jaccard_links(texts)
+    assert max(want.values()) > 5
+    for grams in (1 << 18, 500):
+        monkeypatch.setattr("tessella.llm.ngram_jaccard.BLOCK_GRAMS", grams)
+        assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard(df).collect()} == want
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for n in (10, 600, 3000):
