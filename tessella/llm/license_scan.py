@@ -5,9 +5,10 @@ notices by the cosine of sparse TF-IDF vectors, and a licence file as a whole
 as well. A directory has the licence of its licence file; a file without a
 notice of its own inherits from its nearest ancestor directory that has one.
 
-* Document frequencies of the notices' terms are counted over all files. Terms
-  of no notice count as terms of no file, each its own dimension, so a line's
-  norm takes their number and nothing is shuffled per term.
+* Document frequencies of all terms are counted over all files, added up before
+  they are shuffled. Those of the notices' terms go into the model; terms of no
+  notice meet theirs by an equi-join, for lines that are scored only, and add
+  to a line's norm.
 * Scores are computed inside a row by higher-order functions. Only lines with a
   telling term are scored: the terms are chosen so that, by Cauchy-Schwarz, a
   line without any can't reach the least score.
@@ -57,7 +58,6 @@ class Templates:
 
     def __init__(self, notices: Mapping[str, str], n: int, df: Mapping[str, int], least: float):
         self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in sorted({t for x in notices.values() for t in _terms(x)})}
-        self.unknown = math.log(n + 1) + 1
         self.vectors = {}
         for name in sorted(notices):
             weights = {t: k * self.idf[t] for t, k in sorted(Counter(_terms(notices[name])).items())}
@@ -77,8 +77,11 @@ class Templates:
                 del left[strongest]
         return sorted(out)
 
-    def best(self, words: Column) -> Column:
-        """``score, name`` of the notice that an array of terms is nearest to; equal scores go to the greater name."""
+    def best(self, words: Column, other: Column) -> Column:
+        """``score, name`` of the notice that an array of terms is nearest to; equal scores go to the greater name.
+
+        ``other`` is the sum of the squared weights of those terms that no notice has.
+        """
         vocabulary = F.array(*[F.lit(t) for t in self.idf])
         weight = F.create_map(*[F.lit(x) for t, w in self.idf.items() for x in (t, w)])
         # one literal map from a term to its weight in every notice keeps the expression, and what is compiled of it, small
@@ -86,7 +89,6 @@ class Templates:
         unit = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(self.vectors[n].get(t, 0.0)) for n in names]))])
         own = F.filter(words, lambda t: F.array_contains(vocabulary, t))
         counts = F.transform(F.array_sort(F.array_distinct(own)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(own, lambda x: x == t)) * weight[t]).alias("w")))
-        other = (F.size(words) - F.size(own)) * (self.unknown * self.unknown)
         known = F.struct(counts.alias("counts"), other.alias("other"))
 
         def scored(x: Column) -> Column:
@@ -114,11 +116,10 @@ def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: M
     """
     rows = files.select(F.col(id_col).alias("_id"), F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text"))
     vocabulary = sorted({t for x in notices.values() for t in _terms(x)})
-    # a file's distinct terms of any notice, before the aggregation: rows of at most the vocabulary per file
-    present = F.array_intersect(terms(F.col("text")), F.array(*[F.lit(t) for t in vocabulary]))
-    counted = rows.select(F.explode(F.concat(F.array(F.lit("")), present)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    df = {r["t"]: r["n"] for r in counted.collect()}  # at most a row per term of a notice
-    model = Templates(notices, df.get("", 0), df, least)
+    counted = cut(rows.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("text"))))).alias("t")).groupBy("t").agg(F.count("*").alias("df")), "license-df")
+    df = {r["t"]: r["df"] for r in counted.where(F.col("t").isin("", *vocabulary)).collect()}  # at most a row per term of a notice
+    n = df.get("", 0)
+    model = Templates(notices, n, df, least)
 
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
     stem = F.substring_index(F.lower(F.element_at(F.split("path", "/"), -1)), ".", 1)
@@ -128,10 +129,21 @@ def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: M
     plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lines = F.filter(F.split("text", "[\\n\\r]+"), lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(hint))
     heard = F.filter(F.transform(lines, terms), lambda x: F.arrays_overlap(x, telling))
-    scored = rows.select("_id", "path", folder.alias("folder"), is_file.alias("is_file"), F.when(plain.rlike(hint), heard).alias("heard"), F.when(is_file, terms(F.col("text"))).alias("whole"))
+    whole = terms(F.col("text"))
+    heard = rows.select("_id", "path", folder.alias("folder"), is_file.alias("is_file"), F.when(plain.rlike(hint), heard).alias("heard"), F.when(is_file & plain.rlike(hint), whole).alias("whole"))
+    heard = cut(heard.withColumn("row", F.monotonically_increasing_id()), "license-heard")
+    # terms of scored lines that no notice has, the whole file as line -1
+    others = F.concat(F.coalesce(F.transform("heard", lambda x, k: F.struct(k.alias("k"), x.alias("t"))), F.array()), F.array(F.struct(F.lit(-1).alias("k"), F.coalesce("whole", F.array().cast("array<string>")).alias("t"))))
+    others = heard.where("size(heard) > 0 or size(whole) > 0").select("row", F.explode(others).alias("x")).select("row", "x.k", F.explode("x.t").alias("t"))
+    others = others.where(~F.col("t").isin(*vocabulary)).groupBy("row", "k", "t").agg(F.count("*").alias("c"))
+    weight = F.col("c") * (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)
+    others = others.join(counted, "t").groupBy("row", "k").agg(F.sum(weight * weight).alias("w"))
+    others = others.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("others"))
+    other = lambda k: F.coalesce(F.try_element_at("others", k), F.lit(0.0))
     reach = lambda x: F.when(x["score"] >= least, x)
-    header = F.array_max(F.filter(F.transform("heard", model.best), lambda x: x["score"] >= least))
-    scored = cut(scored.select("_id", "path", "folder", "is_file", header.alias("header"), F.when(F.size("whole") > 0, reach(model.best(F.col("whole")))).alias("whole")), "license-scored")
+    header = F.array_max(F.filter(F.transform("heard", lambda x, k: model.best(x, other(k))), lambda x: x["score"] >= least))
+    scored = heard.join(others, "row", "left").select("_id", "path", "folder", "is_file", header.alias("header"), F.when(F.size("whole") > 0, reach(model.best(F.col("whole"), other(F.lit(-1))))).alias("whole"))
+    scored = cut(scored, "license-scored")
     own = F.when(F.col("whole").isNotNull() & (F.col("header").isNull() | (F.col("whole") >= F.col("header"))), F.struct(F.col("whole").alias("best"), F.lit("file").alias("origin"))).when(F.col("header").isNotNull(), F.struct(F.col("header").alias("best"), F.lit("header").alias("origin")))
     scored = scored.withColumn("own", own)
 

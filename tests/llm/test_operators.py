@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from tessella.llm import lm, topk
 from tessella.llm._tokens import Encoder
 from tessella.llm.decontaminate import HammingIndex, contamination
 from tessella.llm.language import language_id
-from tessella.llm.license_scan import license_scan
+from tessella.llm.license_scan import NOTICES, license_scan
 from tessella.llm.ngram_jaccard import ngram_jaccard, parity_bits, parity_distance
 from tessella.llm.packing import BestFit, pack
 from tessella.llm.queries import ORACLES, QUERIES
@@ -312,6 +313,26 @@ def test_license_scan(spark):
     assert license_scan(df, "id", "path", "text").count() == len(rows) and license_scan(df.where("false"), "id", "path", "text").collect() == []
 
 
+def test_license_scan_weighs_terms_by_their_document_frequency(spark):
+    lines = {100: "Released and licensed under the MIT License.", 101: "All rights in it are reserved.", 102: "Zq xw released vb under the MIT License."}
+    texts = {k: f"x{k} and the river\nin it are" for k in range(60)} | {k: f"x{k}\n{t}\nrest {k}" for k, t in lines.items()} | {200: lines[100]}
+    split = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
+    df = Counter(t for x in texts.values() for t in split(x))
+    idf = {t: math.log((len(texts) + 1) / (df[t] + 1)) + 1 for t in {*df, *split(" ".join(NOTICES.values()))}}
+
+    def cosine(a, b):
+        a, b = ({t: k * idf[t] for t, k in split(x).items()} for x in (a, b))
+        return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    rows = [(k, f"/{k}/LICENSE" if k == 200 else f"/{k}/x.py", t) for k, t in texts.items()]
+    found = {r["id"]: r for r in license_scan(spark.createDataFrame(rows, "id bigint, path string, text string"), "id", "path", "text").collect()}
+    for k, line in {**lines, 200: lines[100]}.items():
+        score, name = max((cosine(line, notice), name) for name, notice in NOTICES.items())
+        assert (found[k]["license"], found[k]["origin"]) == ((name, "file" if k == 200 else "header") if score >= 0.7 else (None, None))
+        assert score < 0.7 or abs(found[k]["score"] - score) < 2e-6
+    assert found[100]["license"] == "MIT" and found[101]["license"] == "Proprietary" and found[5]["license"] is None
+
+
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op3_language_id"}))
 def test_oracles(spark, duck, sf, name):
     same(QUERIES[name](spark, sf), duck.execute(ORACLES[name]))
