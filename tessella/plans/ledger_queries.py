@@ -79,6 +79,12 @@ def ops_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.where("op_id % 100 = 1").join(o.select("op_id", "op_kind"), "op_id")
 
 
+@query(f"WITH {LEDGER} SELECT op_id, item_id, orig_path, size, state, cross_volume, op_kind FROM items JOIN ops USING (op_id)")
+def ops_detail_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, i = _ledger(spark, sf_dir)
+    return i.join(o.select("op_id", "op_kind"), "op_id")
+
+
 @query(f"""WITH {LEDGER}, d AS (SELECT * FROM items JOIN ops USING (op_id) WHERE state = 'done')
 SELECT op_kind, count(*) AS items, coalesce(sum(size) FILTER (op_kind = 'delete' OR (op_kind = 'move' AND cross_volume)), 0)::BIGINT AS reclaimed, coalesce(sum(size) FILTER (op_kind = 'hardlink'), 0)::BIGINT AS linked,
   coalesce(sum(size) FILTER (op_kind = 'symlink'), 0)::BIGINT AS symlinked, coalesce(sum(size) FILTER (op_kind = 'trash'), 0)::BIGINT AS trashed FROM d GROUP BY op_kind""")

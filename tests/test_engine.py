@@ -113,3 +113,9 @@ def test_arriving_files(spark, tmp_path):
     query = incremental.run_once(incremental.duplicates(incremental.arriving(spark, f"file://{folder}")), "arrived", str(tmp_path / "state"))
     query.awaitTermination()
     assert [(r["n_files"], r["reclaimable"]) for r in spark.table("arrived").collect()] == [(3, 8)]
+
+
+def test_detail_holds_every_item(spark, sf):
+    from tessella.plans.catalog import QUERIES
+
+    assert QUERIES["ops_detail_whole"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
