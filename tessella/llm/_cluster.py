@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that go to a Python worker at a time. Texts can be long, so it is well below Spark's default of 10,000.
 BATCH_ROWS = 500
+#: Bytes of such a batch, after which it is closed.
+BATCH_BYTES = "4m"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds: Arrow batches of this session have ``BATCH_ROWS`` rows at most."""
+    """Bound what a Python worker holds: Arrow batches of this session have ``BATCH_ROWS`` rows or about ``BATCH_BYTES`` at most."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,8 +59,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a table that ``cut`` made and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``cut`` made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

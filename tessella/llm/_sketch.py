@@ -1,8 +1,10 @@
 """Arrays of a fixed size that are built over all rows: frequency sketches and Bloom filters.
 
-Each task fills one array; pieces of it travel as binary rows, are merged by
-piece number, and the merged array (``SKETCH_SLOTS`` counters or ``BLOOM_BITS``
-bits, whatever the input) is read by the driver and broadcast.
+Each task fills one array; pieces of it travel as binary rows and are merged in
+two steps, first the arrays of many tasks side by side, then by piece number.
+Both steps read a stream and hold one array at most, however many tasks there
+are. The merged array (``SKETCH_SLOTS`` counters or ``BLOOM_BITS`` bits,
+whatever the input) is read by the driver and broadcast.
 """
 
 from __future__ import annotations
@@ -10,41 +12,63 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Counters of a frequency sketch (8 bytes each: 2 MB).
 SKETCH_SLOTS = 1 << 18
 #: Bits of a Bloom filter (2 MB). It only saves traffic: what passes it wrongly is dropped by the join after it.
 BLOOM_BITS = 1 << 24
-_PIECES = 16
+#: The table that ``gathered`` reads: the pieces of a task's array.
+PIECE_SCHEMA = "task int, piece int, data binary"
+_PIECES = 64
+
+
+def pieces_of(array: np.ndarray) -> list[pa.Array]:
+    """Columns of ``PIECE_SCHEMA`` for the parts of a task's array that aren't all zero."""
+    full = [(k, p) for k, p in enumerate(np.split(array, _PIECES)) if p.any()]
+    task = TaskContext.get().partitionId()
+    return [pa.array([task] * len(full), pa.int32()), pa.array([k for k, _ in full], pa.int32()), pa.array([p.tobytes() for _, p in full], pa.binary())]
+
+
+def gathered(pieces: DataFrame, size: int, dtype: str, how: str) -> np.ndarray:
+    """The arrays behind ``pieces`` (``PIECE_SCHEMA``), added (``sum``) or united (``or``)."""
+    step = size // _PIECES
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data"), strict=True):
+                part = np.frombuffer(data.as_buffer(), dtype)
+                if piece not in held:
+                    held[piece] = part.copy()
+                elif how == "or":
+                    held[piece] |= part
+                else:
+                    held[piece] += part
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(held), pa.int32()), pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], ["task", "piece", "data"])
+
+    some = pieces.repartition("task").mapInArrow(add, PIECE_SCHEMA)
+    out = np.zeros(size, dtype)
+    for row in some.repartition("piece").mapInArrow(add, PIECE_SCHEMA).collect():
+        out[row["piece"] * step : (row["piece"] + 1) * step] = np.frombuffer(row["data"], dtype)
+    return out
 
 
 def merged(df: DataFrame, fill: Callable[[pa.RecordBatch, np.ndarray], None], size: int, dtype: str, how: str) -> np.ndarray:
     """``fill(batch, array)`` adds each batch to its task's array; the arrays are added (``sum``) or united (``or``)."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size, dtype)
+        own, some = np.zeros(size, dtype), False
         for batch in batches:
             if batch.num_rows:
                 fill(batch, own)
-        full = [(k, p) for k, p in enumerate(np.split(own, _PIECES)) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), pa.array([p.tobytes() for _, p in full], pa.binary())], ["piece", "data"])
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays(pieces_of(own), ["task", "piece", "data"])
 
-    def join(piece: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size // _PIECES, dtype)
-        for data in piece["data"]:
-            part = np.frombuffer(data, dtype)
-            total = total | part if how == "or" else total + part
-        return pd.DataFrame({"piece": piece["piece"].iloc[:1], "data": [total.tobytes()]})
-
-    pieces = df.mapInArrow(one, "piece int, data binary").groupBy("piece")
-    out = np.zeros(size, dtype)
-    step = size // _PIECES
-    for row in pieces.applyInPandas(join, "piece int, data binary").collect():
-        out[row["piece"] * step : (row["piece"] + 1) * step] = np.frombuffer(row["data"], dtype)
-    return out
+    return gathered(df.mapInArrow(one, PIECE_SCHEMA), size, dtype, how)
 
 
 def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

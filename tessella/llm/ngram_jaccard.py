@@ -12,42 +12,55 @@ n-grams reaches ``num / den``. No link between different texts is lost:
   alone, or two of frequent classes, whose combination is indexed. Sets too
   large for combinations index their frequent n-grams singly; around that
   border sets do both, so partners always meet.
-* All classes under a key are first compared with one leader, the set with
-  the commonest n-grams, and their components are formed. After that only pairs
-  from different components matter, first a forest of them, so that each key
-  gives as many pairs as it has classes at most, then all that are still apart.
-  So a group of copies costs in proportion to its size.
+* Linked sets are of similar size, so their sizes fall into the same or
+  neighbouring bands, ``den / num`` wide. An aggregation notes for each key which
+  bands are held; classes without a partner in reach go before any join.
 * Candidates are pruned by a bound that is exact: bits that differ in two
   parity bitmaps are at most the size of the symmetric difference. Under a key
-  that is done in blocks of bounded size, before any pair is a row. What is
-  left is verified on the sets themselves.
+  that is done in blocks of bounded size, before any pair is a row. A block
+  gives all its pairs if they are few, else a forest of them; such keys stay
+  open. A key of several blocks has one class, the commonest, in all of them.
+* Pairs are verified on the sets themselves and joined to components. Then only
+  pairs from different components under open keys matter, first a forest of
+  them, then all that are still apart. The largest component under a key is
+  never compared with itself or copied to more blocks than the rest needs, so a
+  group of copies costs in proportion to its size.
 * These links give the components, but not every link in them. A class links
-  only within its component, so at the end all sets of a component are compared,
-  each pair once, in blocks whose links are added up before they are rows.
+  only within its component, so for link counts all sets of a component are
+  compared, each pair once, in blocks whose links are added up before they are
+  rows.
+
+Texts are read three times: for the sketch and the classes, for keys, and for the
+sets of those classes that have a candidate.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import _sketch, _text
-from tessella.llm._cluster import bound_batches, cut
+from tessella.llm._cluster import bound_batches, cut, remove
 from tessella.llm._graph import components
 
 #: Sets that can miss fewer n-grams than this index pairs of frequent n-grams, larger ones single n-grams.
 COMBINE_MISSES = 24
 #: Classes under one key that are compared with each other in one piece.
 BLOCK_ROWS = 2048
+#: Pairs that a piece gives for each of its classes before it gives a forest.
+PAIRS_EACH = 4
 #: N-grams of the sets of one component that are compared with each other in one piece.
 BLOCK_GRAMS = 1 << 18
+#: Bands of sizes are numbered around a ring of so many bits.
+_RING = 63
 _SHIFT = np.uint64(64 - (_sketch.SKETCH_SLOTS.bit_length() - 1))
-_SET_SCHEMA = "doc string, n bigint, cls binary, commonness double, keys array<bigint>, bits binary"
 
 
 def shingle_sets(batch_text: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -66,9 +79,13 @@ def class_of(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def parity_bits(shingles: np.ndarray) -> bytes:
-    """Bit i tells whether an odd number of elements fall on i; at least as many bits as elements."""
-    size = max(512, 1 << (len(shingles) - 1).bit_length())
+def parity_bits(shingles: np.ndarray, num: int, den: int) -> bytes:
+    """Bit i tells whether an odd number of elements fall on i.
+
+    There are four times as many bits, rounded up to a power of two, as elements
+    may differ in a set of equal size that links; strangers differ in half of them.
+    """
+    size = max(64, 1 << (8 * len(shingles) * (den - num) // (den + num)).bit_length())
     return np.packbits((np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
@@ -101,45 +118,83 @@ def index_keys(shingles: np.ndarray, counts: np.ndarray, limit: int, num: int, d
     return np.concatenate(keys)
 
 
-def _frequencies(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    def fill(batch: pa.RecordBatch, counts: np.ndarray) -> None:
-        for shingles in shingle_sets(batch.column(0), width):
-            np.add.at(counts, (shingles >> _SHIFT).astype(np.int64), 1)
+def size_band(n: int, num: int, den: int) -> int:
+    """The band of a set of ``n``; sets that link are in the same or neighbouring bands of the ring."""
+    return int(math.log(n) / max(math.log(den / num) * (1 + 1e-9), 1e-9)) % _RING
 
-    return _sketch.merged(docs.select(F.col(text).alias("text")), fill, _sketch.SKETCH_SLOTS, "int64", "sum")
 
+def _census(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """``doc, n, cls`` of each row, and among these rows the pieces of a sketch of all n-grams (``piece`` isn't null)."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), *T.StructType.fromDDL(f"n bigint, cls binary, {_sketch.PIECE_SCHEMA}")])
 
-def _sets(docs: DataFrame, id_col: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    counts = _frequencies(docs, text, width)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, kind = np.zeros(_sketch.SKETCH_SLOTS, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, sizes, classes = batch.column(0).type, [], []
+            for shingles in shingle_sets(batch.column(1), width):
+                np.add.at(counts, (shingles >> _SHIFT).astype(np.int64), 1)
+                sizes.append(len(shingles))
+                classes.append(class_of(shingles))
+            none = [pa.nulls(len(sizes), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *none], schema.names)
+        if kind is not None:
+            pieces = _sketch.pieces_of(counts)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pieces[0]), t) for t in (kind, pa.int64(), pa.binary())), *pieces], schema.names)
+
+    return cut(rows.mapInArrow(one, schema), "jaccard-census")
+
+
+def _classes(docs: DataFrame, text: str, width: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+    """``cls, h, n, band, commonness, keys, bits`` of each class that can link; ``h``: 64 bits of ``cls``."""
     limit = max(64, 4 * int(counts.sum()) // len(counts))
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             rows: list[tuple] = []
-            for shingles in shingle_sets(batch.column(1), width):
-                cls = class_of(shingles)
-                if cls is None or cls in seen or len(shingles) * (den - num) < num:  # so small that only equal sets link
-                    rows.append((len(shingles), cls, None, none, None))
+            for shingles in shingle_sets(batch.column(0), width):
+                n, cls = len(shingles), class_of(shingles)
+                if cls is None or cls in seen or n * (den - num) < num:  # so small that only equal sets link
                     continue
                 seen.add(cls)
                 common = float(counts[(shingles >> _SHIFT).astype(np.int64)].mean())
-                rows.append((len(shingles), cls, common, _text.signed(index_keys(shingles, counts, limit, num, den)), parity_bits(shingles)))
+                rows.append((cls, n, size_band(n, num, den), common, _text.signed(index_keys(shingles, counts, limit, num, den)), parity_bits(shingles, num, den)))
             if rows:
-                n, cls, common, keys, bits = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(common, pa.float64()), _text.list_array(list(keys), pa.int64()), pa.array(bits, pa.binary())], ["doc", "n", "cls", "commonness", "keys", "bits"])
+                cls, n, band, common, keys, bits = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cls, pa.binary()), pa.array(_text.signed(_hash64(cls))), pa.array(n, pa.int64()), pa.array(band, pa.int32()), pa.array(common, pa.float64()), _text.list_array(list(keys), pa.int64()), pa.array(bits, pa.binary())],
+                    ["cls", "h", "n", "band", "commonness", "keys", "bits"],
+                )
 
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    schema = _SET_SCHEMA.replace("doc string", f"doc {rows.schema['doc'].dataType.simpleString()}")
-    return cut(rows.mapInArrow(one, schema), "jaccard-sets")
+    found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(one, "cls binary, h bigint, n bigint, band int, commonness double, keys array<bigint>, bits binary")
+    return cut(found.dropDuplicates(["cls"]), "jaccard-classes")
 
 
-def _hash64(cls: pa.Array | list[bytes]) -> np.ndarray:
+def _hash64(cls: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(c[:8] for c in cls), np.uint64)
 
 
+def _next(bands: Column) -> Column:
+    """Each bit of a ring moved up by one."""
+    return F.shiftleft(bands, 1).bitwiseAND(F.lit((1 << _RING) - 1)).bitwiseOR(F.shiftright(bands, _RING - 1))
+
+
+def _meetings(classes: DataFrame) -> DataFrame:
+    """``key, h, held``: keys of which several classes hold one, with those that have one of similar size."""
+    posted = classes.select("h", "band", F.explode("keys").alias("key"))
+    own = F.expr("shiftleft(1L, band)")
+    held = posted.groupBy("key").agg(F.count("*").alias("held"), F.bit_or(own).alias("bands"))
+    crowded = F.bit_count("bands") < F.col("held")
+    held = held.where((F.col("held") > 1) & (crowded | (F.col("bands").bitwiseAND(_next(F.col("bands"))) != 0)))
+    met = F.col("bands").bitwiseAND(_next(own)) != 0
+    met |= _next(F.col("bands")).bitwiseAND(own) != 0
+    return cut(posted.join(held, "key").where(crowded | met).select("key", "h", "held"), "jaccard-rows")
+
+
 def _folded(bits: list[bytes], size: int) -> np.ndarray:
     """Parity bitmaps as rows of 64-bit words, longer ones folded to ``size`` bytes."""
     out = np.zeros((len(bits), size // 8), np.uint64)
@@ -148,107 +203,143 @@ def _folded(bits: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def apart(classes: list[bytes], sizes: np.ndarray, roots: list[bytes], bits: list[bytes], sides: np.ndarray, num: int, den: int, forest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of different roots that the bounds on sizes and parity bitmaps allow.
+def near_pairs(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, sides: np.ndarray, num: int, den: int, most: float) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of unequal ``label`` that the bounds on sizes and parity bitmaps allow, and whether some were left out.
 
-    ``sides`` tells the block of each; pairs of unequal blocks are given, or all
-    if there is one block. ``forest``: only pairs that join groups of roots.
+    Beyond ``most`` pairs only a forest is given, which joins what the pairs
+    join. ``sides`` tells the block of each: if there are two, only pairs of
+    unequal blocks are given. ``sizes`` must ascend.
     """
-    order = np.argsort(sizes, kind="stable")
-    sizes, sides = sizes[order], sides[order]
-    names = {root: k for k, root in enumerate(dict.fromkeys(roots))}
-    root = np.asarray([names[roots[k]] for k in order])
-    joined = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while joined[x] != x:
-            joined[x] = joined[joined[x]]
-            x = joined[x]
-        return x
-
-    widths = np.asarray([len(bits[k]) for k in order])
+    if len(sizes) == 2 and most > 0:
+        near = label[0] != label[1] and int(sizes[1]) * num <= int(sizes[0]) * den
+        return ([(0, 1)] if near and parity_distance(*bits) * (den + num) <= int(sizes.sum()) * (den - num) else []), False
+    pairs: list[tuple[int, int]] = []
+    forest: list[tuple[int, int]] = []
+    only_forest = most <= 0
+    now = label.copy()
+    widths = np.asarray([len(x) for x in bits])
     ends = np.searchsorted(sizes, sizes * den // num, side="right")
-    two = sides[0] != sides[-1] or bool((sides != sides[0]).any())
+    two = bool((sides != sides[0]).any())
     first, level, words = 0, 0, np.zeros((0, 0), np.uint64)
-    for a in range(len(order)):
+    for a in range(len(sizes)):
         if ends[a] <= a + 1:
             continue
-        if widths[a] != level:
-            first, level = a, int(widths[a])
-            words = _folded([bits[k] for k in order[a:]], level)
         other = slice(a + 1, int(ends[a]))
-        differ = root[other] != root[a]
+        allowed = (now if only_forest else label)[other] != (now if only_forest else label)[a]
         if two:
-            differ &= sides[other] != sides[a]
-        at = np.flatnonzero(differ) + a + 1
+            allowed &= sides[other] != sides[a]
+        at = np.flatnonzero(allowed) + a + 1
         if not len(at):
             continue
+        if widths[a] != level:
+            first, level = a, int(widths[a])
+            words = _folded(bits[a:], level)
         far = np.bitwise_count(words[at - first] ^ words[a - first]).sum(axis=1)
-        for b in at[far.astype(np.int64) * (den + num) <= (sizes[at] + sizes[a]) * (den - num)].tolist():
-            if forest:
-                x, y = top(int(root[a])), top(int(root[b]))
-                if x == y:
-                    continue
-                joined[x] = y
-            yield int(order[a]), int(order[b])
+        near = at[far.astype(np.int64) * (den + num) <= (sizes[at] + sizes[a]) * (den - num)]
+        if not len(near):
+            continue
+        if not only_forest:
+            pairs += [(a, b) for b in near.tolist()]
+        new = near[now[near] != now[a]]
+        if len(new):
+            met, where = np.unique(now[new], return_index=True)
+            forest += [(a, b) for b in new[where].tolist()]
+            now[np.isin(now, met)] = now[a]
+        only_forest = only_forest or len(pairs) > most
+    return (forest if only_forest else pairs), only_forest
 
 
-def _apart(rows: DataFrame, known: DataFrame, classes: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """``a, b``: pairs under a common key that are in different components and that no bound excludes."""
-    placed = cut(rows.where("held > 2").select("key", "cls", "n").join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots")).where("roots > 1")
-    split = placed.join(parts.select("key", F.ceil(F.col("held") / BLOCK_ROWS).cast("int").alias("blocks")), "key").join(classes.select("cls", "bits"), "cls")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    split = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "root", "bits")
-    piece = ["key", "lo", "hi"]
+def _compared(split: DataFrame, piece: list[str], num: int, den: int, each: float) -> DataFrame:
+    """``a, b, open``: near pairs in each piece of ``split(*piece, h, n, bits)``; rows with ``open``: its first column where pairs were left out.
+
+    With ``own`` and ``root`` only pairs of unequal ones count (see ``near_pairs``).
+    """
+    apart = "root" in split.columns
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(held: list[tuple]) -> list[tuple[bytes, bytes]]:
-            if len({x[2] for x in held}) < 2:
-                return []
-            names = [x[0] for x in held]
-            found = apart(names, np.asarray([x[1] for x in held]), [x[2] for x in held], [x[3] for x in held], np.asarray([x[4] for x in held]), num, den, forest)
-            return [tuple(sorted((names[a], names[b]))) for a, b in found]
+        told: set[tuple[int, int]] = set()
+
+        def pairs(now: tuple | None, held: list[tuple]) -> Iterator[tuple]:
+            if len(held) < 2:
+                return
+            held.sort(key=lambda x: x[:2])
+            sizes, names, bits, *more = zip(*held, strict=True)
+            label, sides = np.arange(len(held)), np.zeros(len(held), np.int64)
+            if apart:
+                number = {root: k for k, root in enumerate(dict.fromkeys(more[0]))}
+                label, sides = np.asarray([number[root] for root in more[0]]), np.asarray(more[1])
+                if len(number) < 2:
+                    return
+            found, rest = near_pairs(np.asarray(sizes), list(bits), label, sides, num, den, each * len(held))
+            for a, b in found:
+                pair = (min(names[a], names[b]), max(names[a], names[b]))
+                if pair not in told:
+                    told.add(pair)
+                    yield (*pair, None)
+            if rest and each:
+                yield None, None, now[0]
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 3, strict=True)], ["a", "b", "open"])
 
         now, held, out = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*piece, "cls", "n", "root", "bits", "own")]
-            for key, lo, hi, *row in zip(*columns, strict=True):
-                if (key, lo, hi) != now:
-                    out += pairs(held)
-                    now, held = (key, lo, hi), []
-                held.append(row)
+            columns = [batch.column(c).to_pylist() for c in (*piece, "n", "h", "bits", *["root", "own"] * apart)]
+            for row in zip(*columns, strict=True):
+                if row[: len(piece)] != now:
+                    out += pairs(now, held)
+                    now, held = row[: len(piece)], []
+                held.append(row[len(piece) :])
+            if len(told) > 100_000:
+                told.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+                yield batch_of(out)
                 out = []
-        out += pairs(held)
+        out += pairs(now, held)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
-
-    return split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that no bound excludes."""
-    facts = classes.select("cls", "n", "bits")
-    near = (
-        pairs.join(facts.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-        .join(facts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-        .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    )
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb, ba, bb = (batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))
-            keep = pa.array([parity_distance(x, y) * (den + num) <= (p + q) * (den - num) for x, y, p, q in zip(ba, bb, na, nb, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    return near.mapInArrow(prune, "a binary, b binary")
+            yield batch_of(out)
+
+    return split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "a bigint, b bigint, open bigint")
+
+
+def _first_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, open``: near pairs within each block under each key, all or a forest."""
+    blocks = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
+    own = lambda h: F.pmod(F.xxhash64(h), F.col("blocks")).cast("int")
+    placed = rows.select("key", "h", blocks.alias("blocks")).withColumn("block", own("h"))
+    leaders = placed.where("blocks > 1").join(classes.select("h", "commonness"), "h").groupBy("key", "blocks").agg(F.max(F.struct("commonness", "h"))["h"].alias("h"))
+    guests = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != own("h"))
+    every = placed.select("key", "block", "h").unionByName(guests.select("key", "block", "h"))
+    split = every.join(classes.select("h", "n", "bits"), "h").select("key", "block", "h", "n", "bits")
+    return cut(_compared(split, ["key", "block"], num, den, PAIRS_EACH), "jaccard-first")
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: the classes behind distinct pairs of their 64 bits; all of them, should several share those."""
+    names = classes.select("h", "cls")
+    ends = pairs.select("a", "b").distinct().join(names.select(F.col("h").alias("a"), F.col("cls").alias("x")), "a").join(names.select(F.col("h").alias("b"), F.col("cls").alias("y")), "b")
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _apart(members: DataFrame, known: DataFrame, classes: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """``a, b``: near pairs under keys of ``members(key, cls, h)`` that are in different components of ``known(cls, root)``."""
+    placed = cut(members.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("top")).where("roots > 1")
+    size = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    parts = parts.select("key", F.col("top.root").alias("major"), size(F.col("top.c")).alias("majors"), size(F.col("held") - F.col("top.c")).alias("minors"))
+    split = placed.join(parts, "key").join(classes.select("cls", "n", "bits"), "cls")
+    among = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
+    minor = F.col("root") != F.col("major")
+    split = split.withColumn("own", F.when(minor, among("minors")).otherwise(F.col("minors") + among("majors")))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1)))
+    split = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h", "n", "root", "bits")
+    near = cut(_named(_compared(split, ["key", "lo", "hi"], num, den, 0 if forest else float("inf")), classes), "jaccard-apart")
+    remove(placed)
+    return near
 
 
 def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``c, items``: the sets of the classes in ``wanted(c)``, and few others."""
+    """``c, items``: the sets of the classes in ``wanted(c)``, a written table."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,19 +360,19 @@ def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> Data
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _text.list_array(list(found.values()), pa.int64())], ["c", "items"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(contents, "c binary, items array<bigint>").dropDuplicates(["c"])
+    sets = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(contents, "c binary, items array<bigint>")
+    return cut(sets.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "jaccard-contents")
 
 
-def _verified(near: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int, label: str) -> DataFrame:
+def _verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of ``near(a, b)``, pairs of classes, that link."""
-    near = cut(near, label + "-near")
-    either = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c")))
-    if not bool(near.take(1)):
-        return near
-    sets = cut(_contents(docs, text, width, either).join(either.distinct(), "c", "left_semi"), label + "-contents")
     shared = F.size(F.array_intersect("ia", "ib"))
     both = near.join(sets.select(F.col("c").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("ib")), "b")
-    return cut(both.where(shared * den >= (F.size("ia") + F.size("ib") - shared) * num).select("a", "b"), label + "-links")
+    return cut(both.where(shared * den >= (F.size("ia") + F.size("ib") - shared) * num).select("a", "b"), "jaccard-links")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return components(links, "jaccard-roots").withColumnRenamed("node", "cls")
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -315,16 +406,13 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.
     return out
 
 
-def _link_counts(roots: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
-    """``cls, n_links`` of the classes in ``roots(cls, root)`` that link."""
-    parts = roots.join(classes.select("cls", "n"), "cls").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("grams"))
+def _link_counts(roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``cls, n_links`` of the classes in ``roots(cls, root)`` that link, whose n-grams are in ``sets(c, items)``."""
+    parts = roots.join(sets.select(F.col("c").alias("cls"), F.size("items").alias("n")), "cls").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("grams"))
     placed = cut(roots.join(parts, "root").where("held > 1").select("cls", "root", "held", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")), "jaccard-members")
     of_two = placed.where("held = 2").select("cls", F.lit(1).cast("bigint").alias("n_links"))
-    more = placed.where("held > 2")
-    if not more.take(1):
-        return of_two
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    split = more.withColumn("own", own).join(_contents(docs, text, width, more.select(F.col("cls").alias("c"))).withColumnRenamed("c", "cls"), "cls")
+    split = placed.where("held > 2").withColumn("own", own).join(sets.withColumnRenamed("c", "cls"), "cls")
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     split = split.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "items")
     piece = ["root", "lo", "hi"]
@@ -351,16 +439,21 @@ def _link_counts(roots: DataFrame, classes: DataFrame, docs: DataFrame, text: st
         yield from counted(now, held)
 
     found = split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "cls binary, n bigint")
-    return of_two.unionByName(found.groupBy("cls").agg(F.sum("n").alias("n_links")))
+    out = cut(of_two.unionByName(found.groupBy("cls").agg(F.sum("n").alias("n_links"))), "jaccard-counts")
+    remove(placed)
+    return out
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, count_links: bool = True) -> DataFrame:
     """Near-duplicate groups of ``docs``: ``<id_col>, n_shingles, component_id, n_links``, a row per row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, ``n_links`` the number
-    of other classes (different sets) that a row's class links with. Words are
-    ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; sets hold distinct
-    ``width``-grams, or the whole sequence where there are fewer words.
+    of other classes (different sets) that a row's class links with; without
+    ``count_links`` that column is left out. Ids are of any type that can be
+    ordered. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; sets
+    hold distinct ``width``-grams, or the whole sequence where there are fewer
+    words.
+
     Null and empty texts and those without a word have no n-gram and link with
     nothing. Rows with a null id take part; they get the smallest id in their
     group, and null where no id is known. Repeated rows stay, each with its
@@ -368,31 +461,37 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     not read, so their names can't clash.
     """
     bound_batches(docs.sparkSession)
-    sets = _sets(docs, id_col, text, width, num, den)
-    classes = cut(sets.where("keys is not null and size(keys) > 0").groupBy("cls").agg(F.first("n").alias("n"), F.max("commonness").alias("commonness"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "jaccard-classes")
-    posted = classes.select("cls", "n", "commonness", F.explode("keys").alias("key"))
-    buckets = posted.groupBy("key").agg(F.count("*").alias("held"), F.max(F.struct("commonness", "cls"))["cls"].alias("leader")).where("held > 1")
-    rows = cut(posted.drop("commonness").join(buckets, "key"), "jaccard-rows")
-
-    check = lambda near, label: _verified(near, docs, text, width, num, den, label)
-    pair = [F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")]
-    links = check(_near(rows.where("cls <> leader").select(*pair).distinct(), classes, num, den), "jaccard-star")
-    roots = components(links, "jaccard-roots").withColumnRenamed("node", "cls")
+    census = _census(docs, id_col, text, width)
+    counts = _sketch.gathered(census.where("piece is not null").select("task", "piece", "data"), _sketch.SKETCH_SLOTS, "int64", "sum")
+    classes = _classes(docs, text, width, num, den, counts)
+    rows = _meetings(classes)
+    facts = cut(classes.drop("keys"), "jaccard-facts")
+    remove(classes)
+    first = _first_pairs(rows, facts, num, den)
+    near = cut(_named(first.where("open is null"), facts), "jaccard-near")
+    sets = _contents(docs, text, width, near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct())
+    links = _verified(near, sets, num, den)
+    roots = _components(links)
+    left = first.where("open is not null").select(F.col("open").alias("key")).unionByName(rows.where(F.col("held") > BLOCK_ROWS).select("key")).distinct()
+    members = cut(rows.join(left, "key").join(facts.select("h", "cls"), "h").select("key", "cls", "h"), "jaccard-open")
+    remove(rows, first, near)
     for step in ("forest", "rest"):
-        near = cut(_apart(rows, roots, classes, num, den, step == "forest"), f"jaccard-{step}")
+        near = _apart(members, roots, facts, num, den, step == "forest")
         if not near.take(1):
             break  # without a pair in the forest there is none in the rest
-        found = check(near, f"jaccard-{step}")
+        found = _verified(near, sets, num, den)
         if found.take(1):
             links = cut(links.unionByName(found).distinct(), "jaccard-links")
-            roots = components(links, "jaccard-roots").withColumnRenamed("node", "cls")
-
-    ends = _link_counts(roots, classes, docs, text, width, num, den)
-    members = sets.groupBy("cls").agg(F.min("doc").alias("least")).where("cls is not null").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(ends, "cls", "left")
-    best = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = members.join(best, "root").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return (
-        sets.select("doc", "n", "cls")
-        .join(labelled, "cls", "left")
-        .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    )
+            roots = _components(links)
+    remove(members, facts)
+
+    kept = census.where("piece is null")
+    found = kept.groupBy("cls").agg(F.min("doc").alias("least")).where("cls is not null").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    best = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = found.join(best, "root").select("cls", "component_id")
+    out = [F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")]
+    if count_links:
+        labelled = labelled.join(_link_counts(roots, sets, num, den), "cls", "left")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    remove(sets)
+    return kept.select("doc", "n", "cls").join(labelled, "cls", "left").select(*out)

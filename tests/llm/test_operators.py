@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import lm, topk
+from tessella.llm._graph import components
 from tessella.llm._tokens import Encoder
 from tessella.llm.decontaminate import HammingIndex, contamination
 from tessella.llm.language import language_id
 from tessella.llm.license_scan import NOTICES, license_scan
-from tessella.llm.ngram_jaccard import ngram_jaccard, parity_bits, parity_distance
+from tessella.llm.ngram_jaccard import near_pairs, ngram_jaccard, parity_bits, parity_distance
 from tessella.llm.packing import BestFit, pack
 from tessella.llm.queries import ORACLES, QUERIES
 from tessella.llm.substring_dedup import FingerprintIndex, substring_dedup
@@ -98,9 +99,48 @@ def test_jaccard_counts_every_link_in_a_component(spark, docs, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     want = plain.jaccard_links(texts)
     assert max(want.values()) > 5
-    for grams in (1 << 18, 500):
+    groups = plain.jaccard_groups(texts)
+    for grams, rows, each in ((1 << 18, 2048, 4), (500, 8, 1)):
         monkeypatch.setattr("tessella.llm.ngram_jaccard.BLOCK_GRAMS", grams)
-        assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard(df).collect()} == want
+        monkeypatch.setattr("tessella.llm.ngram_jaccard.BLOCK_ROWS", rows)
+        monkeypatch.setattr("tessella.llm.ngram_jaccard.PAIRS_EACH", each)
+        found = ngram_jaccard(df).collect()
+        assert {r["doc_id"]: r["n_links"] for r in found} == want
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups
+
+
+def test_near_pairs_and_forests_join_the_same():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 64, 200, np.uint64)
+    sets = sorted((np.unique(np.concatenate([base[rng.random(200) > 0.06], rng.integers(0, 1 << 64, rng.integers(6), np.uint64)])) for _ in range(60)), key=len)
+    sizes, bits, label, sides = np.asarray([len(x) for x in sets]), [parity_bits(x, 80, 100) for x in sets], np.arange(60) % 50, np.arange(60) % 2
+
+    def groups(pairs):
+        top = label.copy()
+        for a, b in pairs:
+            top[top == top[b]] = top[a]
+        return {frozenset(np.flatnonzero(top == t).tolist()) for t in top}
+
+    near = lambda a, b: parity_distance(bits[a], bits[b]) * 180 <= (len(sets[a]) + len(sets[b])) * 20 and len(sets[b]) * 80 <= len(sets[a]) * 100
+    for two in (sides, sides * 0):
+        want = [(a, b) for a in range(60) for b in range(a + 1, 60) if label[a] != label[b] and (two is not sides or two[a] != two[b]) and near(a, b)]
+        found, cut_short = near_pairs(sizes, bits, label, two, 80, 100, float("inf"))
+        assert sorted(found) == want and not cut_short
+        for most in (0, 5):
+            forest, cut_short = near_pairs(sizes, bits, label, two, 80, 100, most)
+            assert cut_short and groups(forest) == groups(want) and len(forest) < 60
+
+
+def test_components(spark):
+    rng = random.Random(11)
+    links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(5, 5), (500, 501), (501, 500)]
+    top = {x: x for pair in links for x in pair}
+    for _ in links:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    assert {r["node"]: r["root"] for r in components(df).collect()} == {x: t for x, t in top.items() if sum(v == t for v in top.values()) > 1}
+    assert components(df.where("a < 0")).collect() == []
 
 
 def test_parity_never_exceeds_the_difference():
@@ -108,7 +148,8 @@ def test_parity_never_exceeds_the_difference():
     for n in (10, 600, 3000):
         a = rng.integers(0, 1 << 64, n, np.uint64)
         b = np.concatenate([a[5:], rng.integers(0, 1 << 64, n // 2, np.uint64)])
-        assert parity_distance(parity_bits(a), parity_bits(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+        for num in (50, 80, 90):
+            assert parity_distance(parity_bits(a, num, 100), parity_bits(b, num, 100)) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_substring_dedup(spark, docs, none):
