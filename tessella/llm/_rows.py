@@ -1,36 +1,46 @@
-"""Dropping rows of a wide table by id without shuffling the texts of the others."""
+"""Rows of a table by their place, so that a stage can drop some without regard to ids that repeat or are null."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _sketch
-from tessella.llm._cluster import bound_batches
+from tessella.llm._cluster import bound_batches, cut
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``gone``, a table of that one column; null ids stay.
+def placed(docs: DataFrame) -> DataFrame:
+    """``row, file, at``: each row of ``docs`` as a struct, and its place, which is the same whenever it is read.
 
-    A Bloom filter of fixed size lets rows that can't be meant pass; only the
-    others meet ``gone`` in a join. If ``gone`` fills the filter, more rows do.
+    The place of a row of a table that is read from files is its file's hashed
+    path and its number there; any other table is written first.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    bits = spark.sparkContext.broadcast(_sketch.bloom(gone.select(F.xxhash64(id_col).alias("k"))))
-    data = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{id_col}`")).alias("k"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    try:
+        return docs.select(row, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return cut(docs.select(row, F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at")), "placed")
+
 
-    def part(met: bool):
-        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    may = _sketch.may_hold(bits.value, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(may if met else ~may))], ["row"])
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows behind ``rows``, a table of ``placed``, but for those in ``gone(file, at)``.
+
+    A Bloom filter of fixed size lets rows that can't be meant pass without a
+    shuffle; only the others meet ``gone`` in a join. If ``gone`` fills the
+    filter, more rows do.
+    """
+    spark = rows.sparkSession
+    bound_batches(spark)
+    key = F.xxhash64("file", "at")
+    bits = spark.sparkContext.broadcast(_sketch.bloom(gone.select(key.alias("k"))))
 
-        return data.mapInArrow(one, data.select("row").schema).select("row.*")
+    @F.pandas_udf("boolean")
+    def may_hold(keys: pd.Series) -> pd.Series:
+        return pd.Series(_sketch.may_hold(bits.value, keys.to_numpy().astype(np.int64).view(np.uint64)))
 
-    return part(False).unionByName(part(True).join(gone.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns))
+    marked = rows.withColumn("may", may_hold(key))
+    clear = marked.where(~F.col("may")).select("row.*")
+    return clear.unionByName(marked.where("may").join(gone.distinct(), ["file", "at"], "left_anti").select("row.*"))

@@ -479,7 +479,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         near = _apart(members, roots, facts, num, den, step == "forest")
         if not near.take(1):
             break  # without a pair in the forest there is none in the rest
-        found = _verified(near, sets, num, den)
+        ends = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
+        found = _verified(near, sets.join(ends, "c", "left_semi"), num, den)
         if found.take(1):
             links = cut(links.unionByName(found).distinct(), "jaccard-links")
             roots = _components(links)
