@@ -1,9 +1,10 @@
 """A training-data pipeline over ``documents``: five stages, each an operator of ``tessella.llm``.
 
 Every stage takes what its predecessor kept. All but the last return the
-columns of ``documents``; the last returns pieces of packed sequences. Rows with
-a null ``doc_id`` can't be named, so the stages that drop documents by id keep
-them; repeated rows are treated alike. Empty tables pass through all stages.
+columns of ``documents``, also if there are others or their names are those that
+operators use; the last returns pieces of packed sequences. Rows are dropped by
+their place in the table, so ids may be null or repeat. Empty tables pass
+through all stages.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._cluster import cut
-from tessella.llm._rows import without
+from tessella.llm._rows import placed, without
 from tessella.llm.decontaminate import contamination
 from tessella.llm.language import UNDETERMINED, identify, learn
 from tessella.llm.ngram_jaccard import ngram_jaccard
@@ -35,27 +36,44 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    groups = cut(ngram_jaccard(docs, width=SHINGLE_WORDS, num=SIMILARITY), "pipeline-groups")
-    kept = without(docs, groups.where("doc_id <> component_id").select("doc_id"), "doc_id")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not repeated.take(1):
-        return kept
-    return without(kept, repeated, "doc_id").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each group of near copies the row with the smallest id stays, whichever other rows have that id.
+
+    Null ids come last, and of repeated rows one stays. Texts without a word are
+    nobody's copies and stay. An empty table stays empty.
+    """
+    rows = placed(docs)
+    key = F.struct(F.col("row.doc_id").isNull().alias("absent"), F.col("row.doc_id").alias("id"), "file", "at").alias("key")
+    groups = cut(ngram_jaccard(rows.select(key, F.col("row.text").alias("text")), "key", "text", SHINGLE_WORDS, SIMILARITY, count_links=False), "pipeline-groups")
+    other = (F.col("key.file") != F.col("component_id.file")) | (F.col("key.at") != F.col("component_id.at"))
+    return without(rows, groups.where(other).select("key.file", "key.at"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words that a document with a smaller id has; nothing but such passages goes."""
+    """Texts without passages of 50 words that a document with a smaller id has; nothing but such passages goes.
+
+    A row of which no word is left goes. Rows with a null id or without a word
+    stay as they are, but a null text becomes empty. ``n_chars`` follows the text
+    where it changes. Rows that share an id don't touch each other.
+    """
     found = substring_dedup(docs).where("n_removed = 0 or n_removed < n_words")
-    new = found.select("row.*", "text", "n_removed")
-    columns = {"n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))}
-    return new.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        own = F.col("row").getField(name)
+        return F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(own).cast(docs.schema[name].dataType) if name == "n_chars" else own
+
+    return found.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, cut(found.select("row.doc_id"), "pipeline-leaks"), "doc_id")
+    """Rows that hold no benchmark item; each is judged by its own text, whatever its id.
+
+    Null and empty texts hold nothing. Without items or documents nothing goes.
+    """
+    rows = placed(docs)
+    found = contamination(rows.select("file", "at", F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(rows, cut(found.select("row.file", "row.at"), "pipeline-leaks"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
