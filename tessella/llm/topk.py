@@ -1,35 +1,46 @@
 """Exact top-k search (operator 4): a Voronoi kNN join for the inner product.
 
-* Pivots are vectors with the smallest hashed ids; every vector goes to the
-  cell of its nearest pivot.
-* A summary of each cell holds the distances of its nearest and farthest
-  members. With Cauchy-Schwarz, a member ``x`` of a cell with pivot ``p`` at
-  distance ``d`` scores between ``q.p - |q| d`` and ``q.p + |q| d``.
-* The near members' lower bounds give each query a score that its k-th best
-  reaches for sure; cells whose upper bound is below it are left out. The
-  query, the smaller side, is replicated to the cells that remain.
-* Cells and queries are cut into blocks of bounded size, so a cell that holds
-  a third of all rows is many groups. Each is solved by one matrix product;
-  the best of the blocks are merged by a window.
+* Pivots are vectors of a sample of bounded size, chosen far apart; their number
+  grows with the square root of the table. Every vector goes to the cell of its
+  nearest pivot.
+* A summary of each cell holds the distance of its farthest member and the least
+  and greatest value of each component. A member ``x`` of a cell with pivot
+  ``p`` and radius ``r`` scores at most ``q.p + |q| r`` by Cauchy-Schwarz, and at
+  most the sum over components of the greater of ``q_i lo_i`` and ``q_i hi_i``.
+* Pivots are members themselves, so a query's k-th best score among them is a
+  score that its k-th best vector reaches for sure. Cells whose bound is below it
+  are left out. The query, the smaller side, is replicated to the cells that
+  remain; data vectors are never replicated.
+* Large cells are split, neighbouring small ones are put together, so that all
+  blocks are of bounded size, also where a cell holds a third of all rows. A task
+  holds one block and the queries pass by, each solved by a matrix product; the
+  best of the blocks are merged by a window.
+
+How much is left out depends on the data. Vectors in clusters need few cells.
+Vectors without any structure in many dimensions are all about equally far from
+each other, so that no bound of this kind can exclude a cell; then every query
+meets every block, which is still solved exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._cluster import bound_batches, cut
 
-#: Voronoi cells.
-PIVOTS = 32
-#: Vectors, and queries, that are solved together.
-BLOCK_ROWS = 8192
-QUERY_ROWS = 4096
+#: Cells at most, and vectors of the sample that their pivots are chosen from.
+MOST_PIVOTS, SAMPLE_ROWS = 512, 2048
+#: Vectors of a block at most, and bytes of its matrix.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 24
+#: Queries that are solved together.
+QUERY_ROWS = 256
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -66,7 +77,112 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int, own: int) -> list[tuple
     return list(zip(scores[order].tolist(), ids[order].tolist(), strict=True))
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def far_apart(sample: np.ndarray, count: int) -> np.ndarray:
+    """Numbers of up to ``count`` different rows, each the farthest from those before it."""
+    x = sample.astype(np.float64)
+    chosen, gap = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < count and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return np.asarray(chosen)
+
+
+@dataclass
+class Cells:
+    """Pivots with their ids, and of each cell its radius and the least and greatest values of components."""
+
+    ids: np.ndarray
+    pivots: np.ndarray
+    radius: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and its distance from the pivot."""
+        x, p = x.astype(np.float64), self.pivots.astype(np.float64)
+        cell = ((p * p).sum(axis=1)[None] - 2 * x @ p.T).argmin(axis=1)
+        return cell, np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+
+    def needed(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """Which cells (columns) may hold one of the ``k`` best of each query (rows), whose ids are ``own``."""
+        q, p = queries.astype(np.float64), self.pivots.astype(np.float64)
+        scores = q @ p.T
+        sure = np.where(self.ids[None] == own[:, None], -np.inf, scores)
+        least = np.partition(sure, -k, axis=1)[:, -k] if len(self.ids) >= k else np.full(len(q), -np.inf)
+        size = np.sqrt((q * q).sum(axis=1))
+        reach = np.sqrt((np.maximum(np.abs(self.low), np.abs(self.high)) ** 2).sum(axis=1).max(initial=0))
+        if float(size.max(initial=0)) * reach >= 2**62:  # scores may wrap around, so no bound holds
+            return np.ones(scores.shape, bool)
+        ball = scores + size[:, None] * self.radius[None]
+        box = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
+        return np.minimum(ball, box) + 1e-9 * (1 + size[:, None]) * (1 + reach) >= least[:, None]
+
+
+def _summaries(placed: DataFrame, pivots: np.ndarray, ids: np.ndarray, width: int) -> tuple[Cells, np.ndarray]:
+    """The cells of ``placed(cell, far, data)``, and how many members each has; merged in a stream, a row a cell at the end."""
+    schema = "cell int, n bigint, far double, low binary, high binary"
+
+    def merge(rows, held: dict[int, list]) -> None:
+        for cell, n, far, low, high in rows:
+            old = held.get(cell)
+            held[cell] = [n, far, low, high] if old is None else [old[0] + n, max(old[1], far), np.minimum(old[2], low), np.maximum(old[3], high)]
+
+    def batch_of(held: dict[int, list]) -> pa.RecordBatch:
+        n, far, low, high = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(n, pa.int64()), pa.array(far, pa.float64()), *(pa.array([x.tobytes() for x in side], pa.binary()) for side in (low, high))], ["cell", "n", "far", "low", "high"])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("data").to_pylist(), width)
+            cell, far = batch.column("cell").to_numpy(), batch.column("far").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            at = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            sides = (f.reduceat(x[order], at, axis=0) for f in (np.minimum, np.maximum))
+            merge(zip(cell[order][at].tolist(), np.diff(np.append(at, len(order))).tolist(), np.maximum.reduceat(far[order], at).tolist(), *sides, strict=True), held)
+        if held:
+            yield batch_of(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cell", "n", "far")] + [[np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("low", "high")]
+            merge(zip(*columns, strict=True), held)
+        if held:
+            yield batch_of(held)
+
+    found = placed.select("cell", "far", "data").mapInArrow(one, schema).repartition("cell").mapInArrow(add, schema).collect()
+    sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    low, high = pivots.copy(), pivots.copy()
+    for r in found:
+        c = r["cell"]
+        sizes[c], radius[c], low[c], high[c] = r["n"], r["far"], np.frombuffer(r["low"], np.int64), np.frombuffer(r["high"], np.int64)
+    return Cells(ids, pivots, radius, low, high), sizes
+
+
+def blocks_of(sizes: np.ndarray, pivots: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """First block and number of blocks of each cell: large cells have several, neighbouring small ones share one."""
+    x, left = pivots.astype(np.float64), set(range(len(sizes)))
+    out, block, room, now = [(0, 1)] * len(sizes), -1, 0, 0
+    while left:
+        now = min(left, key=lambda c: (((x[c] - x[now]) ** 2).sum(), c))
+        left.remove(now)
+        n = int(sizes[now])
+        if n > most:
+            parts = -(-n // most)
+            out[now] = (block + 1, parts)
+            block, room = block + parts, 0
+        else:
+            if n > room or block < 0:
+                block, room = block + 1, most
+            out[now] = (block, 1)
+            room -= n
+    return out
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, most_pivots: int = MOST_PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, <id_col>, score``: the ``k`` best of all other rows for each row where ``queries`` holds.
 
     Scores are inner products of ``floor(scale * x)``, ties go to smaller ids.
@@ -75,79 +191,83 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     a candidate as often as it is there, and one query. Of vectors of unequal
     length the shorter counts as filled up with zeros. With fewer candidates
     than ``k`` all are returned; an empty table gives no rows. Products beyond
-    64 bits wrap around.
+    64 bits wrap around. Other columns are read by ``queries`` alone, so their
+    names can't clash.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    clean = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), quantised(F.col(vector), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("v is not null")
-    sample = [r["v"] for r in clean.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
+    clean = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), quantised(F.col(f"`{vector}`"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id is not null and v is not null")
+    whole = clean.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     schema = "query_id bigint, rank int, id bigint, score bigint"
-    if not sample:
+    if not whole["n"]:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    own_width = max(map(len, sample))
-    centres = spark.sparkContext.broadcast(np.unique(np.asarray([x + [0] * (own_width - len(x)) for x in sample], np.int64), axis=0))
+    width = max(1, whole["width"])
+    sample = clean.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
+    vectors_of = np.asarray([r["v"] + [0] * (width - len(r["v"])) for r in sample], np.int64).reshape(len(sample), width)
+    chosen = far_apart(vectors_of, max(4 * k, min(most_pivots, math.isqrt(whole["n"]))))
+    pivots, ids = vectors_of[chosen], np.asarray([r["id"] for r in sample])[chosen]
+    centres = spark.sparkContext.broadcast(Cells(ids, pivots, *[np.zeros(0)] * 3))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = centres.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = batch.column(1)
             flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))])
             data = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            width = max(pivot.shape[1], int(np.diff(at).max()))
-            x = _matrix(data, width).astype(np.float64)
-            p = np.zeros((len(pivot), width))
-            p[:, : pivot.shape[1]] = pivot
-            gap = ((x[:, None, :] - p[None]) ** 2).sum(axis=2)
-            cell = gap.argmin(axis=1)
-            far = np.sqrt(gap[np.arange(len(x)), cell])
+            cell, far = centres.value.nearest(_matrix(data, width))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary()), pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "asks", "data", "cell", "far"])
 
     placed = cut(clean.mapInArrow(assign, "id bigint, asks boolean, data binary, cell int, far double"), "topk-cells")
-    nearest = placed.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("r")).where(F.col("r") <= k + 1)
-    near = {r["cell"]: sorted(r["near"]) for r in nearest.groupBy("cell").agg(F.collect_list("far").alias("near")).collect()}
-    sizes = {r["cell"]: (r["n"], r["most"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("most")).collect()}
-    summary = spark.sparkContext.broadcast({c: (near[c], *sizes[c]) for c in sizes})
+    cells, sizes = _summaries(placed, pivots, ids, width)
+    blocks = blocks_of(sizes, pivots, max(1, min(block_rows, BLOCK_BYTES // (8 * width))))
+    shared = spark.sparkContext.broadcast((cells, blocks))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block of each cell that may hold one of the query's best."""
-        pivot, cells = centres.value, summary.value
+        """A row for each block that may hold one of the query's best."""
+        cells, blocks = shared.value
         for batch in batches:
-            out = []
-            for query, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q = np.zeros(max(pivot.shape[1], len(data) // 8))
-                q[: len(data) // 8] = np.frombuffer(data, np.int64)
-                size, centre = float(np.sqrt((q * q).sum())), pivot.astype(np.float64) @ q[: pivot.shape[1]]
-                slack = 1e-9 * (1 + size) * (1 + float(np.abs(centre).max(initial=0)))
-                sure = sorted((centre[c] - size * d for c, (ds, _, _) in cells.items() for d in ds), reverse=True)
-                least = sure[k] if len(sure) > k else -np.inf  # one more, as the query may be one of them
-                for c, (_, n, most) in cells.items():
-                    if centre[c] + size * most + slack >= least:
-                        out += [(query, data, c, b) for b in range(-(-n // block_rows))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["query_id", "data", "cell", "block"])
-
-    asked = placed.where("asks").select(F.col("id").alias("query_id"), "data").distinct()
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.mapInArrow(spread, "query_id bigint, data binary, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    blocks = F.create_map(*[F.lit(x) for c, (n, _) in sizes.items() for x in (c, -(-n // block_rows))])
-    held = placed.select("id", "data", "cell", F.pmod(F.xxhash64("id", "data", F.lit(7)), blocks[F.col("cell")]).cast("int").alias("block"))
-    held = held.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(parts)]))) if parts > 1 else held.withColumn("part", F.lit(0))
-
-    def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            right = right.sort_values("id", kind="stable")
-            width = max(max(map(len, left["data"])), max(map(len, right["data"]))) // 8
-            ids, x = right["id"].to_numpy(), _matrix(list(right["data"]), width)
-            for at in range(0, len(left), 256):
-                some = left.iloc[at : at + 256]
-                for query, scores in zip(some["query_id"].tolist(), _product(_matrix(list(some["data"]), width), x), strict=True):
-                    rows += [(query, i, s) for s, i in best_of(scores, ids, k, query)]
-        return pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype("int64")
-
-    solved = asked.groupBy("cell", "block", "part").cogroup(held.groupBy("cell", "block", "part")).applyInPandas(solve, "query_id bigint, id bigint, score bigint")
+            if not batch.num_rows:
+                continue
+            need = cells.needed(_matrix(batch.column(1).to_pylist(), width), batch.column(0).to_numpy(), k)
+            rows, places = [], []
+            for r in range(len(need)):
+                own = sorted({b for c in np.flatnonzero(need[r]).tolist() for b in range(blocks[c][0], sum(blocks[c]))})
+                rows += [r] * len(own)
+                places += own
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), *(batch.column(c).take(pa.array(rows, pa.int64())) for c in range(2))], ["block", "id", "data"])
+
+    asked = placed.where("asks").select("id", "data").distinct().mapInArrow(spread, "block int, id bigint, data binary").withColumn("side", F.lit(1))
+    first, parts = (F.array(*[F.lit(x[j]) for x in blocks])[F.col("cell")] for j in (0, 1))
+    held = placed.select((first + F.pmod(F.xxhash64("id", "data", F.lit(7)), parts)).cast("int").alias("block"), "id", "data", F.lit(0).alias("side"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block, its vectors first, then the queries."""
+        now, ids, data, matrix = None, [], [], np.zeros((0, width), np.int64)
+        for batch in batches:
+            at, n = 0, batch.num_rows
+            block, side = batch.column("block").to_numpy(), batch.column("side").to_numpy()
+            while at < n:
+                end = at + int(np.argmax((block[at:] != block[at]) | (side[at:] != side[at]))) or n
+                end = end if end > at else n
+                some = batch.slice(at, min(end - at, QUERY_ROWS) if side[at] else end - at)
+                if block[at] != now:
+                    now, ids, data, matrix = block[at], [], [], np.zeros((0, width), np.int64)
+                if side[at] == 0:
+                    ids += some.column("id").to_pylist()
+                    data += some.column("data").to_pylist()
+                elif ids:
+                    if len(matrix) != len(ids):
+                        order = np.argsort(np.asarray(ids), kind="stable")
+                        ids, matrix, data = [ids[o] for o in order], _matrix([data[o] for o in order], width), []
+                    names, out = np.asarray(ids), []
+                    for query, scores in zip(some.column("id").to_pylist(), _product(_matrix(some.column("data").to_pylist(), width), matrix), strict=True):
+                        out += [(query, i, s) for s, i in best_of(scores, names, k, query)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["query_id", "id", "score"])
+                at += some.num_rows
+
+    solved = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(solve, "query_id bigint, id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = solved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
