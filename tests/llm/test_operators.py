@@ -183,11 +183,40 @@ def test_contamination(spark, docs, none):
 
 def test_hamming_index_is_exact():
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 1 << 64, 300, np.uint64)
-    index = HammingIndex(prints, 19)
-    for p in prints[:50].tolist():
-        q = p ^ int(sum(1 << int(b) for b in rng.choice(64, 19, replace=False)))
-        assert index.near(q).tolist() == [k for k, x in enumerate(prints.tolist()) if (x ^ q).bit_count() <= 19]
+    for count in (300, 3000):
+        prints = rng.integers(0, 1 << 64, (count, 4), np.uint64)
+        index = HammingIndex(prints, 56)
+        asked = prints[:60].copy()
+        for r, q in enumerate(asked):
+            for bit in rng.choice(256, 50 + r % 10, replace=False).tolist():
+                q[bit // 64] ^= np.uint64(1 << bit % 64)
+        distance = np.bitwise_count(asked[:, None] ^ prints[None]).sum(axis=2)
+        assert list(zip(*(x.tolist() for x in index.near(asked)), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(distance <= 56)), strict=True))
+        strangers = rng.integers(0, 1 << 64, (200, 4), np.uint64)
+        assert len(index.candidates(strangers)[0]) < 0.01 * 200 * count
+
+
+def test_decontamination_finds_what_exact_similarity_does(spark):
+    """Recall where windows are just as similar as they need be, also with repeated shingles."""
+    rng = random.Random(12)
+    items = {k: sentence(rng, 40 + 7 * (k % 5), 5000) for k in range(40)} | {k: "go " * (30 + k) + sentence(rng, 8, 5000) for k in range(40, 44)}
+    texts = {}
+    for k in range(400):
+        w = items[k % 44].split()
+        for _ in range(rng.randrange(4)):  # one word in the middle changes five shingles
+            w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
+        texts[k] = " ".join([sentence(rng, rng.randrange(30), 5000), *w[rng.randrange(3) :], sentence(rng, rng.randrange(30), 5000)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    want = plain.contaminated(texts, items)
+    got = {(r["doc_id"], r["item_id"]) for r in contamination(docs, bench).select("row.doc_id", "item_id").collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.99 * len(want)
+    odd = spark.createDataFrame([(None, texts[0]), (0, texts[0]), (0, texts[0]), (1, "")], "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "2 AS start", "'x' AS row")
+    rows = contamination(odd, bench.unionByName(bench.where("item_id = 0"))).collect()
+    one = [(i, j) for i, j in want if i == 0]
+    assert len(rows) == 3 * sum(1 + (j == 0) for _, j in one) and {r["row"]["doc_id"] for r in rows} == ({None, 0} if one else set())
+    tie = spark.createDataFrame([(1, f"{items[3]} {items[3]}")], "doc_id bigint, text string")
+    assert [(r["item_id"], r["start"], r["similarity"]) for r in contamination(tie, bench).collect()] == [(3, 0, 1.0)]
 
 
 def test_language(spark, docs, none):
@@ -314,13 +343,46 @@ def test_top_k(spark):
         scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q)
         expected[q] = [(i, -s) for s, i in scores[:5]]
     found = {}
-    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=6, block_rows=40).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, most_pivots=6, block_rows=40).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert found == expected
+    clash = df.selectExpr("vec_id", "embedding", "1 AS id", "2 AS v", "3 AS asks", "4 AS cell")
+    twice = clash.unionByName(clash.where("vec_id = 50"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(twice, F.col("vec_id") % 50 == 0).collect()}
+    many = {q: sorted([(-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in [*good.items(), (50, good[50])] if i != q])[:5] for q in expected}
+    assert got == {(q, k + 1): (i, -s) for q, x in many.items() for k, (s, i) in enumerate(x)}
     assert topk.top_k(df.where("false"), F.lit(True)).collect() == []
     assert topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_top_k_leaves_cells_out():
+    """Vectors in clusters need few cells; without structure bounds exclude none. No needed cell is ever left out."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 200, (40, 16))
+    clustered = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 15, (4000, 16))).astype(np.int64)
+    flat = np.floor(rng.normal(0, 60, (4000, 16))).astype(np.int64)
+    shares = []
+    for x in (clustered, flat):
+        chosen = topk.far_apart(x[:2000], 63)
+        cells = topk.Cells(chosen, x[chosen], *[np.zeros(0)] * 3)
+        cell, far = cells.nearest(x)
+        low, high = (np.stack([f(x[cell == c], axis=0) for c in range(63)]) for f in (np.min, np.max))
+        cells = topk.Cells(chosen, x[chosen], np.asarray([far[cell == c].max() for c in range(63)]), low, high)
+        q = np.arange(0, 4000, 20)
+        need = cells.needed(x[q], q, 5)
+        scores = x[q] @ x.T
+        scores[np.arange(len(q)), q] = -(1 << 60)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+        assert need[np.arange(len(q))[:, None], cell[top]].all()
+        shares.append(need.mean())
+        blocks = topk.blocks_of(np.bincount(cell, minlength=63), x[chosen], 150)
+        room = Counter()
+        for c, (first, parts) in enumerate(blocks):
+            room.update({b: (cell == c).sum() / parts for b in range(first, first + parts)})
+        assert max(room.values()) <= 150 and set(room) == set(range(len(room)))
+    assert shares[0] < 0.35
+
+
 def test_url_filter(spark):
     rules = rule_table(spark, [("allow", "org", "/"), ("block", "Example.org", "/es/"), ("block", "example.org", "/en/1"), ("block", "a.b", ""), ("allow", "b", "/x"), ("block", None, "/")])
     cases = {
