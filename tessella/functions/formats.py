@@ -66,6 +66,10 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     return F.when((elapsed > 0) & (total > 0) & (done > 0), F.floor(left / rate)).otherwise(-1).cast("bigint")
 
 
+#: Bytes of a content that decide whether it is text, and bytes that a dump shows.
+JUDGED, DUMPED = 4096, 256
+
+
 def likely_text(content: Column) -> Column:
     """Whether more than 85 % of the bytes are printable, line ends, tabs or above 0x7F; an empty content is text."""
     codes = F.hex(content)

@@ -73,8 +73,37 @@ def percent_encode(path: Column) -> Column:
 # --- glob patterns -------------------------------------------------------------------------------
 
 
+def _class(body: str) -> tuple[str, int]:
+    """A character class as a regular expression, and its length up to the closing bracket; ``body`` follows ``[``.
+
+    A class holds characters and ranges. A bracket that closes at once, a dash
+    that begins or ends no range, or a missing bracket raise ValueError. A
+    reversed range is legal and holds nothing; no class holds a slash.
+    """
+    k = 1 if body.startswith("^") else 0
+    ranges: list[tuple[str, str]] = []
+    while True:
+        ends: list[str] = []
+        while True:
+            c = body[k : k + 1]
+            if c in ("", "-", "]"):
+                raise ValueError(f"a class without an end, a character or a range in [{body!r}")
+            ends.append(c)
+            k += 1
+            if len(ends) == 2 or body[k : k + 1] != "-":
+                break
+            k += 1
+        ranges.append((ends[0], ends[-1]))
+        if body[k : k + 1] == "]":
+            break
+    inner = "".join(f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}" for lo, hi in ranges if lo <= hi)
+    if body.startswith("^"):
+        return f"[^/{inner}]", k + 1
+    return (f"(?!/)[{inner}]" if inner else "(?!)"), k + 1
+
+
 def segment_regex(segment: str) -> str:
-    """One path segment's glob as a regular expression; ValueError if a bracket isn't closed or is empty."""
+    """One path segment's glob as a regular expression; ValueError for a class that isn't legal."""
     out, k = "", 0
     while k < len(segment):
         c = segment[k]
@@ -83,12 +112,9 @@ def segment_regex(segment: str) -> str:
         elif c == "?":
             out += "[^/]"
         elif c == "[":
-            end = segment.find("]", k + 2 if segment[k + 1 : k + 2] == "^" else k + 1)
-            inner = segment[k + 1 : end] if end > 0 else ""
-            if not inner.lstrip("^"):
-                raise ValueError(f"unclosed or empty class in {segment!r}")
-            out += f"[{inner}]"
-            k = end
+            found, n = _class(segment[k + 1 :])
+            out += found
+            k += n
         else:
             out += re.escape(c)
         k += 1

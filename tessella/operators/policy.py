@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from tessella.operators import dedup, scan
 
 
+#: The policy that decides nothing: the choice is the user's.
+MANUAL = "manual"
+
+
 def keep_order(kind: str) -> list[Column]:
-    """The order whose first member of a group is kept; ties go to the first path."""
+    """The order whose first member of a group is kept; ties go to the first path. Any other kind is the default: shown, short."""
     if kind == "newest":
-        return [F.col("mtime_ns").desc(), F.col("path")]
+        return [-F.col("mtime_ns"), F.col("path")]
     if kind == "oldest":
         return [F.col("mtime_ns"), F.col("path")]
-    if kind == "shortest":
-        return [F.octet_length("path"), F.col("path")]
-    if kind == "default":
-        return [dedup.keeper_order()]
-    raise ValueError(f"no such policy: {kind}")
+    return [dedup.keeper_order()]
 
 
 def keep(members: DataFrame, kind: str) -> DataFrame:
-    """``group_id, keep_id``: what a policy keeps of each group, by one aggregation."""
+    """``group_id, keep_id``: what a policy keeps of each group, by one aggregation; ``manual`` decides no group."""
+    if kind == MANUAL:
+        return members.limit(0).select("group_id", F.col("id").alias("keep_id"))
     order = keep_order(kind)
-    if kind == "newest":
-        order = [-F.col("mtime_ns"), F.col("path")]
     return members.groupBy("group_id").agg(F.min(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("id").alias("id")))["id"].alias("keep_id"))
 
 
+def keepers(g: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
+    """``group_id, keep_id``: the explicit keeper of ``chosen(group_id, keep_id)`` where it is a member of the group, else the default one."""
+    valid = chosen.join(members.select("group_id", F.col("id").alias("keep_id")), ["group_id", "keep_id"], "left_semi").groupBy("group_id").agg(F.min("keep_id").alias("explicit"))
+    return g.join(valid, "group_id", "left").select("group_id", F.coalesce("explicit", "keeper").alias("keep_id"))
+
+
 def keep_in_dirs(members: DataFrame, dirs: DataFrame) -> DataFrame:
     """``group_id, keep_id``: a member in the first directory that has one, the longest path in it, ties to the first path."""
     held = scan.in_dirs(members, scan.distinct_dirs(dirs))

@@ -129,11 +129,21 @@ def keep_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.keep(grouped(spark, sf_dir)[1], "oldest")
 
 
-@query(_keep_sql("octet_length(encode(path)), path"))
+@query(_keep_sql("regexp_matches(path, '(^|/)\\.([^./]|\\.[^/]|\\.\\.)'), strlen(path), path"))
 def keep_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.keep(grouped(spark, sf_dir)[1], "shortest")
 
 
+@query(f"""WITH {GROUPS}, c AS (SELECT group_id, min(id) AS explicit FROM members WHERE id % 3 = 0 GROUP BY group_id)
+SELECT g.group_id, coalesce(c.explicit, g.keeper) AS keep_id FROM grp g LEFT JOIN c USING (group_id)""")
+def keep_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice of every third file, some of them not in the group they are chosen for."""
+    g, m = grouped(spark, sf_dir)
+    wrong = m.where("id % 5 = 0").select((F.col("group_id") + 1).alias("group_id"), F.col("id").alias("keep_id"))
+    chosen = m.where("id % 3 = 0").select("group_id", F.col("id").alias("keep_id")).unionByName(wrong)
+    return policy.keepers(g, chosen, m)
+
+
 _BY_DIR = f"{GROUPS}, {_DIRS_SQL}, hit AS (SELECT f.id, f.group_id, f.path, f.keeper, min(d.dir_ord) AS dir_ord, min_by(d.dir, d.dir_ord) AS dir FROM members f JOIN dirs d ON {_IN} GROUP BY ALL)"
 
 

@@ -93,10 +93,10 @@ def scan_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).groupBy("volume_id", "ext").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("""SELECT page_id AS id, left(html, 4096) AS head, octet_length(encode(html))::BIGINT AS size, lower(hex(encode(left(html, 16)))) AS first_bytes FROM pages""")
+@query("""SELECT page_id AS id, left(html, 4096) AS head, octet_length(encode(html))::BIGINT AS size, sha256(html) AS digest FROM pages""")
 def scan_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = corpus.table(spark, sf_dir, "pages")
-    return pages.select(F.col("page_id").alias("id"), F.substring("html", 1, 4096).alias("head"), F.octet_length("html").cast("bigint").alias("size"), F.lower(F.hex(F.encode(F.substring("html", 1, 16), "UTF-8"))).alias("first_bytes"))
+    return pages.select(F.col("page_id").alias("id"), F.substring("html", 1, 4096).alias("head"), F.octet_length("html").cast("bigint").alias("size"), F.sha2("html", 256).alias("digest"))
 
 
 @query("""SELECT source, max(s) AS worst, CASE max(s) WHEN 3 THEN 2 WHEN 2 THEN 2 ELSE 8 END AS workers FROM (SELECT source, CASE doc_id % 40 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS s FROM documents) GROUP BY source""")
@@ -192,27 +192,27 @@ def path_utf16_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", paths.utf16_units(F.col("text")).alias("units"))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(string_split(left(text, 40), ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9._~/-]$') THEN c
+@query("""SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9._~/-]$') THEN c
   ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '') AS encoded FROM documents""")
 def path_percent_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", paths.percent_encode(F.substring("text", 1, 40)).alias("encoded"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", paths.percent_encode(F.col("text")).alias("encoded"))
 
 
 @query("""SELECT doc_id, b, (length(h) / 2)::BIGINT AS n_bytes, CASE WHEN h = '' THEN true ELSE
   1 - len(list_filter(range(0, length(h) // 2), lambda k: regexp_matches(substr(h, (2 * k + 1)::BIGINT, 2), '^(0[0-8BCEF]|1.|7F)$'))) / (length(h) / 2) > 0.85 END AS is_text
-FROM (SELECT doc_id, doc_id % 3 AS b, CASE doc_id % 3 WHEN 0 THEN hex(encode(left(text, 64))) WHEN 1 THEN upper(left(sha256(text), 64)) ELSE '' END AS h FROM documents)""")
+FROM (SELECT doc_id, 0 AS b, left(hex(encode(text)), 8192) AS h FROM documents UNION ALL SELECT doc_id, 1, upper(sha256(text)) FROM documents)""")
 def content_is_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.col("doc_id") % 3
-    data = F.when(b == 0, F.encode(F.substring("text", 1, 64), "UTF-8")).when(b == 1, F.unhex(F.sha2("text", 256))).otherwise(F.encode(F.lit(""), "UTF-8"))
-    some = corpus.table(spark, sf_dir, "documents").select("doc_id", b.alias("b"), data.alias("data"))
-    return some.select("doc_id", "b", F.octet_length("data").cast("bigint").alias("n_bytes"), formats.likely_text(F.col("data")).alias("is_text"))
+    """Every text, and 32 bytes that are none: the first ``formats.JUDGED`` bytes decide."""
+    docs = corpus.table(spark, sf_dir, "documents")
+    both = docs.select("doc_id", F.lit(0).alias("b"), F.substring(F.encode("text", "UTF-8"), 1, formats.JUDGED).alias("data")).unionByName(docs.select("doc_id", F.lit(1).alias("b"), F.unhex(F.sha2("text", 256)).alias("data")))
+    return both.select("doc_id", "b", F.octet_length("data").cast("bigint").alias("n_bytes"), formats.likely_text(F.col("data")).alias("is_text"))
 
 
-@query("""WITH h AS (SELECT doc_id, hex(encode(left(text, 40))) AS h FROM documents),
+@query("""WITH h AS (SELECT doc_id, left(hex(encode(text)), 512) AS h FROM documents),
 r AS (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 15) // 16)) AS k FROM h WHERE h <> ''),
 c AS (SELECT doc_id, k, list_transform(range(0, least(16, length(h) // 2 - 16 * k)), lambda j: lower(substr(h, (2 * (16 * k + j) + 1)::BIGINT, 2))) AS c FROM r)
 SELECT doc_id, k AS line_no, printf('%08x', k * 16) || '  ' || rpad(array_to_string(c, ' ') || ' ', 48, ' ') || ' |' ||
   array_to_string(list_transform(c, lambda x: CASE WHEN x >= '20' AND x < '7f' THEN chr(('0x' || x)::INTEGER) ELSE '.' END), '') || '|' AS line FROM c""")
 def content_hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(formats.hex_rows(F.encode(F.substring("text", 1, 40), "UTF-8"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return docs.select("doc_id", F.posexplode(formats.hex_rows(F.substring(F.encode("text", "UTF-8"), 1, formats.DUMPED))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))

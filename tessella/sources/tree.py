@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths
 
-#: Columns that a ledger of each table must have.
+#: Tables and columns of a ledger, by which a foreign one is recognised.
 LEDGER = {
-    "scan_history": ("id", "saved_at", "roots", "filters", "threads", "paranoid", "groups_count", "files_count", "reclaimable", "keep_paths"),
+    "scan_history": ("id", "saved_at", "roots", "filters", "threads", "paranoid", "groups_count", "files_count", "orig_files", "reclaimable", "failed_json", "keep_paths"),
     "hist_groups": ("id", "hist_id", "hash", "size", "reclaimable", "ord"),
     "hist_files": ("id", "hist_id", "group_id", "path", "size", "mtime_ns"),
-    "op_records": ("id", "op_kind", "created_at", "hist_id", "undoable", "done_count", "reclaimed"),
-    "op_items": ("id", "op_id", "orig_path", "dest_path", "hash", "size", "mtime_ns", "state", "err"),
+    "op_records": ("id", "op_kind", "created_at", "target_dir", "hist_id", "undoable", "done_count", "reclaimed"),
+    "op_items": ("id", "op_id", "orig_path", "dest_path", "link_src", "hash", "size", "mtime_ns", "state", "err"),
 }
 
 
