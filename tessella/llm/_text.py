@@ -17,6 +17,9 @@ import pyarrow as pa
 #: Bytes of text that are hashed at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
+#: What a worker keeps between tasks for one operator; it gives that up when it does other work.
+KEPT: dict = {}
+
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = 0xD1B54A32D192ED03
 SPACE = np.zeros(256, bool)
@@ -78,6 +81,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of pieces of about ``limit`` bytes; a row is never split."""
+    KEPT.clear()
     data, offsets = text_buffer(column)
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -13,8 +13,10 @@ import os
 import numpy as np
 from tokenizers import Tokenizer
 
+from tessella.llm._text import KEPT
+
 #: Pieces that a worker remembers; beyond that, new ones are encoded where they occur.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 400_000
 #: Pieces that are encoded in one call.
 _TOGETHER = 50
 
@@ -85,14 +87,12 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if path not in KEPT:
+        KEPT.clear()
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
 
 
 def pieces_of(column, limit: int = 1 << 20):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._cluster import bound_batches, cut
+from tessella.llm._text import KEPT
 
 #: N-grams that a profile and a document's ranking hold at most.
 PROFILE = 300
@@ -44,6 +45,7 @@ class _Letters:
 
 def letters(text: str) -> np.ndarray:
     """Code points of a text with A-Z lower-cased, all but letters a space, spaces at both ends."""
+    KEPT.clear()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     points = np.where((points >= 65) & (points <= 90), points + 32, points)
     known = _Letters.get()
