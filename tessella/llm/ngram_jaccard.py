@@ -21,10 +21,12 @@ n-grams reaches ``num / den``. No link between different texts is lost:
   gives all its pairs if they are few, else a forest of them; such keys stay
   open. A key of several blocks has one class, the commonest, in all of them.
 * Pairs are verified on the sets themselves and joined to components. Then only
-  pairs from different components under open keys matter, first a forest of
-  them, then all that are still apart. The largest component under a key is
-  never compared with itself or copied to more blocks than the rest needs, so a
-  group of copies costs in proportion to its size.
+  pairs from different components under open keys matter. Keys with the same
+  largest component are taken together, so each class is compared once for all
+  of them. Bitmaps, again in blocks, mark the classes that have a candidate;
+  the sets of those are compared in blocks that give a forest of verified links.
+  The largest component is never compared with itself or copied to more blocks
+  than the rest needs, so a group of copies costs in proportion to its size.
 * These links give the components, but not every link in them. A class links
   only within its component, so for link counts all sets of a component are
   compared, each pair once, in blocks whose links are added up before they are
@@ -203,115 +205,150 @@ def _folded(bits: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def near_pairs(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, sides: np.ndarray, num: int, den: int, most: float) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of unequal ``label`` that the bounds on sizes and parity bitmaps allow, and whether some were left out.
+class Block:
+    """Classes that are compared with each other: ascending sizes, parity bitmaps, and the side of each.
 
-    Beyond ``most`` pairs only a forest is given, which joins what the pairs
-    join. ``sides`` tells the block of each: if there are two, only pairs of
-    unequal blocks are given. ``sizes`` must ascend.
+    If there are two sides, only pairs across them count.
     """
-    if len(sizes) == 2 and most > 0:
-        near = label[0] != label[1] and int(sizes[1]) * num <= int(sizes[0]) * den
-        return ([(0, 1)] if near and parity_distance(*bits) * (den + num) <= int(sizes.sum()) * (den - num) else []), False
-    pairs: list[tuple[int, int]] = []
-    forest: list[tuple[int, int]] = []
-    only_forest = most <= 0
-    now = label.copy()
-    widths = np.asarray([len(x) for x in bits])
-    ends = np.searchsorted(sizes, sizes * den // num, side="right")
-    two = bool((sides != sides[0]).any())
-    first, level, words = 0, 0, np.zeros((0, 0), np.uint64)
-    for a in range(len(sizes)):
-        if ends[a] <= a + 1:
-            continue
-        other = slice(a + 1, int(ends[a]))
-        allowed = (now if only_forest else label)[other] != (now if only_forest else label)[a]
-        if two:
-            allowed &= sides[other] != sides[a]
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes], sides: np.ndarray, num: int, den: int):
+        self.sizes, self.bits, self.sides, self.num, self.den = sizes, bits, sides, num, den
+        self.ends = np.searchsorted(sizes, sizes * den // num, side="right")
+        self.two = bool((sides != sides[0]).any())
+        self.widths = np.asarray([len(x) for x in bits])
+        self.first, self.level, self.words = 0, 0, np.zeros((0, 0), np.uint64)
+
+    def near(self, a: int, label: np.ndarray) -> np.ndarray:
+        """Those after ``a`` with another label that the bounds on sizes and bitmaps allow; ``a`` must ascend."""
+        end = int(self.ends[a])
+        if end <= a + 1:
+            return np.zeros(0, np.int64)
+        allowed = label[a + 1 : end] != label[a]
+        if self.two:
+            allowed &= self.sides[a + 1 : end] != self.sides[a]
         at = np.flatnonzero(allowed) + a + 1
         if not len(at):
-            continue
-        if widths[a] != level:
-            first, level = a, int(widths[a])
-            words = _folded(bits[a:], level)
-        far = np.bitwise_count(words[at - first] ^ words[a - first]).sum(axis=1)
-        near = at[far.astype(np.int64) * (den + num) <= (sizes[at] + sizes[a]) * (den - num)]
+            return at
+        if self.widths[a] != self.level:
+            self.first, self.level = a, int(self.widths[a])
+            self.words = _folded(self.bits[a:], self.level)
+        far = np.bitwise_count(self.words[at - self.first] ^ self.words[a - self.first]).sum(axis=1)
+        return at[far.astype(np.int64) * (self.den + self.num) <= (self.sizes[at] + self.sizes[a]) * (self.den - self.num)]
+
+
+def near_pairs(block: Block, label: np.ndarray, most: float) -> tuple[list[tuple[int, int]], bool]:
+    """Near pairs of unequal ``label``; or, if there are more than ``most``, a forest that joins what they join, and True."""
+    pairs: list[tuple[int, int]] = []
+    forest: list[tuple[int, int]] = []
+    now, only_forest = label.copy(), most <= 0
+    for a in range(len(label)):
+        near = block.near(a, now if only_forest else label)
         if not len(near):
             continue
         if not only_forest:
             pairs += [(a, b) for b in near.tolist()]
-        new = near[now[near] != now[a]]
-        if len(new):
-            met, where = np.unique(now[new], return_index=True)
-            forest += [(a, b) for b in new[where].tolist()]
-            now[np.isin(now, met)] = now[a]
+        forest += _join(now, a, near)
         only_forest = only_forest or len(pairs) > most
     return (forest if only_forest else pairs), only_forest
 
 
-def _compared(split: DataFrame, piece: list[str], num: int, den: int, each: float) -> DataFrame:
-    """``a, b, open``: near pairs in each piece of ``split(*piece, h, n, bits)``; rows with ``open``: its first column where pairs were left out.
+def _join(label: np.ndarray, a: int, others: np.ndarray) -> list[tuple[int, int]]:
+    """Give ``others`` and all with their labels that of ``a``; the pairs that did so."""
+    new = others[label[others] != label[a]]
+    met, where = np.unique(label[new], return_index=True)
+    label[np.isin(label, met)] = label[a]
+    return [(a, b) for b in new[where].tolist()]
 
-    With ``own`` and ``root`` only pairs of unequal ones count (see ``near_pairs``).
-    """
-    apart = "root" in split.columns
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int]] = set()
-
-        def pairs(now: tuple | None, held: list[tuple]) -> Iterator[tuple]:
-            if len(held) < 2:
-                return
-            held.sort(key=lambda x: x[:2])
-            sizes, names, bits, *more = zip(*held, strict=True)
-            label, sides = np.arange(len(held)), np.zeros(len(held), np.int64)
-            if apart:
-                number = {root: k for k, root in enumerate(dict.fromkeys(more[0]))}
-                label, sides = np.asarray([number[root] for root in more[0]]), np.asarray(more[1])
-                if len(number) < 2:
-                    return
-            found, rest = near_pairs(np.asarray(sizes), list(bits), label, sides, num, den, each * len(held))
-            for a, b in found:
-                pair = (min(names[a], names[b]), max(names[a], names[b]))
-                if pair not in told:
-                    told.add(pair)
-                    yield (*pair, None)
-            if rest and each:
-                yield None, None, now[0]
+def marked(block: Block, label: np.ndarray) -> np.ndarray:
+    """Which have a near one of another label."""
+    out = np.zeros(len(label), bool)
+    for a in range(len(label)):
+        near = block.near(a, label)
+        out[near] = True
+        out[a] |= len(near) > 0
+    return out
+
+
+def linked_forest(block: Block, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of links of unequal ``label``, verified on the sets, that joins what all such links join."""
+    _, items = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(block.sizes) - block.sizes
+    own, now, out = np.zeros(int(items.max()) + 1, bool), label.copy(), []
+    for a in range(len(label)):
+        near = block.near(a, now)
+        if not len(near):
+            continue
+        held = items[starts[a] : starts[a] + block.sizes[a]]
+        own[held] = True
+        first, last = int(starts[near[0]]), int(starts[near[-1]] + block.sizes[near[-1]])
+        shared = np.add.reduceat(own[items[first:last]], starts[near[0] : near[-1] + 1] - first, dtype=np.int64)[near - near[0]]
+        own[held] = False
+        out += _join(now, a, near[shared * block.den >= (block.sizes[near] + block.sizes[a] - shared) * block.num])
+    return out
 
+
+def _by_piece(split: DataFrame, piece: list[str], columns: list[str], of, schema: str) -> DataFrame:
+    """``of(piece, rows)`` of the rows of each piece, ``columns`` of ``split``, of which the first two order them."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"binary": pa.binary(), "bigint": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 3, strict=True)], ["a", "b", "open"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        def found(now: tuple | None, held: list[tuple]) -> list[tuple]:
+            return list(of(now, sorted(held, key=lambda x: x[:2]))) if len(held) > 1 else []
 
         now, held, out = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*piece, "n", "h", "bits", *["root", "own"] * apart)]
-            for row in zip(*columns, strict=True):
+            own = []
+            for c in (*piece, *columns):
+                column = batch.column(c)
+                if pa.types.is_list(column.type):
+                    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+                    own.append([flat[i:j].copy() for i, j in zip(ends[:-1], ends[1:], strict=True)])
+                else:
+                    own.append(column.to_pylist())
+            for row in zip(*own, strict=True):
                 if row[: len(piece)] != now:
-                    out += pairs(now, held)
+                    out += found(now, held)
                     now, held = row[: len(piece)], []
                 held.append(row[len(piece) :])
-            if len(told) > 100_000:
-                told.clear()
             if out:
                 yield batch_of(out)
                 out = []
-        out += pairs(now, held)
+        out += found(now, held)
         if out:
             yield batch_of(out)
 
-    return split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "a bigint, b bigint, open bigint")
+    return split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, schema)
 
 
 def _first_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, open``: near pairs within each block under each key, all or a forest."""
+    """``a, b, open``: near pairs within each block under each key, all or a forest; rows with ``open`` name keys with a forest."""
     blocks = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
     own = lambda h: F.pmod(F.xxhash64(h), F.col("blocks")).cast("int")
     placed = rows.select("key", "h", blocks.alias("blocks")).withColumn("block", own("h"))
     leaders = placed.where("blocks > 1").join(classes.select("h", "commonness"), "h").groupBy("key", "blocks").agg(F.max(F.struct("commonness", "h"))["h"].alias("h"))
     guests = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != own("h"))
     every = placed.select("key", "block", "h").unionByName(guests.select("key", "block", "h"))
+    each = PAIRS_EACH
+
+    def pairs(piece: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        sizes, names, bits = zip(*rows, strict=True)
+        if len(rows) == 2:
+            near = int(sizes[1]) * num <= int(sizes[0]) * den and parity_distance(*bits) * (den + num) <= sum(sizes) * (den - num)
+            found, rest = [(0, 1)] if near else [], False
+        else:
+            found, rest = near_pairs(Block(np.asarray(sizes), list(bits), np.zeros(len(rows), np.int64), num, den), np.arange(len(rows)), each * len(rows))
+        for a, b in found:
+            yield min(names[a], names[b]), max(names[a], names[b]), None
+        if rest:
+            yield None, None, piece[0]
+
     split = every.join(classes.select("h", "n", "bits"), "h").select("key", "block", "h", "n", "bits")
-    return cut(_compared(split, ["key", "block"], num, den, PAIRS_EACH), "jaccard-first")
+    return cut(_by_piece(split, ["key", "block"], ["n", "h", "bits"], pairs, "a bigint, b bigint, open bigint"), "jaccard-first")
 
 
 def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -321,21 +358,62 @@ def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _apart(members: DataFrame, known: DataFrame, classes: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """``a, b``: near pairs under keys of ``members(key, cls, h)`` that are in different components of ``known(cls, root)``."""
-    placed = cut(members.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-placed")
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("held"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("top")).where("roots > 1")
-    size = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    parts = parts.select("key", F.col("top.root").alias("major"), size(F.col("top.c")).alias("majors"), size(F.col("held") - F.col("top.c")).alias("minors"))
-    split = placed.join(parts, "key").join(classes.select("cls", "n", "bits"), "cls")
-    among = lambda n: F.pmod(F.xxhash64("h"), F.col(n)).cast("int")
-    minor = F.col("root") != F.col("major")
-    split = split.withColumn("own", F.when(minor, among("minors")).otherwise(F.col("minors") + among("majors")))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1)))
-    split = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h", "n", "root", "bits")
-    near = cut(_named(_compared(split, ["key", "lo", "hi"], num, den, 0 if forest else float("inf")), classes), "jaccard-apart")
-    remove(placed)
-    return near
+def _in_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """``members(hub, cls, root, <weight>)`` dealt into pieces ``hub, lo, hi`` of blocks whose weights sum to ``most`` or so, with their ``own`` block.
+
+    Any two members of a hub meet in a piece, but for pairs within the hub's own component.
+    """
+    parts = members.groupBy("hub").agg(F.sum(F.when(F.col("root") == F.col("hub"), F.col(weight)).otherwise(0)).alias("major"), F.sum(F.when(F.col("root") == F.col("hub"), 0).otherwise(F.col(weight))).alias("minor"))
+    blocks = lambda n: F.ceil(F.col(n) / most).cast("int")
+    split = members.join(parts.where("minor > 0").select("hub", blocks("major").alias("majors"), blocks("minor").alias("minors")), "hub")
+    among = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    minor = F.col("root") != F.col("hub")
+    split = split.withColumn("own", F.when(minor, among("minors")).otherwise(F.col("minors") + among("majors")).cast("bigint"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(minor, F.col("minors") + F.col("majors")).otherwise(F.col("minors")).cast("bigint") - 1)))
+    return split.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+
+def _labels(roots: tuple) -> np.ndarray:
+    number = {root: k for k, root in enumerate(dict.fromkeys(roots))}
+    return np.asarray([number[root] for root in roots])
+
+
+def _apart(members: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``hub, cls, root``: classes under keys of ``members(key, cls)`` that are near one in another component of ``roots(cls, root)``.
+
+    A key's hub is its largest component.
+    """
+    placed = cut(members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-placed")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("top")).where("roots > 1")
+    hubs = placed.join(parts.select("key", F.col("top.root").alias("hub")), "key").select("hub", "cls", "root").distinct()
+    hubs = cut(hubs.join(classes.select("cls", "n", "bits"), "cls").withColumn("one", F.lit(1)), "jaccard-hubs")
+
+    def near(piece: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        sizes, names, bits, roots, sides = zip(*rows, strict=True)
+        label = _labels(roots)
+        if label.any():
+            for k in np.flatnonzero(marked(Block(np.asarray(sizes), list(bits), np.asarray(sides), num, den), label)).tolist():
+                yield piece[0], names[k], roots[k]
+
+    split = _in_blocks(hubs, "one", BLOCK_ROWS).select("hub", "lo", "hi", "n", "cls", "bits", "root", "own")
+    found = cut(_by_piece(split, ["hub", "lo", "hi"], ["n", "cls", "bits", "root", "own"], near, "hub binary, cls binary, root binary").distinct(), "jaccard-apart")
+    remove(placed, hubs)
+    return found
+
+
+def _bridges(apart: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: links that join all components of ``apart(hub, cls, root)`` that a link joins; the classes' sets are in ``sets(c, items)``."""
+
+    def links(piece: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        sizes, names, bits, roots, sides, items = zip(*rows, strict=True)
+        label = _labels(roots)
+        if label.any():
+            for a, b in linked_forest(Block(np.asarray(sizes), list(bits), np.asarray(sides), num, den), label, list(items)):
+                yield min(names[a], names[b]), max(names[a], names[b])
+
+    split = _in_blocks(apart.join(classes.select("cls", "n", "bits"), "cls"), "n", BLOCK_GRAMS).join(sets.withColumnRenamed("c", "cls"), "cls")
+    split = split.select("hub", "lo", "hi", "n", "cls", "bits", "root", "own", "items")
+    return cut(_by_piece(split, ["hub", "lo", "hi"], ["n", "cls", "bits", "root", "own", "items"], links, "a binary, b binary").distinct(), "jaccard-bridges")
 
 
 def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -372,7 +450,7 @@ def _verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return components(links, "jaccard-roots").withColumnRenamed("node", "cls")
+    return cut(components(links, "jaccard-roots").withColumnRenamed("node", "cls"), "jaccard-components")
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -415,30 +493,15 @@ def _link_counts(roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     split = placed.where("held > 2").withColumn("own", own).join(sets.withColumnRenamed("c", "cls"), "cls")
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     split = split.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "items")
-    piece = ["root", "lo", "hi"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(now: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if len(held) < 2 or now[1] != now[2] and len({x[0] for x in held}) < 2:
-                return
-            found = linked([x[2] for x in held], np.asarray([x[0] for x in held]), num, den)
-            some = np.flatnonzero(found)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([held[k][1] for k in some], pa.binary()), pa.array(found[some])], ["cls", "n"])
-
-        now, held = None, []
-        for batch in batches:
-            items = batch.column("items")
-            flat, ends = items.values.to_numpy(), items.offsets.to_numpy()
-            columns = [batch.column(c).to_pylist() for c in (*piece, "own", "cls")]
-            for k, (root, lo, hi, *row) in enumerate(zip(*columns, strict=True)):
-                if (root, lo, hi) != now:
-                    yield from counted(now, held)
-                    now, held = (root, lo, hi), []
-                held.append((*row, flat[ends[k] : ends[k + 1]].copy()))
-        yield from counted(now, held)
-
-    found = split.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "cls binary, n bigint")
+    def counted(piece: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        names, sides, items = zip(*rows, strict=True)
+        if piece[1] == piece[2] or len(set(sides)) == 2:
+            found = linked(list(items), np.asarray(sides), num, den)
+            for k in np.flatnonzero(found).tolist():
+                yield names[k], int(found[k])
+
+    found = _by_piece(split, ["root", "lo", "hi"], ["cls", "own", "items"], counted, "cls binary, n bigint")
     out = cut(of_two.unionByName(found.groupBy("cls").agg(F.sum("n").alias("n_links"))), "jaccard-counts")
     remove(placed)
     return out
@@ -473,26 +536,32 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     links = _verified(near, sets, num, den)
     roots = _components(links)
     left = first.where("open is not null").select(F.col("open").alias("key")).unionByName(rows.where(F.col("held") > BLOCK_ROWS).select("key")).distinct()
-    members = cut(rows.join(left, "key").join(facts.select("h", "cls"), "h").select("key", "cls", "h"), "jaccard-open")
+    members = cut(rows.join(left, "key").join(facts.select("h", "cls"), "h").select("key", "cls"), "jaccard-open")
     remove(rows, first, near)
-    for step in ("forest", "rest"):
-        near = _apart(members, roots, facts, num, den, step == "forest")
-        if not near.take(1):
-            break  # without a pair in the forest there is none in the rest
-        ends = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
-        found = _verified(near, sets.join(ends, "c", "left_semi"), num, den)
-        if found.take(1):
-            links = cut(links.unionByName(found).distinct(), "jaccard-links")
-            roots = _components(links)
-    remove(members, facts)
+    apart = _apart(members, roots, facts, num, den)
+    missing = cut(apart.select(F.col("cls").alias("c")).distinct().join(sets.select("c"), "c", "left_anti"), "jaccard-missing")
+    if missing.take(1):
+        more = _contents(docs, text, width, missing)
+        whole = cut(sets.unionByName(more), "jaccard-contents")
+        remove(sets, more)
+        sets = whole
+    bridges = _bridges(apart, facts, sets, num, den)
+    if bridges.take(1):
+        whole = cut(links.unionByName(bridges), "jaccard-links")
+        remove(roots, links)
+        links = whole
+        roots = _components(links)
+    remove(members, facts, apart, missing, bridges)
 
     kept = census.where("piece is null")
     found = kept.groupBy("cls").agg(F.min("doc").alias("least")).where("cls is not null").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     best = found.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = found.join(best, "root").select("cls", "component_id")
     out = [F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")]
+    counted = [_link_counts(roots, sets, num, den)] if count_links else []
     if count_links:
-        labelled = labelled.join(_link_counts(roots, sets, num, den), "cls", "left")
+        labelled = labelled.join(counted[0], "cls", "left")
         out.append(F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    remove(sets)
-    return kept.select("doc", "n", "cls").join(labelled, "cls", "left").select(*out)
+    result = cut(kept.select("doc", "n", "cls").join(labelled, "cls", "left").select(*out), "jaccard-result")
+    remove(census, sets, links, roots, *counted)
+    return result
