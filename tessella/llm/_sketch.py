@@ -4,7 +4,8 @@ Each task fills one array; pieces of it travel as binary rows and are merged in
 two steps, first the arrays of many tasks side by side, then by piece number.
 Both steps read a stream and hold one array at most, however many tasks there
 are. The merged array (``SKETCH_SLOTS`` counters or ``BLOOM_BITS`` bits,
-whatever the input) is read by the driver and broadcast.
+whatever the input) is read by the driver and broadcast. ``key_filter`` makes a
+filter that grows with its keys up to a fixed size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Counters of a frequency sketch (8 bytes each: 2 MB).
 SKETCH_SLOTS = 1 << 18
@@ -91,3 +93,52 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which 64-bit keys may be in the filter."""
     a, b = _places(keys)
     return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+#: Bits of a piece of a filter that grows, bits for each key, and pieces at most (64 MB).
+_PIECE_BITS, _KEY_BITS, _MOST_PIECES = 1 << 16, 12, 1 << 13
+
+
+def _spots(keys: np.ndarray, pieces: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The piece of each 64-bit hash, and its three bits there."""
+    shift = np.uint64(64 - (pieces.bit_length() - 1))
+    return (keys >> shift).astype(np.int64), [((keys >> np.uint64(16 * k)) & np.uint64(_PIECE_BITS - 1)).astype(np.int64) for k in range(3)]
+
+
+def key_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """A filter of about ``count`` 64-bit hashes, the first column of ``keys``, as rows of bytes.
+
+    Keys are shuffled to their piece and each piece is built once. Beyond the
+    greatest size it lets more strangers pass; it never holds a key back.
+    """
+    pieces = 1 << min(_MOST_PIECES.bit_length() - 1, max(4, (count * _KEY_BITS // _PIECE_BITS).bit_length()))
+    width = _PIECE_BITS // 8
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            piece, spots = _spots(own, pieces)
+            for k in np.unique(piece).tolist():
+                bits = held.setdefault(k, np.zeros(width, np.uint8))
+                for spot in spots:
+                    at = spot[piece == k]
+                    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(held), pa.int32()), pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["task", "piece", "data"])
+
+    own = keys.select(keys[keys.columns[0]].alias("k")).where("k is not null")
+    dealt = own.withColumn("piece", F.shiftrightunsigned("k", 64 - (pieces.bit_length() - 1))).repartition("piece").select("k")
+    out = np.zeros((pieces, width), np.uint8)
+    for row in dealt.mapInArrow(build, PIECE_SCHEMA).toLocalIterator():
+        out[row["piece"]] = np.frombuffer(row["data"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes a filter of ``key_filter`` lets pass."""
+    piece, spots = _spots(keys, len(bits))
+    flat, base = bits.ravel(), piece * bits.shape[1]
+    out = np.ones(len(keys), bool)
+    for spot in spots:
+        out &= ((flat[base + (spot >> 3)] >> (spot & 7)) & 1).astype(bool)
+    return out

@@ -1,21 +1,25 @@
 """LM scoring (operator 7): a probabilistic suffix tree of word contexts.
 
-* Contexts of up to ``DEPTH`` words are candidates if their empirical
-  probability is at least ``P_MIN`` (Ron, Singer and Tishby), so there are at
-  most ``1 / P_MIN`` of each depth, however large the corpus.
+* Contexts of up to ``DEPTH`` words are candidates if they occur ``LEAST_CONTEXT``
+  times (Ron, Singer and Tishby), and of their next words those that occur
+  there ``LEAST_NEXT`` times. Both are counts, so the tree grows with the corpus.
 * A divergence test keeps a next word of a context if its count there differs
   from what the parent's distribution expects by more than its cost: the
-  likelihood ratio must reach ``2 ln N``. A context with such a word is a state.
+  likelihood ratio must reach ``2 ln N``. A context with such a word is a state;
+  its parent is the context without its first word.
 * A state's distribution is smoothed: kept words by a Dirichlet prior of weight
   ``PRIOR`` on the parent's distribution, all others by the parent's, scaled so
   that the sum is 1. Below all states are the add-one word counts.
 * A token is scored by the longest suffix of its history that is a state.
 
-Words of probability ``P_WORD`` or more (``1 / P_WORD`` at most) and the tree
-(``1 / P_NEXT`` next words at most a depth) are broadcast: their size has that
-bound for any input. All other words meet their exact counts by a shuffled
-join, after they have been added up per document. All counts cover all
-training documents.
+The score of a token is a sum: its word's own probability, for each suffix that
+is a state its scale, and for each that keeps the word a correction that makes up
+for the scale and the parent. So a document's score is a sum over keys, and keys
+can be looked up where that is cheapest: words and parts of the tree that make up
+``SHARE`` of all tokens are broadcast, at most ``1 / SHARE`` of each kind and
+depth; the others are met by a shuffled join after they have been added up per
+document. A filter of bounded size keeps back keys that the tree doesn't have.
+What is broadcast changes no score. All counts cover all training documents.
 """
 
 from __future__ import annotations
@@ -29,19 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm import _text
-from tessella.llm._cluster import bound_batches, cut
+from tessella.llm import _sketch, _text
+from tessella.llm._cluster import bound_batches, cut, remove
 from tessella.llm.language import held_out
 
-#: Least probability of a word that is broadcast with its count.
-P_WORD = 2.5e-7
-#: Least probability of a context, and of a context with its next word.
-P_MIN = 4e-6
-P_NEXT = 5e-7
 #: Words of a context at most.
-DEPTH = 2
+DEPTH = 3
+#: Occurrences of a context, and of a next word in it, at least.
+LEAST_CONTEXT, LEAST_NEXT = 64, 8
 #: Weight of the parent's distribution, in tokens.
 PRIOR = 5.0
+#: Least share of all tokens for a word, a context or a next word to be broadcast.
+SHARE = 1e-6
 #: Keys that a task adds up in memory before it passes counts on.
 HELD_KEYS = 1 << 20
 
@@ -111,36 +114,6 @@ def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
     return texts.mapInArrow(one, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Model:
-    """What scoring needs: sorted hashes, each with aligned figures. ``total`` is N, ``size`` V."""
-
-    total: int
-    size: int
-    words: np.ndarray
-    word_counts: np.ndarray
-    states: np.ndarray
-    scales: np.ndarray  #: log10 of what a state multiplies its parent's distribution by
-    entries: np.ndarray  #: hashes of a state with a kept next word
-    logs: np.ndarray  #: log10 of its smoothed probability
-
-    def base(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 of the words' own probability, 0 for those that aren't broadcast; which are."""
-        at = find(self.words, stream)
-        return np.where(at >= 0, np.log10((self.word_counts[np.maximum(at, 0)] + 1) / (self.total + self.size + 1)) if len(self.words) else 0.0, 0.0), at >= 0
-
-    def under(self, logs: np.ndarray, contexts: list[tuple[np.ndarray, np.ndarray]], stream: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of words after contexts, shortest first; a context is hashes and where they hold."""
-        for context, there in contexts:
-            state = np.full(len(stream), -1, np.int64)
-            state[there] = find(self.states, context[there])
-            some = np.flatnonzero(state >= 0)
-            entry = find(self.entries, joined(context[some], stream[some]))
-            logs = logs.copy()
-            logs[some] += self.scales[state[some]] if len(self.scales) else 0
-            logs[some[entry >= 0]] = self.logs[entry[entry >= 0]]
-        return logs
-
 
 ROOT = np.uint64(0)
 
@@ -156,89 +129,178 @@ def history(stream: np.ndarray, splits: np.ndarray, depth: int) -> tuple[np.ndar
     return context, place >= depth
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``texts(text)`` and the table ``word, n`` of all counts."""
+#: What tells a context's scale from the correction of the same words as context and next word.
+_SCALE = np.uint64(0xA0761D6478BD642F)
+
+
+@dataclass
+class Part:
+    """Sorted keys with a figure each."""
+
+    keys: np.ndarray
+    figures: np.ndarray
+
+    @classmethod
+    def of(cls, table: DataFrame, key: str, figure: str) -> Part:
+        found = table.select(key, figure).toArrow()
+        keys, figures = found[key].to_numpy().view(np.uint64), found[figure].to_numpy()
+        order = np.argsort(keys)
+        return cls(keys[order], figures[order])
+
+
+@dataclass
+class Model:
+    """What scoring needs: counts of common words, common parts of the tree and a filter of all its keys. ``total`` is N, ``size`` V."""
+
+    total: int
+    size: int
+    depth: int
+    words: Part
+    tree: Part
+    keys: np.ndarray
+
+    def base(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 of the words' own probability, 0 for those that aren't broadcast; which are."""
+        at = find(self.words.keys, stream)
+        if not len(self.words.keys):
+            return np.zeros(len(stream)), at >= 0
+        return np.where(at >= 0, np.log10((self.words.figures[np.maximum(at, 0)] + 1) / (self.total + self.size + 1)), 0.0), at >= 0
+
+    def walk(self, stream: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the broadcast parts add to each token's score; then places and keys that others may have a figure for."""
+        logs, places, keys = np.zeros(len(stream)), [], []
+        for depth in range(1, self.depth + 1):
+            context, there = history(stream, splits, depth)
+            there = np.flatnonzero(there)
+            for key in (context[there] ^ _SCALE, joined(context[there], stream[there])):
+                may = np.flatnonzero(_sketch.passes(self.keys, key))
+                at = find(self.tree.keys, key[may])
+                hit = at >= 0
+                logs[there[may[hit]]] += self.tree.figures[at[hit]]
+                places.append(there[may[~hit]])
+                keys.append(key[may[~hit]])
+        none = np.zeros(0, np.int64)
+        return logs, np.concatenate([none, *places]), np.concatenate([none.view(np.uint64), *keys])
+
+
+def _hashed(table: DataFrame, context: str, word: str, name: str) -> DataFrame:
+    """``table`` with the hash of a context with a word after it."""
+    columns = table.columns
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in (context, word)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_text.signed(joined(*parts)))], [*columns, name])
+
+    return table.mapInArrow(one, table.withColumn(name, F.lit(None).cast("bigint")).schema)
+
+
+def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, share: float = SHARE) -> tuple[Model, DataFrame]:
+    """The model of ``texts(text)``, and the written table ``kind, key, figure``: counts of all words (0), what the rare parts of the tree add (1)."""
+    spark = texts.sparkSession
     vocabulary = cut(counts(texts, lambda stream, splits: (stream, stream), ("word",)), "lm-words")
     whole = vocabulary.agg(F.sum("n").alias("total"), F.count("*").alias("size")).first()
     total, size = whole["total"] or 0, whole["size"]
-    often = vocabulary.where(F.col("n") >= F.lit(P_WORD * total)).toArrow()  # 1 / P_WORD rows at most
-    words, n = often["word"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    order = np.argsort(words)
-    none, zero = np.zeros(0, np.uint64), np.zeros(0)
-    model = Model(total, size, words[order], n[order], none, zero, none, zero)
-    # contexts of one word: hash, hash of the context without its first word, count
-    heads = (model.word_counts >= P_MIN * total) & (model.words != END)
-    names = joined(np.full(int(heads.sum()), ROOT), model.words[heads])
-    known = (names, np.full(len(names), ROOT), model.word_counts[heads])
-    chains = {int(ROOT): []}
-    for depth in range(1, DEPTH + 1):
-        if len(known[0]):
-            model, known, chains = _grow(texts, model, known, chains, depth)
-    return model, vocabulary
-
-
-def _grow(texts: DataFrame, model: Model, known: tuple[np.ndarray, np.ndarray, np.ndarray], chains: dict[int, list[int]], depth: int):
-    """The model with the states of one depth; the contexts of the next depth; each context's suffixes, shortest first."""
-    order = np.argsort(known[0])
-    names, parents, totals = (x[order] for x in known)
-    keepable = model.words[model.word_counts >= P_NEXT * model.total]
-    shared = texts.sparkSession.sparkContext.broadcast((names, keepable))
+    words = Part.of(vocabulary.where(F.col("n") >= share * total), "word", "n")  # 1 / share rows at most
+    heads = vocabulary.where((F.col("n") >= least_context) & (F.col("word") != int(_text.signed(np.asarray([END]))[0]))).withColumn("context", F.lit(int(ROOT)))
+    contexts = cut(_hashed(heads, "context", "word", "name").select("name", F.col("context").alias("tail"), F.col("n").alias("total")), "lm-contexts")
+    below = vocabulary.where(F.col("n") >= least_next).select(F.col("word").alias("key"), F.log10((F.col("n") + 1) / F.lit(float(total + size + 1))).alias("log"))
+    parts = []
+    for d in range(1, depth + 1):
+        size_of = lambda t: t.count()
+        if not size_of(contexts):
+            break
+        shared = spark.sparkContext.broadcast((_sketch.key_filter(contexts.select("name"), size_of(contexts)), _sketch.key_filter(below.select("key"), size_of(below))))
+        pairs = cut(counts(texts, _follows(shared, d), ("name", "word")).where(F.col("n") >= least_next), "lm-pairs")
+        grown, states = _tested(pairs, contexts, below, d, total, prior)
+        parts += [states.select((F.col("name").bitwiseXOR(F.lit(int(_SCALE.view(np.int64))))).alias("key"), F.col("scale").alias("figure"), F.col("total").alias("n")), grown.where("delta is not null").select("key", F.col("delta").alias("figure"), "n")]
+        remove(pairs)
+        longer = grown.where((F.col("n") >= least_context) & (F.col("word") != int(_text.signed(np.asarray([END]))[0])))
+        contexts = cut(longer.select(F.col("key").alias("name"), F.col("parent").alias("tail"), F.col("n").alias("total")), "lm-contexts")
+        below = grown.select("key", "log")
+    tree = spark.createDataFrame([], "key bigint, figure double, n bigint")
+    for part in parts:
+        tree = tree.unionByName(part)
+    tree = cut(tree, "lm-tree")
+    often = F.col("n") >= share * total
+    model = Model(total, size, depth, words, Part.of(tree.where(often), "key", "figure"), _sketch.key_filter(tree.select("key"), tree.count()))
+    rare = tree.where(~often).select(F.lit(1).alias("kind"), "key", "figure")
+    return model, cut(vocabulary.select(F.lit(0).alias("kind"), F.col("word").alias("key"), F.col("n").cast("double").alias("figure")).unionByName(rare), "lm-figures")
+
+
+def _follows(shared, depth: int):
+    """Which tokens to count after which contexts of ``depth`` words: those that may be frequent enough, judged by their parts."""
 
     def follows(stream: np.ndarray, splits: np.ndarray):
-        names, keepable = shared.value
+        contexts, below = shared.value
         context, there = history(stream, splits, depth)
         there = np.flatnonzero(there)
-        there = there[find(names, context[there]) >= 0]
-        there = there[find(keepable, stream[there]) >= 0]
+        there = there[_sketch.passes(contexts, context[there])]
+        shorter = joined(history(stream, splits, depth - 1)[0][there], stream[there]) if depth > 1 else stream[there]
+        there = there[_sketch.passes(below, shorter)]
         context, word = context[there], stream[there]
         return joined(context, word), context, word
 
-    least = max(2.0, P_NEXT * model.total)
-    pairs = counts(texts, follows, ("context", "word")).where(F.col("n") >= F.lit(least)).toArrow()  # 1 / P_NEXT rows at most
-    context, word, n = pairs["context"].to_numpy().view(np.uint64), pairs["word"].to_numpy().view(np.uint64), pairs["n"].to_numpy().astype(np.float64)
-    order = np.lexsort((word, context))
-    context, word, n = context[order], word[order], n[order]
-    at = find(names, context)
-    chains = chains | {int(c): [*chains[int(p)], int(c)] for c, p in zip(names, parents, strict=True)}
-    lists = [chains[int(p)] for p in parents]
-    suffixes = [(np.asarray([x[k] if k < len(x) else 0 for x in lists], np.uint64)[at], np.asarray([k < len(x) for x in lists], bool)[at]) for k in range(depth - 1)]
-    below = 10 ** model.under(model.base(word)[0], suffixes, word)
-
-    expected = totals[at] * below
-    ratio = 2 * (n * np.log(n / expected) - (n - expected))
-    keep = ratio >= 2 * np.log(model.total)
-    share = (n + PRIOR * below) / (totals[at] + PRIOR)
-    size = len(names)
-    taken, given = (np.bincount(at[keep], x[keep], size) for x in (share, below))
-    states = np.bincount(at[keep], minlength=size) > 0
-    scales = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - given, 1e-12))
-    all_states, all_scales = np.concatenate([model.states, names[states]]), np.concatenate([model.scales, scales[states]])
-    entries, logs = np.concatenate([model.entries, joined(context[keep], word[keep])]), np.concatenate([model.logs, np.log10(share[keep])])
-    s, e = np.argsort(all_states), np.argsort(entries)
-    model = Model(model.total, model.size, model.words, model.word_counts, all_states[s], all_scales[s], entries[e], logs[e])
-
-    longer = (n >= P_MIN * model.total) & (word != END)
-    deeper = joined(context[longer], word[longer])
-    return model, (deeper, joined(parents[at[longer]], word[longer]), n[longer].astype(np.int64)), chains
-
-
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 7, fold: int = 2) -> DataFrame:
+    return follows
+
+
+def _tested(pairs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int, total: int, prior: float) -> tuple[DataFrame, DataFrame]:
+    """``key, parent, word, n, log, delta`` of pairs of context and next word, and the states ``name, scale, total``.
+
+    ``log`` is the log10 probability of the word in the context; ``delta``, null
+    for words that aren't kept, what it has over the scaled parent's.
+    """
+    known = _hashed(_hashed(pairs.join(contexts, "name"), "name", "word", "key"), "tail", "word", "parent")
+    met = below.select(F.col("key").alias("word" if depth == 1 else "parent"), F.col("log").alias("below"))
+    known = known.join(met, "word" if depth == 1 else "parent")
+    usual = F.pow(F.lit(10.0), "below")
+    expected = F.col("total") * usual
+    ratio = 2 * (F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected))
+    known = known.withColumn("keep", ratio >= 2 * float(np.log(max(total, 1)))).withColumn("share", (F.col("n") + prior * usual) / (F.col("total") + prior))
+    known = cut(known, "lm-tested")
+    left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+    states = cut(known.where("keep").groupBy("name").agg(F.log10(left(F.col("share")) / left(F.pow(F.lit(10.0), "below"))).alias("scale"), F.first("total").alias("total")), "lm-states")
+    scaled = F.coalesce("scale", F.lit(0.0)) + F.col("below")
+    log = F.when(F.col("keep"), F.log10("share")).otherwise(scaled)
+    grown = known.drop("total").join(states.select("name", "scale"), "name", "left").select("key", "parent", "word", "n", log.alias("log"), F.when(F.col("keep"), log - scaled).alias("delta"))
+    return cut(grown, "lm-grown"), states
+
+
+def _per_row(doc: np.ndarray, rows: int, kinds: np.ndarray, keys: np.ndarray) -> list[pa.Array]:
+    """List columns: each row's distinct kinds and keys, and how often it has them."""
+    order = np.lexsort((keys, kinds, doc))
+    doc, kinds, keys = doc[order], kinds[order], keys[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (kinds[1:] != kinds[:-1]) | (keys[1:] != keys[:-1])
+    begin = np.flatnonzero(new)
+    times = np.diff(np.append(begin, len(doc)))
+    offsets = pa.array(np.searchsorted(doc[begin], np.arange(rows + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kinds[begin], _text.signed(keys[begin]), times.astype(np.int64))]
+
+
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 7, fold: int = 2, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, share: float = SHARE) -> DataFrame:
     """``<id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     Learns from rows whose id doesn't fall into the fold; scores all. Tokens
     are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end.
     ``base_score`` sums ``log10((c + 1) / (N + V + 1))``, ``score`` the tree's
-    log10 probabilities. Null and empty texts are one end. Rows with a null id
-    are scored but not learned from. Repeated rows stay and count as often as
-    they are there. Without a row to learn from both scores are those of a
-    uniform symbol. Other columns are not read; an empty table gives no rows.
+    log10 probabilities. ``depth``, ``least_context``, ``least_next`` and
+    ``prior`` shape the tree, ``share`` only tells what is broadcast.
+
+    Null and empty texts are one end. Rows with a null id are scored but not
+    learned from. Repeated rows stay and count as often as they are there.
+    Without a row to learn from both scores are those of a uniform symbol.
+    Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    data = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col), parts, fold).alias("held"), F.col(text).alias("text"))
-    model, vocabulary = train(data.where(~F.col("held") & F.col("id").isNotNull()).select("text"))
+    data = docs.select(F.col(f"`{id_col}`").alias("id"), held_out(F.col(f"`{id_col}`"), parts, fold).alias("held"), F.col(f"`{text}`").alias("text"))
+    model, figures = train(data.where(~F.col("held") & F.col("id").isNotNull()).select("text"), depth, least_context, least_next, prior, share)
     shared = spark.sparkContext.broadcast(model)
     kind = data.schema["id"].dataType.simpleString()
+    schema = f"row bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, score double, kinds array<int>, keys array<bigint>, times array<bigint>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, TaskContext.get().partitionId() << 40
@@ -246,26 +308,26 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts:
             for first, stream, splits in tokens(batch.column(2)):
                 rows = len(splits) - 1
                 base, known = model.base(stream)
-                logs = model.under(base, [history(stream, splits, d) for d in range(1, DEPTH + 1)], stream)
-                doc = _text.rows_of(splits)
-                spare = np.flatnonzero(~known)
-                at, word = doc[spare], stream[spare]
-                order = np.lexsort((word, at))
-                at, word = at[order], word[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1]) | (word[1:] != word[:-1])
-                begin = np.flatnonzero(new)
-                times = np.diff(np.append(begin, len(at)))
-                offsets = pa.array(np.searchsorted(at[begin], np.arange(rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (_text.signed(word[begin]), times.astype(np.int64))]
-                sums = [pa.array(np.bincount(doc, x, rows)) for x in (base, logs)]
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(rows)), batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(np.diff(splits)), pa.array(np.bincount(doc, known, rows).astype(np.int64)), *sums, *lists], ["row", "id", "held", "n_tokens", "n_known", "base", "score", "words", "times"])
+                more, places, keys = model.walk(stream, splits)
+                doc, spare = _text.rows_of(splits), np.flatnonzero(~known)
+                kinds = np.repeat(np.asarray([0, 1], np.int32), [len(spare), len(places)])
+                lists = _per_row(doc[np.concatenate([spare, places])], rows, kinds, np.concatenate([stream[spare], keys]))
+                sums = [pa.array(np.bincount(doc, x, rows)) for x in (base, base + more)]
+                numbers = [pa.array(np.diff(splits)), pa.array(np.bincount(doc, known, rows).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(rows)), batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), *numbers, *sums, *lists], names)
                 row += rows
 
-    schema = f"row bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, score double, words array<bigint>, times array<bigint>"
     scored = cut(data.mapInArrow(one, schema), "lm-scored")
-    spare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = spare.join(vocabulary, "word", "left")
-    rest = met.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.total + model.size + 1)))).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
-    more = F.coalesce("rest", F.lit(0.0))
-    return scored.join(rest, "row", "left").select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    spare = scored.select("row", F.explode(F.arrays_zip("kinds", "keys", "times")).alias("x")).select("row", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    met = spare.join(figures, ["kind", "key"], "left")
+    word, found = F.col("kind") == 0, F.col("figure").isNotNull()
+    own = F.log10((F.coalesce("figure", F.lit(0.0)) + 1) / F.lit(float(model.total + model.size + 1)))
+    rest = met.groupBy("row").agg(
+        F.sum(F.when(word, F.col("times") * own).otherwise(0.0)).alias("rest"),
+        F.sum(F.when(~word & found, F.col("times") * F.col("figure")).otherwise(0.0)).alias("deeper"),
+        F.sum(F.when(word & found, F.col("times")).otherwise(0)).alias("more"),
+    )
+    base = F.col("base") + F.coalesce("rest", F.lit(0.0))
+    score = F.col("score") + F.coalesce("rest", F.lit(0.0)) + F.coalesce("deeper", F.lit(0.0))
+    known = F.col("n_known") + F.coalesce("more", F.lit(0))
+    return scored.drop("kinds", "keys", "times").join(rest, "row", "left").select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -87,6 +88,43 @@ def contaminated(docs, items, width=5, least=0.8):
     return out
 
 
+class SuffixTree:
+    """A probabilistic suffix tree of ``texts``, lists of tokens that end in None."""
+
+    def __init__(self, texts, depth, least_context, least_next, prior):
+        self.words = Counter(x for t in texts for x in t)
+        self.total, self.size, self.states = sum(self.words.values()), len(self.words), {}
+        for d in range(1, depth + 1):
+            follow = {}
+            for t in texts:
+                for k in range(d, len(t)):
+                    follow.setdefault(tuple(t[k - d : k]), Counter())[t[k]] += 1
+            new = {}
+            for context, seen in follow.items():
+                n = sum(seen.values())
+                if n < least_context:
+                    continue
+                usual = {w: self.probability(context[1:], w) for w, c in seen.items() if c >= least_next}
+                ratio = lambda c, e: 2 * (c * math.log(c / e) - (c - e))
+                kept = {w for w, p in usual.items() if ratio(seen[w], n * p) >= 2 * math.log(self.total)}
+                if kept:
+                    share = {w: (seen[w] + prior * usual[w]) / (n + prior) for w in kept}
+                    new[context] = share, max(1 - sum(share.values()), 1e-12) / max(1 - sum(usual[w] for w in kept), 1e-12)
+            self.states |= new
+
+    def probability(self, context, word):
+        """Of ``word`` after the longest suffix of ``context`` that is a state."""
+        if not context:
+            return (self.words[word] + 1) / (self.total + self.size + 1)
+        if context not in self.states:
+            return self.probability(context[1:], word)
+        share, scale = self.states[context]
+        return share[word] if word in share else scale * self.probability(context[1:], word)
+
+    def score(self, tokens, depth):
+        return sum(math.log10(self.probability(tuple(tokens[max(0, k - depth) : k]), w)) for k, w in enumerate(tokens))
+
+
 _TOKENIZER = None
 
 
