@@ -1,17 +1,21 @@
 """License scans (operator 8), DataFrame operations only.
 
-Every line of a file (all lines, not the first few) is compared with license
-notices by the cosine of sparse TF-IDF vectors, and a licence file as a whole
-as well. A directory has the licence of its licence file; a file without a
-notice of its own inherits from its nearest ancestor directory that has one.
-
+Windows of lines of a file are compared with licence headers and texts by the
+cosine of sparse TF-IDF vectors, and a licence file as a whole as well. A
+directory has the licence of its licence file; a file without a licence of its
+own inherits from its nearest ancestor directory that has one.
+
+* A window is 1, 2, 4, 8 or 16 lines (``WINDOW_LINES``) that hold a letter or a
+  digit, so a header may be wrapped, indented and commented in any way. All
+  lines of a file are looked at, not the first few. Windows start at every line,
+  those of more than four lines at every quarter of their length and at the end.
 * Document frequencies of all terms are counted over all files, added up before
-  they are shuffled. Those of the notices' terms go into the model; terms of no
-  notice meet theirs by an equi-join, for lines that are scored only, and add
-  to a line's norm.
-* Scores are computed inside a row by higher-order functions. Only lines with a
+  they are shuffled. Those of the templates' terms go into the model; terms of
+  no template meet theirs by an equi-join and add to a window's norm.
+* Scores are computed inside a row by higher-order functions. Only windows with a
   telling term are scored: the terms are chosen so that, by Cauchy-Schwarz, a
-  line without any can't reach the least score.
+  window without any can't reach the least score. Of those only the ones that
+  would reach it without their other terms meet the join.
 * Inheritance joins distinct directories, exploded into their ancestors, with
   licensed directories by equality, and files with directories at the end.
 """
@@ -20,23 +24,89 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm._cluster import cut
 
-#: Notices by licence identifier (fixed values).
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "All rights reserved.",
+#: Headers and texts by licence identifier, as their publishers word them.
+NOTICES: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+        the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+        permissions and limitations under the License.""",
+        """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.
+        "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.
+        "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.""",
+    ],
+    "BSD-3-Clause": [
+        "Use of this source code is governed by a BSD-style license.",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+        or promote products derived from this software without specific prior written permission.""",
+    ],
+    "BSD-2-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.""",
+    ],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ],
+    "GPL-2.0": [
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation; either version 2 of the License, or (at your option) any later version.""",
+        """GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim
+        copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and
+        change it.""",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version.""",
+        """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and
+        distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for
+        software and other kinds of works.""",
+    ],
+    "ISC": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+        notice and this permission notice appear in all copies.""",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
+        the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+        the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software.""",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
+        the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+        the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+        permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+        IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+        one at http://mozilla.org/MPL/2.0/.""",
+    ],
+    "Proprietary": ["All rights reserved."],
+    "Unlicense": [
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ],
 }
+#: Lines of the windows that are compared; a template of any length is about as long as one of them.
+WINDOW_LINES = (1, 2, 4, 8, 16)
 #: Names of licence files, lower case, before a suffix.
 LICENCE_FILES = ("license", "licence", "copying", "notice")
 #: What cosine a line needs.
@@ -53,23 +123,40 @@ def _terms(text: str) -> list[str]:
     return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.translate({k: k + 32 for k in range(65, 91)})).split()
 
 
+def vocabulary(notices: Mapping[str, Sequence[str]]) -> list[str]:
+    """All terms of the templates."""
+    return sorted({t for texts in notices.values() for text in texts for t in _terms(text)})
+
+
+def windows(lines: Column) -> Column:
+    """The terms of each window of an array of lines' terms."""
+    n = F.size(lines)
+
+    def of(size: int) -> Column:
+        last = F.greatest(n - size, F.lit(0))
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, size // 4))), F.array(last)))
+        return F.when(2 * n > size, F.transform(starts, lambda s: F.flatten(F.slice(lines, s + 1, size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.concat(*[of(size) for size in WINDOW_LINES])
+
+
 class Templates:
-    """TF-IDF vectors of notices for ``n`` files and the document frequencies ``df`` of their terms."""
+    """TF-IDF vectors of headers and texts for ``n`` files and the document frequencies ``df`` of their terms."""
 
-    def __init__(self, notices: Mapping[str, str], n: int, df: Mapping[str, int], least: float):
-        self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in sorted({t for x in notices.values() for t in _terms(x)})}
-        self.vectors = {}
-        for name in sorted(notices):
-            weights = {t: k * self.idf[t] for t, k in sorted(Counter(_terms(notices[name])).items())}
+    def __init__(self, notices: Mapping[str, Sequence[str]], n: int, df: Mapping[str, int], least: float):
+        self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary(notices)}
+        self.vectors: list[tuple[str, dict[str, float]]] = []
+        for name, text in ((name, text) for name in sorted(notices) for text in notices[name]):
+            weights = {t: k * self.idf[t] for t, k in sorted(Counter(_terms(text)).items())}
             norm = math.sqrt(math.fsum(w * w for w in weights.values()))
             if norm:
-                self.vectors[name] = {t: w / norm for t, w in weights.items()}
+                self.vectors.append((name, {t: w / norm for t, w in weights.items()}))
         self.telling = self._telling(least)
 
     def _telling(self, least: float) -> list[str]:
-        """Terms of which a line that reaches ``least`` has one: what is left of each unit vector without them is shorter."""
+        """Terms of which a window that reaches ``least`` has one: what is left of each unit vector without them is shorter."""
         out: set[str] = set()
-        for weights in self.vectors.values():
+        for _, weights in self.vectors:
             left = {t: w for t, w in weights.items() if t not in out}
             while left and math.sqrt(math.fsum(w * w for w in left.values())) >= least - 1e-9:
                 strongest = max(left, key=lambda t: (left[t], t))
@@ -78,16 +165,16 @@ class Templates:
         return sorted(out)
 
     def best(self, words: Column, other: Column) -> Column:
-        """``score, name`` of the notice that an array of terms is nearest to; equal scores go to the greater name.
+        """``score, name`` of the licence that an array of terms is nearest to; equal scores go to the greater name.
 
-        ``other`` is the sum of the squared weights of those terms that no notice has.
+        ``other`` is the sum of the squared weights of those terms that no template has.
         """
-        vocabulary = F.array(*[F.lit(t) for t in self.idf])
+        terms = F.array(*[F.lit(t) for t in self.idf])
         weight = F.create_map(*[F.lit(x) for t, w in self.idf.items() for x in (t, w)])
-        # one literal map from a term to its weight in every notice keeps the expression, and what is compiled of it, small
-        names = list(self.vectors)
-        unit = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(self.vectors[n].get(t, 0.0)) for n in names]))])
-        own = F.filter(words, lambda t: F.array_contains(vocabulary, t))
+        # one literal map from a term to its weight in every template keeps the expression, and what is compiled of it, small
+        names = [name for name, _ in self.vectors]
+        unit = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(v.get(t, 0.0)) for _, v in self.vectors]))])
+        own = F.filter(words, lambda t: F.array_contains(terms, t))
         counts = F.transform(F.array_sort(F.array_distinct(own)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(own, lambda x: x == t)) * weight[t]).alias("w")))
         known = F.struct(counts.alias("counts"), other.alias("other"))
 
@@ -100,10 +187,10 @@ class Templates:
         return F.transform(F.array(known), scored)[0]
 
 
-def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: Mapping[str, str] = NOTICES, least: float = LEAST_SCORE) -> DataFrame:
+def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: Mapping[str, Sequence[str]] = NOTICES, least: float = LEAST_SCORE) -> DataFrame:
     """``<id_col>, path, license, score, origin, directory`` for each row of ``files``.
 
-    ``origin`` is ``header`` (the best line of the file reaches ``least``),
+    ``origin`` is ``header`` (the best window of the file reaches ``least``),
     ``file`` (a licence file as a whole does), ``inherited`` (from the licence
     file of ``directory``, the nearest of the file's own directory and those
     above it) or null. Equal scores go to the greater identifier; of several
@@ -111,13 +198,13 @@ def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: M
 
     Null and empty texts have no notice but inherit. A null path is in no
     directory, and null ids and repeated rows stay. A very long line has a low
-    cosine and costs one pass. Other columns are not read; an empty table
-    gives no rows.
+    cosine and costs one pass. Other columns are not read, so their names can't
+    clash; an empty table gives no rows.
     """
-    rows = files.select(F.col(id_col).alias("_id"), F.col(path).alias("path"), F.coalesce(text, F.lit("")).alias("text"))
-    vocabulary = sorted({t for x in notices.values() for t in _terms(x)})
+    rows = files.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    known = vocabulary(notices)
     counted = cut(rows.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("text"))))).alias("t")).groupBy("t").agg(F.count("*").alias("df")), "license-df")
-    df = {r["t"]: r["df"] for r in counted.where(F.col("t").isin("", *vocabulary)).collect()}  # at most a row per term of a notice
+    df = {r["t"]: r["df"] for r in counted.where(F.col("t").isin("", *known)).collect()}  # at most a row per term of a template
     n = df.get("", 0)
     model = Templates(notices, n, df, least)
 
@@ -127,15 +214,16 @@ def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: M
     telling = F.array(*[F.lit(t) for t in model.telling])
     hint = "|".join(model.telling)
     plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.filter(F.split("text", "[\\n\\r]+"), lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(hint))
-    heard = F.filter(F.transform(lines, terms), lambda x: F.arrays_overlap(x, telling))
+    lines = F.filter(F.transform(F.split("text", "[\\n\\r]+"), terms), lambda x: F.size(x) > 0)
+    near = lambda x: F.arrays_overlap(x, telling) & (model.best(x, F.lit(0.0))["score"] >= least)
+    heard = F.filter(F.transform(F.array(lines), windows)[0], near)
     whole = terms(F.col("text"))
     heard = rows.select("_id", "path", folder.alias("folder"), is_file.alias("is_file"), F.when(plain.rlike(hint), heard).alias("heard"), F.when(is_file & plain.rlike(hint), whole).alias("whole"))
     heard = cut(heard.withColumn("row", F.monotonically_increasing_id()), "license-heard")
-    # terms of scored lines that no notice has, the whole file as line -1
+    # terms of scored windows that no template has, the whole file as window -1
     others = F.concat(F.coalesce(F.transform("heard", lambda x, k: F.struct(k.alias("k"), x.alias("t"))), F.array()), F.array(F.struct(F.lit(-1).alias("k"), F.coalesce("whole", F.array().cast("array<string>")).alias("t"))))
     others = heard.where("size(heard) > 0 or size(whole) > 0").select("row", F.explode(others).alias("x")).select("row", "x.k", F.explode("x.t").alias("t"))
-    others = others.where(~F.col("t").isin(*vocabulary)).groupBy("row", "k", "t").agg(F.count("*").alias("c"))
+    others = others.where(~F.col("t").isin(*known)).groupBy("row", "k", "t").agg(F.count("*").alias("c"))
     weight = F.col("c") * (F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1)
     others = others.join(counted, "t").groupBy("row", "k").agg(F.sum(weight * weight).alias("w"))
     others = others.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("others"))

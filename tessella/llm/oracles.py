@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm.license_scan import LEAST_SCORE, LICENCE_FILES, NOTICES
+from tessella.llm.license_scan import LEAST_SCORE, LICENCE_FILES, NOTICES, WINDOW_LINES
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -40,24 +40,29 @@ _WORDS = "list_filter(regexp_split_to_array(" + _FOLD + ", '[^a-z0-9]+'), lambda
 
 def license_scan(path: str) -> str:
     files = ", ".join(f"'{x}'" for x in LICENCE_FILES)
-    scored = lambda lines: f"""
-  (WITH w AS (SELECT doc_id, i, unnest({_WORDS.format("line")}) AS t FROM ({lines})),
-  c AS (SELECT w.doc_id, w.i, w.t, count(*) * any_value(idf.idf) AS x, count(idf.t) AS known, count(*) AS n FROM w LEFT JOIN idf ON w.t = idf.t GROUP BY ALL),
-  norms AS (SELECT doc_id, i, sqrt(coalesce(sum(x * x), 0) + sum(n - known) * (SELECT pow(ln(n + 1) + 1, 2) FROM total)) AS norm FROM c GROUP BY ALL),
-  dots AS (SELECT c.doc_id, c.i, tv.name, sum(c.x * tv.unit) AS dot FROM c JOIN tv ON c.t = tv.t GROUP BY ALL)
+    texts = [(name, k, text) for name in sorted(NOTICES) for k, text in enumerate(NOTICES[name])]
+    sizes = ", ".join(f"({n}, {max(1, n // 4)})" for n in WINDOW_LINES)
+    scored = lambda rows: f"""
+  (WITH c AS (SELECT w.doc_id, w.i, w.t, count(*) * any_value(idf.idf) AS x FROM ({rows}) w JOIN idf ON w.t = idf.t GROUP BY ALL),
+  norms AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM c GROUP BY ALL),
+  dots AS (SELECT c.doc_id, c.i, tv.name, tv.k, sum(c.x * tv.unit) AS dot FROM c JOIN tv ON c.t = tv.t GROUP BY ALL)
   SELECT doc_id, max({{'score': round(dot / norm, 6), 'name': name}}) AS best FROM dots JOIN norms USING (doc_id, i)
   WHERE round(dot / norm, 6) >= {LEAST_SCORE} GROUP BY doc_id)"""
     return f"""
-WITH notices(name, notice) AS (VALUES {_values(sorted(NOTICES.items()))}),
+WITH notices(name, k, notice) AS (VALUES {_values(texts)}),
 d AS (SELECT doc_id, {path} AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n FROM d),
-nt AS (SELECT name, t, count(*) AS k FROM (SELECT name, unnest({_WORDS.format("notice")}) AS t FROM notices) GROUP BY ALL),
-dt AS (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS.format("text")}) AS t FROM d) WHERE t IN (SELECT t FROM nt) GROUP BY t),
-idf AS (SELECT DISTINCT nt.t, ln(((SELECT n FROM total) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM nt LEFT JOIN dt ON nt.t = dt.t),
-tv AS (SELECT name, t, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY name)) AS unit FROM nt JOIN idf USING (t)),
+nt AS (SELECT name, k, t, count(*) AS c FROM (SELECT name, k, unnest({_WORDS.format("notice")}) AS t FROM notices) GROUP BY ALL),
+dt AS (SELECT t, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS.format("text")}) AS t FROM d) GROUP BY t),
+idf AS MATERIALIZED (SELECT t, ln(((SELECT n FROM total) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM dt FULL JOIN (SELECT DISTINCT t FROM nt) USING (t)),
+tv AS MATERIALIZED (SELECT name, k, t, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY name, k)) AS unit FROM nt JOIN idf USING (t)),
+lines AS MATERIALIZED (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n\r]+'), lambda line: {_WORDS.format("line")}), lambda x: len(x) > 0) AS l FROM d),
+sizes(s, step) AS (VALUES {sizes}),
+wins AS (SELECT doc_id, l, s, unnest(list_distinct(list_append(range(0, greatest(len(l) - s, 0) + 1, step), greatest(len(l) - s, 0)))) AS start FROM lines, sizes WHERE 2 * len(l) > s),
+ww AS MATERIALIZED (SELECT doc_id, s * 1000000 + start AS i, unnest(flatten(l[start + 1 : start + s])) AS t FROM wins),
 f AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS folder, split_part(lower(regexp_extract(path, '[^/]*$')), '.', 1) IN ({files}) AS is_file FROM d),
-header AS {scored("SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '[\\n\\r]+') AS l FROM d)")},
-whole AS {scored("SELECT doc_id, 1 AS i, text AS line FROM d WHERE doc_id IN (SELECT doc_id FROM f WHERE is_file)")},
+header AS {scored("SELECT * FROM ww")},
+whole AS {scored(f"SELECT doc_id, 1 AS i, unnest({_WORDS.format('text')}) AS t FROM d WHERE doc_id IN (SELECT doc_id FROM f WHERE is_file)")},
 own AS (SELECT f.*, CASE WHEN whole.best IS NOT NULL AND (header.best IS NULL OR whole.best >= header.best) THEN whole.best ELSE header.best END AS best,
   CASE WHEN whole.best IS NOT NULL AND (header.best IS NULL OR whole.best >= header.best) THEN 'file' WHEN header.best IS NOT NULL THEN 'header' END AS origin
   FROM f LEFT JOIN header ON f.doc_id = header.doc_id LEFT JOIN whole ON f.doc_id = whole.doc_id),
