@@ -7,11 +7,15 @@ room than the text, so the index holds selected ones: of the ``gram``-word runs
 inside a window the one with the smallest hash (winnowing). Equal windows
 select equal runs, so a window can only repeat where a selected run does.
 
-* The index is a list of immutable runs, Parquet tables sorted by hash:
-  ``h, lo, hi``, the smallest and largest document that hold hash ``h``.
+* The index is a folder of immutable runs, tables bucketed and sorted by hash:
+  ``h, lo, hi``, the smallest and largest document that hold hash ``h``. It can
+  be opened again in another session.
 * Each batch of documents becomes a run. It is merge-joined with the runs of
-  history: hashes that occur in two documents are repeated.
-* Above ``FANOUT`` runs are compacted into one by a merging aggregation.
+  history, bucket by bucket and without a shuffle: hashes that occur in two
+  documents are repeated.
+* Runs have levels. When there are more than ``FANOUT`` of a level, they are
+  merged into one of the next, before the next batch is joined with them; so a
+  hash is rewritten once a level. What a last batch leaves is never merged.
 * Verification: around repeated hashes full windows are hashed to 128 bits,
   and the smallest document of each is found by an aggregation that combines
   before it shuffles, so a passage that very many documents share is one row
@@ -26,16 +30,18 @@ tells which rows have to meet the results.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import _sketch, _text
-from tessella.llm._cluster import bound_batches, cut, remove
+from tessella.llm._cluster import bound_batches, cut, remove, scratch
 
 #: Runs that the index holds before it merges them.
 FANOUT = 2
@@ -77,8 +83,11 @@ def _each(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield first + r, words[splits[r] : splits[r + 1]]
 
 
-def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc, seq, n, anchors, places`` of each row of ``docs(doc, text)`` with a window and an id; the arrays once a class and task."""
+def fingerprints(docs: DataFrame, window: int, gram: int, only=None) -> DataFrame:
+    """``doc, seq, n, anchors, places`` of each row of ``docs(doc, text)`` with a window and an id; the arrays once a class and task.
+
+    ``only``: a broadcast filter of hashes, of which a row must have one.
+    """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -93,6 +102,8 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     lo, hi = int(splits[r]), int(splits[r + 1])
                     if hi - lo < window:
                         continue
+                    if only is not None and not _sketch.passes(only.value, runs[chosen[edge[r] : edge[r + 1]]]).any():
+                        continue
                     seq = sequence_class(words[lo:hi])
                     own = chosen[edge[r] : edge[r + 1]] if seq not in seen else None
                     seen.add(seq)
@@ -111,50 +122,128 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.where("doc is not null and text is not null").select("doc", "text").mapInArrow(one, f"doc {kind}, seq binary, n bigint, anchors array<bigint>, places array<int>")
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """``seq, least, most, anchors, places``: the documents of each class and its fingerprints."""
+    return prints.groupBy("seq").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("anchors", ignorenulls=True).alias("anchors"), F.first("places", ignorenulls=True).alias("places"))
+
+
+def _merged(classes: DataFrame) -> DataFrame:
+    return cut(classes.groupBy("seq").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("anchors", ignorenulls=True).alias("anchors"), F.first("places", ignorenulls=True).alias("places")), "dedup-classes")
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints ``h, lo, hi``, merged when there are more than ``fanout``."""
+    """Runs of fingerprints ``h, lo, hi`` in a folder, a new one below the shared folder if none is named.
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.runs = fanout, []
+    A run is on record once the manifest that names it is written, so a failed
+    ``add`` leaves the index as it was. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
+        self.spark, self.folder, self.fanout = spark, folder or scratch(spark, "index"), fanout
+        self.runs: list[dict] = []
+        self.buckets, self.version = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+        self._names: dict[str, str] = {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._fs.exists(path):
+            self.version = max((int(f.getPath().getName()[9:-5]) for f in self._fs.listStatus(path) if f.getPath().getName().startswith("manifest-")), default=0)
+        if self.version:
+            found = json.loads("".join(r["value"] for r in spark.read.text(self._manifest(), wholetext=True).collect()))
+            self.buckets, self.runs = found["buckets"], found["runs"]
+
+    def _manifest(self) -> str:
+        return f"{self.folder}/manifest-{self.version}.json"
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _record(self, runs: list[dict]) -> None:
+        old = self._manifest()
+        self.version += 1
+        out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(self._manifest() + ".part"), True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": runs}).encode()))
+        out.close()
+        self._fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(self._manifest() + ".part"), self.spark._jvm.org.apache.hadoop.fs.Path(self._manifest()))
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), False)
+        for gone in (r for r in self.runs if r not in runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(gone['name'], gone['name'])}")
+            self._fs.delete(self._path(gone["name"]), True)
+        self.runs = runs
+
+    def _write(self, run: DataFrame, level: int) -> dict:
+        """A run by bucket, each sorted, on disk but not yet on record."""
+        kind = run.schema["lo"].dataType.simpleString()
+        name = f"run_{uuid.uuid4().hex}"
+        self._names[name] = name
+        dealt = run.select("h", "lo", "hi").repartition(self.buckets, "h").sortWithinPartitions("h")
+        dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
+        return {"name": name, "level": level, "kind": kind}
+
+    def _table(self, run: dict) -> DataFrame:
+        if run["name"] not in self._names:
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run['name']} (h BIGINT, lo {run['kind']}, hi {run['kind']}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run['name']}'")
+            self._names[run["name"]] = run["name"]
+        return self.spark.table(run["name"])
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in ``batch(doc, h)`` as a run; the hashes of it that two documents of batch and history hold."""
-        run = cut(batch.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).sortWithinPartitions("h"), "index-run")
+        self.compact()
+        new = self._write(batch.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")), 0)
+        run = self._table(new)
         repeated = run.where("lo < hi").select("h")
         for old in self.runs:
-            repeated = repeated.unionByName(run.join(old.select("h").hint("merge"), "h").select("h"))
+            repeated = repeated.unionByName(run.select("h").join(self._table(old).select("h").hint("merge"), "h"))
         repeated = cut(repeated.distinct(), "index-repeated")
-        self.runs.append(run)
-        if len(self.runs) > self.fanout:
-            self.compact()
+        self._record([*self.runs, new])
         return repeated
 
     def compact(self) -> None:
-        every = self.runs[0]
-        for run in self.runs[1:]:
-            every = every.unionByName(run)
-        new = cut(every.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("h"), "index-compacted")
-        for run in self.runs:
-            remove(run)
-        self.runs = [new]
-
-
-def repeated_starts(docs: DataFrame, classes: DataFrame, window: int, gram: int, batches: int) -> DataFrame:
-    """``seq, starts``: where, in the first document of a class, windows start that a smaller document has as well."""
-    spark = docs.sparkSession
-    found = classes.select("seq", "least", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("seq", F.col("least").alias("doc"), F.col("x.anchors").alias("h"), F.col("x.places").alias("place"))
-    bounds = classes.agg(F.percentile_approx("least", [k / batches for k in range(1, batches)], 1000).alias("b")).first()["b"] if batches > 1 else []
-    edges = [None, *dict.fromkeys(bounds or []), None]
-    index, repeated = FingerprintIndex(), None
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = found
-        if lo is not None:
-            part = part.where(F.col("doc") > F.lit(lo))
-        if hi is not None:
-            part = part.where(F.col("doc") <= F.lit(hi))
-        new = index.add(part.select("doc", "h"))
+        """Merge the runs of each level that has more than ``fanout``, bucket by bucket."""
+        level = 0
+        while any(r["level"] >= level for r in self.runs):
+            own = [r for r in self.runs if r["level"] == level]
+            if len(own) > self.fanout:
+                every = self._table(own[0])
+                for run in own[1:]:
+                    every = every.unionByName(self._table(run))
+                merged = self._write(every.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), level + 1)
+                self._record([*(r for r in self.runs if r not in own), merged])
+            level += 1
+
+    def forget(self) -> None:
+        """Delete the index and its folder."""
+        for name in self._names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.folder), True)
+        self.runs, self._names = [], {}
+
+
+def _batches(classes: DataFrame, batches: int) -> list[DataFrame]:
+    """``classes`` by ascending first document, in parts of about equal size."""
+    if batches < 2:
+        return [classes]
+    some = classes.select("least").where("least is not null").orderBy(F.xxhash64("least")).limit(1000).collect()  # bounds need not be exact
+    some = sorted(r["least"] for r in some)
+    bounds = list(dict.fromkeys(some[len(some) * k // batches] for k in range(1, batches))) if some else []
+    parts, least = [], F.col("least")
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        parts.append(classes.where((F.lit(True) if lo is None else least > F.lit(lo)) & (F.lit(True) if hi is None else least <= F.lit(hi))))
+    return parts
+
+
+def repeated_starts(docs: DataFrame, classes: DataFrame, history: DataFrame | None, index: FingerprintIndex, window: int, gram: int, batches: int) -> tuple[DataFrame, DataFrame]:
+    """``seq, starts``: where, in the first document of a class, windows start that a smaller document has as well; and all classes with a repeated hash of ``history``, if there is one."""
+    posted = lambda rows: rows.select("seq", F.col("least").alias("doc"), F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("seq", "doc", F.col("x.anchors").alias("h"), F.col("x.places").alias("place"))
+    repeated = None
+    for part in _batches(classes, batches):
+        new = index.add(posted(part).select("doc", "h"))
         repeated = new if repeated is None else repeated.unionByName(new)
-    wanted = cut(found.join(repeated.distinct(), "h").groupBy("seq", "doc").agg(F.collect_list("place").alias("places")), "dedup-wanted")
+    repeated = repeated.distinct()
+    if history is not None:
+        kept = docs.sparkSession.sparkContext.broadcast(_sketch.key_filter(repeated, repeated.count()))
+        classes = _merged(classes.unionByName(_classes(fingerprints(history, window, gram, kept))))
+        docs = docs.unionByName(history)
+    wanted = cut(posted(classes).join(repeated, "h").groupBy("seq", "doc").agg(F.collect_list("place").alias("places")), "dedup-wanted")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +270,11 @@ def repeated_starts(docs: DataFrame, classes: DataFrame, window: int, gram: int,
     kind = docs.schema["doc"].dataType.simpleString()
     joined = wanted.join(texts, "seq").dropDuplicates(["seq"]).select("seq", "doc", "places", "text")
     windows = cut(joined.mapInArrow(full, f"w1 bigint, w2 bigint, doc {kind}, seq binary, start int"), "dedup-windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
-    return windows.join(least, ["w1", "w2"]).where("doc > lo").groupBy("seq").agg(F.collect_list("start").alias("starts"))
+    # written, so that the join below has shuffles on both sides and a passage that very many hold is split
+    least = cut(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi"), "dedup-least")
+    starts = cut(windows.join(least, ["w1", "w2"]).where("doc > lo").groupBy("seq").agg(F.collect_list("start").alias("starts")), "dedup-starts")
+    remove(wanted, windows, least)
+    return starts, classes
 
 
 def _seq64(seqs: list[bytes]) -> np.ndarray:
@@ -233,7 +325,7 @@ def keep_words(text: str, starts: list[int] | None, all_go: bool, window: int, j
     return b" ".join(kept).decode(), len(words), len(words) - len(kept)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, gram: int = GRAM, batches: int = 3, joined: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, gram: int = GRAM, batches: int = 3, joined: bool = False, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """``row, text, n_words, n_removed`` for each row of ``docs``.
 
     ``row`` is a struct of the input's other columns, so no name can clash;
@@ -242,19 +334,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     empty for a null. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. ``batches``:
     parts, in ascending id order, that enter the index one after the other.
 
+    With an ``index`` that holds earlier documents, ``docs`` are judged against
+    those as well, and enter it. Their texts are looked up in ``history``, a table
+    with the same two columns; of it only rows with a repeated fingerprint are
+    shuffled.
+
     Rows with a null id neither remove nor lose a word. Rows with the same id
-    don't touch each other; repeated rows all get the same result. Texts
-    shorter than a window stay whole. An empty table gives no rows.
+    don't touch each other; repeated rows all get the same result. Ids are of
+    any type that can be ordered. Texts shorter than a window stay whole. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rest = [c for c in docs.columns if c != text]
     data = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     plain = data.select("doc", "text")
-    prints = cut(fingerprints(plain, window, gram), "dedup-prints")
-    classes = cut(prints.groupBy("seq").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("anchors", ignorenulls=True).alias("anchors"), F.first("places", ignorenulls=True).alias("places")), "dedup-classes")
-    starts = repeated_starts(plain, classes, window, gram, batches)
-    results = cut(classes.select("seq", "least", "most").join(starts, "seq", "left").where("starts is not null or least < most"), "dedup-results")
+    earlier = None if history is None else history.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    own = index or FingerprintIndex(spark)
+    classes = cut(_classes(fingerprints(plain, window, gram)), "dedup-classes")
+    starts, every = repeated_starts(plain, classes, earlier, own, window, gram, batches)
+    if index is None:
+        own.forget()
+    results = cut(every.select("seq", "least", "most").join(starts, "seq", "left").where("starts is not null or least < most"), "dedup-results")
+    remove(starts, classes)
     wanted = _filter_of(results.select("seq"))
     out = T.StructType([data.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 

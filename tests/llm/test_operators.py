@@ -12,13 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import lm, topk
+from tessella.llm import _sketch, lm, topk
+from tessella.llm import ngram_jaccard as jaccard
 from tessella.llm._graph import components
 from tessella.llm._tokens import Encoder
 from tessella.llm.decontaminate import HammingIndex, contamination
 from tessella.llm.language import language_id
 from tessella.llm.license_scan import NOTICES, license_scan
-from tessella.llm.ngram_jaccard import near_pairs, ngram_jaccard, parity_bits, parity_distance
+from tessella.llm.ngram_jaccard import ngram_jaccard, parity_bits, parity_distance
 from tessella.llm.packing import BestFit, pack
 from tessella.llm.queries import ORACLES, QUERIES
 from tessella.llm.substring_dedup import FingerprintIndex, substring_dedup
@@ -109,7 +110,7 @@ def test_jaccard_counts_every_link_in_a_component(spark, docs, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == groups
 
 
-def test_near_pairs_and_forests_join_the_same():
+def test_blocks_join_what_links_join():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 64, 200, np.uint64)
     sets = sorted((np.unique(np.concatenate([base[rng.random(200) > 0.06], rng.integers(0, 1 << 64, rng.integers(6), np.uint64)])) for _ in range(60)), key=len)
@@ -121,14 +122,23 @@ def test_near_pairs_and_forests_join_the_same():
             top[top == top[b]] = top[a]
         return {frozenset(np.flatnonzero(top == t).tolist()) for t in top}
 
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return both * 100 >= 80 * (len(sets[a]) + len(sets[b]) - both)
+
     near = lambda a, b: parity_distance(bits[a], bits[b]) * 180 <= (len(sets[a]) + len(sets[b])) * 20 and len(sets[b]) * 80 <= len(sets[a]) * 100
     for two in (sides, sides * 0):
-        want = [(a, b) for a in range(60) for b in range(a + 1, 60) if label[a] != label[b] and (two is not sides or two[a] != two[b]) and near(a, b)]
-        found, cut_short = near_pairs(sizes, bits, label, two, 80, 100, float("inf"))
+        fresh = lambda: jaccard.Block(sizes, bits, two, 80, 100)  # noqa: B023, E731
+        allowed = [(a, b) for a in range(60) for b in range(a + 1, 60) if label[a] != label[b] and (two is not sides or two[a] != two[b])]
+        want = [x for x in allowed if near(*x)]
+        found, cut_short = jaccard.near_pairs(fresh(), label, float("inf"))
         assert sorted(found) == want and not cut_short
         for most in (0, 5):
-            forest, cut_short = near_pairs(sizes, bits, label, two, 80, 100, most)
+            forest, cut_short = jaccard.near_pairs(fresh(), label, most)
             assert cut_short and groups(forest) == groups(want) and len(forest) < 60
+        assert set(np.flatnonzero(jaccard.marked(fresh(), label)).tolist()) == {x for pair in want for x in pair}
+        forest = jaccard.linked_forest(fresh(), label, sets)
+        assert groups(forest) == groups([x for x in allowed if linked(*x)]) and all(linked(*x) for x in forest) and len(forest) < 60
 
 
 def test_components(spark):
@@ -164,9 +174,35 @@ def test_substring_dedup(spark, docs, none):
 
 
 def test_index_keeps_repeats_over_compactions(spark):
-    index, rows = FingerprintIndex(fanout=1), [[(1, 10), (1, 11)], [(2, 12), (3, 12)], [(4, 10)], [(5, 11), (5, 99)]]
-    found = [sorted(r["h"] for r in index.add(spark.createDataFrame(part, "doc bigint, h bigint")).collect()) for part in rows]
-    assert found == [[], [12], [10], [11]] and len(index.runs) == 1
+    batch = lambda part: spark.createDataFrame(part, "doc bigint, h bigint")
+    rows = [[(1, 10), (1, 11)], [(2, 12), (3, 12)], [(4, 10)], [(5, 11), (5, 99)], [(6, 99), (6, 7)], [(7, 7), (8, 12)], [(9, 1)], [(10, 1), (10, 10)]]
+    want = [[], [12], [10], [11], [99], [7, 12], [], [1, 10]]
+    index = FingerprintIndex(spark, fanout=1)
+    assert [sorted(r["h"] for r in index.add(batch(part)).collect()) for part in rows] == want
+    levels = [r["level"] for r in index.runs]
+    assert len(levels) == len(rows).bit_length() or max(levels) >= 2
+    again = FingerprintIndex(spark, index.folder)
+    assert again.runs == index.runs and again.buckets == index.buckets
+    assert sorted(r["h"] for r in again.add(batch([(11, 12), (11, 55), (12, 11)])).collect()) == [11, 12]
+    plan = index._table(index.runs[0]).select("h").join(index._table(index.runs[-1]).select("h").hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    again.forget()
+
+
+def test_dedup_of_three_batches_against_a_stored_index(spark, docs):
+    """Batches one after another, each in a newly opened index, give what all documents at once do."""
+    expected, index = plain.substring_dedup(TEXTS), FingerprintIndex(spark)
+    edges = [-1, len(TEXTS) // 3, 2 * len(TEXTS) // 3, len(TEXTS)]
+    found = {}
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part, history = docs.where(F.col("doc_id").between(lo + 1, hi)), docs.where(F.col("doc_id") <= lo)
+        rows = substring_dedup(part, batches=1, joined=True, index=FingerprintIndex(spark, index.folder), history=history)
+        found |= {r["doc_id"]: r["text"] for r in rows.select("row.doc_id", "text").collect()}
+    assert found == {i: " ".join(w) for i, w in expected.items()}
+    named = docs.withColumn("doc_id", F.format_string("id%05d", "doc_id"))
+    texts = {r["doc_id"]: r["text"] for r in substring_dedup(named, joined=True).select("row.doc_id", "text").collect()}
+    assert texts == {f"id{i:05d}": " ".join(w) for i, w in expected.items()}
+    index.forget()
 
 
 def test_contamination(spark, docs, none):
@@ -237,36 +273,40 @@ def test_language_accuracy_on_held_out_documents(spark, sf):
 
 
 def test_lm(spark, docs, none):
-    counts, tokens = Counter(), {i: [*plain.words(t), None] for i, t in TEXTS.items()}
-    for i, w in tokens.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update(w)
-    total, size = sum(counts.values()), len(counts)
-    for r in lm.lm_score(docs).collect():
-        w = tokens[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in counts for x in w), total)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (total + size + 1)) for x in w), rel_tol=1e-9)
-        assert r["score"] < 0
+    """Against a plain suffix tree, whatever part of the tree is broadcast."""
+    rng = random.Random(1)
+    texts = TEXTS | {1000 + k: " ".join(rng.choice(["a b c", "a b d", "x y", "b A", "a a b c d"]) for _ in range(300)) for k in range(6)}
+    tokens = {i: [*plain.words(t), None] for i, t in texts.items()}
+    learned = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    for depth, context, following, share in ((3, 12, 3, 0.003), (2, 30, 2, 1.1), (1, 8, 5, 0.0)):
+        tree = plain.SuffixTree(learned, depth, context, following, 5.0)
+        assert max(map(len, tree.states)) == depth
+        for past in list(tree.states)[:40]:
+            unseen = tree.probability(past, "no such word")
+            assert math.isclose(sum(tree.probability(past, w) for w in tree.words) + unseen, 1, rel_tol=1e-9)
+        for r in lm.lm_score(df, depth=depth, least_context=context, least_next=following, share=share).collect():
+            w = tokens[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in tree.words for x in w), tree.total)
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+            assert math.isclose(r["base_score"], sum(math.log10((tree.words[x] + 1) / (tree.total + tree.size + 1)) for x in w), rel_tol=1e-9)
+            assert math.isclose(r["score"], tree.score(w, depth), rel_tol=1e-9)
     assert lm.lm_score(none).collect() == []
+    odd = docs.unionByName(spark.createDataFrame(REPEATED, SCHEMA))
+    rows = lm.lm_score(odd).collect()
+    assert len(rows) == len(TEXTS) + 2 and {r["train_tokens"] for r in rows} == {sum(len(tokens[i]) for i in [*TEXTS, 6] if zlib.crc32(str(i).encode()) % 7 != 2)}
+    assert len({(r["score"], r["base_score"]) for r in rows if r["doc_id"] == 6}) == 1 and all(r["n_tokens"] == 91 for r in rows if r["doc_id"] is None)
+    unlearned = lm.lm_score(docs.withColumn("doc_id", F.lit(None).cast("bigint"))).collect()
+    assert all(r["score"] == r["base_score"] and r["n_known"] == r["train_tokens"] == 0 for r in unlearned)
 
 
-def test_lm_distributions_sum_to_one(spark):
-    rng = random.Random(1)
-    text = " ".join(rng.choice(["a b c", "a b d", "x y", "b a"]) for _ in range(2000))
-    model, vocabulary = lm.train(spark.createDataFrame([(text,), ("a b c " * 50,)], "text string"))
-    every = np.asarray([r["word"] for r in vocabulary.collect()], np.int64).view(np.uint64)
-    assert len(model.states) and len(model.words) == len(every)
-    streams = {w: next(lm.tokens(__import__("pyarrow").array([w])))[1][0] for w in "abcdxy"}
-    for past in ("a", "b", "ab", "xy", "ya"):
-        contexts = []
-        for depth in (1, 2):
-            context = np.full(len(every), lm.ROOT)
-            for w in past[-depth:]:
-                context = lm.joined(context, np.full(len(every), streams[w]))
-            contexts.append((context, np.full(len(every), len(past) >= depth)))
-        seen = 10 ** model.under(model.base(every)[0], contexts, every)
-        unseen = 10 ** model.under(np.log10(np.full(1, 1 / (model.total + model.size + 1))), [(c[:1], t[:1]) for c, t in contexts], np.zeros(1, np.uint64))
-        assert math.isclose(seen.sum() + unseen[0], 1, rel_tol=1e-9)
+def test_key_filter_holds_no_key_back(spark):
+    rng = np.random.default_rng(8)
+    for count in (0, 10, 40_000):
+        keys = rng.integers(-(1 << 63), (1 << 63) - 1, count)
+        bits = _sketch.key_filter(spark.createDataFrame([(int(k),) for k in keys], "k bigint"), count)
+        others = rng.integers(0, 1 << 64, 20_000, np.uint64)
+        assert _sketch.passes(bits, keys.view(np.uint64)).all() and _sketch.passes(bits, others).mean() < 0.03
 
 
 def test_lm_beats_single_words_on_held_out_documents(spark, sf):
@@ -416,12 +456,105 @@ def test_license_scan(spark):
     assert license_scan(df, "id", "path", "text").count() == len(rows) and license_scan(df.where("false"), "id", "path", "text").collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+
+      "Legal Entity" shall mean the union of the acting entity and all
+      other entities that control, are controlled by, or are under common
+      control with that entity.
+"""
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  The licenses for most software and other practical works are designed
+to take away your freedom to share and change the works.
+"""
+HEADER = """#!/bin/sh
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+echo done
+"""
+
+
+def test_license_texts_and_wrapped_headers(spark):
+    code = "\n".join(f"x{k} = f(y{k}, z)  # the {k}th of them" for k in range(80))
+    rows = [
+        (1, "/m/LICENSE", MIT), (2, "/m/a/b.c", "int x;"), (3, "/p/LICENSE.txt", APACHE), (4, "/p/q/r.py", code), (5, "/g/COPYING", GPL), (6, "/g/x", None),
+        (7, "/s/run.sh", HEADER + code), (8, "/s/other.sh", code), (9, "/s/gpl.c", "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */\n" + code), (10, "/t/LICENSE", "Permission is required here.\nThe rights are free of charge."),
+        (11, "/b/LICENSE", "\n".join(NOTICES["BSD-2-Clause"])), (12, "/b/c/d", "x"),
+    ]
+    rows += [(100 + k, f"/z/{k}", f"the river and the house of {k} in software for any use\n" * 3) for k in range(40)]
+    found = {r["id"]: (r["license"], r["origin"], r["directory"]) for r in license_scan(spark.createDataFrame(rows, "id bigint, path string, text string"), "id", "path", "text").collect()}
+    assert found[1][0] == "MIT" and found[2] == ("MIT", "inherited", "/m")
+    assert found[3][0] == "Apache-2.0" and found[4] == ("Apache-2.0", "inherited", "/p")
+    assert found[5][0] == "GPL-3.0" and found[6] == ("GPL-3.0", "inherited", "/g")
+    assert found[7] == ("Apache-2.0", "header", None) and found[8] == (None, None, None) and found[9][:2] == ("GPL-3.0", "header")
+    assert found[10] == (None, None, None) and found[11][0] == "BSD-2-Clause" and found[12] == ("BSD-2-Clause", "inherited", "/b")
+    assert all(found[100 + k] == (None, None, None) for k in range(40))
+    both = [(1, "/d/LICENSE", "Released under the MIT License."), (2, "/d/COPYING", "Licensed under CC BY-NC 4.0."), (3, "/d/x", "")]
+    tied = {r["id"]: r["license"] for r in license_scan(spark.createDataFrame(both, "id bigint, path string, text string"), "id", "path", "text").collect()}
+    assert tied[3] == "MIT"  # equal scores go to the greater name
+
+
 def test_license_scan_weighs_terms_by_their_document_frequency(spark):
     lines = {100: "Released and licensed under the MIT License.", 101: "All rights in it are reserved.", 102: "Zq xw released vb under the MIT License."}
     texts = {k: f"x{k} and the river\nin it are" for k in range(60)} | {k: f"x{k}\n{t}\nrest {k}" for k, t in lines.items()} | {200: lines[100]}
     split = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
     df = Counter(t for x in texts.values() for t in split(x))
-    idf = {t: math.log((len(texts) + 1) / (df[t] + 1)) + 1 for t in {*df, *split(" ".join(NOTICES.values()))}}
+    idf = {t: math.log((len(texts) + 1) / (df[t] + 1)) + 1 for t in {*df, *split(" ".join(t for texts in NOTICES.values() for t in texts))}}
 
     def cosine(a, b):
         a, b = ({t: k * idf[t] for t, k in split(x).items()} for x in (a, b))
@@ -430,7 +563,7 @@ def test_license_scan_weighs_terms_by_their_document_frequency(spark):
     rows = [(k, f"/{k}/LICENSE" if k == 200 else f"/{k}/x.py", t) for k, t in texts.items()]
     found = {r["id"]: r for r in license_scan(spark.createDataFrame(rows, "id bigint, path string, text string"), "id", "path", "text").collect()}
     for k, line in {**lines, 200: lines[100]}.items():
-        score, name = max((cosine(line, notice), name) for name, notice in NOTICES.items())
+        score, name = max((cosine(line, notice), name) for name, notices in NOTICES.items() for notice in notices)
         assert (found[k]["license"], found[k]["origin"]) == ((name, "file" if k == 200 else "header") if score >= 0.7 else (None, None))
         assert score < 0.7 or abs(found[k]["score"] - score) < 2e-6
     assert found[100]["license"] == "MIT" and found[101]["license"] == "Proprietary" and found[5]["license"] is None
