@@ -52,9 +52,26 @@ TRANSITIONS = {
 }
 
 
-def protected_dir(name: Column) -> Column:
+# Names of directories that are protected on one platform only.
+PLATFORM_DIRS = {"windows": ("windowsapps",)}
+
+
+def protected_dir(name: Column, platform: str = "") -> Column:
     low = F.lower(name)
-    return low.isin(*PROTECTED_DIRS) | (F.startswith(low, F.lit(".com.apple.timemachine-")) & F.endswith(low, F.lit(".snapshots")))
+    return low.isin(*PLATFORM_DIRS.get(platform, ())) | low.isin(*PROTECTED_DIRS) | (F.startswith(low, F.lit(".com.apple.timemachine-")) & F.endswith(low, F.lit(".snapshots")))
+
+
+def protected_path(path: Column, platform: str) -> Column:
+    """Whether a path is or lies in a subtree that the platform protects."""
+    out = F.lit(False)
+    for top in PROTECTED_PATHS.get(platform, ()):
+        out = out | (path == top) | F.startswith(path, F.lit(top + "/"))
+    return out
+
+
+def protected_root_file(name: Column, platform: str) -> Column:
+    """Whether a file directly below a scan root is one that the system keeps open."""
+    return F.lower(name).isin(*ROOT_FILES) if platform == "windows" else F.lit(False)
 
 
 def reserved_name(name: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import dedup
+from tessella.operators.rank import ranked
+from tessella.sources.scratch import stage
+
 SAMPLES = ("head", "mid1", "mid2", "tail")
 #: Rows that a cache keeps.
 MOST_ROWS = 500_000
@@ -74,18 +78,21 @@ def touch(cache: DataFrame, hits: DataFrame, now: int) -> DataFrame:
 
 
 def evict(cache: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """The ``most`` latest by ``last_hit``, then the greatest paths.
+    """The ``most`` latest by ``last_hit``, then the greatest paths."""
+    return ranked(cache, [F.col("last_hit").desc(), F.col("path").desc()], "_rank").where(F.col("_rank") <= most).drop("_rank")
+
+
+def incremental(files: DataFrame, cache: DataFrame, chunk: int = dedup.CHUNK, small: int = dedup.SMALL) -> DataFrame:
+    """Hashed members of a run that takes full hashes from the cache where it may.
 
-    The time up to which all stay is found from counts per time, so only the
-    rows of the one time on the border are ranked.
+    ``files`` has ``dev, ino`` and ``content``. Samples are taken where contents
+    are read; of the full hashes only those that the cache lacks are waited for.
     """
-    down = Window.orderBy(F.col("last_hit").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = cache.groupBy("last_hit").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(down))
-    rows = cache.join(per, "last_hit")
-    rank = F.row_number().over(Window.partitionBy("last_hit").orderBy(F.col("path").desc()))
-    whole = rows.where(F.col("upto") <= most).select(*cache.columns)
-    border = rows.where((F.col("upto") > most) & (F.col("upto") - F.col("c") < most)).withColumn("r", rank).where(F.col("r") <= most - (F.col("upto") - F.col("c")))
-    return whole.unionByName(border.select(*cache.columns))
+    looked = trusted_full(lookup(dedup.sampled(files.where("size > 0"), chunk, small), cache))
+    alive = stage(dedup.shared(looked.drop(*[f"c_{c}" for c in ("full", *SAMPLES)]), ["size", *SAMPLES]).drop(*SAMPLES), "cached")
+    known = alive.where("cached_full is not null").withColumn("hash", F.col("cached_full"))
+    fresh = alive.where("cached_full is null").join(dedup.full_hash(files), "id")
+    return dedup.shared(stage(known.unionByName(fresh).drop("cached_full"), "hashed"), ["size", "hash"])
 
 
 def stats(cache: DataFrame) -> DataFrame:

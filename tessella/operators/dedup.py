@@ -8,13 +8,17 @@ that very many files share is one row per task, not one partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.rank import ranked
 from tessella.sources.scratch import stage
 
 #: Bytes of a sample and the size up to which a file is hashed as a whole at once (production values).
 CHUNK, SMALL = 65536, 131072
+SAMPLES = ("head", "mid1", "mid2", "tail")
+#: Files of a group that a row of a report or of a decision lists, about.
+PART_FILES = 10_000
 
 
 def shared(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
@@ -50,30 +54,44 @@ def sample_hashes(content: Column, size: Column, chunk: int = CHUNK, small: int
 
 
 def sampled(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
-    """Files that share size and samples with another; ``content`` stays for the full hash."""
-    hashed = files.select("*", *[c.alias(n) for n, c in sample_hashes(F.col("content"), F.col("size"), chunk, small).items()])
-    return shared(hashed, ["size", "head", "mid1", "mid2", "tail"])
+    """The four samples of each file in place of its content, taken where the content is read."""
+    taken = [c.alias(n) for n, c in sample_hashes(F.col("content"), F.col("size"), chunk, small).items()]
+    return files.select(*[c for c in files.columns if c != "content"], *taken)
 
 
 def full_hash(files: DataFrame) -> DataFrame:
-    """``hash`` in place of the content; files whose content isn't there have none and are left out."""
-    return files.withColumn("hash", F.sha2("content", 256)).drop("content").where("hash is not null")
+    """``id, hash`` of files whose content is there, taken where the content is read."""
+    return files.select("id", F.sha2("content", 256).alias("hash")).where("hash is not null")
 
 
-def candidates(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
-    """Hashed members of all stages up to the full hash.
+def collapse_in_bucket(members: DataFrame) -> DataFrame:
+    """One member per physical file within equal size and hash, for files whose identity was unknown before they were opened.
+
+    ``members`` has ``handle(volume_id, file_index, resolved)``, the identity of the open file. The
+    first path stays with the shortest one's name; groups left with one go.
+    """
+    known = members.where("handle.resolved")
+    rest = [c for c in members.columns if c not in ("path", "handle", "size", "hash")]
+    order = F.struct(F.octet_length("path").alias("n"), F.col("path").alias("path"))
+    merged = known.groupBy("size", "hash", "handle").agg(F.min(order)["path"].alias("path"), F.min(F.struct("path", *rest)).alias("m"))
+    merged = merged.select("size", "hash", "handle", "path", *[F.col(f"m.{c}").alias(c) for c in rest])
+    return shared(merged.select(*members.columns).unionByName(members.where("not handle.resolved")), ["size", "hash"])
+
+
+def survivors(sampled_files: DataFrame, files: DataFrame) -> DataFrame:
+    """Hashed members of all stages up to the full hash; ``sampled_files`` are ``files`` with samples in place of contents.
 
     Each stage's survivors are written, since a stage reads them twice: to count
-    and to keep. Contents are read for surviving ids only, once to take samples
-    and once, of what is left, for the full hash; they are never written.
+    and to keep. Contents never leave the task that reads them.
     """
-    content = files.select("id", "content")
-    sized = stage(size_candidates(files.drop("content")), "sized")
-    alive = stage(collapse_identity(sized), "alive")
-    samples = [c.alias(n) for n, c in sample_hashes(F.col("content"), F.col("size"), chunk, small).items()]
-    taken = stage(alive.join(content, "id").select(*alive.columns, *samples), "samples")
-    buckets = shared(taken, ["size", "head", "mid1", "mid2", "tail"])
-    return shared(stage(full_hash(buckets.join(content, "id")), "hashed"), ["size", "hash"])
+    alive = stage(collapse_identity(stage(size_candidates(sampled_files), "sized")), "alive")
+    buckets = shared(alive, ["size", *SAMPLES]).drop(*SAMPLES)
+    return shared(stage(buckets.join(full_hash(files), "id"), "hashed"), ["size", "hash"])
+
+
+def candidates(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
+    """Hashed members of all stages: size, identity, samples, full hash."""
+    return survivors(sampled(files, chunk, small), files)
 
 
 def hidden(path: Column) -> Column:
@@ -104,12 +122,9 @@ def groups(members: DataFrame) -> DataFrame:
 
 
 def numbered(g: DataFrame) -> DataFrame:
-    """``group_id`` 1..N. Ranks within equal ``reclaimable`` plus the number of groups above it: no task sorts all."""
-    above = Window.orderBy(F.col("reclaimable").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = g.groupBy("reclaimable").agg(F.count("*").alias("c")).select("reclaimable", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("reclaimable").orderBy(F.col("n_files").desc(), "first_path")
-    out = g.withColumn("r", F.row_number().over(within)).join(offsets, "reclaimable")
-    return out.select((F.col("offset") + F.col("r")).cast("bigint").alias("group_id"), *[c for c in g.columns])
+    """``group_id`` 1..N by reclaimable bytes and members, both descending, then the first path."""
+    out = ranked(g, [F.col("reclaimable").desc(), F.col("n_files").desc(), F.col("first_path")], "group_id")
+    return out.select("group_id", *g.columns)
 
 
 def members_of(members: DataFrame, g: DataFrame) -> DataFrame:
@@ -118,11 +133,11 @@ def members_of(members: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def verified(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """Members whose bytes equal those of their group's first path, byte by byte; groups left with one go."""
-    first = members.groupBy("hash", "size").agg(F.min(F.struct("path", "id"))["id"].alias("first"))
-    left = members.join(contents.select("id", "content"), "id").join(first, ["hash", "size"])
-    right = contents.select(F.col("id").alias("first"), F.col("content").alias("expected"))
-    same = left.join(right, "first").where("content = expected").drop("content", "expected", "first")
+    """Members whose content equals that of their group's first path by a second, independent digest; groups left with one go."""
+    proof = contents.select("id", F.sha2("content", 512).alias("proof"), F.md5("content").alias("other"))
+    held = stage(members.join(proof, "id"), "proofs")
+    first = held.groupBy("hash", "size").agg(F.min(F.struct("path", "id", "proof", "other")).alias("first"))
+    same = held.join(first, ["hash", "size"]).where("proof = first.proof and other = first.other").drop("proof", "other", "first")
     return shared(same, ["size", "hash"])
 
 
@@ -132,13 +147,10 @@ def totals(g: DataFrame) -> DataFrame:
 
 
 def digest(members: DataFrame) -> DataFrame:
-    """A digest of all groups that doesn't depend on any order: per group of its sorted paths, then of sorted digests.
-
-    The first level is distributed; the second takes 64 digits of each group.
-    """
-    per_group = members.groupBy("size", "hash").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("path")), "\n"), 256).alias("d"))
-    halves = per_group.groupBy(F.substring("d", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("d"))
-    return halves.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("digest"))
+    """``digest, n``: a figure of all groups that doesn't depend on any order: the sum of 60 bits of each member's SHA-256 over size, hash and path."""
+    own = F.sha2(F.concat_ws("\n", F.col("size").cast("string"), "hash", "path"), 256)
+    bits = F.conv(F.substring(own, 1, 15), 16, 10).cast("decimal(38,0)")
+    return members.agg(F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("digest"), F.count("*").alias("n"))
 
 
 def fingerprint(g: DataFrame) -> DataFrame:
@@ -146,8 +158,14 @@ def fingerprint(g: DataFrame) -> DataFrame:
     return g.agg(F.coalesce(F.bit_xor(F.col("group_id") * 1000003 + F.col("n_files")), F.lit(0)).alias("fingerprint"), F.count("*").alias("groups"))
 
 
+def part_of(n: Column, id_col: Column) -> Column:
+    """The part, of ``PART_FILES`` or so, that a file falls into in a group of ``n``."""
+    return F.pmod(F.xxhash64(id_col), F.ceil(n / PART_FILES)).cast("int")
+
+
 def report(g: DataFrame, members: DataFrame, failed: int = 0) -> DataFrame:
-    """A row per group as JSON, in group order, and the exit status: 3 where something was rejected."""
-    files = members_of(members, g).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("path", "id", "mtime_ns"))).alias("files"))
+    """Rows of JSON, one for each group and part of its files, in group order, and the exit status: 3 where something was rejected."""
+    held = members.join(g.select("group_id", "hash", "size", "n_files"), ["hash", "size"]).withColumn("part", part_of(F.col("n_files"), F.col("id")))
+    files = held.groupBy("group_id", "part").agg(F.sort_array(F.collect_list(F.struct("path", "id", "mtime_ns"))).alias("files"))
     whole = F.struct("group_id", "size", "n_files", "reclaimable", "hash", "files")
-    return g.join(files, "group_id").select("group_id", F.to_json(whole).alias("json"), F.lit(3 if failed else 0).alias("status"))
+    return g.join(files, "group_id").select("group_id", "part", F.to_json(whole).alias("json"), F.lit(3 if failed else 0).alias("status"))

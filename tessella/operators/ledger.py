@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
+from tessella.operators.rank import ranked, within
+from tessella.sources import tree
 
 #: Scans that are retained.
 RETAINED = 20
@@ -122,6 +124,89 @@ def newest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 def numbered_names(names: DataFrame, mark: str = "_") -> DataFrame:
     """``folder, name, id`` with ``free_name``: repeated names get a number before their extension."""
-    order = F.row_number().over(Window.partitionBy("folder", "name").orderBy("id")) - 1
     base, ext = paths.drop_extension(F.col("name")), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    return names.withColumn("k", order).select("folder", "name", "id", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(base, F.lit(mark), F.col("k").cast("string"), ext)).alias("free_name"))
+    return within(names, ["folder", "name"], [F.col("id")], "_k").withColumn("k", F.col("_k") - 1).select("folder", "name", "id", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(base, F.lit(mark), F.col("k").cast("string"), ext)).alias("free_name"))
+
+
+def loaded(groups: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of saved scans, and their groups without any file, which are left out and reported.
+
+    ``groups(hist_id, id, ord, ...)``, ``files(hist_id, group_id, id, path, size, ...)``. Members come with
+    their group's ``ord``; the order of a scan is ``ord``, then ``id``. The extension is
+    derived anew, and bytes on disk, which aren't saved, count as the size and as unknown.
+    """
+    held = files.groupBy("hist_id", "group_id").agg(F.count("*").alias("n_files"))
+    both = groups.withColumnRenamed("id", "group_id").join(held, ["hist_id", "group_id"], "left")
+    empty = both.where("n_files is null").select("hist_id", "group_id")
+    members = files.join(both.where("n_files is not null").select("hist_id", "group_id", "ord", "n_files"), ["hist_id", "group_id"])
+    ext = paths.extension(paths.base_name(F.col("path")))
+    return members.withColumn("ext", ext).withColumn("actual", F.col("size")).withColumn("actual_known", F.lit(False)), empty
+
+
+def saved(local: dict[str, DataFrame], scan: DataFrame, groups: DataFrame, files: DataFrame, keep: int = RETAINED) -> dict[str, DataFrame]:
+    """The ledger's three scan tables after a scan is appended and all but the newest ``keep`` are dropped, children too."""
+    new = {"scan_history": scan, "hist_groups": groups, "hist_files": files}
+    tables = {name: local[name].unionByName(new[name].select(*local[name].columns)) for name in new}
+    kept = retained(tables["scan_history"], keep)
+    ids = kept.select(F.col("id").alias("hist_id"))
+    return {"scan_history": kept} | {name: tables[name].join(ids, "hist_id", "left_semi") for name in ("hist_groups", "hist_files")}
+
+
+#: What makes two scans, and two operations, the same one in different ledgers: nothing that pruning changes.
+SCAN_KEY = ("saved_at", "roots", "filters", "threads", "paranoid", "orig_files")
+OP_KEY = ("created_at", "op_kind", "target_dir", "done_count", "reclaimed")
+
+
+def _numbered_from(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``rows`` with new ids ``name``, in the order of their own, above all ids of ``known``."""
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"]
+    return ranked(rows, [F.col("id")], name).withColumn(name, F.col(name) + top)
+
+
+def merged_import(local: dict[str, DataFrame], foreign: dict[str, DataFrame], roots: DataFrame, known_paths: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """New rows for each table of the ledger from a foreign one, and a row of counts; importing twice adds nothing.
+
+    ValueError if the foreign tables lack a column, or if an item that could be
+    undone has no hash. Scans and operations that are there by their natural key
+    stay out with all their children; of equal ones in the foreign ledger the first
+    is taken. Ids are given anew. An operation whose scan isn't there loses the link; one that
+    would be undone outside of ``roots(root)`` and ``known_paths(path)`` becomes
+    one that can't be undone.
+    """
+    tree.checked_ledger(foreign)
+    ops, items = foreign["op_records"], foreign["op_items"]
+    named = ops.withColumnRenamed("id", "op_id")
+    hashed = (F.octet_length("hash") == 32) & (F.hex("hash") != "0" * 64)
+    lacking = lacking_evidence(named, items, F.coalesce(hashed, F.lit(False))).first()
+    if lacking["items"]:
+        raise ValueError(f"{lacking['items']} items of {lacking['ops']} operations could be undone without a hash")
+
+    scans = foreign["scan_history"]
+    new_scans = _numbered_from(natural_keys(scans, list(SCAN_KEY), local["scan_history"]), local["scan_history"], "new")
+    there = local["scan_history"].groupBy(*SCAN_KEY).agg(F.min("id").alias("new")).unionByName(new_scans.select(*SCAN_KEY, "new"))
+    mapping = scans.select(F.col("id").alias("old"), *SCAN_KEY).join(there, list(SCAN_KEY)).select("old", "new")
+    taken = new_scans.select(F.col("id").alias("hist_id"), F.col("new").alias("new_hist"))
+    groups = _numbered_from(foreign["hist_groups"].join(taken, "hist_id"), local["hist_groups"], "new")
+    files = foreign["hist_files"].join(groups.select(F.col("id").alias("group_id"), F.col("new").alias("new_group"), "new_hist"), "group_id")
+    files = _numbered_from(files, local["hist_files"], "new")
+
+    linked = remapped(ops, "hist_id", mapping)
+    new_ops = natural_keys(linked, list(OP_KEY), local["op_records"])
+    judged = downgraded(new_ops.withColumnRenamed("id", "op_id"), items, roots, known_paths).withColumnRenamed("op_id", "id")
+    judged = _numbered_from(judged.join(new_ops.select("id", F.col("undoable").alias("was")), "id"), local["op_records"], "new")
+    new_items = _numbered_from(items.join(judged.select(F.col("id").alias("op_id"), F.col("new").alias("new_op")), "op_id"), local["op_items"], "new")
+
+    as_new = lambda rows, **changed: rows.withColumns({"id": F.col("new")} | {c: F.col(x) for c, x in changed.items()})
+    tables = {
+        "scan_history": as_new(new_scans),
+        "hist_groups": as_new(groups, hist_id="new_hist"),
+        "hist_files": as_new(files, hist_id="new_hist", group_id="new_group"),
+        "op_records": as_new(judged),
+        "op_items": as_new(new_items, op_id="new_op"),
+    }
+    tables = {name: rows.select(*local[name].columns) for name, rows in tables.items()}
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    added, done = count(new_scans, "scans_added"), judged.agg(F.count("*").alias("ops_added"), F.count_if("orphan").alias("ops_orphaned"), F.count_if(F.col("was") & ~F.col("undoable")).alias("ops_downgraded"))
+    one = lambda rows: rows.withColumn("_one", F.lit(1))
+    summary = one(added).join(one(count(scans, "scans")), "_one").join(one(done), "_one").join(one(count(ops, "ops")), "_one")
+    return tables, summary.select("scans_added", (F.col("scans") - F.col("scans_added")).alias("scans_skipped"), "ops_added", (F.col("ops") - F.col("ops_added")).alias("ops_skipped"), "ops_orphaned", "ops_downgraded")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import dedup, scan
+from tessella.operators.rank import within
 
 
 #: The policy that decides nothing: the choice is the user's.
@@ -48,9 +49,11 @@ def unmatched_groups(g: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def decisions(members: DataFrame, kept: DataFrame) -> DataFrame:
-    """``group_id, keep_id, remove_ids``."""
+    """``group_id, keep_id, part, remove_ids``: a row for each group and part of what goes."""
     away = F.sort_array(F.collect_list(F.when(F.col("id") != F.col("keep_id"), F.col("id"))))
-    return members.join(kept, "group_id").groupBy("group_id", "keep_id").agg(away.alias("remove_ids"))
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
+    held = members.join(kept, "group_id").join(sizes, "group_id").withColumn("part", dedup.part_of(F.col("n"), F.col("id")))
+    return held.groupBy("group_id", "keep_id", "part").agg(away.alias("remove_ids"))
 
 
 def pending(selection: DataFrame, members: DataFrame, keep_ids: DataFrame, dirs: DataFrame | None = None, exclude_dirs: DataFrame | None = None) -> DataFrame:
@@ -123,4 +126,4 @@ def chunks(ids: DataFrame, size: int) -> DataFrame:
 
 def member_positions(members: DataFrame) -> DataFrame:
     """``position`` of each member in its group, by path."""
-    return members.withColumn("position", F.row_number().over(Window.partitionBy("group_id").orderBy("path")).cast("bigint"))
+    return within(members, ["group_id"], [F.col("path"), F.col("id")], "position")

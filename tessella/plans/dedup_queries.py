@@ -48,8 +48,9 @@ def dedup_identity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
   substr(hex(encode(text)), 2 * least(size * 3 // 4, size - 512) + 1, 1024), substr(hex(encode(text)), 2 * (size - 512) + 1, 1024)] END AS s FROM sized)
 SELECT id, size, count(*) OVER (PARTITION BY size, s) AS bucket FROM h QUALIFY count(*) OVER (PARTITION BY size, s) > 1""")
 def dedup_sample_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup.sampled(dedup.size_candidates(files(spark, sf_dir)), CHUNK, SMALL).drop("content")
-    keys = ["size", "head", "mid1", "mid2", "tail"]
+    found = dedup.size_candidates(dedup.sampled(files(spark, sf_dir), CHUNK, SMALL))
+    keys = ["size", *dedup.SAMPLES]
+    found = dedup.shared(found, keys)
     return found.join(found.groupBy(*keys).agg(F.count("*").alias("bucket")), keys).select("id", "size", "bucket")
 
 
@@ -71,7 +72,7 @@ def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GROUPS}, j AS (SELECT group_id, string_agg('{{"path":"' || path || '","id":' || id || ',"mtime_ns":' || mtime_ns || '}}', ',' ORDER BY path) AS files FROM members GROUP BY group_id)
-SELECT group_id, 0 AS status, '{{"group_id":' || group_id || ',"size":' || size || ',"n_files":' || n_files || ',"reclaimable":' || reclaimable || ',"hash":"' || hash || '","files":[' || files || ']}}' AS json FROM grp JOIN j USING (group_id)""")
+SELECT group_id, 0 AS part, 0 AS status, '{{"group_id":' || group_id || ',"size":' || size || ',"n_files":' || n_files || ',"reclaimable":' || reclaimable || ',"hash":"' || hash || '","files":[' || files || ']}}' AS json FROM grp JOIN j USING (group_id)""")
 def dedup_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = members0(spark, sf_dir)
     return dedup.report(dedup.groups(found), found)
@@ -90,8 +91,7 @@ def dedup_cross_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("group_id").agg(((F.min("volume_id") != F.max("volume_id")) & F.bool_and("resolved")).alias("cross_volume"))
 
 
-@query(f"""WITH {GROUPS}, d AS (SELECT sha256(string_agg(path, chr(10) ORDER BY path)) AS d FROM members GROUP BY size, hash),
-p AS (SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM d GROUP BY left(d, 2)) SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS digest FROM p""")
+@query(f"""WITH {GROUPS} SELECT coalesce(sum(('0x' || left(sha256(size || chr(10) || hash || chr(10) || path), 15))::BIGINT), 0)::VARCHAR AS digest, count(*) AS n FROM members""")
 def dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.digest(members0(spark, sf_dir))
 
@@ -158,7 +158,7 @@ def keep_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.unmatched_groups(g, policy.keep_in_dirs(m, dirs(spark)))
 
 
-@query(f"WITH {GROUPS} SELECT group_id, keeper AS keep_id, to_json(list(id ORDER BY id) FILTER (id <> keeper))::VARCHAR AS remove_ids FROM members GROUP BY ALL")
+@query(f"WITH {GROUPS} SELECT group_id, keeper AS keep_id, 0 AS part, to_json(list(id ORDER BY id) FILTER (id <> keeper))::VARCHAR AS remove_ids FROM members GROUP BY ALL")
 def keep_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, m = grouped(spark, sf_dir)
     return policy.decisions(m, g.select("group_id", F.col("keeper").alias("keep_id"))).withColumn("remove_ids", F.to_json("remove_ids"))
@@ -308,12 +308,8 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GROUPS} SELECT group_id, hash, n_files FROM grp")
 def cache_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of a second run that takes full hashes from the cache where it may."""
-    runs = files(spark, sf_dir)
-    hashed = runs.select("*", *[c.alias(n) for n, c in dedup.sample_hashes(F.col("content"), F.col("size"), CHUNK, SMALL).items()])
-    looked = cache.trusted_full(cache.lookup(hashed.withColumn("dev", F.col("volume_id")).withColumn("ino", F.col("file_index")), cache_rows(spark, sf_dir)))
-    alive = dedup.shared(looked.where("size > 0"), ["size", *cache.SAMPLES])
-    found = alive.withColumn("hash", F.coalesce("cached_full", F.sha2("content", 256))).select("id", "path", "size", "hash", "actual", "actual_known")
-    return dedup.groups(found).select("group_id", "hash", "n_files")
+    run = files(spark, sf_dir).withColumn("dev", F.col("volume_id")).withColumn("ino", F.col("file_index"))
+    return dedup.groups(cache.incremental(run, cache_rows(spark, sf_dir), CHUNK, SMALL)).select("group_id", "hash", "n_files")
 
 
 @query(f"WITH {_CACHE} SELECT path, CASE WHEN path IN (SELECT path FROM now) THEN 77 ELSE id % 50 END::BIGINT AS last_hit FROM old")

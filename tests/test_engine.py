@@ -142,3 +142,71 @@ def test_detail_holds_every_item(spark, sf):
     from tessella.plans.catalog import QUERIES
 
     assert QUERIES["ops_detail"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    from tessella.operators.rank import ranked, within
+
+    rows = [(k, "big" if k % 3 else f"g{k % 40}", (k * 7919) % 50) for k in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v bigint").repartition(7)
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    assert {r["id"]: r["n"] for r in ranked(df, [F.col("v").desc(), F.col("id")], "n").collect()} == {r[0]: k + 1 for k, r in enumerate(order)}
+    seen, want = defaultdict(int), {}
+    for r in order:
+        seen[r[1]] += 1
+        want[r[0]] = seen[r[1]]
+    assert {r["id"]: r["n"] for r in within(df, ["g"], [F.col("v").desc(), F.col("id")], "n").collect()} == want
+
+
+def test_contents_are_not_shuffled(spark, sf):
+    """Every exchange of a detection is of a table without contents."""
+    files = corpus.documents(spark, sf)
+    for df in (dedup.sampled(files, 512, 1024), dedup.full_hash(files).join(files.select("id"), "id"), dedup.verified(dedup.candidates(files, 512, 1024), files)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_segmented_hash_is_the_hash(spark):
+    """Hashing a content piece by piece gives what hashing it at once does, whatever the pieces."""
+    for size, step in ((0, 7), (1, 1), (1000, 64), (70000, 65536), (131073, 4096)):
+        data, running = bytes(k * 31 % 251 for k in range(size)), hashlib.sha256()
+        for at in range(0, size, step):
+            running.update(data[at : at + step])
+        found = spark.createDataFrame([(1, bytearray(data))], "id bigint, content binary")
+        assert dedup.full_hash(found).first()["hash"] == running.hexdigest()
+
+
+def test_deletion_records_of_both_layouts(spark):
+    from tessella.functions import records
+
+    def made(path, version=2, long=False, cut=None, extra=b""):
+        text = path.encode("utf-16-le") + b"\0\0"
+        head = version.to_bytes(8, "little") + (4096).to_bytes(8, "little") + (5).to_bytes(8, "little")
+        return (head + (len(text) // 2).to_bytes(8 if long else 4, "little") + text + extra)[:cut]
+
+    cases = [made("C:\\x\\é.txt"), made("C:\\long", 1, True), made("C:\\y", extra=b"\1\2\3"), made("C:\\y", version=3), made("C:\\y", cut=30), made("a\0b"), made(""), b""]
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, cases))), "id int, content binary").select("id", records.deletion_record(F.col("content")).alias("r")).collect()
+    assert {r["id"]: r["r"] and tuple(r["r"]) for r in rows} == {0: ("C:\\x\\é.txt", 5), 1: ("C:\\long", 5), 2: ("C:\\y", 5), 3: None, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_importing_twice_adds_nothing_and_evidence_is_asked_for(spark, sf):
+    from tessella.operators import ledger
+    from tessella.plans.action_queries import _ledgers
+
+    local, foreign = _ledgers(spark, sf)
+    roots, known = spark.createDataFrame([("/v1",)], "root string"), spark.createDataFrame([], "path string")
+    tables, first = ledger.merged_import(local, foreign, roots, known)
+    assert first.first()["scans_added"] > 0 and first.first()["ops_added"] > 0
+    again = {name: local[name].unionByName(tables[name]) for name in local}
+    _, second = ledger.merged_import(again, foreign, roots, known)
+    assert second.first()["scans_added"] == second.first()["ops_added"] == 0 and second.first()["ops_orphaned"] == 0
+    with pytest.raises(ValueError, match="without a hash"):
+        ledger.merged_import(local, foreign | {"op_items": foreign["op_items"].withColumn("hash", F.unhex(F.lit("00" * 32)))}, roots, known)
+
+
+def test_true_lengths(spark):
+    from tessella.functions import records
+
+    cases = [(1000, [100, 100, 100, 100], 1000), (1000, [100, 100, 40, 0], 790), (1000, [100, 0, 0, 0], 500), (1000, [30, 0, 0, 0], 30)]
+    df = spark.createDataFrame([(k, s, r) for k, (s, r, _) in enumerate(cases)], "id int, size bigint, reads array<bigint>")
+    assert [r["n"] for r in df.select("id", records.true_length(F.col("size"), F.col("reads"), 100).alias("n")).orderBy("id").collect()] == [x[2] for x in cases]
