@@ -129,7 +129,7 @@ def key_filter(keys: DataFrame, count: int) -> np.ndarray:
     own = keys.select(keys[keys.columns[0]].alias("k")).where("k is not null")
     dealt = own.withColumn("piece", F.shiftrightunsigned("k", 64 - (pieces.bit_length() - 1))).repartition("piece").select("k")
     out = np.zeros((pieces, width), np.uint8)
-    for row in dealt.mapInArrow(build, PIECE_SCHEMA).toLocalIterator():
+    for row in dealt.mapInArrow(build, PIECE_SCHEMA).collect():  # the greatest size at most
         out[row["piece"]] = np.frombuffer(row["data"], np.uint8)
     return out
 

@@ -15,10 +15,9 @@
 The score of a token is a sum: its word's own probability, for each suffix that
 is a state its scale, and for each that keeps the word a correction that makes up
 for the scale and the parent. So a document's score is a sum over keys, and keys
-can be looked up where that is cheapest: words and parts of the tree that make up
-``SHARE`` of all tokens are broadcast, at most ``1 / SHARE`` of each kind and
-depth; the others are met by a shuffled join after they have been added up per
-document. A filter of bounded size keeps back keys that the tree doesn't have.
+can be looked up where that is cheapest: the ``MOST_WORDS`` commonest words and
+the ``MOST_PARTS`` commonest parts of the tree are broadcast; the others are met
+by a shuffled join after they have been added up per document. A filter of bounded size keeps back keys that the tree doesn't have.
 What is broadcast changes no score. All counts cover all training documents.
 """
 
@@ -30,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _sketch, _text
@@ -43,10 +42,12 @@ DEPTH = 3
 LEAST_CONTEXT, LEAST_NEXT = 64, 8
 #: Weight of the parent's distribution, in tokens.
 PRIOR = 5.0
-#: Least share of all tokens for a word, a context or a next word to be broadcast.
-SHARE = 1e-6
+#: Words, and contexts and next words together, that are broadcast at most (16 bytes each).
+MOST_WORDS, MOST_PARTS = 1_000_000, 2_000_000
 #: Keys that a task adds up in memory before it passes counts on.
 HELD_KEYS = 1 << 20
+#: Partitions that what follows one context is dealt to.
+SALTS = 16
 
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +79,9 @@ def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
     """``*names, n``: how often each combination of names occurs in ``texts(text)``.
 
     ``keys_of(tokens, splits)`` gives a combined key per occurrence, then its
-    parts. A task adds up what it holds before it passes it on.
+    parts. A task adds up what it holds before it passes it on, in the order of
+    the first name, which makes for small shuffles; a name that very many others
+    follow is dealt to ``SALTS`` partitions.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +94,8 @@ def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
             return (key, *(c[first] for c in columns[1:-1]), np.bincount(where, columns[-1], len(key)).astype(np.int64))
 
         def passed_on(row: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(row[1], kind="stable")
+            row = tuple(c[order] for c in row)
             for k in range(0, len(row[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].view(np.int64)) for c in row[1:]], [*names, "n"])
 
@@ -111,7 +116,8 @@ def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
             yield from passed_on(added())
 
     schema = ", ".join(f"{n} bigint" for n in names) + ", n bigint"
-    return texts.mapInArrow(one, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(one, schema).withColumn("salt", F.pmod(F.col(names[-1]), F.lit(SALTS)))
+    return rows.repartition(names[0], "salt").groupBy(names[0], "salt", *names[1:]).agg(F.sum("n").alias("n")).drop("salt")
 
 
 
@@ -196,13 +202,24 @@ def _hashed(table: DataFrame, context: str, word: str, name: str) -> DataFrame:
     return table.mapInArrow(one, table.withColumn(name, F.lit(None).cast("bigint")).schema)
 
 
-def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, share: float = SHARE) -> tuple[Model, DataFrame]:
+def _commonest(table: DataFrame, most: int) -> Column:
+    """Which rows of ``table(n)`` are among the ``most`` with the greatest ``n``; of those equal at the border none."""
+    found, least = 0, None
+    for r in sorted(table.groupBy("n").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["n"]):  # different counts are few
+        found += r["c"]
+        if found > most:
+            break
+        least = r["n"]
+    return F.lit(False) if least is None else F.col("n") >= least
+
+
+def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words: int = MOST_WORDS, most_parts: int = MOST_PARTS) -> tuple[Model, DataFrame]:
     """The model of ``texts(text)``, and the written table ``kind, key, figure``: counts of all words (0), what the rare parts of the tree add (1)."""
     spark = texts.sparkSession
     vocabulary = cut(counts(texts, lambda stream, splits: (stream, stream), ("word",)), "lm-words")
     whole = vocabulary.agg(F.sum("n").alias("total"), F.count("*").alias("size")).first()
     total, size = whole["total"] or 0, whole["size"]
-    words = Part.of(vocabulary.where(F.col("n") >= share * total), "word", "n")  # 1 / share rows at most
+    words = Part.of(vocabulary.where(_commonest(vocabulary, most_words)), "word", "n")
     heads = vocabulary.where((F.col("n") >= least_context) & (F.col("word") != int(_text.signed(np.asarray([END]))[0]))).withColumn("context", F.lit(int(ROOT)))
     contexts = cut(_hashed(heads, "context", "word", "name").select("name", F.col("context").alias("tail"), F.col("n").alias("total")), "lm-contexts")
     below = vocabulary.where(F.col("n") >= least_next).select(F.col("word").alias("key"), F.log10((F.col("n") + 1) / F.lit(float(total + size + 1))).alias("log"))
@@ -223,7 +240,7 @@ def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
     for part in parts:
         tree = tree.unionByName(part)
     tree = cut(tree, "lm-tree")
-    often = F.col("n") >= share * total
+    often = _commonest(tree, most_parts)
     model = Model(total, size, depth, words, Part.of(tree.where(often), "key", "figure"), _sketch.key_filter(tree.select("key"), tree.count()))
     rare = tree.where(~often).select(F.lit(1).alias("kind"), "key", "figure")
     return model, cut(vocabulary.select(F.lit(0).alias("kind"), F.col("word").alias("key"), F.col("n").cast("double").alias("figure")).unionByName(rare), "lm-figures")
@@ -279,14 +296,14 @@ def _per_row(doc: np.ndarray, rows: int, kinds: np.ndarray, keys: np.ndarray) ->
     return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kinds[begin], _text.signed(keys[begin]), times.astype(np.int64))]
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 7, fold: int = 2, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, share: float = SHARE) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 7, fold: int = 2, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words: int = MOST_WORDS, most_parts: int = MOST_PARTS) -> DataFrame:
     """``<id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     Learns from rows whose id doesn't fall into the fold; scores all. Tokens
     are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end.
     ``base_score`` sums ``log10((c + 1) / (N + V + 1))``, ``score`` the tree's
     log10 probabilities. ``depth``, ``least_context``, ``least_next`` and
-    ``prior`` shape the tree, ``share`` only tells what is broadcast.
+    ``prior`` shape the tree, the others only tell what is broadcast.
 
     Null and empty texts are one end. Rows with a null id are scored but not
     learned from. Repeated rows stay and count as often as they are there.
@@ -296,7 +313,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts:
     spark = docs.sparkSession
     bound_batches(spark)
     data = docs.select(F.col(f"`{id_col}`").alias("id"), held_out(F.col(f"`{id_col}`"), parts, fold).alias("held"), F.col(f"`{text}`").alias("text"))
-    model, figures = train(data.where(~F.col("held") & F.col("id").isNotNull()).select("text"), depth, least_context, least_next, prior, share)
+    model, figures = train(data.where(~F.col("held") & F.col("id").isNotNull()).select("text"), depth, least_context, least_next, prior, most_words, most_parts)
     shared = spark.sparkContext.broadcast(model)
     kind = data.schema["id"].dataType.simpleString()
     schema = f"row bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, score double, kinds array<int>, keys array<bigint>, times array<bigint>"
