@@ -279,13 +279,13 @@ def test_lm(spark, docs, none):
     tokens = {i: [*plain.words(t), None] for i, t in texts.items()}
     learned = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
-    for depth, context, following, share in ((3, 12, 3, 0.003), (2, 30, 2, 1.1), (1, 8, 5, 0.0)):
+    for depth, context, following, most in ((3, 12, 3, 40), (2, 30, 2, 0), (1, 8, 5, 10**6)):
         tree = plain.SuffixTree(learned, depth, context, following, 5.0)
         assert max(map(len, tree.states)) == depth
         for past in list(tree.states)[:40]:
             unseen = tree.probability(past, "no such word")
             assert math.isclose(sum(tree.probability(past, w) for w in tree.words) + unseen, 1, rel_tol=1e-9)
-        for r in lm.lm_score(df, depth=depth, least_context=context, least_next=following, share=share).collect():
+        for r in lm.lm_score(df, depth=depth, least_context=context, least_next=following, most_words=most, most_parts=most).collect():
             w = tokens[r["doc_id"]]
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in tree.words for x in w), tree.total)
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
@@ -598,3 +598,91 @@ def test_pipeline(spark, sf, tmp_path):
     assert set(texts[4]) == set(texts[3]) - {i for i, _ in plain.contaminated(texts[3], {1: leak})} and 26 not in texts[4]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert sum(r["length"] for r in pieces) == sum(len(plain.ids(t, 1)) for t in texts[4].values()) and len(corpus_pipeline.run(spark, folder).collect()) == len(pieces)
+
+
+def stage_input(spark, folder, rows, schema, items):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Rows are dropped one by one: null, repeated and shared ids lose no text and keep no copy; names of columns don't matter."""
+    rng, folder = random.Random(21), str(tmp_path / "a")
+    one, two, three, leak = (sentence(rng, 90, 10**6) for _ in range(4))
+    passage = sentence(rng, 60, 10**6)
+    texts = [(1, one), (5, one), (5, two), (None, one), (None, three), (7, three), (7, three), (None, leak), (8, leak), (8, sentence(rng, 30, 10**6)), (9, None), (9, ""), (None, None)]
+    ends = [sentence(rng, 25, 10**6) for _ in range(3)]
+    texts += [(20, f"{passage} {ends[0]}"), (21, f"start {passage} {ends[1]}"), (None, f"{passage} {ends[2]}")]
+    clash = "n_removed int, row string, file bigint, at bigint, k bigint, may boolean, key string, start int, n_words int, doc string, seq string, words string"
+    schema = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {clash}"
+    rows = [(i, t, "en", "s", len(t or ""), k, f"r{k}", 1, 2, 3, True, "x", 4, 5, "d", "q", "w") for k, (i, t) in enumerate(texts)]
+    docs = stage_input(spark, folder, rows, schema, [(1, leak), (1, leak), (None, None)])
+    of = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+
+    near = stages["ngram_jaccard"](spark, docs, folder)
+    assert near.columns == docs.columns
+    gone = Counter([(5, one), (None, one), (None, three), (7, three), (None, leak)])
+    assert of(near) == Counter(texts) - gone
+    marks = {r["n_removed"]: (r["doc_id"], r["text"]) for r in near.collect()}
+    assert all(texts[k] == x for k, x in marks.items())
+
+    cut = stages["substring_dedup"](spark, docs.where("doc_id >= 20 or doc_id is null"), folder)
+    assert cut.columns == docs.columns and cut.schema["n_chars"] == docs.schema["n_chars"]
+    found = {r["n_removed"]: (r["text"], r["n_chars"]) for r in cut.collect()}
+    assert found[14] == (f"start {ends[1]}", 6 + len(ends[1])) and found[15][0] == texts[15][1] and found[13][0] == texts[13][1]
+
+    clean = stages["decontamination"](spark, docs, folder)
+    assert of(clean) == Counter(texts) - Counter([(None, leak), (8, leak)]) and clean.columns == docs.columns
+
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    house = "the house by the river is old and the way to the house is long and the people of the town go that way each day"
+    odd = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(80)), " ".join(f"{rng.getrandbits(64):016x}" for _ in range(60)), finnish, "12 34 !!", "", None]
+    learned = [(k, f"{house} {k} and {' '.join(rng.sample(house.split(), 12))}", "en", "s", 1) for k in range(40)]
+    folder = str(tmp_path / "b")
+    talk = stage_input(spark, folder, learned + [(None, house, None, "s", 1), (3, house, None, "s", 1)] + [(100 + k, t, None, "s", 1) for k, t in enumerate(odd)], "doc_id bigint, text string, lang string, source string, n_chars bigint", [(1, leak)])
+    kept = of(stages["language_id"](spark, talk, folder))
+    assert kept == Counter((r[0], r[1]) for r in learned) + Counter([(None, house), (3, house)])
+
+    folder = str(tmp_path / "c")
+    none = stage_input(spark, folder, [], schema, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, folder)
+        assert out.collect() == [] and (name == "packing" or out.columns == none.columns)
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_packing_leaves_little_padding(spark, sf):
+    """Over several merging groups: whole sequences but for one in a hundred tokens, and no gap before a sequence's end."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(70)
+    rows = pack(docs, TOKENIZER, open_windows=4).select("sequence_id", "length", "offset").collect()
+    filled = Counter()
+    for r in rows:
+        filled[r["sequence_id"]] += r["length"]
+    total = sum(filled.values())
+    padded = sum(2048 - n for n in filled.values() if n & (n - 1))
+    assert max(filled.values()) <= 2048 and padded <= 0.02 * total + 3 * 2048
+
+
+def test_registered_queries_against_plain_versions(spark, sf):
+    """Checksums and digests of the queries themselves, on all documents."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op9_substring_dedup"](spark, sf).collect():
+        texts[r["doc_id"]] = (texts[r["doc_id"]], r["n_words"], r["n_removed"], r["kept_sha256"])
+    kept = plain.substring_dedup({i: t[0] for i, t in texts.items()})
+    for i, (text, n, removed, digest) in texts.items():
+        assert (n, n - removed, digest) == (len(plain.words(text, fold=False)), len(kept[i]), plain.sha(kept[i]))
+    groups, links = plain.jaccard_groups({i: t[0] for i, t in texts.items()}), plain.jaccard_links({i: t[0] for i, t in texts.items()})
+    for r in QUERIES["op5_ngram_jaccard"](spark, sf).collect():
+        assert (r["n_shingles"], r["component_id"], r["n_links"]) == (*groups[r["doc_id"]], links[r["doc_id"]])
+    at = 0
+    for r in QUERIES["op10_token_files"](spark, sf).orderBy("doc_id").collect():
+        ids = plain.ids(texts[r["doc_id"]][0], 2)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), plain.crc(ids))
+        at += len(ids)
+    pieces = QUERIES["op6_packing"](spark, sf).collect()
+    for r in pieces:
+        ids = plain.ids(texts[r["doc_id"]][0], 1)
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == plain.crc(ids[r["start"] : r["start"] + r["length"]])
+    assert sum(r["length"] for r in pieces) == sum(len(plain.ids(t[0], 1)) for t in texts.values())
