@@ -23,14 +23,20 @@ from tessella.llm.ngram_jaccard import ngram_jaccard
 from tessella.llm.packing import pack
 from tessella.llm.substring_dedup import substring_dedup
 
-#: A document is rejected if hardly any of its n-grams is in a profile; clean text scores 0.4 or more, very short text less.
-LEAST_LANGUAGE_SCORE = 0.05
+#: Least language score. Taught languages score 0.36 and more, 0.7 in the middle; other languages, random letters and hex
+#: digits 0.27 and less from some fifty n-grams on. Shorter ones may score more and stay.
+LEAST_LANGUAGE_SCORE = 0.3
 #: The shingles of the near-duplicate stage and its similarity, in hundredths.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without a letter go."""
+    """Documents in a language that the labelled ones teach; those without a letter, null and empty texts go.
+
+    Rows are judged one by one, so repeated ids and rows, and null ids, make no
+    difference. Equal distances go to the smaller language. Without a labelled
+    row nothing is taught and all go.
+    """
     found = identify(docs, learn(docs))
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
@@ -77,7 +83,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; a row is a document, whatever its id. Null and empty texts are one token."""
     pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
