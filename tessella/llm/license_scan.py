@@ -13,9 +13,10 @@ own inherits from its nearest ancestor directory that has one.
   they are shuffled. Those of the templates' terms go into the model; terms of
   no template meet theirs by an equi-join and add to a window's norm.
 * Scores are computed inside a row by higher-order functions. Only windows with a
-  telling term are scored: the terms are chosen so that, by Cauchy-Schwarz, a
-  window without any can't reach the least score. Of those only the ones that
-  would reach it without their other terms meet the join.
+  telling term are scored: the terms are chosen, rare ones first, so that, by
+  Cauchy-Schwarz, a window without any can't reach the least score. Of those only
+  the ones that would reach it if each other term had the least weight there is
+  meet the join.
 * Inheritance joins distinct directories, exploded into their ancestors, with
   licensed directories by equality, and files with directories at the end.
 """
@@ -129,17 +130,34 @@ def vocabulary(notices: Mapping[str, Sequence[str]]) -> list[str]:
 
 
 def windows(lines: Column) -> Column:
-    """The terms of each window of an array of lines' terms."""
+    """The terms of each window that has a told line, of an array of lines ``t, told``."""
     n = F.size(lines)
 
     def of(size: int) -> Column:
         last = F.greatest(n - size, F.lit(0))
         starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(max(1, size // 4))), F.array(last)))
-        return F.when(2 * n > size, F.transform(starts, lambda s: F.flatten(F.slice(lines, s + 1, size)))).otherwise(F.array().cast("array<array<string>>"))
+        told = F.filter(starts, lambda s: F.exists(F.slice(lines, s + 1, size), lambda x: x["told"]))
+        return F.when(2 * n > size, F.transform(told, lambda s: F.flatten(F.transform(F.slice(lines, s + 1, size), lambda x: x["t"])))).otherwise(F.array().cast("array<array<string>>"))
 
     return F.concat(*[of(size) for size in WINDOW_LINES])
 
 
+def any_of(words: Sequence[str]) -> str:
+    """A regular expression for any of some words of a-z and 0-9, letter by letter, so that few are tried at a place."""
+
+    def node(rest: list[str]) -> str:
+        tails: dict[str, list[str]] = {}
+        for word in rest:
+            if word:
+                tails.setdefault(word[0], []).append(word[1:])
+        branches = "|".join(first + node(tails[first]) for first in sorted(tails))
+        if not branches:
+            return ""
+        return f"(?:{branches})" + "?" * ("" in rest)
+
+    return f"(?<![a-z0-9]){node(sorted(words))}(?![a-z0-9])"
+
+
 class Templates:
     """TF-IDF vectors of headers and texts for ``n`` files and the document frequencies ``df`` of their terms."""
 
@@ -159,32 +177,33 @@ class Templates:
         for _, weights in self.vectors:
             left = {t: w for t, w in weights.items() if t not in out}
             while left and math.sqrt(math.fsum(w * w for w in left.values())) >= least - 1e-9:
-                strongest = max(left, key=lambda t: (left[t], t))
-                out.add(strongest)
-                del left[strongest]
+                rarest = max(left, key=lambda t: (self.idf[t], left[t], t))
+                out.add(rarest)
+                del left[rarest]
         return sorted(out)
 
-    def best(self, words: Column, other: Column) -> Column:
+    def best(self, words: Column, other: Column | None = None) -> Column:
         """``score, name`` of the licence that an array of terms is nearest to; equal scores go to the greater name.
 
-        ``other`` is the sum of the squared weights of those terms that no template has.
+        ``other`` is the sum of the squared weights of those terms that no template
+        has; without it the score is the greatest that there can be.
         """
-        terms = F.array(*[F.lit(t) for t in self.idf])
         weight = F.create_map(*[F.lit(x) for t, w in self.idf.items() for x in (t, w)])
         # one literal map from a term to its weight in every template keeps the expression, and what is compiled of it, small
         names = [name for name, _ in self.vectors]
         unit = F.create_map(*[x for t in self.idf for x in (F.lit(t), F.array(*[F.lit(v.get(t, 0.0)) for _, v in self.vectors]))])
-        own = F.filter(words, lambda t: F.array_contains(terms, t))
-        counts = F.transform(F.array_sort(F.array_distinct(own)), lambda t: F.struct(t.alias("t"), (F.size(F.filter(own, lambda x: x == t)) * weight[t]).alias("w")))
-        known = F.struct(counts.alias("counts"), other.alias("other"))
+        own = F.array_sort(F.array_intersect(words, F.array(*[F.lit(t) for t in self.idf])))
+        counted = F.transform(own, lambda t: F.struct(t.alias("t"), F.size(F.filter(words, lambda x: x == t)).alias("k")))
+        rest = (lambda x: F.size(words) - F.aggregate(x, F.lit(0), lambda a, c: a + c["k"])) if other is None else lambda _: other  # a weight is 1 at least
+        counts = F.transform(F.array(counted), lambda x: F.struct(F.transform(x, lambda c: F.struct(c["t"].alias("t"), (c["k"] * weight[c["t"]]).alias("w"))).alias("counts"), rest(x).cast("double").alias("other")))
 
         def scored(x: Column) -> Column:
-            norm = F.sqrt(F.aggregate(x["counts"], x["other"].cast("double"), lambda a, c: a + c["w"] * c["w"]))
+            norm = F.sqrt(F.aggregate(x["counts"], x["other"], lambda a, c: a + c["w"] * c["w"]))
             dots = F.aggregate(x["counts"], F.array(*[F.lit(0.0) for _ in names]), lambda a, c: F.zip_with(a, unit[c["t"]], lambda s, u: s + c["w"] * u))
             scores = F.transform(dots, lambda d: F.round(F.when(norm > 0, d / norm).otherwise(0.0), 6))
             return F.array_max(F.zip_with(scores, F.array(*[F.lit(n) for n in names]), lambda s, n: F.struct(s.alias("score"), n.alias("name"))))
 
-        return F.transform(F.array(known), scored)[0]
+        return F.transform(counts, scored)[0]
 
 
 def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: Mapping[str, Sequence[str]] = NOTICES, least: float = LEAST_SCORE) -> DataFrame:
@@ -211,14 +230,13 @@ def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: M
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
     stem = F.substring_index(F.lower(F.element_at(F.split("path", "/"), -1)), ".", 1)
     is_file = F.coalesce(stem.isin(*LICENCE_FILES), F.lit(False))
-    telling = F.array(*[F.lit(t) for t in model.telling])
-    hint = "|".join(model.telling)
-    plain = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.filter(F.transform(F.split("text", "[\\n\\r]+"), terms), lambda x: F.size(x) > 0)
-    near = lambda x: F.arrays_overlap(x, telling) & (model.best(x, F.lit(0.0))["score"] >= least)
-    heard = F.filter(F.transform(F.array(lines), windows)[0], near)
+    hint = any_of(model.telling)
+    told = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike(hint)
+    lines = F.filter(F.transform(F.split("text", "[\\n\\r]+"), lambda x: F.struct(terms(x).alias("t"), told(x).alias("told"))), lambda x: F.size(x["t"]) > 0)
+    heard = F.filter(F.transform(F.array(lines), windows)[0], lambda x: model.best(x)["score"] >= least)
     whole = terms(F.col("text"))
-    heard = rows.select("_id", "path", folder.alias("folder"), is_file.alias("is_file"), F.when(plain.rlike(hint), heard).alias("heard"), F.when(is_file & plain.rlike(hint), whole).alias("whole"))
+    hinted = rows.select("_id", "path", "text", folder.alias("folder"), is_file.alias("is_file"), told(F.col("text")).alias("told"))
+    heard = hinted.select("_id", "path", "folder", "is_file", F.when(F.col("told"), heard).alias("heard"), F.when(F.col("is_file") & F.col("told"), whole).alias("whole"))
     heard = cut(heard.withColumn("row", F.monotonically_increasing_id()), "license-heard")
     # terms of scored windows that no template has, the whole file as window -1
     others = F.concat(F.coalesce(F.transform("heard", lambda x, k: F.struct(k.alias("k"), x.alias("t"))), F.array()), F.array(F.struct(F.lit(-1).alias("k"), F.coalesce("whole", F.array().cast("array<string>")).alias("t"))))
