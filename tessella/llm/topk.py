@@ -8,8 +8,9 @@
   ``p`` and radius ``r`` scores at most ``q.p + |q| r`` by Cauchy-Schwarz, and at
   most the sum over components of the greater of ``q_i lo_i`` and ``q_i hi_i``.
 * Pivots are members themselves, so a query's k-th best score among them is a
-  score that its k-th best vector reaches for sure. Cells whose bound is below it
-  are left out. The query, the smaller side, is replicated to the cells that
+  score that its k-th best vector reaches for sure; so is the least that any
+  member of a cell of more than k can have. Cells whose bound is below the
+  greatest of these are left out. The query, the smaller side, is replicated to the cells that
   remain; data vectors are never replicated.
 * Large cells are split, neighbouring small ones are put together, so that all
   blocks are of bounded size, also where a cell holds a third of all rows. A task
@@ -89,10 +90,11 @@ def far_apart(sample: np.ndarray, count: int) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Pivots with their ids, and of each cell its radius and the least and greatest values of components."""
+    """Pivots with their ids, and of each cell its size, its radius and the least and greatest values of components."""
 
     ids: np.ndarray
     pivots: np.ndarray
+    sizes: np.ndarray
     radius: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -113,13 +115,17 @@ class Cells:
         reach = np.sqrt((np.maximum(np.abs(self.low), np.abs(self.high)) ** 2).sum(axis=1).max(initial=0))
         if float(size.max(initial=0)) * reach >= 2**62:  # scores may wrap around, so no bound holds
             return np.ones(scores.shape, bool)
-        ball = scores + size[:, None] * self.radius[None]
+        far, slack = size[:, None] * self.radius[None], 1e-9 * (1 + size[:, None]) * (1 + reach)
         box = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-        return np.minimum(ball, box) + 1e-9 * (1 + size[:, None]) * (1 + reach) >= least[:, None]
+        full = self.sizes > k  # one more, as the query may be one of them
+        if full.any():
+            floor = np.maximum(scores - far, np.maximum(q, 0) @ self.low.T + np.minimum(q, 0) @ self.high.T) - slack
+            least = np.maximum(least, floor[:, full].max(axis=1))
+        return np.minimum(scores + far, box) + slack >= least[:, None]
 
 
-def _summaries(placed: DataFrame, pivots: np.ndarray, ids: np.ndarray, width: int) -> tuple[Cells, np.ndarray]:
-    """The cells of ``placed(cell, far, data)``, and how many members each has; merged in a stream, a row a cell at the end."""
+def _summaries(placed: DataFrame, pivots: np.ndarray, ids: np.ndarray, width: int) -> Cells:
+    """The cells of ``placed(cell, far, data)``; merged in a stream, a row a cell at the end."""
     schema = "cell int, n bigint, far double, low binary, high binary"
 
     def merge(rows, held: dict[int, list]) -> None:
@@ -159,7 +165,7 @@ def _summaries(placed: DataFrame, pivots: np.ndarray, ids: np.ndarray, width: in
     for r in found:
         c = r["cell"]
         sizes[c], radius[c], low[c], high[c] = r["n"], r["far"], np.frombuffer(r["low"], np.int64), np.frombuffer(r["high"], np.int64)
-    return Cells(ids, pivots, radius, low, high), sizes
+    return Cells(ids, pivots, sizes, radius, low, high)
 
 
 def blocks_of(sizes: np.ndarray, pivots: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -206,7 +212,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     vectors_of = np.asarray([r["v"] + [0] * (width - len(r["v"])) for r in sample], np.int64).reshape(len(sample), width)
     chosen = far_apart(vectors_of, max(4 * k, min(most_pivots, math.isqrt(whole["n"]))))
     pivots, ids = vectors_of[chosen], np.asarray([r["id"] for r in sample])[chosen]
-    centres = spark.sparkContext.broadcast(Cells(ids, pivots, *[np.zeros(0)] * 3))
+    centres = spark.sparkContext.broadcast(Cells(ids, pivots, *[np.zeros(0)] * 4))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +225,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary()), pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "asks", "data", "cell", "far"])
 
     placed = cut(clean.mapInArrow(assign, "id bigint, asks boolean, data binary, cell int, far double"), "topk-cells")
-    cells, sizes = _summaries(placed, pivots, ids, width)
-    blocks = blocks_of(sizes, pivots, max(1, min(block_rows, BLOCK_BYTES // (8 * width))))
+    cells = _summaries(placed, pivots, ids, width)
+    blocks = blocks_of(cells.sizes, pivots, max(1, min(block_rows, BLOCK_BYTES // (8 * width))))
     shared = spark.sparkContext.broadcast((cells, blocks))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
