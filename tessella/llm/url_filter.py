@@ -6,6 +6,8 @@ expression's digest is SHA-256; URLs meet rules by an equi-join on the
 digest's first bits, the full digests are compared, and the longest rule wins.
 Expansion and join run on distinct (host, path prefix) pairs, aggregated before
 the shuffle, so a host with a third of all pages is expanded once per prefix.
+What they come to is written: pages then meet a table of known size, which is
+broadcast if it is small; else a host's prefix with very many pages can be split.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm._cluster import cut
+
 #: Hexadecimal digits of a digest that the join uses (32 bits).
 PREFIX_DIGITS = 8
 #: Rule tables of so many rows at most are broadcast: under 1 MB. Larger ones are shuffled.
@@ -78,6 +82,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url:
     expanded = keys.select("host", "head", F.explode(hosts).alias("suffix")).select("host", "head", "suffix", F.explode(wanted).alias("n"))
     expanded = expanded.select("host", "head", digest(F.col("suffix"), F.substr("head", F.lit(1), F.col("n"))).alias("full"))
     met = expanded.withColumn("short", F.substring("full", 1, PREFIX_DIGITS)).join(known, "short").where("full = digest")
-    best = met.groupBy("host", "head").agg(F.max(F.struct(F.char_length("rule").alias("length"), "host_length", "verdict", "rule")).alias("best"))
+    best = cut(met.groupBy("host", "head").agg(F.max(F.struct(F.char_length("rule").alias("length"), "host_length", "verdict", "rule")).alias("best")), "url-rules")
     joined = parsed.join(best, ["host", "head"], "left")
     return joined.select(F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
