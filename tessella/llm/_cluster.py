@@ -7,11 +7,11 @@ one task's work and never a recomputation of the whole chain.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.sources.scratch import shared_folder
 
 #: Rows that go to a Python worker at a time. Texts can be long, so it is well below Spark's default of 10,000.
 BATCH_ROWS = 500
@@ -27,33 +27,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local
-    session gets a temporary folder; a cluster session is refused, because no
-    machine-local folder would do.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tessella/{label}-{uuid.uuid4().hex}"
+
 
+def cut(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the plan starts anew.
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan starts anew."""
+    ``slim``: rows are few and short, so one file for each core will do.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -70,7 +70,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     repeated links and nulls do no harm; an empty input gives no rows.
     """
     plain = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = cut(plain.mapInArrow(_contract, plain.schema).distinct(), label)
+    edges = cut(plain.mapInArrow(_contract, plain.schema).distinct(), label, slim=True)
     while True:
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if not ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").take(1):
@@ -81,7 +81,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         after = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        new = cut(after.mapInArrow(_contract, plain.schema).distinct(), label)
+        new = cut(after.mapInArrow(_contract, plain.schema).distinct(), label, slim=True)
         remove(edges)
         edges = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -413,7 +413,7 @@ def _bridges(apart: DataFrame, classes: DataFrame, sets: DataFrame, num: int, de
 
     split = _in_blocks(apart.join(classes.select("cls", "n", "bits"), "cls"), "n", BLOCK_GRAMS).join(sets.withColumnRenamed("c", "cls"), "cls")
     split = split.select("hub", "lo", "hi", "n", "cls", "bits", "root", "own", "items")
-    return cut(_by_piece(split, ["hub", "lo", "hi"], ["n", "cls", "bits", "root", "own", "items"], links, "a binary, b binary").distinct(), "jaccard-bridges")
+    return cut(_by_piece(split, ["hub", "lo", "hi"], ["n", "cls", "bits", "root", "own", "items"], links, "a binary, b binary").distinct(), "jaccard-bridges", slim=True)
 
 
 def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -450,7 +450,7 @@ def _verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _components(links: DataFrame) -> DataFrame:
-    return cut(components(links, "jaccard-roots").withColumnRenamed("node", "cls"), "jaccard-components")
+    return cut(components(links, "jaccard-roots").withColumnRenamed("node", "cls"), "jaccard-components", slim=True)
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -487,7 +487,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.
 def _link_counts(roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``cls, n_links`` of the classes in ``roots(cls, root)`` that link, whose n-grams are in ``sets(c, items)``."""
     parts = roots.join(sets.select(F.col("c").alias("cls"), F.size("items").alias("n")), "cls").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("grams"))
-    placed = cut(roots.join(parts, "root").where("held > 1").select("cls", "root", "held", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")), "jaccard-members")
+    placed = cut(roots.join(parts, "root").where("held > 1").select("cls", "root", "held", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")), "jaccard-members", slim=True)
     of_two = placed.where("held = 2").select("cls", F.lit(1).cast("bigint").alias("n_links"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     split = placed.where("held > 2").withColumn("own", own).join(sets.withColumnRenamed("c", "cls"), "cls")
@@ -531,15 +531,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     facts = cut(classes.drop("keys"), "jaccard-facts")
     remove(classes)
     first = _first_pairs(rows, facts, num, den)
-    near = cut(_named(first.where("open is null"), facts), "jaccard-near")
+    near = cut(_named(first.where("open is null"), facts), "jaccard-near", slim=True)
     sets = _contents(docs, text, width, near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct())
     links = _verified(near, sets, num, den)
     roots = _components(links)
     left = first.where("open is not null").select(F.col("open").alias("key")).unionByName(rows.where(F.col("held") > BLOCK_ROWS).select("key")).distinct()
-    members = cut(rows.join(left, "key").join(facts.select("h", "cls"), "h").select("key", "cls"), "jaccard-open")
+    members = cut(rows.join(left, "key").join(facts.select("h", "cls"), "h").select("key", "cls"), "jaccard-open", slim=True)
     remove(rows, first, near)
     apart = _apart(members, roots, facts, num, den)
-    missing = cut(apart.select(F.col("cls").alias("c")).distinct().join(sets.select("c"), "c", "left_anti"), "jaccard-missing")
+    missing = cut(apart.select(F.col("cls").alias("c")).distinct().join(sets.select("c"), "c", "left_anti"), "jaccard-missing", slim=True)
     if missing.take(1):
         more = _contents(docs, text, width, missing)
         whole = cut(sets.unionByName(more), "jaccard-contents")
@@ -547,7 +547,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         sets = whole
     bridges = _bridges(apart, facts, sets, num, den)
     if bridges.take(1):
-        whole = cut(links.unionByName(bridges), "jaccard-links")
+        whole = cut(links.unionByName(bridges), "jaccard-links", slim=True)
         remove(roots, links)
         links = whole
         roots = _components(links)

@@ -117,3 +117,33 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER B
 SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - far::DOUBLE / (n * 300), 0.0)::DOUBLE AS score
 FROM d LEFT JOIN best b USING (doc_id)
 """
+
+
+_PLAIN = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+
+SUBSTRING_DEDUP = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, p, sha256(array_to_string(w[p : p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+low AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM win JOIN low USING (h) WHERE lo < doc_id),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.k) AS text, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d) x ANTI JOIN gone USING (doc_id, k) GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_FOLDED = "list_filter(regexp_split_to_array(coalesce(" + _FOLD.format("text") + ", ''), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_FOLDED} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p : p + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+named AS MATERIALIZED (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(array_to_string(s, chr(10))) END AS cls, s FROM s),
+classes AS MATERIALIZED (SELECT cls, any_value(n) AS n, min(doc_id) AS least, any_value(s) AS s FROM named WHERE cls IS NOT NULL GROUP BY cls),
+held AS MATERIALIZED (SELECT cls, n, unnest(s) AS g FROM classes),
+pairs AS MATERIALIZED (SELECT a.cls AS a, b.cls AS b FROM held a JOIN held b ON a.g = b.g AND a.cls < b.cls GROUP BY a.cls, b.cls HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(cls, root) AS (SELECT cls, cls FROM classes UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.cls = e.a),
+best AS (SELECT r.cls, min(c.least) AS component_id FROM reach r JOIN classes c ON r.root = c.cls GROUP BY r.cls),
+links AS (SELECT a AS cls, count(*) AS n_links FROM edges GROUP BY a)
+SELECT named.doc_id, named.n::BIGINT AS n_shingles, coalesce(best.component_id, named.doc_id) AS component_id, coalesce(links.n_links, 0)::BIGINT AS n_links
+FROM named LEFT JOIN best USING (cls) LEFT JOIN links USING (cls)
+"""

@@ -99,5 +99,7 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op3_language_id": oracles.LANGUAGE_ID,
     "op4_top_k": oracles.TOP_K,
+    "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op8_license_scan": oracles.license_scan(_path("doc_id // 64")),
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
 }

@@ -160,6 +160,27 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
     return files.join(manifest.select("file", "base"), "file").select("base", "content").mapInArrow(one, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
+def read_range(spark: SparkSession, folder: str, manifest: DataFrame, lo: int, hi: int) -> DataFrame:
+    """``start, ids`` of ids ``lo`` to ``hi`` of all files in order, in pieces of a block at most; only the blocks that hold them are unpacked."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = TokenFile(data.as_buffer())
+                first, last = max(0, lo - base), min(found.n_ids, hi - base)
+                edges = [first, *range(first // found.block * found.block + found.block, last, found.block), last]
+                pieces = [(base + a, found.ids(a, b).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+                if pieces:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pieces], pa.int64()), pa.array([x for _, x in pieces], pa.binary())], ["start", "ids"])
+
+    wanted = manifest.where((F.col("base") < hi) & (F.col("base") + F.col("n_ids") > lo))
+    names = [f"{folder}/{r['file']}" for r in wanted.select("file").collect()]  # files of millions of ids each
+    if not names:
+        return spark.createDataFrame([], "start bigint, ids binary")
+    files = spark.read.format("binaryFile").load(names).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.join(wanted.select("file", "base"), "file").select("base", "content").mapInArrow(one, "start bigint, ids binary")
+
+
 def _whole(found: TokenFile, k: int, end: int) -> list[bytes]:
     """Documents ``k`` to ``end`` from one unpacking."""
     base = int(found.starts[k])
