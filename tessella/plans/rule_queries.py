@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, formats, paths
-from tessella.plans.registry import query
+from tessella.plans.registry import FILES, query
 from tessella.sources import corpus
 
 _NUMBERS = "n AS (SELECT o_orderkey AS id, (o_orderkey * pow(1024, o_orderkey % 5))::BIGINT AS n FROM orders)"
@@ -62,34 +62,52 @@ def rule_undoable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), classify.undoable(kind, platform).alias("undoable"), classify.not_undoable_reason(kind, platform).alias("reason"))
 
 
-_NAMES = ["CON", "con.txt", "lpt1 ", "COM0", "com9.tar.gz", "console", "aux .x", "NUL.", "clock$.a", "a.con", "prn"]
-_TEMPS = ["a.app-restored_1.bin", "a.app-restored_12.jpg", "a_1.app-restored", "photo.jpg.app-restored_2.jpg", "x.app-old.undo", ".app-case-probe-42", "a.app-restoredx_1.bin", "notes.app-old-summary.txt", "X.APP-old", "y.app-tmp", "z.app-undo-tmp.undo"]
+def _pick(values: list[str | None], n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(n in ('CON', 'con.txt', 'lpt1 ', 'com9.tar.gz', 'NUL.', 'clock$.a', 'prn')).lower()})" for n in _NAMES) + ") t(name, reserved)")
+def _list(values: list[str | None]) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+_STEMS, _ENDS = ["con", "Com1", "LPT9", "aux", "nul", "clock$", "com0", "console", "prn", "a.con"], ["", ".txt", ".tar.gz", " ", "..", " .x", "1"]
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_list(_STEMS)}[doc_id % 10 + 1] || {_list(_ENDS)}[doc_id // 10 % 7 + 1] AS name FROM documents)
+SELECT doc_id, name, regexp_full_match(upper(split_part(rtrim(name, ' .'), '.', 1)), 'CON|PRN|AUX|CLOCK[$]|NUL|COM[1-9]|LPT[1-9]') AS reserved FROM n""")
 def rule_reserved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", classify.reserved_name(F.col("name")).alias("reserved"))
+    name = F.concat(_pick(_STEMS, F.col("doc_id")), _pick(_ENDS, F.floor(F.col("doc_id") / 10)))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).withColumn("reserved", classify.reserved_name(F.col("name")))
+
+
+_MARKS, _TAILS = ["a.app-restored", "b.app-old", ".app-tmp", "c.app-undo-tmp", "d.APP-old", ".app-case-probe-", "x.app-restoredx"], ["", ".undo", "_1.bin", ".jpg", "x", "_12", "42", "_3.undo"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(n not in ('a.app-restoredx_1.bin', 'notes.app-old-summary.txt', 'X.APP-old')).lower()})" for n in _TEMPS) + ") t(name, temporary)")
+@query(f"""WITH n AS (SELECT doc_id, doc_id % 7 AS m, {_list(_TAILS)}[doc_id // 7 % 8 + 1] AS tail, {_list(_MARKS)}[doc_id % 7 + 1] || {_list(_TAILS)}[doc_id // 7 % 8 + 1] AS name FROM documents)
+SELECT doc_id, name, CASE WHEN m = 0 THEN tail NOT IN ('x', '42') WHEN m IN (1, 2, 3) THEN tail IN ('', '.undo') WHEN m = 5 THEN tail = '42' ELSE false END AS temporary FROM n""")
 def rule_work_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _TEMPS], "name string").select("name", classify.work_temp(F.col("name"), "app").alias("temporary"))
+    name = F.concat(_pick(_MARKS, F.col("doc_id")), _pick(_TAILS, F.floor(F.col("doc_id") / 7)))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).withColumn("temporary", classify.work_temp(F.col("name"), "app"))
 
 
-_UNDER = [("/a/b", "/a", True), ("/a", "/a", True), ("/ab", "/a", False), ("/a/b", "/a/b/c", False), ("/a", "", True), ("a/b", "", False), ("/data/ab", "/data/a", False)]
+_PARENTS = ["/src1", "/src", "", "/src2/en", "src3", "/src1/.h/en/0.txt", "/src10"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{p}', {str(t).lower()})" for c, p, t in _UNDER) + ") t(child, parent, inside)")
+@query(f"""WITH {FILES}, p AS (SELECT id, path, {_list(_PARENTS)}[id % 7 + 1] AS parent FROM files) SELECT id, parent, path = parent OR left(path, length(parent) + 1) = parent || '/' AS inside FROM p""")
 def rule_under(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([x[:2] for x in _UNDER], "child string, parent string").select("child", "parent", paths.under(F.col("child"), F.col("parent")).alias("inside"))
+    files = corpus.documents(spark, sf_dir, False).withColumn("parent", _pick(_PARENTS, F.col("id")))
+    return files.select("id", "parent", paths.under(F.col("path"), F.col("parent")).alias("inside"))
 
 
-_STREAMS = [(1, ["::$DATA"], "none", None), (2, ["::$DATA", ":x:$DATA"], "none", "reject-named"), (3, [], "denied", "reject-unknown"), (4, [], "no-streams", None), (5, [":y"], "none", "reject-named"), (6, [":$data"], "none", None), (7, ["z"], "missing", None)]
+_STREAMS, _MET = ["::$DATA", ":x:$DATA", ":y", ":$data", "z", ":"], ["none", "denied", "no-streams", "none", "missing", "fs-no-streams", "none"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {'NULL' if d is None else repr(d)})" for k, _, _, d in _STREAMS) + ") t(id, decision)")
+@query(f"""WITH e AS (SELECT event_id, event_id % 6 AS a, event_id // 6 % 6 AS b, {_list(_MET)}[event_id % 7 + 1] AS kind FROM events)
+SELECT event_id, CASE WHEN kind = 'none' THEN CASE WHEN a IN (1, 2) OR b IN (1, 2) THEN 'reject-named' END WHEN kind = 'denied' THEN 'reject-unknown' END AS decision FROM e""")
 def rule_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([x[:3] for x in _STREAMS], "id int, names array<string>, kind string").select("id", classify.stream_decision(F.col("names"), F.col("kind")).alias("decision"))
+    """Two streams a file: only those named x and y are alternate ones."""
+    names = F.array(_pick(_STREAMS, F.col("event_id")), _pick(_STREAMS, F.floor(F.col("event_id") / 6)))
+    return corpus.table(spark, sf_dir, "events").select("event_id", classify.stream_decision(names, _pick(_MET, F.col("event_id"))).alias("decision"))
 
 
 _LEGAL = sorted((a, b) for a, targets in classify.TRANSITIONS.items() for b in targets)
