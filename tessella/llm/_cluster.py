@@ -7,6 +7,7 @@ one task's work and never a recomputation of the whole chain.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,9 @@ def remove(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over: they go when the driver collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import _sketch, _text
-from tessella.llm._cluster import bound_batches, cut, remove
+from tessella.llm._cluster import bound_batches, cut, release, remove
 from tessella.llm._graph import components
 
 #: Sets that can miss fewer n-grams than this index pairs of frequent n-grams, larger ones single n-grams.
@@ -530,9 +530,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     rows = _meetings(classes)
     facts = cut(classes.drop("keys"), "jaccard-facts")
     remove(classes)
+    release(docs.sparkSession)
     first = _first_pairs(rows, facts, num, den)
     near = cut(_named(first.where("open is null"), facts), "jaccard-near", slim=True)
     sets = _contents(docs, text, width, near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct())
+    release(docs.sparkSession)
     links = _verified(near, sets, num, den)
     roots = _components(links)
     left = first.where("open is not null").select(F.col("open").alias("key")).unionByName(rows.where(F.col("held") > BLOCK_ROWS).select("key")).distinct()
@@ -552,6 +554,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         links = whole
         roots = _components(links)
     remove(members, facts, apart, missing, bridges)
+    release(docs.sparkSession)
 
     kept = census.where("piece is null")
     found = kept.groupBy("cls").agg(F.min("doc").alias("least")).where("cls is not null").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import _sketch, _text
-from tessella.llm._cluster import bound_batches, cut, remove, scratch
+from tessella.llm._cluster import bound_batches, cut, release, remove, scratch
 
 #: Runs that the index holds before it merges them.
 FANOUT = 2
@@ -266,6 +266,7 @@ def repeated_starts(docs: DataFrame, classes: DataFrame, history: DataFrame | No
                     s = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(_text.signed(a[s])), pa.array(_text.signed(b[s])), batch.column(1).take(pa.array(row[s])), batch.column(0).take(pa.array(row[s])), pa.array(starts[s].astype(np.int32))], ["w1", "w2", "doc", "seq", "start"])
 
+    release(docs.sparkSession)
     texts = _chosen(docs, wanted.select("seq"), once=True)
     kind = docs.schema["doc"].dataType.simpleString()
     joined = wanted.join(texts, "seq").dropDuplicates(["seq"]).select("seq", "doc", "places", "text")
@@ -357,6 +358,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         own.forget()
     results = cut(every.select("seq", "least", "most").join(starts, "seq", "left").where("starts is not null or least < most"), "dedup-results")
     remove(starts, classes)
+    release(spark)
     wanted = _filter_of(results.select("seq"))
     out = T.StructType([data.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
