@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _sketch, _text
-from tessella.llm._cluster import bound_batches, cut, remove
+from tessella.llm._cluster import bound_batches, cut, release, remove
 from tessella.llm.language import held_out
 
 #: Words of a context at most.
@@ -46,8 +46,8 @@ PRIOR = 5.0
 MOST_WORDS, MOST_PARTS = 1_000_000, 2_000_000
 #: Keys that a task adds up in memory before it passes counts on.
 HELD_KEYS = 1 << 20
-#: Partitions that what follows one context is dealt to.
-SALTS = 16
+#: What follows a context with more than one in so many tokens is dealt to several partitions, each with that share at most.
+SALTED = 1000
 
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,13 +75,11 @@ def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _text.mix(context * _STEP + word)
 
 
-def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
-    """``*names, n``: how often each combination of names occurs in ``texts(text)``.
+def _added_up(texts: DataFrame, keys_of, batch_of, schema: str) -> DataFrame:
+    """Rows that ``batch_of(columns, n)`` makes of combinations of keys and how often a task has them.
 
     ``keys_of(tokens, splits)`` gives a combined key per occurrence, then its
-    parts. A task adds up what it holds before it passes it on, in the order of
-    the first name, which makes for small shuffles; a name that very many others
-    follow is dealt to ``SALTS`` partitions.
+    parts. A task adds up what it holds before it passes it on.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +91,6 @@ def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
             key, first, where = np.unique(columns[0], return_index=True, return_inverse=True)
             return (key, *(c[first] for c in columns[1:-1]), np.bincount(where, columns[-1], len(key)).astype(np.int64))
 
-        def passed_on(row: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(row[1], kind="stable")
-            row = tuple(c[order] for c in row)
-            for k in range(0, len(row[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].view(np.int64)) for c in row[1:]], [*names, "n"])
-
         for batch in batches:
             for _, stream, splits in tokens(batch.column(0)):
                 found = keys_of(stream, splits)
@@ -108,17 +100,56 @@ def counts(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
                 if size > HELD_KEYS:
                     row = added()
                     if len(row[0]) > HELD_KEYS // 2:
-                        yield from passed_on(row)
+                        yield from batch_of(row[1:-1], row[-1])
                         waiting, size = [], 0
                     else:
                         waiting, size = [row], len(row[0])
         if waiting:
-            yield from passed_on(added())
+            row = added()
+            yield from batch_of(row[1:-1], row[-1])
+
+    return texts.mapInArrow(one, schema)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word, n`` of all tokens of ``texts(text)``."""
+
+    def batch_of(columns: tuple[np.ndarray, ...], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(_text.signed(columns[0][k : k + 100_000])), pa.array(n[k : k + 100_000])], ["word", "n"])
 
-    schema = ", ".join(f"{n} bigint" for n in names) + ", n bigint"
-    rows = texts.mapInArrow(one, schema).withColumn("salt", F.pmod(F.col(names[-1]), F.lit(SALTS)))
-    return rows.repartition(names[0], "salt").groupBy(names[0], "salt", *names[1:]).agg(F.sum("n").alias("n")).drop("salt")
+    rows = _added_up(texts, lambda stream, splits: (stream, stream), batch_of, "word bigint, n bigint")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(texts: DataFrame, keys_of, salts) -> DataFrame:
+    """``name, word, n``: how often each word follows each context of ``keys_of``.
+
+    A row of the shuffle holds all words that follow a context in a task, so a
+    context is sent once and not with each of them. ``salts``: a broadcast of
+    common contexts and of the partitions that each is dealt to.
+    """
 
+    def batch_of(columns: tuple[np.ndarray, ...], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        context, word = columns
+        common, parts = salts.value
+        at = find(common, context)
+        salt = np.where(at >= 0, word % np.where(at >= 0, parts[np.maximum(at, 0)] if len(parts) else 1, 1).astype(np.uint64), 0).astype(np.int32)
+        order = np.lexsort((salt, context))
+        context, word, salt, n = context[order], word[order], salt[order], n[order]
+        new = np.ones(len(n), bool)
+        new[1:] = (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])
+        starts = np.append(np.flatnonzero(new), len(n))
+        for k in range(0, len(starts) - 1, 10_000):
+            edges = starts[k : k + 10_001]
+            lo, hi = int(edges[0]), int(edges[-1])
+            offsets = pa.array((edges - lo).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(_text.signed(word[lo:hi])), pa.array(n[lo:hi].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(_text.signed(context[edges[:-1]])), pa.array(salt[edges[:-1]]), *lists], ["name", "salt", "words", "counts"])
+
+    rows = _added_up(texts, keys_of, batch_of, "name bigint, salt int, words array<bigint>, counts array<int>")
+    each = rows.repartition("name", "salt").select("name", "salt", "counts", F.posexplode("words").alias("k", "word"))
+    return each.groupBy("name", "salt", "word").agg(F.sum(F.get("counts", F.col("k"))).alias("n")).drop("salt")
 
 
 ROOT = np.uint64(0)
@@ -216,7 +247,7 @@ def _commonest(table: DataFrame, most: int) -> Column:
 def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words: int = MOST_WORDS, most_parts: int = MOST_PARTS) -> tuple[Model, DataFrame]:
     """The model of ``texts(text)``, and the written table ``kind, key, figure``: counts of all words (0), what the rare parts of the tree add (1)."""
     spark = texts.sparkSession
-    vocabulary = cut(counts(texts, lambda stream, splits: (stream, stream), ("word",)), "lm-words")
+    vocabulary = cut(word_counts(texts), "lm-words")
     whole = vocabulary.agg(F.sum("n").alias("total"), F.count("*").alias("size")).first()
     total, size = whole["total"] or 0, whole["size"]
     words = Part.of(vocabulary.where(_commonest(vocabulary, most_words)), "word", "n")
@@ -225,11 +256,14 @@ def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
     below = vocabulary.where(F.col("n") >= least_next).select(F.col("word").alias("key"), F.log10((F.col("n") + 1) / F.lit(float(total + size + 1))).alias("log"))
     parts = []
     for d in range(1, depth + 1):
-        size_of = lambda t: t.count()
-        if not size_of(contexts):
+        held = contexts.count()
+        if not held:
             break
-        shared = spark.sparkContext.broadcast((_sketch.key_filter(contexts.select("name"), size_of(contexts)), _sketch.key_filter(below.select("key"), size_of(below))))
-        pairs = cut(counts(texts, _follows(shared, d), ("name", "word")).where(F.col("n") >= least_next), "lm-pairs")
+        shared = spark.sparkContext.broadcast((_sketch.key_filter(contexts.select("name"), held), _sketch.key_filter(below.select("key"), below.count())))
+        release(spark)
+        common = Part.of(contexts.where(F.col("total") * SALTED > total), "name", "total")  # SALTED rows at most
+        salts = spark.sparkContext.broadcast((common.keys, -(-common.figures * SALTED // max(total, 1))))
+        pairs = cut(pair_counts(texts, _follows(shared, d), salts).where(F.col("n") >= least_next), "lm-pairs")
         grown, states = _tested(pairs, contexts, below, d, total, prior)
         parts += [states.select((F.col("name").bitwiseXOR(F.lit(int(_SCALE.view(np.int64))))).alias("key"), F.col("scale").alias("figure"), F.col("total").alias("n")), grown.where("delta is not null").select("key", F.col("delta").alias("figure"), "n")]
         remove(pairs)
@@ -240,6 +274,7 @@ def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
     for part in parts:
         tree = tree.unionByName(part)
     tree = cut(tree, "lm-tree")
+    release(spark)
     often = _commonest(tree, most_parts)
     model = Model(total, size, depth, words, Part.of(tree.where(often), "key", "figure"), _sketch.key_filter(tree.select("key"), tree.count()))
     rare = tree.where(~often).select(F.lit(1).alias("kind"), "key", "figure")
@@ -334,6 +369,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts:
                 yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(rows)), batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), *numbers, *sums, *lists], names)
                 row += rows
 
+    release(spark)
     scored = cut(data.mapInArrow(one, schema), "lm-scored")
     spare = scored.select("row", F.explode(F.arrays_zip("kinds", "keys", "times")).alias("x")).select("row", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     met = spare.join(figures, ["kind", "key"], "left")
