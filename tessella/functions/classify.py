@@ -115,6 +115,17 @@ def damaged(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+# Parts of messages that tell of a store that another writer holds.
+BUSY_MARKS = ("database is locked", "database table is locked", "sqlite_busy", "sqlite_locked")
+
+
+def busy(text: Column) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for mark in BUSY_MARKS:
+        out = out | low.contains(mark)
+    return F.coalesce(out, F.lit(False))
+
+
 def undoable(kind: Column, platform: Column) -> Column:
     return (kind != "delete") & ~((kind == "trash") & (platform == "windows"))
 

@@ -70,6 +70,11 @@ def percent_encode(path: Column) -> Column:
     return F.replace(F.replace(F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")), F.lit("%2F"), F.lit("/"))
 
 
+def trash_info(path: Column, deleted: Column) -> Column:
+    """The text that a freedesktop trash keeps beside a deleted file: where it was and when it went, to the second."""
+    return F.concat(F.lit("[Trash Info]\nPath="), percent_encode(path), F.lit("\nDeletionDate="), F.date_format(deleted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("\n"))
+
+
 # --- glob patterns -------------------------------------------------------------------------------
 
 

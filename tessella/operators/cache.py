@@ -28,6 +28,12 @@ def empty(cache: DataFrame) -> DataFrame:
     return cache.where(F.lit(False))
 
 
+def cleared(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A cleared cache, and the snapshot that was written before, by which it can be taken back."""
+    kept = stage(cache, "cache-snapshot")
+    return empty(cache), kept
+
+
 def usable(cache: DataFrame, version: int) -> DataFrame:
     return cache if version == VERSION else empty(cache)
 

@@ -115,6 +115,15 @@ def json_or_empty(text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("[]"))
 
 
+def json_valid(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it; a null isn't.
+
+    The parser stops after a first value, so what follows must not close what is put around it.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def newest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Per key the row with the latest time, ties to the greater id."""
     rest = [c for c in rows.columns if c not in keys]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import classify, records
-from tessella.operators import actions, dedup, ledger, policy, run, scan
-from tessella.plans.dedup_queries import CHUNK, SMALL, grouped
+from tessella.functions import classify, formats, paths, records
+from tessella.operators import actions, cache, dedup, ledger, policy, run, scan
+from tessella.plans.dedup_queries import CHUNK, SMALL, cache_rows, grouped
 from tessella.plans.registry import FILES, GROUPS, LEDGER, query
 from tessella.plans.scan_queries import _DIRS_SQL, _IN, dirs
 from tessella.sources import corpus
@@ -372,3 +372,44 @@ def import_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _merged(spark, sf_dir)[0]["hist_files"]
     return files.agg(F.count("*").alias("files"), F.count_distinct("group_id").alias("groups"), F.sum("size").alias("bytes"))
+
+
+# --- texts of other programs ----------------------------------------------------------------------
+
+
+@query(f"""WITH {FILES} SELECT id, '[Trash Info]' || chr(10) || 'Path=' || replace(path, ' ', '%20') || chr(10) || 'DeletionDate=' || strftime(to_timestamp(mtime_ns // 1000000000)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') || chr(10) AS info FROM files""")
+def trash_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.documents(spark, sf_dir, False)
+    return files.select("id", paths.trash_info(F.col("path"), F.timestamp_seconds(F.floor(F.col("mtime_ns") / 1_000_000_000))).alias("info"))
+
+
+@query("""SELECT event_id, json_valid(text) AS valid FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props || '}' WHEN 1 THEN '[' || event_id || ', "x"]' WHEN 2 THEN '{"a": ' ELSE props END AS text FROM events WHERE props IS NOT NULL)""")
+def ledger_json_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, props = F.col("event_id") % 4, F.col("props")
+    text = F.when(k == 0, F.concat(props, F.lit("}"))).when(k == 1, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(', "x"]'))).when(k == 2, '{"a": ').otherwise(props)
+    return corpus.table(spark, sf_dir, "events").where("props is not null").select("event_id", ledger.json_valid(text).alias("valid"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN n <= 0 THEN '-' WHEN n < 1024 THEN n || ' B/s' WHEN n < 1048576 THEN printf('%.1f', round(n / 1024, 1)) || ' KiB/s' ELSE printf('%.1f', round(n / 1048576, 1)) || ' MiB/s' END AS speed FROM (SELECT o_orderkey, o_custkey % 7 * o_orderkey * 3 - 100 AS n FROM orders)""")
+def fmt_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_custkey") % 7 * F.col("o_orderkey") * 3 - 100
+    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), formats.speed(n).alias("speed"))
+
+
+@query("SELECT event_id, event_id % 5 IN (0, 3) AS busy FROM events")
+def err_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*[F.lit(x) for x in ("Database is LOCKED (5)", "database disk image is malformed", "", "SQLITE_BUSY: retry", "locked door")])
+    return corpus.table(spark, sf_dir, "events").select("event_id", classify.busy(F.element_at(texts, (F.col("event_id") % 5 + 1).cast("int"))).alias("busy"))
+
+
+@query(f"WITH {FILES}, c AS (SELECT * FROM files WHERE id % 8 <> 0) SELECT 'cleared' AS cache, 0 AS entries, 0 AS with_full UNION ALL SELECT 'snapshot', count(*), count(*) FILTER (id % 3 = 0) FROM c")
+def cache_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, kept = cache.cleared(cache_rows(spark, sf_dir))
+    return cache.stats(now).select(F.lit("cleared").alias("cache"), "*").unionByName(cache.stats(kept).select(F.lit("snapshot").alias("cache"), "*"))
+
+
+@query(f"WITH {GROUPS} SELECT group_id, 3 AS status FROM grp")
+def report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of a report of a scan that couldn't read a file."""
+    g, m = grouped(spark, sf_dir)
+    return dedup.report(g, m.drop("group_id", "keeper"), failed=1).select("group_id", "status")

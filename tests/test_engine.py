@@ -204,6 +204,14 @@ def test_importing_twice_adds_nothing_and_evidence_is_asked_for(spark, sf):
         ledger.merged_import(local, foreign | {"op_items": foreign["op_items"].withColumn("hash", F.unhex(F.lit("00" * 32)))}, roots, known)
 
 
+def test_json_is_one_value(spark):
+    from tessella.operators import ledger
+
+    cases = {"[]": True, '{"k": 1}': True, "1": True, '"x"': True, "null": True, '{"k": 1}}': False, "1]": False, "1}": False, "1, 2": False, '1, "b": 2': False, "": False, "[": False, "{": False, None: False}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", ledger.json_valid(F.col("t")).alias("v")).collect()} == cases
+
+
 def test_true_lengths(spark):
     from tessella.functions import records
 
