@@ -35,9 +35,9 @@ from tessella.llm._cluster import bound_batches
 
 #: Bits of a fingerprint.
 BITS = 256
-#: Bits in which fingerprints may differ. At similarity 0.8 sets of equal size are 27.3 degrees apart: 38.8 bits on
-#: average with a deviation of 5.7, so one in 600 windows just at that similarity lies outside, and none to speak of above.
-RADIUS = 56
+#: Bits in which fingerprints may differ, as many as 8 blocks within 7 bits allow. At similarity 0.8 sets of equal size are
+#: 27.3 degrees apart: 38.8 bits on average with a deviation of 5.7, so the radius is four deviations away.
+RADIUS = 63
 #: Blocks of the index. Strangers agree on a block of 32 bits but for 7 with a probability of 0.001.
 BLOCKS = 8
 #: Words of benchmark items that are broadcast together (under 200 MB with the index).

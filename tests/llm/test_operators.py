@@ -221,13 +221,13 @@ def test_hamming_index_is_exact():
     rng = np.random.default_rng(2)
     for count in (300, 3000):
         prints = rng.integers(0, 1 << 64, (count, 4), np.uint64)
-        index = HammingIndex(prints, 56)
+        index = HammingIndex(prints, 63)
         asked = prints[:60].copy()
         for r, q in enumerate(asked):
-            for bit in rng.choice(256, 50 + r % 10, replace=False).tolist():
+            for bit in rng.choice(256, 55 + r % 12, replace=False).tolist():
                 q[bit // 64] ^= np.uint64(1 << bit % 64)
         distance = np.bitwise_count(asked[:, None] ^ prints[None]).sum(axis=2)
-        assert list(zip(*(x.tolist() for x in index.near(asked)), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(distance <= 56)), strict=True))
+        assert list(zip(*(x.tolist() for x in index.near(asked)), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(distance <= 63)), strict=True))
         strangers = rng.integers(0, 1 << 64, (200, 4), np.uint64)
         assert len(index.candidates(strangers)[0]) < 0.01 * 200 * count
 
