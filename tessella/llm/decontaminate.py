@@ -221,7 +221,10 @@ class Items:
         return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, least: float = 0.8, radius: int = RADIUS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", width:
+    int = 5, least: float = 0.8, radius: int = RADIUS, shard_words: int = SHARD_WORDS,
+) -> DataFrame:
     """``row, <item_col>, start, n_words, similarity``: which document holds which item, and where best.
 
     ``row`` is a struct of the document's columns but its text, so no name can

@@ -206,7 +206,9 @@ class Templates:
         return F.transform(counts, scored)[0]
 
 
-def license_scan(files: DataFrame, id_col: str, path: str, text: str, notices: Mapping[str, Sequence[str]] = NOTICES, least: float = LEAST_SCORE) -> DataFrame:
+def license_scan(
+    files: DataFrame, id_col: str, path: str, text: str, notices: Mapping[str, Sequence[str]] = NOTICES, least: float = LEAST_SCORE,
+) -> DataFrame:
     """``<id_col>, path, license, score, origin, directory`` for each row of ``files``.
 
     ``origin`` is ``header`` (the best window of the file reaches ``least``),

@@ -244,7 +244,10 @@ def _commonest(table: DataFrame, most: int) -> Column:
     return F.lit(False) if least is None else F.col("n") >= least
 
 
-def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words: int = MOST_WORDS, most_parts: int = MOST_PARTS) -> tuple[Model, DataFrame]:
+def train(
+    texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words:
+    int = MOST_WORDS, most_parts: int = MOST_PARTS,
+) -> tuple[Model, DataFrame]:
     """The model of ``texts(text)``, and the written table ``kind, key, figure``: counts of all words (0), what the rare parts of the tree add (1)."""
     spark = texts.sparkSession
     vocabulary = cut(word_counts(texts), "lm-words")
@@ -265,7 +268,9 @@ def train(texts: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTE
         salts = spark.sparkContext.broadcast((common.keys, -(-common.figures * SALTED // max(total, 1))))
         pairs = cut(pair_counts(texts, _follows(shared, d), salts).where(F.col("n") >= least_next), "lm-pairs")
         grown, states = _tested(pairs, contexts, below, d, total, prior)
-        parts += [states.select((F.col("name").bitwiseXOR(F.lit(int(_SCALE.view(np.int64))))).alias("key"), F.col("scale").alias("figure"), F.col("total").alias("n")), grown.where("delta is not null").select("key", F.col("delta").alias("figure"), "n")]
+        scale_key = F.col("name").bitwiseXOR(F.lit(int(_SCALE.view(np.int64))))
+        parts.append(states.select(scale_key.alias("key"), F.col("scale").alias("figure"), F.col("total").alias("n")))
+        parts.append(grown.where("delta is not null").select("key", F.col("delta").alias("figure"), "n"))
         remove(pairs)
         longer = grown.where((F.col("n") >= least_context) & (F.col("word") != int(_text.signed(np.asarray([END]))[0])))
         contexts = cut(longer.select(F.col("key").alias("name"), F.col("parent").alias("tail"), F.col("n").alias("total")), "lm-contexts")
@@ -331,7 +336,10 @@ def _per_row(doc: np.ndarray, rows: int, kinds: np.ndarray, keys: np.ndarray) ->
     return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (kinds[begin], _text.signed(keys[begin]), times.astype(np.int64))]
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 7, fold: int = 2, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words: int = MOST_WORDS, most_parts: int = MOST_PARTS) -> DataFrame:
+def lm_score(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int = 7, fold: int = 2, depth: int = DEPTH, least_context: int =
+    LEAST_CONTEXT, least_next: int = LEAST_NEXT, prior: float = PRIOR, most_words: int = MOST_WORDS, most_parts: int = MOST_PARTS,
+) -> DataFrame:
     """``<id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     Learns from rows whose id doesn't fall into the fold; scores all. Tokens
@@ -383,4 +391,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts:
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
     score = F.col("score") + F.coalesce("rest", F.lit(0.0)) + F.coalesce("deeper", F.lit(0.0))
     known = F.col("n_known") + F.coalesce("more", F.lit(0))
-    return scored.drop("kinds", "keys", "times").join(rest, "row", "left").select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    out = scored.drop("kinds", "keys", "times").join(rest, "row", "left")
+    learned = F.lit(model.total).cast("bigint").alias("train_tokens")
+    return out.select(
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"), learned, base.alias("base_score"), score.alias("score")
+    )

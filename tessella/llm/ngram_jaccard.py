@@ -363,7 +363,8 @@ def _in_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
 
     Any two members of a hub meet in a piece, but for pairs within the hub's own component.
     """
-    parts = members.groupBy("hub").agg(F.sum(F.when(F.col("root") == F.col("hub"), F.col(weight)).otherwise(0)).alias("major"), F.sum(F.when(F.col("root") == F.col("hub"), 0).otherwise(F.col(weight))).alias("minor"))
+    own = F.when(F.col("root") == F.col("hub"), F.col(weight)).otherwise(0)
+    parts = members.groupBy("hub").agg(F.sum(own).alias("major"), F.sum(F.col(weight) - own).alias("minor"))
     blocks = lambda n: F.ceil(F.col(n) / most).cast("int")
     split = members.join(parts.where("minor > 0").select("hub", blocks("major").alias("majors"), blocks("minor").alias("minors")), "hub")
     among = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
@@ -486,7 +487,8 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> np.
 
 def _link_counts(roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``cls, n_links`` of the classes in ``roots(cls, root)`` that link, whose n-grams are in ``sets(c, items)``."""
-    parts = roots.join(sets.select(F.col("c").alias("cls"), F.size("items").alias("n")), "cls").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("grams"))
+    sizes = sets.select(F.col("c").alias("cls"), F.size("items").alias("n"))
+    parts = roots.join(sizes, "cls").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("grams"))
     placed = cut(roots.join(parts, "root").where("held > 1").select("cls", "root", "held", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks")), "jaccard-members", slim=True)
     of_two = placed.where("held = 2").select("cls", F.lit(1).cast("bigint").alias("n_links"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -507,7 +509,9 @@ def _link_counts(roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return out
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, count_links: bool = True) -> DataFrame:
+def ngram_jaccard(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, count_links: bool = True,
+) -> DataFrame:
     """Near-duplicate groups of ``docs``: ``<id_col>, n_shingles, component_id, n_links``, a row per row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, ``n_links`` the number

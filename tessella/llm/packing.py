@@ -55,7 +55,10 @@ class BestFit:
         return window, self.size - room, closed
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, open_windows: int =
+    OPEN_WINDOWS,
+) -> DataFrame:
     """``<id_col>, start, length, doc_tokens, sequence_id, offset, ids``: a row per piece of a document.
 
     A document is its ids by the tokenizer file, then ``end_id``. ``ids``: the

@@ -231,7 +231,9 @@ def _batches(classes: DataFrame, batches: int) -> list[DataFrame]:
     return parts
 
 
-def repeated_starts(docs: DataFrame, classes: DataFrame, history: DataFrame | None, index: FingerprintIndex, window: int, gram: int, batches: int) -> tuple[DataFrame, DataFrame]:
+def repeated_starts(
+    docs: DataFrame, classes: DataFrame, history: DataFrame | None, index: FingerprintIndex, window: int, gram: int, batches: int,
+) -> tuple[DataFrame, DataFrame]:
     """``seq, starts``: where, in the first document of a class, windows start that a smaller document has as well; and all classes with a repeated hash of ``history``, if there is one."""
     posted = lambda rows: rows.select("seq", F.col("least").alias("doc"), F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("seq", "doc", F.col("x.anchors").alias("h"), F.col("x.places").alias("place"))
     repeated = None
@@ -326,7 +328,10 @@ def keep_words(text: str, starts: list[int] | None, all_go: bool, window: int, j
     return b" ".join(kept).decode(), len(words), len(words) - len(kept)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, gram: int = GRAM, batches: int = 3, joined: bool = False, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, gram: int = GRAM, batches: int = 3, joined: bool = False,
+    index: FingerprintIndex | None = None, history: DataFrame | None = None,
+) -> DataFrame:
     """``row, text, n_words, n_removed`` for each row of ``docs``.
 
     ``row`` is a struct of the input's other columns, so no name can clash;

@@ -93,7 +93,9 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, file_ids: int = FILE_IDS,
+) -> tuple[str, DataFrame]:
     """Encode ``docs`` into files in the shared folder; the folder, and the manifest ``file, n_docs, n_ids, base``.
 
     Documents are in ascending ``id_col`` order, null ids first, rows with the

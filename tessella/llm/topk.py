@@ -188,7 +188,10 @@ def blocks_of(sizes: np.ndarray, pivots: np.ndarray, most: int) -> list[tuple[in
     return out
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, most_pivots: int = MOST_PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(
+    vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, most_pivots: int =
+    MOST_PIVOTS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """``query_id, rank, <id_col>, score``: the ``k`` best of all other rows for each row where ``queries`` holds.
 
     Scores are inner products of ``floor(scale * x)``, ties go to smaller ids.
