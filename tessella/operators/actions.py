@@ -9,7 +9,9 @@ from tessella.functions import classify, paths
 from tessella.operators import scan
 
 
-def outcome(kind: Column, identity: Column, content: Column, keeper: Column, done: Column, vanished: Column, confirmed: Column, strict: Column) -> Column:
+def outcome(
+    kind: Column, identity: Column, content: Column, keeper: Column, done: Column, vanished: Column, confirmed: Column, strict: Column,
+) -> Column:
     """``ok``, ``skipped`` or ``failed:<stage>`` of one file by the kind of operation.
 
     * ``identity`` (``same``, ``replaced``, ``gone``, ``unknown``) comes first for all.

@@ -117,8 +117,19 @@ def groups(members: DataFrame) -> DataFrame:
     best = F.min(F.struct(keeper_order().alias("o"), F.col("id").alias("id"), held.alias("held"), F.col("actual_known").alias("known"))).alias("k")
     unknown = F.sum(F.when(F.col("actual_known"), 0).otherwise(1))
     g = members.groupBy("size", "hash").agg(F.count("*").alias("n_files"), F.sum(held).alias("held"), unknown.alias("unknown"), best, F.min("path").alias("first_path")).where("n_files > 1")
-    g = g.select("hash", "size", "n_files", ((F.col("n_files") - 1) * F.col("size")).alias("reclaimable"), (F.col("held") - F.col("k.held")).alias("reclaimable_actual"), (F.col("unknown") - F.when(F.col("k.known"), 0).otherwise(1) == 0).alias("actual_known"), F.col("k.id").alias("keeper"), "first_path")
-    return numbered(g)
+    others_unknown = F.col("unknown") - F.when(F.col("k.known"), 0).otherwise(1)
+    return numbered(
+        g.select(
+            "hash",
+            "size",
+            "n_files",
+            ((F.col("n_files") - 1) * F.col("size")).alias("reclaimable"),
+            (F.col("held") - F.col("k.held")).alias("reclaimable_actual"),
+            (others_unknown == 0).alias("actual_known"),
+            F.col("k.id").alias("keeper"),
+            "first_path",
+        )
+    )
 
 
 def numbered(g: DataFrame) -> DataFrame:

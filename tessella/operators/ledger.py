@@ -172,7 +172,9 @@ def _numbered_from(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return ranked(rows, [F.col("id")], name).withColumn(name, F.col(name) + top)
 
 
-def merged_import(local: dict[str, DataFrame], foreign: dict[str, DataFrame], roots: DataFrame, known_paths: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+def merged_import(
+    local: dict[str, DataFrame], foreign: dict[str, DataFrame], roots: DataFrame, known_paths: DataFrame,
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """New rows for each table of the ledger from a foreign one, and a row of counts; importing twice adds nothing.
 
     ValueError if the foreign tables lack a column, or if an item that could be

@@ -56,7 +56,9 @@ def decisions(members: DataFrame, kept: DataFrame) -> DataFrame:
     return held.groupBy("group_id", "keep_id", "part").agg(away.alias("remove_ids"))
 
 
-def pending(selection: DataFrame, members: DataFrame, keep_ids: DataFrame, dirs: DataFrame | None = None, exclude_dirs: DataFrame | None = None) -> DataFrame:
+def pending(
+    selection: DataFrame, members: DataFrame, keep_ids: DataFrame, dirs: DataFrame | None = None, exclude_dirs: DataFrame | None = None,
+) -> DataFrame:
     """``id, ord, reason``: what will happen to a selection ``id, ord``; null means it is processed.
 
     Reasons in order: ``gone`` (no such member), ``keep``, ``outside`` (in none

@@ -72,7 +72,9 @@ def relative(path: Column, roots: Sequence[str]) -> tuple[Column, Column]:
     return rel.otherwise(paths.base_name(path)), number.otherwise(-1)
 
 
-def reject_reason(path: Column, name: Column, kind: Column, flags: Column, size: Column, tag: str, platform: str, below_root: Column | None = None) -> Column:
+def reject_reason(
+    path: Column, name: Column, kind: Column, flags: Column, size: Column, tag: str, platform: str, below_root: Column | None = None,
+) -> Column:
     """The first gate that a file fails, in the scan's order; null if it passes all. ``below_root``: whether it is a root's own child."""
     folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     guarded = F.exists(folders, lambda x: classify.protected_dir(x, platform)) | classify.protected_path(paths.folder(path), platform)
