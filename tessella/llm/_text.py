@@ -9,14 +9,16 @@ made per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: What a worker keeps between tasks for one operator; it gives that up when it does other work.
 KEPT: dict = {}
 
@@ -88,6 +90,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    trim()
+
+
+def trim() -> None:
+    """Give memory that this worker no longer uses back to the machine; workers that wait keep little."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

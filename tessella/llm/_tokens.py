@@ -13,7 +13,7 @@ import os
 import numpy as np
 from tokenizers import Tokenizer
 
-from tessella.llm._text import KEPT
+from tessella.llm._text import KEPT, trim
 
 #: Pieces that a worker remembers; beyond that, new ones are encoded where they occur.
 MEMORY_PIECES = 400_000
@@ -107,3 +107,4 @@ def pieces_of(column, limit: int = 1 << 20):
             texts, first, size = [], r + 1, 0
     if texts:
         yield first, texts
+    trim()
