@@ -46,7 +46,9 @@ PRIOR = 5.0
 MOST_WORDS, MOST_PARTS = 1_000_000, 2_000_000
 #: Keys that a task adds up in memory before it passes counts on.
 HELD_KEYS = 1 << 20
-#: What follows a context with more than one in so many tokens is dealt to several partitions, each with that share at most.
+#: Buckets of contexts for each partition of a shuffle.
+BUCKETS = 8
+#: What follows a context with more than one in so many tokens is dealt to several buckets, each with that share at most.
 SALTED = 1000
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -125,31 +127,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def pair_counts(texts: DataFrame, keys_of, salts) -> DataFrame:
     """``name, word, n``: how often each word follows each context of ``keys_of``.
 
-    A row of the shuffle holds all words that follow a context in a task, so a
-    context is sent once and not with each of them. ``salts``: a broadcast of
-    common contexts and of the partitions that each is dealt to.
+    Contexts are dealt to buckets, ``BUCKETS`` for each partition. A row of the
+    shuffle holds all pairs of a bucket in a task by context, so that there are
+    few rows and a context's repetitions are compressed away. ``salts``: a
+    broadcast of common contexts and of the buckets that each is dealt to.
     """
+    buckets = BUCKETS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def batch_of(columns: tuple[np.ndarray, ...], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         context, word = columns
         common, parts = salts.value
         at = find(common, context)
-        salt = np.where(at >= 0, word % np.where(at >= 0, parts[np.maximum(at, 0)] if len(parts) else 1, 1).astype(np.uint64), 0).astype(np.int32)
-        order = np.lexsort((salt, context))
-        context, word, salt, n = context[order], word[order], salt[order], n[order]
-        new = np.ones(len(n), bool)
-        new[1:] = (context[1:] != context[:-1]) | (salt[1:] != salt[:-1])
-        starts = np.append(np.flatnonzero(new), len(n))
-        for k in range(0, len(starts) - 1, 10_000):
-            edges = starts[k : k + 10_001]
+        share = np.where(at >= 0, parts[np.maximum(at, 0)] if len(parts) else 1, 1).astype(np.uint64)
+        bucket = (_text.mix(context + word % share) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((context, bucket))
+        context, word, bucket, n = context[order], word[order], bucket[order], n[order]
+        starts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(n))
+        for k in range(0, len(starts) - 1, 100):
+            edges = starts[k : k + 101]
             lo, hi = int(edges[0]), int(edges[-1])
             offsets = pa.array((edges - lo).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(_text.signed(word[lo:hi])), pa.array(n[lo:hi].astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array(_text.signed(context[edges[:-1]])), pa.array(salt[edges[:-1]]), *lists], ["name", "salt", "words", "counts"])
-
-    rows = _added_up(texts, keys_of, batch_of, "name bigint, salt int, words array<bigint>, counts array<int>")
-    each = rows.repartition("name", "salt").select("name", "salt", "counts", F.posexplode("words").alias("k", "word"))
-    return each.groupBy("name", "salt", "word").agg(F.sum(F.get("counts", F.col("k"))).alias("n")).drop("salt")
+            parts_of = [pa.array(_text.signed(context[lo:hi])), pa.array(_text.signed(word[lo:hi])), pa.array(n[lo:hi].astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in parts_of]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), *lists], ["bucket", "names", "words", "counts"])
+
+    rows = _added_up(texts, keys_of, batch_of, "bucket int, names array<bigint>, words array<bigint>, counts array<int>")
+    each = rows.repartition("bucket").select("bucket", "names", "counts", F.posexplode("words").alias("k", "word"))
+    each = each.select("bucket", F.get("names", F.col("k")).alias("name"), "word", F.get("counts", F.col("k")).alias("n"))
+    return each.groupBy("bucket", "name", "word").agg(F.sum("n").alias("n")).drop("bucket")
 
 
 ROOT = np.uint64(0)
