@@ -17,8 +17,8 @@ from tessella.llm._text import KEPT, trim
 
 #: Pieces that a worker remembers; beyond that, new ones are encoded where they occur.
 MEMORY_PIECES = 1_000_000
-#: Pieces that are encoded in one call.
-_TOGETHER = 50
+#: Pieces that are encoded as one text, and such texts that go to the library in one call.
+_TOGETHER, _TEXTS = 50, 20
 
 
 class Encoder:
@@ -41,48 +41,53 @@ class Encoder:
         cut = probe.replace(" ", "\0 ").split("\0")
         return "  " not in probe and self._whole(probe) == b"".join(map(self._whole, cut)) and bool(self.opens.any())
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, without the offsets that nobody asks for."""
+        return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids([text])[0].tobytes()
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         """Ids of each word with a space before it."""
         plain = [w for w in words if w and not w.isspace()]
-        for k in range(0, len(plain), _TOGETHER):
-            group = plain[k : k + _TOGETHER]
-            ids = np.asarray(self.tokenizer.encode(" " + " ".join(group), add_special_tokens=False).ids, "<u4")
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) == len(group) and first[0] == 0:
-                data, edges = ids.tobytes(), [*(first * 4).tolist(), 4 * len(ids)]
-                into.update((w, data[i:j]) for w, i, j in zip(group, edges, edges[1:], strict=False))
-            else:
-                into.update((w, self._whole(" " + w)) for w in group)
+        groups = [plain[k : k + _TOGETHER] for k in range(0, len(plain), _TOGETHER)]
+        for k in range(0, len(groups), _TEXTS):
+            some = groups[k : k + _TEXTS]
+            for group, ids in zip(some, self._ids([" " + " ".join(group) for group in some]), strict=True):
+                first = np.flatnonzero(self.opens[ids])
+                if len(first) == len(group) and first[0] == 0:
+                    data, edges = ids.tobytes(), [*(first * 4).tolist(), 4 * len(ids)]
+                    into.update((w, data[i:j]) for w, i, j in zip(group, edges, edges[1:], strict=False))
+                else:
+                    into.update((w, self._whole(" " + w)) for w in group)
         into.update((w, self._whole(" " + w)) for w in words if not w or w.isspace())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.memory.get
-        cuts: list[tuple[str, list[str], list[bytes | None]] | None] = []
+        cuts: list[tuple[str, list[str]] | None] = []
         new: set[str] = set()
         for text in texts:
             if not self.splits or "  " in text or any(s in text for s in self.special):
                 cuts.append(None)
                 continue
             head, *words = text.split(" ")
-            found = list(map(known, words))
-            if None in found:
-                new.update(w for w, f in zip(words, found, strict=True) if f is None)
-            cuts.append((head, words, found))
+            new.update(words)
+            cuts.append((head, words))
         fresh: dict[str, bytes] = {}
-        self._learn(list(new), fresh)
-        if len(self.memory) + len(fresh) <= MEMORY_PIECES:
+        self._learn(list(new.difference(self.memory)), fresh)
+        held = len(self.memory) + len(fresh) <= MEMORY_PIECES
+        if held:
             self.memory.update(fresh)
         out = []
         for text, cut in zip(texts, cuts, strict=True):
             if cut is None:
                 out.append(self._whole(text))
                 continue
-            head, words, found = cut
-            if None in found:
-                found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            head, words = cut
+            if held:
+                found = map(self.memory.__getitem__, words)
+            else:
+                found = (fresh[w] if f is None else f for w, f in zip(words, map(self.memory.get, words), strict=True))
             out.append((self._whole(head) if head else b"") + b"".join(found))
         return out
 
