@@ -15,6 +15,7 @@ from tessella.llm.license_scan import license_scan
 from tessella.llm.lm import lm_score
 from tessella.llm.ngram_jaccard import ngram_jaccard
 from tessella.llm.packing import pack
+from tessella.llm.periodic_runs import periodic_runs
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
 from tessella.llm.topk import top_k
@@ -82,6 +83,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in a tenth of the documents the words from some place on repeat with some period."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    keyed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = F.coalesce(F.col("h") % 10 == 0, F.lit(False))
+    keyed = keyed.withColumn("w", F.when(chosen, words)).withColumn("n", F.coalesce(F.size("w"), F.lit(0)).cast("bigint")).withColumn("g", F.expr("h div 10"))
+    keyed = keyed.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    moved = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return keyed.select("doc_id", F.when(F.col("n") > 0, moved).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted(_table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("longest", longest)
+    own = [(-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"), F.expr("1000 * longest.length div -longest.period").alias("exponent_milli")]
+    return found.select("row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), *own, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -93,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.url_filter(URL_RULES),
