@@ -147,3 +147,25 @@ links AS (SELECT a AS cls, count(*) AS n_links FROM edges GROUP BY a)
 SELECT named.doc_id, named.n::BIGINT AS n_shingles, coalesce(best.component_id, named.doc_id) AS component_id, coalesce(links.n_links, 0)::BIGINT AS n_links
 FROM named LEFT JOIN best USING (cls) LEFT JOIN links USING (cls)
 """
+
+
+def vector_codes(rounds: int) -> str:
+    assigned = """a{r} AS MATERIALIZED (SELECT vec_id, part, m % 1000 AS entry, m // 1000 AS away FROM (SELECT p.vec_id, p.part,
+  min(1000 * list_sum(list_transform(list_zip(p.x, e.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + e.entry) AS m
+  FROM p JOIN e{r} e ON p.part = e.part GROUP BY ALL))"""
+    moved = """n{r} AS (SELECT part, entry, list(f ORDER BY i) AS c FROM (SELECT p.part, a.entry, i, floor(sum(p.x[i])::DOUBLE / count(*))::BIGINT AS f
+  FROM p JOIN a{r} a ON p.vec_id = a.vec_id AND p.part = a.part, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) GROUP BY ALL) GROUP BY ALL),
+e{s} AS MATERIALIZED (SELECT e.part, e.entry, coalesce(n.c, e.c) AS c FROM e{r} e LEFT JOIN n{r} n ON e.part = n.part AND e.entry = n.entry)"""
+    steps = ",\n".join(f"{assigned.format(r=r)},\n{moved.format(r=r, s=r + 1)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+e0 AS MATERIALIZED (SELECT part, entry, c FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p) WHERE entry < 256),
+{steps},
+{assigned.format(r=rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(away)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM e{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import oracles
+from tessella.llm._cluster import cut
 from tessella.llm.decontaminate import contamination
 from tessella.llm.language import language_id
 from tessella.llm.license_scan import license_scan
@@ -20,6 +21,7 @@ from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
 from tessella.llm.topk import top_k
 from tessella.llm.url_filter import rule_table, url_filter
+from tessella.llm.vector_codes import vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +105,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), *own, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
 
 
+#: So many labels, with their sums, are sent to all tasks.
+FEW_LABELS = 100_000
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes(_table(spark, sf_dir, "embeddings"))
+    found = made.table.select("row.vec_id", "row.label", F.expr("array_join(transform(codes, c -> lpad(lower(hex(c)), 2, '0')), '')").alias("code"), "error")
+    sums = cut(found.groupBy(F.col("label").alias("own")).agg(F.sum("error").alias("label_error")), "label-errors", slim=True)
+    joined = found.join(F.broadcast(sums) if sums.count() <= FEW_LABELS else sums, F.col("label").eqNullSafe(F.col("own")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -115,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.url_filter(URL_RULES),
@@ -124,4 +139,5 @@ ORACLES: dict[str, str] = {
     "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
     "op8_license_scan": oracles.license_scan(_path("doc_id // 64")),
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op12_vector_codes": oracles.vector_codes(rounds=4),
 }
