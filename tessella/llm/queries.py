@@ -17,6 +17,7 @@ from tessella.llm.lm import lm_score
 from tessella.llm.ngram_jaccard import ngram_jaccard
 from tessella.llm.packing import pack
 from tessella.llm.periodic_runs import periodic_runs
+from tessella.llm.repeated_bytes import repeated_bytes
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
 from tessella.llm.topk import top_k
@@ -117,6 +118,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", "code", "error", "label_error", F.lit(made.sha256()).alias("codebooks_sha256"))
 
 
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_bytes(_table(spark, sf_dir, "documents"))
+    return kept.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -130,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
+    "op13_repeated_bytes": op13_repeated_bytes,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": oracles.url_filter(URL_RULES),
