@@ -19,8 +19,10 @@ at another place, in the same or another row; strings are judged on the input.
   next row, ends) a run. So they follow in text order from the samples, where
   they are compared with the text. In repetitive text there are few runs.
 * A group of more than ``MOST_SEGMENTS`` segments (the edge of a passage that
-  very many documents hold) isn't indexed in one task: its windows are counted
-  by 128-bit hashes, with sums before the shuffle. That gives the same answer.
+  very many documents hold) isn't indexed in one task but split: its windows by
+  their distance to the anchor, under the bytes that all of a distance share.
+  Inside the passage the parts are equal, outside they are alone, and only those
+  over its edge are split again, so few parts are made of each segment.
 
 Rows with equal texts form a class, which is read once; all their bytes repeat.
 """
@@ -236,7 +238,7 @@ def _spans(starts: np.ndarray) -> list[dict]:
 
 
 def _indexed(groups: DataFrame, window: int) -> DataFrame:
-    """``d1, d2, spans``: where windows of a segment start that another of its group holds; ``groups(h, d1, d2, size, segment)``, small ones."""
+    """``d1, d2, spans``: where windows of a segment start that another of its group holds; ``groups(g, d1, d2, size, segment)``, small ones."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
         index = RunLengthIndex([r[4] for r in rows])
@@ -258,30 +260,79 @@ def _indexed(groups: DataFrame, window: int) -> DataFrame:
         if rows:
             yield search(rows)
 
-    return groups.repartition("h").sortWithinPartitions("h").mapInArrow(one, f"d1 bigint, d2 bigint, spans {_SPANS}")
+    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(one, f"d1 bigint, d2 bigint, spans {_SPANS}")
 
 
-def _counted(groups: DataFrame, window: int) -> DataFrame:
-    """As ``_indexed``, for groups of any size, by counting windows."""
+def anchor_of(segment: np.ndarray, window: int) -> int:
+    """Where the anchor of a segment begins: its first window's least gram, the leftmost."""
+    at = np.arange(window - GRAM + 1)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    return int(np.argmin(_text.hash_spans(segment[:window], at, at + GRAM, fold=False) & ~low))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cells(at: int, size: int, width: int, window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``cell, first, n, core, end``: the windows of a segment by how far they begin before its anchor at ``at``, in steps of ``width``.
+
+    ``core, end``: the bytes that all windows of the cell hold, in any segment,
+    at the same distances from the anchor.
+    """
+    for cell in range((at - size + 1) // width, at // width + 1):
+        first, end = max(0, at - (cell + 1) * width + 1), min(size, at - cell * width + 1)
+        if first < end:
+            yield cell, first, end - first, at - cell * width, at + window - min((cell + 1) * width - 1, window - GRAM)
+
+
+def _split(groups: DataFrame, window: int, width: int) -> DataFrame:
+    """``o1, o2, lo, g, d1, d2, size, at, segment``: each segment of large groups in cells, under the hash of their core.
+
+    Segments that share a window share the core of its cell, so they meet again;
+    others part. ``o1, o2`` is the segment, ``lo`` its first window in the cell.
+    """
+
+    def digests(data: bytes) -> tuple[int, int]:
+        return tuple(np.frombuffer(hashlib.blake2b(data, digest_size=16).digest(), np.int64).tolist())
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch.column(3).to_numpy().astype(np.int64)
-            bounds = np.zeros(batch.num_rows + 1, np.int64)
-            np.cumsum([len(s.as_buffer()) for s in batch.column(4)], out=bounds[1:])
-            data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8)
-            row = np.repeat(np.arange(len(size)), size)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = bounds[row] + start
-            hashes = [pa.array(_text.signed(_text.hash_spans(data, at, at + window, fold=False, seed=s))) for s in (5, 6)]
-            yield pa.RecordBatch.from_arrays([*hashes, batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(start.astype(np.int32))], ["w1", "w2", "d1", "d2", "start"])
-
-    every = cut(groups.mapInArrow(windows, "w1 bigint, w2 bigint, d1 bigint, d2 bigint, start int"), "bytes-windows")
-    again = cut(every.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "bytes-again")
-    starts = every.join(again, ["w1", "w2"]).groupBy("d1", "d2").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    spans = cut(starts.select("d1", "d2", F.expr("transform(starts, s -> struct(s as lo, s + 1 as hi))").alias("spans")), "bytes-counted")
-    remove(every, again)
-    return spans
+            rows = []
+            for d1, d2, size, at, segment in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                at = anchor_of(np.frombuffer(segment, np.uint8), window) if at is None else at
+                for cell, lo, n, core, end in cells(at, size, width, window):
+                    part = segment[lo : lo + n + window - 1]
+                    own = segment[core:end]
+                    rows.append((d1, d2, lo, digests(own + cell.to_bytes(2, "little", signed=True))[0], *digests(part), n, at - lo, part))
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["o1", "o2", "lo", "g", "d1", "d2", "size", "at", "segment"])
+
+    return groups.select("d1", "d2", "size", "at", "segment").mapInArrow(one, "o1 bigint, o2 bigint, lo int, g bigint, d1 bigint, d2 bigint, size int, at int, segment binary")
+
+
+def shared_windows(kinds: DataFrame, window: int, most_segments: int, width: int) -> DataFrame:
+    """``d1, d2, spans``: where windows of a segment start that another of its group ``g`` holds; ``kinds(g, d1, d2, size, at, segment)``, all different.
+
+    Groups of up to ``most_segments`` are indexed. Larger ones are split into
+    cells of ``width``; cells that are equal in several segments repeat as a
+    whole, those that are alone end, and what is left is resolved in the same way
+    with half the width. A cell of width 1 is one window, so that ends.
+    """
+    mixed = kinds.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+    met = cut(kinds.join(mixed, "g"), "bytes-met")
+    found = cut(_indexed(met.where(F.col("m") <= most_segments).select("g", "d1", "d2", "size", "segment"), window), "bytes-indexed")
+    large = met.where(F.col("m") > most_segments)
+    if width == 0 or large.isEmpty():
+        remove(met)
+        return found
+    rows = cut(_split(large, window, width), "bytes-cells")
+    remove(met)
+    inner = cut(rows.groupBy("g", "d1", "d2").agg(F.first("size").alias("size"), F.first("at").alias("at"), F.first("segment").alias("segment"), F.count("*").alias("n")), "bytes-kinds")
+    shared = shared_windows(inner.drop("n"), window, most_segments, width // 2)
+    marks = cut(inner.select("d1", "d2", "n").join(shared, ["d1", "d2"], "left").where("n > 1 or spans is not null").select("d1", "d2", F.when(F.col("n") == 1, F.col("spans")).alias("spans")).dropDuplicates(["d1", "d2"]), "bytes-marks")
+    moved = F.expr("if(spans is null, array(struct(lo as lo, lo + size as hi)), transform(spans, s -> struct(s.lo + lo as lo, s.hi + lo as hi)))")
+    own = rows.drop("segment").join(marks, ["d1", "d2"]).select(F.col("o1").alias("d1"), F.col("o2").alias("d2"), moved.alias("spans"))
+    out = cut(found.unionByName(own.groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"))), "bytes-shared")
+    remove(found, rows, inner, shared, marks)
+    return out
 
 
 def repeated_windows(texts: DataFrame, window: int, most_segments: int) -> DataFrame:
@@ -300,12 +351,10 @@ def repeated_windows(texts: DataFrame, window: int, most_segments: int) -> DataF
     release(spark)
     kinds = cut(places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n")), "bytes-kinds")
     mixed = cut(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "bytes-mixed")
-    met = places.where("segment is not null").select("h", "d1", "d2", "size", "segment").join(mixed, "h").groupBy("h", "d1", "d2").agg(F.first("size").alias("size"), F.first("segment").alias("segment"), F.first("m").alias("m"))
-    met = cut(met, "bytes-met")
-    large = met.where(F.col("m") > most_segments).drop("m")
-    counted = _counted(large, window)
-    shared = cut(_indexed(met.where(F.col("m") <= most_segments).drop("m"), window).unionByName(counted), "bytes-shared")
-    remove(mixed, met, counted)
+    met = places.where("segment is not null").select("h", "d1", "d2", "size", "segment").join(mixed, "h").groupBy("h", "d1", "d2").agg(F.first("size").alias("size"), F.first("segment").alias("segment"))
+    met = cut(met.select(F.col("h").alias("g"), "d1", "d2", "size", F.lit(None).cast("int").alias("at"), "segment"), "bytes-segments")
+    shared = shared_windows(met, window, most_segments, 1 << ((window - GRAM).bit_length() - 1))
+    remove(mixed, met)
     known = kinds.join(shared, ["d1", "d2"], "left").where("n > 1 or spans is not null").select("d1", "d2", F.when(F.col("n") == 1, F.col("spans")).alias("spans"))
     known = cut(known, "bytes-known")
     remove(kinds, shared)

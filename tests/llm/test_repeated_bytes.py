@@ -89,6 +89,15 @@ def test_windows_and_anchors(monkeypatch):
     assert set(at) <= set(anchored(data, 200)[1].tolist())
 
 
+def test_cells_cover_all_windows_and_hold_their_core():
+    for at, size in ((0, 1), (168, 169), (5, 3), (100, 30), (168, 1), (40, 41)):
+        for width in (128, 64, 1):
+            found = list(module.cells(at, size, width, 200))
+            assert sorted(w for _, lo, n, *_ in found for w in range(lo, lo + n)) == list(range(size))
+            for _, lo, n, core, end in found:
+                assert lo + n - 1 <= core <= at < at + module.GRAM <= end <= lo + 200 and len({(at - w) // width for w in range(lo, lo + n)}) == 1
+
+
 @pytest.mark.parametrize("most", [512, 1, 3])
 def test_operator_on_odd_rows(spark, docs, none, most):  # noqa: F811
     rows = odd_rows()
