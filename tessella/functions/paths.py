@@ -18,6 +18,25 @@ def trim_tail(path: Column) -> Column:
     return F.regexp_replace(path, "(?<=.)/+$", "")
 
 
+def cleaned(path: Column) -> Column:
+    """Without empty and ``.`` segments and with each ``..`` resolved; an absolute path stays within its root."""
+    absolute = F.startswith(path, F.lit("/"))
+
+    def step(done: Column, s: Column) -> Column:
+        up = (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        last = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        more = F.concat(done, F.array(s))
+        return F.when(s.isin("", "."), done).when(s != "..", more).when(up, last).when(absolute, done).otherwise(more)
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def dir_key(path: Column) -> Column:
+    """What a directory is met by among the ``ancestors`` of a path: cleaned, and empty for the root of all."""
+    return F.regexp_replace(cleaned(path), "^/$", "")
+
+
 def under(child: Column, parent: Column) -> Column:
     """Whether a path is a directory or lies in it; an empty parent holds every absolute path."""
     return (child == parent) | F.startswith(child, F.concat(parent, F.lit("/")))

@@ -85,12 +85,12 @@ def enclosing_root(target: Column, roots: list[str]) -> Column:
 
 
 def landings(targets: DataFrame, allowed: DataFrame) -> DataFrame:
-    """``id, landing, granted``: whether each resolved landing lies in an allowed directory; an unresolved one doesn't.
+    """``id, landing, granted``: whether each resolved landing lies in an allowed directory; an unresolved one doesn't, ``/`` allows all.
 
     Met by an equi-join on a landing's own path and its ancestors.
     """
-    above = targets.where("landing is not null").select("id", F.explode(paths.ancestors(F.col("landing"))["dir"]).alias("dir"))
-    clean = allowed.select(paths.trim_tail(F.col("dir")).alias("dir")).where("dir <> ''").distinct()
+    above = targets.where("landing is not null").select("id", F.explode(paths.ancestors(paths.cleaned(F.col("landing")))["dir"]).alias("dir"))
+    clean = allowed.where("trim(dir) <> ''").select(paths.dir_key(F.trim("dir")).alias("dir")).distinct()
     inside = above.join(clean, "dir", "left_semi").select("id").distinct().withColumn("granted", F.lit(True))
     return targets.join(inside, "id", "left").select("id", "landing", F.coalesce("granted", F.lit(False)).alias("granted"))
 

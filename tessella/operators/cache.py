@@ -88,17 +88,18 @@ def evict(cache: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return ranked(cache, [F.col("last_hit").desc(), F.col("path").desc()], "_rank").where(F.col("_rank") <= most).drop("_rank")
 
 
-def incremental(files: DataFrame, cache: DataFrame, chunk: int = dedup.CHUNK, small: int = dedup.SMALL) -> DataFrame:
-    """Hashed members of a run that takes full hashes from the cache where it may.
+def incremental(files: DataFrame, cache: DataFrame, chunk: int = dedup.CHUNK, small: int = dedup.SMALL, contents: dedup.Contents | None = None) -> dedup.Found:
+    """What a run finds that takes full hashes from the cache where it may.
 
-    ``files`` has ``dev, ino`` and ``content``. Samples are taken where contents
-    are read; of the full hashes only those that the cache lacks are waited for.
+    ``files`` has ``dev, ino`` and, unless ``contents`` are elsewhere, ``content``.
+    Samples are taken of files that share a size; of those that share samples too
+    only the ones that the cache lacks are read as a whole.
     """
-    looked = trusted_full(lookup(dedup.sampled(files.where("size > 0"), chunk, small), cache))
-    alive = stage(dedup.shared(looked.drop(*[f"c_{c}" for c in ("full", *SAMPLES)]), ["size", *SAMPLES]).drop(*SAMPLES), "cached")
-    known = alive.where("cached_full is not null").withColumn("hash", F.col("cached_full"))
-    fresh = alive.where("cached_full is null").join(dedup.full_hash(files), "id")
-    return dedup.shared(stage(known.unionByName(fresh).drop("cached_full"), "hashed"), ["size", "hash"])
+
+    def known(rows: DataFrame) -> DataFrame:
+        return trusted_full(lookup(rows, cache)).withColumnRenamed("cached_full", "cached").drop("verdict", *[f"c_{c}" for c in ("full", *SAMPLES)])
+
+    return dedup.detect(files.drop("content"), contents or dedup.InTable(files), chunk, small, known=known)
 
 
 def stats(cache: DataFrame) -> DataFrame:

@@ -1,22 +1,25 @@
 """Staged exact-duplicate detection.
 
 Each stage removes what can't be a duplicate before the next, dearer one:
-sizes, physical identity, four sample hashes, the full hash. Counts are
+sizes, physical identity, four sample hashes, the full hash, a comparison. Contents
+are asked for by the ids that are left. Counts are
 aggregated before they are shuffled and joined back, so a size or a content
 that very many files share is one row per task, not one partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.rank import ranked
+from tessella.sources.contents import CHUNK, SAMPLES, SMALL, InTable, OnDisk, sample_hashes
 from tessella.sources.scratch import stage
 
-#: Bytes of a sample and the size up to which a file is hashed as a whole at once (production values).
-CHUNK, SMALL = 65536, 131072
-SAMPLES = ("head", "mid1", "mid2", "tail")
+Contents = InTable | OnDisk
 #: Files of a group that a row of a report or of a decision lists, about.
 PART_FILES = 10_000
 
@@ -39,18 +42,11 @@ def collapse_identity(files: DataFrame) -> DataFrame:
     became unique are dropped.
     """
     rest = [c for c in files.columns if c not in ("path", "volume_id", "file_index")]
-    known = files.where("resolved")
+    known = files.where("coalesce(resolved, false)")
     order = F.struct(F.octet_length("path").alias("n"), F.col("path").alias("path"))
     merged = known.groupBy("volume_id", "file_index").agg(F.min(order)["path"].alias("path"), F.min(F.struct("path", *rest)).alias("m"))
     merged = merged.select("volume_id", "file_index", "path", *[F.col(f"m.{c}").alias(c) for c in rest])
-    return shared(merged.select(*files.columns).unionByName(files.where("not resolved")), ["size"])
-
-
-def sample_hashes(content: Column, size: Column, chunk: int = CHUNK, small: int = SMALL) -> dict[str, Column]:
-    """``head, mid1, mid2, tail``: hashes of four samples; a small file's hash is in all four."""
-    last = F.greatest(size - chunk, F.lit(0))
-    at = {"head": F.lit(0), "mid1": F.least(F.floor(size / 2), last), "mid2": F.least(F.floor(size * 3 / 4), last), "tail": last}
-    return {name: F.when(size <= small, F.xxhash64(content)).otherwise(F.xxhash64(F.substring(content, (o + 1).cast("int"), chunk))) for name, o in at.items()}
+    return shared(merged.select(*files.columns).unionByName(files.where("not coalesce(resolved, false)")), ["size"])
 
 
 def sampled(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
@@ -59,39 +55,99 @@ def sampled(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFra
     return files.select(*[c for c in files.columns if c != "content"], *taken)
 
 
-def full_hash(files: DataFrame) -> DataFrame:
-    """``id, hash`` of files whose content is there, taken where the content is read."""
-    return files.select("id", F.sha2("content", 256).alias("hash")).where("hash is not null")
-
-
 def collapse_in_bucket(members: DataFrame) -> DataFrame:
     """One member per physical file within equal size and hash, for files whose identity was unknown before they were opened.
 
     ``members`` has ``handle(volume_id, file_index, resolved)``, the identity of the open file. The
     first path stays with the shortest one's name; groups left with one go.
     """
-    known = members.where("handle.resolved")
+    known = members.where("coalesce(handle.resolved, false)")
     rest = [c for c in members.columns if c not in ("path", "handle", "size", "hash")]
     order = F.struct(F.octet_length("path").alias("n"), F.col("path").alias("path"))
     merged = known.groupBy("size", "hash", "handle").agg(F.min(order)["path"].alias("path"), F.min(F.struct("path", *rest)).alias("m"))
     merged = merged.select("size", "hash", "handle", "path", *[F.col(f"m.{c}").alias(c) for c in rest])
-    return shared(merged.select(*members.columns).unionByName(members.where("not handle.resolved")), ["size", "hash"])
+    return shared(merged.select(*members.columns).unionByName(members.where("not coalesce(handle.resolved, false)")), ["size", "hash"])
+
+
+@dataclass(frozen=True)
+class Found:
+    """``members`` with their ``hash``; ``rejects(id, path, reason, stage)``; ``reads(stage, files, bytes)``: what was opened."""
+
+    members: DataFrame
+    rejects: DataFrame
+    reads: DataFrame
+
 
+def _read(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """What a stage rejected and what it read."""
+    opened = rows.where("read_bytes is not null and coalesce(problem, '') <> 'negative'").agg(F.count("*").alias("files"), F.coalesce(F.sum("read_bytes"), F.lit(0)).alias("bytes"))
+    return rows.where("problem is not null").select("id", "path", F.col("problem").alias("reason"), F.lit(name).alias("stage")), opened.select(F.lit(name).alias("stage"), "files", "bytes")
 
-def survivors(sampled_files: DataFrame, files: DataFrame) -> DataFrame:
-    """Hashed members of all stages up to the full hash; ``sampled_files`` are ``files`` with samples in place of contents.
 
-    Each stage's survivors are written, since a stage reads them twice: to count
-    and to keep. Contents never leave the task that reads them.
+def detect(rows: DataFrame, contents: Contents, chunk: int = CHUNK, small: int = SMALL, exact: bool = False, known: Callable[[DataFrame], DataFrame] | None = None) -> Found:
+    """Hashed members of all stages: size, identity, samples, full hash and, if ``exact``, a comparison of contents.
+
+    ``rows`` are metadata. Samples are taken of files that share a size, full
+    hashes of those that share all samples as well, so a file of a size of its own
+    is never opened. A file that turns out shorter than declared goes on with its
+    true length; one that can't be read or has grown is a reject. ``known`` may
+    give rows with samples a ``cached`` hash, which is then not computed.
     """
-    alive = stage(collapse_identity(stage(size_candidates(sampled_files), "sized")), "alive")
-    buckets = shared(alive, ["size", *SAMPLES]).drop(*SAMPLES)
-    return shared(stage(buckets.join(full_hash(files), "id"), "hashed"), ["size", "hash"])
+    alive = stage(collapse_identity(stage(size_candidates(rows), "sized")), "alive")
+    taken = stage(contents.samples(alive, chunk, small), "samples")
+    rejects, reads = _read(taken, "prefilter")
+    fine = taken.where("problem is null and length > 0").withColumn("size", F.col("length")).drop("problem", "length", "read_bytes")
+    if known is not None:
+        fine = known(fine).withColumn("hash", F.coalesce("hash", "cached")).drop("cached")
+    buckets = stage(shared(fine, ["size", *SAMPLES]).drop(*SAMPLES), "buckets")
+    hashed = stage(contents.hashes(buckets.where("hash is null").drop("hash")), "hashed")
+    bad, opened = _read(hashed, "hash")
+    members = buckets.where("hash is not null").unionByName(hashed.where("problem is null").drop("problem", "read_bytes"))
+    members = shared(members, ["size", "hash"])
+    rejects, reads = rejects.unionByName(bad), reads.unionByName(opened)
+    if exact:
+        classes, bad, opened = compared(stage(members, "members"), contents)
+        rejects, reads = rejects.unionByName(bad), reads.unionByName(opened)
+        first = classes.groupBy("size", "hash").agg(F.min(F.struct("path", "part"))["part"].alias("part"))
+        rejects = rejects.unionByName(classes.join(first, ["size", "hash", "part"], "left_anti").select("id", "path", F.lit("differs").alias("reason"), F.lit("verify").alias("stage")))
+        members = shared(classes.join(first, ["size", "hash", "part"]).drop("part"), ["size", "hash"])
+    return Found(members, rejects, reads)
 
 
 def candidates(files: DataFrame, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
-    """Hashed members of all stages: size, identity, samples, full hash."""
-    return survivors(sampled(files, chunk, small), files)
+    """Hashed members of files whose contents are a column."""
+    return detect(files.drop("content"), InTable(files), chunk, small).members
+
+
+#: Bytes of the first block that members are compared by; each next one is ``GROWTH`` times as long.
+BLOCK, GROWTH = 1 << 18, 4
+
+
+def compared(members: DataFrame, contents: Contents, block: int = BLOCK, growth: int = GROWTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members`` with ``part``, the same for equal contents within a ``size`` and ``hash``; rejects, and reads.
+
+    Partition refinement: each round reads a block of all that are left, and
+    parts split by its digest. A member that is alone in its part has met its
+    first difference and is read no further, so blocks may grow without reading
+    much in vain, and rounds are few for long files.
+    """
+    longest = members.agg(F.max("size").alias("n")).first()["n"] or 0
+    state = members.withColumn("part", F.sha2(F.concat_ws("/", F.col("size").cast("string"), "hash"), 256))
+    done, at, rejects, reads = None, 0, None, None
+    while done is None or at < longest:
+        n = F.least(F.lit(block), F.col("size") - at)
+        read = stage(contents.proofs(state, F.lit(at).cast("bigint"), n.cast("bigint")), "compared")
+        bad, opened = _read(read, "verify")
+        rejects, reads = (bad, opened) if rejects is None else (rejects.unionByName(bad), reads.unionByName(opened))
+        at, block = at + block, block * growth
+        split = read.where("problem is null").withColumn("part", F.sha2(F.concat("part", "proof"), 256)).drop("proof", "problem", "read_bytes")
+        often = split.groupBy("part").agg(F.count("*").alias("_n"))
+        split = stage(split.join(often, "part"), "parts")
+        over = split.where((F.col("_n") < 2) | (F.col("size") <= at)).drop("_n")
+        done = over if done is None else done.unionByName(over)
+        state = split.where((F.col("_n") > 1) & (F.col("size") > at)).drop("_n")
+    reads = reads.groupBy("stage").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return done.select(*members.columns, "part"), rejects, reads
 
 
 def hidden(path: Column) -> Column:
@@ -143,15 +199,6 @@ def members_of(members: DataFrame, g: DataFrame) -> DataFrame:
     return members.join(g.select("group_id", "hash", "size", "keeper"), ["hash", "size"])
 
 
-def verified(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """Members whose content equals that of their group's first path by a second, independent digest; groups left with one go."""
-    proof = contents.select("id", F.sha2("content", 512).alias("proof"), F.md5("content").alias("other"))
-    held = stage(members.join(proof, "id"), "proofs")
-    first = held.groupBy("hash", "size").agg(F.min(F.struct("path", "id", "proof", "other")).alias("first"))
-    same = held.join(first, ["hash", "size"]).where("proof = first.proof and other = first.other").drop("proof", "other", "first")
-    return shared(same, ["size", "hash"])
-
-
 def totals(g: DataFrame) -> DataFrame:
     """``groups, reclaimable, duplicate_files`` (keepers among them)."""
     return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("reclaimable"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("duplicate_files"))

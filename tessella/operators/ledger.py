@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
 from tessella.operators.rank import ranked, within
 from tessella.sources import tree
+from tessella.sources.scratch import stage
 
 #: Scans that are retained.
 RETAINED = 20
@@ -62,17 +65,23 @@ def recovered(items: DataFrame) -> DataFrame:
 
 
 def finalised(ops: DataFrame, items: DataFrame) -> DataFrame:
-    """Operations after their end: open items are cancelled, done ones counted with the bytes they really freed."""
-    closed = items.withColumn("state", F.when(F.col("state") == "planned", "cancelled").otherwise(F.col("state")))
-    joined = closed.join(ops.select("op_id", "op_kind"), "op_id")
+    """Operations after their end: open items are cancelled, done ones counted with the bytes they really freed; zeros without items."""
+    kinds = ops.select("op_id", "op_kind")
+    joined = items.join(kinds, "op_id").withColumn("state", F.when(F.col("state") == "planned", "cancelled").otherwise(F.col("state")))
     done = F.col("state") == "done"
     freed = F.when(done & ((F.col("op_kind") == "delete") | ((F.col("op_kind") == "move") & F.col("cross_volume"))), F.col("size")).otherwise(0)
-    return joined.groupBy("op_id").agg(F.sum(F.when(done, 1).otherwise(0)).alias("done_count"), F.sum(F.when(F.col("state") == "cancelled", 1).otherwise(0)).alias("cancelled"), F.sum(freed).alias("reclaimed"))
+    per = joined.groupBy("op_id").agg(F.sum(F.when(done, 1).otherwise(0)).alias("done_count"), F.sum(F.when(F.col("state") == "cancelled", 1).otherwise(0)).alias("cancelled"), F.sum(freed).alias("reclaimed"))
+    zero = F.lit(0).cast("bigint")
+    return ops.select("op_id").join(per, "op_id", "left").select("op_id", *[F.coalesce(c, zero).alias(c) for c in ("done_count", "cancelled", "reclaimed")])
 
 
 def natural_keys(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
-    """Rows that ``known`` has no equal of in all keys, each once, the one with the smallest id."""
-    fresh = rows.join(known.select(*keys), keys, "left_anti")
+    """Rows that ``known`` has no equal of in all keys, each once, the one with the smallest id; nulls are equal to each other."""
+    there = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    fresh = rows.join(there, same, "left_anti")
     rest = [c for c in rows.columns if c not in keys]
     first = fresh.groupBy(*keys).agg(F.min(F.struct("id", *[c for c in rest if c != "id"])).alias("m"))
     return first.select(*keys, "m.*")
@@ -84,16 +93,35 @@ def remapped(rows: DataFrame, foreign: str, mapping: DataFrame) -> DataFrame:
     return out.withColumn("orphan", F.col("new").isNull() & (F.col(foreign) != 0)).withColumn(foreign, F.coalesce("new", F.lit(0))).drop("new")
 
 
+def _path_key(path: Column) -> Column:
+    """What paths of ledgers of any system are compared by: slashes, none at the end."""
+    return paths.trim_tail(paths.slash(path))
+
+
+def local_roots(scans: DataFrame) -> DataFrame:
+    """``root``: the roots of all scans of a ledger from their JSON lists; a list that can't be read adds none."""
+    listed = F.from_json("roots", "array<string>")
+    return scans.select(F.explode(listed).alias("root")).where("root is not null").select(_path_key(F.col("root")).alias("root")).where("root <> ''").distinct()
+
+
+def known_paths(files: DataFrame, items: DataFrame) -> DataFrame:
+    """``path``: what a ledger has seen, in scans or operations."""
+    both = files.select("path").unionByName(items.select(F.col("orig_path").alias("path")))
+    return both.where("path is not null").select(_path_key(F.col("path")).alias("path")).where("path <> ''").distinct()
+
+
 def downgraded(ops: DataFrame, items: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
-    """Foreign operations that must not be undone here: an undo path lies in no local root and isn't a known path.
+    """Foreign operations that must not be undone here: an undo path isn't absolute, or lies in no local root and isn't a known path.
 
-    Roots are met by an equi-join on each distinct path's ancestors.
+    Paths are met with slashes and none at the end; roots by an equi-join on each
+    distinct path's ancestors.
     """
-    live = items.where(F.col("state").isin("done", "undo_failed")).join(ops.where("undoable").select("op_id"), "op_id").select("op_id", "orig_path")
-    distinct = live.select("orig_path").distinct()
-    inside = distinct.select("orig_path", F.explode(paths.ancestors(F.col("orig_path"))["dir"]).alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("orig_path")
-    fine = inside.unionByName(known.select(F.col("path").alias("orig_path"))).distinct()
-    bad = live.join(fine, "orig_path", "left_anti").select("op_id").distinct().withColumn("bad", F.lit(True))
+    live = items.where(F.col("state").isin("done", "undo_failed")).join(ops.where("undoable").select("op_id"), "op_id").select("op_id", _path_key(F.col("orig_path")).alias("key"))
+    distinct = live.select("key").distinct().where(F.col("key").rlike("^(/|[A-Za-z]:/)"))
+    near = roots.select(_path_key(F.col("root")).alias("root")).where("root <> ''").distinct()
+    inside = distinct.select("key", F.explode(paths.ancestors(F.col("key"))["dir"]).alias("root")).join(near, "root", "left_semi").select("key")
+    seen = distinct.join(known.select(_path_key(F.col("path")).alias("key")), "key", "left_semi")
+    bad = live.join(inside.unionByName(seen).distinct(), "key", "left_anti").select("op_id").distinct().withColumn("bad", F.lit(True))
     return ops.join(bad, "op_id", "left").withColumn("undoable", F.col("undoable") & F.col("bad").isNull()).drop("bad")
 
 
@@ -131,10 +159,63 @@ def newest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     return best.select(*keys, "m.*")
 
 
-def numbered_names(names: DataFrame, mark: str = "_") -> DataFrame:
-    """``folder, name, id`` with ``free_name``: repeated names get a number before their extension."""
-    base, ext = paths.drop_extension(F.col("name")), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    return within(names, ["folder", "name"], [F.col("id")], "_k").withColumn("k", F.col("_k") - 1).select("folder", "name", "id", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(base, F.lit(mark), F.col("k").cast("string"), ext)).alias("free_name"))
+def numbered_names(names: DataFrame, taken: DataFrame | None = None, mark: str = "_") -> DataFrame:
+    """``folder, name, id`` with ``free_name``: no two in a folder are equal, and none is in ``taken(folder, name)``.
+
+    The first by id that wants a name gets it, if it isn't taken; others get a
+    number before their extension: of those of one name the k-th gets the k-th
+    number that is free, taken and wanted names being none. Numbers that aren't
+    free are put among the ranks that have to pass them, so a number is a place in
+    one order and no task holds a whole name.
+    """
+    ext = F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    rows = within(names.select("folder", "name", "id"), ["folder", "name"], [F.col("id")], "_k")
+    held = names.select("folder", "name").distinct()
+    if taken is not None:
+        taken = taken.select("folder", "name").distinct()
+        held = held.unionByName(taken).distinct()
+        rows = rows.join(taken.withColumn("_taken", F.lit(1)), ["folder", "name"], "left").withColumn("_k", F.col("_k") - F.when(F.col("_taken").isNull(), 1).otherwise(0)).drop("_taken")
+    else:
+        rows = rows.withColumn("_k", F.col("_k") - 1)
+    rows = stage(rows.withColumn("_base", paths.drop_extension(F.col("name"))).withColumn("_ext", ext), "names")
+    more = rows.where("_k > 0").select("folder", "_base", "_ext", F.col("_k").alias("_at"), F.lit(1).alias("_kind"), "id")
+    number = F.regexp_extract(paths.drop_extension(F.col("name")), rf"^(.*){re.escape(mark)}([1-9][0-9]{{0,17}})$", 2)
+    shut = held.select("folder", paths.drop_extension(F.col("name")).alias("_base"), ext.alias("_ext"), number.alias("_n")).where("_n <> ''")
+    shut = shut.select("folder", F.expr(f"left(_base, length(_base) - length(_n) - {len(mark)})").alias("_base"), "_ext", F.col("_n").cast("bigint").alias("_n"))
+    shut = shut.join(more.select("folder", "_base", "_ext").distinct(), ["folder", "_base", "_ext"], "left_semi")
+    shut = within(shut, ["folder", "_base", "_ext"], [F.col("_n")], "_j").select("folder", "_base", "_ext", (F.col("_n") - F.col("_j") + 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_n").alias("id"))
+    placed = within(more.unionByName(shut), ["folder", "_base", "_ext"], [F.col("_at"), F.col("_kind"), F.col("id")], "_number").where("_kind = 1")
+    free = placed.select("folder", "_base", "_ext", F.col("_at").alias("_k"), "id", "_number")
+    out = rows.join(free, ["folder", "_base", "_ext", "_k", "id"], "left")
+    return out.select("folder", "name", "id", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat("_base", F.lit(mark), F.col("_number").cast("string"), "_ext")).alias("free_name"))
+
+
+def kept_paths(scans: DataFrame, gone: DataFrame) -> DataFrame:
+    """``scans`` whose JSON list ``keep_paths`` has lost the paths of ``gone(hist_id, path)``; a list that can't be read stays as it is.
+
+    Only lists that lose a path are written anew, and their order stays.
+    """
+    listed = scans.select("id", F.posexplode(F.from_json("keep_paths", "array<string>")).alias("at", "path"))
+    lost = gone.select(F.col("hist_id").alias("id"), "path", F.lit(1).alias("gone")).distinct()
+    met = listed.join(lost, ["id", "path"], "left")
+    hit = met.where("gone is not null").select("id").distinct()
+    left = met.join(hit, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.struct("at", "path")))).alias("kept"))
+    out = scans.join(left, "id", "left")
+    return out.withColumn("keep_paths", F.when(F.col("kept").isNull(), F.col("keep_paths")).otherwise(F.to_json(F.transform("kept", lambda x: x["path"])))).select(*scans.columns)
+
+
+def without_scans(tables: dict[str, DataFrame], gone: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ledger's tables without the scans in ``gone(id)``, or without any; their groups and files go with them, operations stay."""
+    ids = tables["scan_history"].select("id") if gone is None else gone.select("id").distinct()
+    out = dict(tables) | {"scan_history": tables["scan_history"].join(ids, "id", "left_anti")}
+    for name in ("hist_groups", "hist_files"):
+        out[name] = tables[name].join(ids.withColumnRenamed("id", "hist_id"), "hist_id", "left_anti")
+    return out
+
+
+def without_operations(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The ledger's tables without operations and their items; scans stay."""
+    return dict(tables) | {name: tables[name].where(F.lit(False)) for name in ("op_records", "op_items")}
 
 
 def loaded(groups: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +276,11 @@ def merged_import(
     scans = foreign["scan_history"]
     new_scans = _numbered_from(natural_keys(scans, list(SCAN_KEY), local["scan_history"]), local["scan_history"], "new")
     there = local["scan_history"].groupBy(*SCAN_KEY).agg(F.min("id").alias("new")).unionByName(new_scans.select(*SCAN_KEY, "new"))
-    mapping = scans.select(F.col("id").alias("old"), *SCAN_KEY).join(there, list(SCAN_KEY)).select("old", "new")
+    there = there.select("new", *[F.col(k).alias(f"_{k}") for k in SCAN_KEY])
+    same = F.lit(True)
+    for k in SCAN_KEY:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    mapping = scans.select(F.col("id").alias("old"), *SCAN_KEY).join(there, same).select("old", "new")
     taken = new_scans.select(F.col("id").alias("hist_id"), F.col("new").alias("new_hist"))
     groups = _numbered_from(foreign["hist_groups"].join(taken, "hist_id"), local["hist_groups"], "new")
     files = foreign["hist_files"].join(groups.select(F.col("id").alias("group_id"), F.col("new").alias("new_group"), "new_hist"), "group_id")

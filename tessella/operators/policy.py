@@ -31,8 +31,8 @@ def keep(members: DataFrame, kind: str) -> DataFrame:
 
 
 def keepers(g: DataFrame, chosen: DataFrame, members: DataFrame) -> DataFrame:
-    """``group_id, keep_id``: the explicit keeper of ``chosen(group_id, keep_id)`` where it is a member of the group, else the default one."""
-    valid = chosen.join(members.select("group_id", F.col("id").alias("keep_id")), ["group_id", "keep_id"], "left_semi").groupBy("group_id").agg(F.min("keep_id").alias("explicit"))
+    """``group_id, keep_id``: the explicit keeper of ``chosen(group_id, keep_id)`` where it is a member of the group (of several the first path), else the default one."""
+    valid = chosen.select("group_id", "keep_id").distinct().join(members.select("group_id", F.col("id").alias("keep_id"), "path"), ["group_id", "keep_id"]).groupBy("group_id").agg(F.min(F.struct("path", "keep_id"))["keep_id"].alias("explicit"))
     return g.join(valid, "group_id", "left").select("group_id", F.coalesce("explicit", "keeper").alias("keep_id"))
 
 
@@ -117,7 +117,7 @@ def selection_state(members: DataFrame, keep_ids: DataFrame, selected: DataFrame
 
 
 def first_choice(selection: DataFrame) -> DataFrame:
-    """A selection ``id, ord`` without repetitions, renumbered in its order within hashed parts of ids."""
+    """A selection ``id, ord`` without repetitions, each where it was chosen first."""
     return selection.groupBy("id").agg(F.min("ord").alias("ord"))
 
 

@@ -16,16 +16,16 @@ _ROW_BITS = 33
 def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """``df`` with ``name``, 1..N by ``order``, which must tell all rows apart.
 
-    Rows are dealt by ranges of the order and sorted there; a partition's numbers
+    Rows are dealt by ranges of the order, sorted there and written once; a partition's numbers
     follow from the sizes of those before it, a row a partition. So equal leading
     columns, or a group with a third of all rows, are spread like any others.
     """
-    dealt = stage(df, "unranked").repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stage(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", _ROW_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
-    return placed.join(offsets, "_part").withColumn(name, number.cast("bigint")).drop("_at", "_part", "_before")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(dealt.withColumn("_rank_at", F.monotonically_increasing_id()), "ranked").withColumn("_rank_part", F.shiftright("_rank_at", _ROW_BITS))
+    before = Window.orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_rank_part").agg(F.count("*").alias("_rank_n")).select("_rank_part", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)).alias("_rank_before"))
+    number = F.col("_rank_before") + F.col("_rank_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return placed.join(offsets, "_rank_part").withColumn(name, number.cast("bigint")).drop("_rank_at", "_rank_part", "_rank_before")
 
 
 def within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:

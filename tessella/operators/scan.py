@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, paths
@@ -13,7 +13,7 @@ from tessella.functions import classify, paths
 
 @dataclass(frozen=True)
 class Filters:
-    """What a user keeps of a scan. A size bound of 0 is off; ``fold`` only for roots proven case-insensitive."""
+    """What a user keeps of a scan. A size bound of 0 is off; ``fold``: whether, or below which roots (by number), case makes no difference to patterns."""
 
     min_size: int = 0
     max_size: int = 0
@@ -22,10 +22,17 @@ class Filters:
     exclude: Sequence[str] = ()
     exclude_dirs: Sequence[str] = ()
     hidden: bool = False
-    fold: bool = False
-    bad: list[str] = field(default_factory=list, compare=False)
+    fold: bool | Sequence[int] = False
 
-    def column(self, rel: Column, path: Column, name: Column, ext: Column, size: Column) -> Column:
+    def excluded(self, pattern: str, rel: Column, root: Column | None = None) -> Column:
+        """Whether a pattern excludes a path below the root of that number."""
+        if isinstance(self.fold, bool):
+            return paths.excluded(pattern, rel, self.fold)
+        if root is None or not self.fold:
+            return paths.excluded(pattern, rel)
+        return F.when(root.isin(*self.fold), paths.excluded(pattern, rel, True)).otherwise(paths.excluded(pattern, rel))
+
+    def column(self, rel: Column, path: Column, name: Column, ext: Column, size: Column, root: Column | None = None) -> Column:
         """One predicate, so that all of it reaches the scan."""
         keep = F.lit(True)
         if self.min_size > 0:
@@ -40,9 +47,9 @@ class Filters:
         if exclude:
             keep &= ~ext.isin(*exclude)
         for pattern in self.exclude:
-            keep &= ~paths.excluded(pattern, rel, self.fold)
+            keep &= ~self.excluded(pattern, rel, root)
         for folder in self.exclude_dirs:
-            keep &= ~paths.under(path, F.lit(folder.rstrip("/")))
+            keep &= ~paths.under(path, paths.dir_key(F.lit(folder)))
         return keep
 
     def rejects(self) -> list[tuple[str, str]]:
@@ -56,11 +63,11 @@ def _extensions(names: Sequence[str]) -> list[str]:
 
 
 def normal_roots(roots: DataFrame, root: str = "root") -> DataFrame:
-    """``root, covered_by``: distinct cleaned roots; one below another names the topmost that covers it."""
-    clean = roots.select(paths.trim_tail(F.regexp_replace(F.col(root), "/{2,}", "/")).alias("root")).distinct()
-    above = clean.select(F.col("root"), F.explode(paths.ancestors(F.col("root"))).alias("x")).select("root", F.col("x.dir").alias("dir"), F.col("x.depth").alias("depth")).where("dir <> root and dir <> ''")
-    top = above.join(clean.select(F.col("root").alias("dir")), "dir").groupBy("root").agg(F.min(F.struct("depth", "dir"))["dir"].alias("covered_by"))
-    return clean.join(top, "root", "left")
+    """``root, covered_by``: distinct cleaned roots; one below another names the topmost that covers it. ``/`` covers all absolute ones."""
+    clean = roots.select(paths.cleaned(F.col(root)).alias("root")).distinct().withColumn("key", paths.dir_key(F.col("root")))
+    above = clean.select("root", "key", F.explode(paths.ancestors(F.col("root"))).alias("x")).select("root", F.col("x.dir").alias("dir"), F.col("x.depth").alias("depth"), "key").where("dir <> key and root <> '/'").drop("key")
+    top = above.join(clean.select(F.col("key").alias("dir"), F.col("root").alias("at")), "dir").groupBy("root").agg(F.min(F.struct("depth", "at"))["at"].alias("covered_by"))
+    return clean.drop("key").join(top, "root", "left")
 
 
 def relative(path: Column, roots: Sequence[str]) -> tuple[Column, Column]:
@@ -93,25 +100,31 @@ def reject_reason(
 
 
 def with_actual_bytes(files: DataFrame) -> DataFrame:
-    """``disk_bytes``: a volume's zeros count once another of its files has reported more than zero."""
-    trusted = files.groupBy("volume_id").agg(F.max(F.coalesce(F.col("actual_known") & (F.col("actual") > 0), F.lit(False))).alias("trusts_zero"))
-    return files.join(trusted, "volume_id").withColumn("disk_bytes", classify.actual_bytes(F.col("size"), F.col("actual"), F.col("actual_known"), F.col("trusts_zero")))
+    """``disk_bytes``: a volume's zeros count once another of its files has reported more than zero; those of an unknown volume never do."""
+    known = files.where("volume_id is not null").groupBy("volume_id").agg(F.max(F.coalesce(F.col("actual_known") & (F.col("actual") > 0), F.lit(False))).alias("trusts_zero"))
+    out = files.join(known, "volume_id", "left").withColumn("trusts_zero", F.coalesce("trusts_zero", F.lit(False)))
+    return out.withColumn("disk_bytes", classify.actual_bytes(F.col("size"), F.col("actual"), F.coalesce("actual_known", F.lit(False)), F.col("trusts_zero")))
 
 
 def in_dirs(files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """``files`` with ``dir_ord, dir``: the first of ``dirs(dir_ord, dir)`` that holds a file, by an equi-join on its ancestors."""
-    above = files.select("id", F.explode(paths.ancestors(F.col("path"))).alias("x")).select("id", F.col("x.dir").alias("dir"))
-    first = above.join(dirs, "dir").groupBy("id").agg(F.min(F.struct("dir_ord", "dir")).alias("m"))
+    """``files`` with ``dir_ord, dir``: the first of ``dirs(dir_ord, dir)`` that holds a file, by an equi-join on its ancestors.
+
+    ``/`` holds every absolute path. Directories whose ``fold`` is true, if there
+    is such a column, are met without regard to case.
+    """
+    above = files.select("id", F.explode(paths.ancestors(F.col("path"))["dir"]).alias("key"))
+    keyed = dirs.withColumn("key", paths.dir_key(F.col("dir")))
+    met = above.join(keyed, "key")
+    if "fold" in dirs.columns:
+        folded = keyed.where("fold").withColumn("key", F.lower("key"))
+        met = above.join(keyed.where("not coalesce(fold, false)"), "key").unionByName(above.withColumn("key", F.lower("key")).join(folded, "key"))
+    first = met.groupBy("id").agg(F.min(F.struct("dir_ord", "dir")).alias("m"))
     return files.join(first.select("id", "m.dir_ord", "m.dir"), "id")
 
 
-def distinct_dirs(dirs: DataFrame, fold: bool = False) -> DataFrame:
-    """``dir_ord, dir``: trimmed, without blanks, the first spelling of each."""
-    clean = dirs.select("dir_ord", paths.trim_tail(F.trim("dir")).alias("dir")).where("dir <> ''")
-    key = F.lower("dir") if fold else F.col("dir")
-    return clean.groupBy(key.alias("k")).agg(F.min(F.struct("dir_ord", "dir")).alias("m")).select("m.dir_ord", "m.dir")
-
-
-def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = 1) -> DataFrame:
-    """The first rows of each group by an order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= limit).drop("_k")
+def distinct_dirs(dirs: DataFrame) -> DataFrame:
+    """``dir_ord, dir`` (and ``fold``, if it is there): cleaned, without blanks, the first spelling of each; spellings differ by case only where ``fold`` is false."""
+    clean = dirs.select("dir_ord", F.when(F.trim("dir") != "", paths.cleaned(F.trim("dir"))).alias("dir"), *(["fold"] if "fold" in dirs.columns else [])).where("dir is not null")
+    key = F.when(F.col("fold"), F.lower("dir")).otherwise(F.col("dir")) if "fold" in dirs.columns else F.col("dir")
+    rest = [c for c in clean.columns if c not in ("dir_ord", "dir")]
+    return clean.groupBy(key.alias("k")).agg(F.min(F.struct("dir_ord", "dir", *rest)).alias("m")).select("m.dir_ord", "m.dir", *[f"m.{c}" for c in rest])

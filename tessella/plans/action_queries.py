@@ -41,7 +41,7 @@ def run_members_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, True).members.select("id", "group_id", "path")
 
 
-@query(f"WITH {_SEEN} SELECT id, path, reason FROM seen WHERE reason IS NOT NULL")
+@query(f"WITH {_SEEN} SELECT id, path, reason, 'scan' AS stage FROM seen WHERE reason IS NOT NULL")
 def run_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).rejects
 
@@ -257,7 +257,7 @@ def selection_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.replayed(before.unionByName(before), m, g.select(F.col("keeper").alias("id")))
 
 
-@query(f"""WITH {GROUPS}, c AS (SELECT group_id, min(id) AS explicit FROM members WHERE id % 3 = 0 GROUP BY group_id)
+@query(f"""WITH {GROUPS}, c AS (SELECT group_id, min_by(id, path) AS explicit FROM members WHERE id % 3 = 0 GROUP BY group_id)
 SELECT m.group_id, m.id, m.path, m.name, m.size, m.mtime_ns, CASE WHEN m.resolved THEN 'vid:' || m.volume_id ELSE 'root:' || string_split(m.path, '/')[2] END AS volume, m.resolved AS volume_resolved,
   m.id = coalesce(c.explicit, m.keeper) AS is_keep, m.id % 2 = 0 AS is_pending FROM members m LEFT JOIN c USING (group_id)""")
 def results_view(spark: SparkSession, sf_dir: str) -> DataFrame:

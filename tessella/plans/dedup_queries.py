@@ -48,7 +48,8 @@ def dedup_identity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
   substr(hex(encode(text)), 2 * least(size * 3 // 4, size - 512) + 1, 1024), substr(hex(encode(text)), 2 * (size - 512) + 1, 1024)] END AS s FROM sized)
 SELECT id, size, count(*) OVER (PARTITION BY size, s) AS bucket FROM h QUALIFY count(*) OVER (PARTITION BY size, s) > 1""")
 def dedup_sample_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup.size_candidates(dedup.sampled(files(spark, sf_dir), CHUNK, SMALL))
+    rows = files(spark, sf_dir)
+    found = dedup.InTable(rows).samples(dedup.size_candidates(rows.drop("content")), CHUNK, SMALL)
     keys = ["size", *dedup.SAMPLES]
     found = dedup.shared(found, keys)
     return found.join(found.groupBy(*keys).agg(F.count("*").alias("bucket")), keys).select("id", "size", "bucket")
@@ -61,8 +62,8 @@ def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GROUPS} SELECT id, group_id, path FROM members")
 def dedup_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = members0(spark, sf_dir)
-    same = dedup.verified(found, files(spark, sf_dir))
+    rows = files(spark, sf_dir)
+    same = dedup.detect(rows.drop("content"), dedup.InTable(rows), CHUNK, SMALL, exact=True).members
     return dedup.members_of(same, dedup.groups(same)).select("id", "group_id", "path")
 
 
@@ -134,7 +135,7 @@ def keep_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.keep(grouped(spark, sf_dir)[1], "shortest")
 
 
-@query(f"""WITH {GROUPS}, c AS (SELECT group_id, min(id) AS explicit FROM members WHERE id % 3 = 0 GROUP BY group_id)
+@query(f"""WITH {GROUPS}, c AS (SELECT group_id, min_by(id, path) AS explicit FROM members WHERE id % 3 = 0 GROUP BY group_id)
 SELECT g.group_id, coalesce(c.explicit, g.keeper) AS keep_id FROM grp g LEFT JOIN c USING (group_id)""")
 def keep_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A choice of every third file, some of them not in the group they are chosen for."""
@@ -309,7 +310,7 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of a second run that takes full hashes from the cache where it may."""
     run = files(spark, sf_dir).withColumn("dev", F.col("volume_id")).withColumn("ino", F.col("file_index"))
-    return dedup.groups(cache.incremental(run, cache_rows(spark, sf_dir), CHUNK, SMALL)).select("group_id", "hash", "n_files")
+    return dedup.groups(cache.incremental(run, cache_rows(spark, sf_dir), CHUNK, SMALL).members).select("group_id", "hash", "n_files")
 
 
 @query(f"WITH {_CACHE} SELECT path, CASE WHEN path IN (SELECT path FROM now) THEN 77 ELSE id % 50 END::BIGINT AS last_hit FROM old")

@@ -122,7 +122,7 @@ def ops_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LEDGER} SELECT op_id, count(*) FILTER (state = 'done') AS done_count, count(*) FILTER (state IN ('planned', 'cancelled')) AS cancelled,
-  coalesce(sum(size) FILTER (state = 'done' AND (op_kind = 'delete' OR (op_kind = 'move' AND cross_volume))), 0)::BIGINT AS reclaimed FROM items JOIN ops USING (op_id) GROUP BY op_id""")
+  coalesce(sum(size) FILTER (state = 'done' AND (op_kind = 'delete' OR (op_kind = 'move' AND cross_volume))), 0)::BIGINT AS reclaimed FROM ops LEFT JOIN items USING (op_id) GROUP BY op_id""")
 def ops_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.finalised(*_ledger(spark, sf_dir))
 
@@ -210,11 +210,22 @@ def recycle_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.reconciled(count("id % 2 = 0 and volume_id <> 1"), count("id % 2 = 1"), count("id % 3 = 0 and volume_id <> 2"))
 
 
-@query("""WITH n AS (SELECT source AS folder, lang || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '' END AS name, doc_id AS id FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY id) - 1 AS k FROM n)
-SELECT folder, name, id, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)$', 1) END AS free_name FROM k""")
+_NAMES = """n AS (SELECT source AS folder, lang || CASE WHEN doc_id % 5 = 0 THEN '_' || doc_id % 9 ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '' END AS name, doc_id AS id FROM documents),
+held AS (SELECT DISTINCT source AS folder, lang || CASE WHEN doc_id % 6 = 0 THEN '' ELSE '_' || n_chars % 40 END || CASE WHEN doc_id % 4 = 0 THEN '.txt' ELSE '' END AS name FROM documents WHERE n_chars % 3 = 0)"""
+
+
+@query(f"""WITH {_NAMES}, k AS (SELECT n.*, row_number() OVER (PARTITION BY folder, name ORDER BY id) - (held.name IS NULL)::INT AS k, regexp_replace(n.name, '\\.[^.]*$', '') AS base, regexp_extract(n.name, '(\\.[^.]*)$', 1) AS ext FROM n LEFT JOIN held USING (folder, name)),
+f AS (SELECT folder, base, ext, max(k) AS m FROM k GROUP BY ALL), shut AS (SELECT folder, name FROM n UNION SELECT folder, name FROM held),
+tried AS (SELECT folder, base, ext, unnest(range(1, m + 60)) AS i FROM f WHERE m > 0),
+free AS (SELECT t.*, row_number() OVER (PARTITION BY folder, base, ext ORDER BY i) AS k FROM tried t ANTI JOIN shut s ON t.folder = s.folder AND t.base || '_' || i || t.ext = s.name)
+SELECT k.folder, k.name, k.id, CASE WHEN k.k = 0 THEN k.name ELSE k.base || '_' || free.i || k.ext END AS free_name FROM k LEFT JOIN free USING (folder, base, ext, k)""")
 def name_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat("lang", F.when(F.col("doc_id") % 2 == 0, ".txt").otherwise(""))
-    return ledger.numbered_names(corpus.table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), name.alias("name"), F.col("doc_id").alias("id")))
+    """Many files that move to folders where others lie, some under names that numbering would give."""
+    docs, text = corpus.table(spark, sf_dir, "documents"), lambda c: c.cast("string")
+    end = lambda n: F.when(F.col("doc_id") % n == 0, ".txt").otherwise("")
+    names = docs.select(F.col("source").alias("folder"), F.concat("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("_"), text(F.col("doc_id") % 9))).otherwise(""), end(2)).alias("name"), F.col("doc_id").alias("id"))
+    held = docs.where("n_chars % 3 = 0").select(F.col("source").alias("folder"), F.concat("lang", F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.concat(F.lit("_"), text(F.col("n_chars") % 40))), end(4)).alias("name"))
+    return ledger.numbered_names(names, held)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber AS ord, (l_linenumber // 3)::BIGINT AS batch FROM lineitem")

@@ -27,3 +27,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tessella-stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mounted_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one as a plain path; ValueError if that isn't mounted."""
+    shared = shared_folder(spark)
+    if not shared.startswith(("file:/", "/")):
+        raise ValueError(f"{shared} isn't a mounted folder")
+    path = "/" + shared.removeprefix("file:").lstrip("/")
+    return f"{path}/tessella-trees/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path if ":" in path else f"file://{path}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,14 +1,12 @@
-"""File trees and foreign ledgers as sources."""
+"""Foreign ledgers and made corpora as sources."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import paths
-
 #: Tables and columns of a ledger, by which a foreign one is recognised.
 LEDGER = {
     "scan_history": ("id", "saved_at", "roots", "filters", "threads", "paranoid", "groups_count", "files_count", "orig_files", "reclaimable", "failed_json", "keep_paths"),
@@ -19,18 +17,6 @@ LEDGER = {
 }
 
 
-def walk(spark: SparkSession, roots: Sequence[str], min_size: int = 1, content: bool = False) -> DataFrame:
-    """Regular files below ``roots``, listed in parallel: ``path, name, ext, size, mtime_ns`` and ``content`` if asked for.
-
-    Contents aren't read unless selected; the size bound reaches the listing.
-    A path that two roots cover appears once.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).where(F.col("length") >= min_size)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    out = found.select(path.alias("path"), paths.base_name(path).alias("name"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), *(["content"] if content else []))
-    return out.withColumn("ext", paths.extension(F.col("name"))).dropDuplicates(["path"])
-
-
 def checked_ledger(tables: Mapping[str, DataFrame]) -> Mapping[str, DataFrame]:
     """The tables, or ValueError naming what a foreign ledger lacks."""
     lacks = [f"{name}.{c}" for name, columns in LEDGER.items() for c in columns if name not in tables or c not in tables[name].columns]

@@ -113,11 +113,7 @@ def test_transition_matrix():
     assert sum(map(len, classify.TRANSITIONS.values())) == 20
 
 
-def test_walk_and_foreign_ledger(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    for name, data in (("a.bin", b"x" * 10), ("d/b.bin", b"x" * 10), ("empty", b"")):
-        (tmp_path / name).write_bytes(data)
-    assert sorted(r["name"] for r in tree.walk(spark, [str(tmp_path)]).collect()) == ["a.bin", "b.bin"]
+def test_foreign_ledger(spark):
     with pytest.raises(ValueError, match="op_items.state"):
         tree.checked_ledger({k: spark.createDataFrame([], ", ".join(f"{c} string" for c in v if c != "state")) for k, v in tree.LEDGER.items()})
     for column in ("scan_history.orig_files", "scan_history.failed_json", "op_records.target_dir", "op_items.link_src"):
@@ -158,22 +154,15 @@ def test_ranks_are_those_of_one_sort(spark):
     assert {r["id"]: r["n"] for r in within(df, ["g"], [F.col("v").desc(), F.col("id")], "n").collect()} == want
 
 
-def test_contents_are_not_shuffled(spark, sf):
-    """Every exchange of a detection is of a table without contents."""
+def test_contents_are_asked_for_by_id(spark, sf):
+    """Rows that aren't wanted are dropped by a broadcast bitmap before their content is hashed or shuffled."""
     files = corpus.documents(spark, sf)
-    for df in (dedup.sampled(files, 512, 1024), dedup.full_hash(files).join(files.select("id"), "id"), dedup.verified(dedup.candidates(files, 512, 1024), files)):
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-        assert "content" not in "".join(line for line in plan.splitlines() if "Join" in line)
-
-
-def test_segmented_hash_is_the_hash(spark):
-    """Hashing a content piece by piece gives what hashing it at once does, whatever the pieces."""
-    for size, step in ((0, 7), (1, 1), (1000, 64), (70000, 65536), (131073, 4096)):
-        data, running = bytes(k * 31 % 251 for k in range(size)), hashlib.sha256()
-        for at in range(0, size, step):
-            running.update(data[at : at + step])
-        found = spark.createDataFrame([(1, bytearray(data))], "id bigint, content binary")
-        assert dedup.full_hash(found).first()["hash"] == running.hexdigest()
+    some = files.drop("content").where("id % 50 = 3")
+    found = dedup.InTable(files)
+    assert found._of(some).count() == some.count()
+    for df in (found.samples(some, 512, 1024), found.hashes(some)):
+        assert "content" not in "".join(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Left" in line)
+    assert {r["id"]: r["hash"] for r in found.hashes(some).collect()} == {r["id"]: hashlib.sha256(bytes(r["content"])).hexdigest() for r in files.where("id % 50 = 3").collect()}
 
 
 def test_deletion_records_of_both_layouts(spark):
