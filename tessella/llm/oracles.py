@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm.license_scan import LEAST_SCORE, LICENCE_FILES, NOTICES, WINDOW_LINES
+from tessella.llm.license_scan import FAMILIES, LEAST_SCORE, LICENCE_FILES, MARKS, NOTICES, SURE_SCORE, WINDOW_LINES, traits
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -42,14 +42,22 @@ def license_scan(path: str) -> str:
     files = ", ".join(f"'{x}'" for x in LICENCE_FILES)
     texts = [(name, k, text) for name in sorted(NOTICES) for k, text in enumerate(NOTICES[name])]
     sizes = ", ".join(f"({n}, {max(1, n // 4)})" for n in WINDOW_LINES)
+    quoted = lambda own: ", ".join(f"'{x}'" for x in own)
+    families, marks = quoted(FAMILIES), quoted(sorted({m for own in MARKS.values() for m in own} | set(FAMILIES)))
+    kinds = ((name, k, *traits(name, text)) for name, k, text in texts)
+    kinds = ", ".join(f"('{name}', '{k}', {tier}, {size}, [{quoted(needs)}]::VARCHAR[], [{quoted(family)}]::VARCHAR[])" for name, k, tier, size, needs, family in kinds)
     scored = lambda rows: f"""
   (WITH c AS (SELECT w.doc_id, w.i, w.t, count(*) * any_value(idf.idf) AS x FROM ({rows}) w JOIN idf ON w.t = idf.t GROUP BY ALL),
   norms AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM c GROUP BY ALL),
   dots AS (SELECT c.doc_id, c.i, tv.name, tv.k, sum(c.x * tv.unit) AS dot FROM c JOIN tv ON c.t = tv.t GROUP BY ALL)
-  SELECT doc_id, max({{'score': round(dot / norm, 6), 'name': name}}) AS best FROM dots JOIN norms USING (doc_id, i)
-  WHERE round(dot / norm, 6) >= {LEAST_SCORE} GROUP BY doc_id)"""
+  closest AS MATERIALIZED (SELECT doc_id, i, name, k, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, i) WHERE round(dot / norm, 6) >= {LEAST_SCORE}),
+  has AS (SELECT doc_id, i, list(DISTINCT t) AS have FROM c WHERE t IN ({marks}) AND (doc_id, i) IN (SELECT (doc_id, i) FROM closest) GROUP BY ALL)
+  SELECT doc_id, max({{'tier': tier, 'sure': score >= {SURE_SCORE}, 'size': size, 'score': score, 'name': name}}) AS best FROM closest JOIN traits USING (name, k) LEFT JOIN has USING (doc_id, i)
+  WHERE len(list_filter(needs, lambda x: NOT list_contains(coalesce(have, []), x))) = 0 AND len(list_filter(coalesce(have, []), lambda x: list_contains([{families}], x) AND NOT list_contains(family, x))) = 0
+  GROUP BY doc_id)"""
     return f"""
 WITH notices(name, k, notice) AS (VALUES {_values(texts)}),
+traits(name, k, tier, size, needs, family) AS (VALUES {kinds}),
 d AS (SELECT doc_id, {path} AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n FROM d),
 nt AS (SELECT name, k, t, count(*) AS c FROM (SELECT name, k, unnest({_WORDS.format("notice")}) AS t FROM notices) GROUP BY ALL),
@@ -63,8 +71,8 @@ ww AS MATERIALIZED (SELECT doc_id, s * 1000000 + start AS i, unnest(flatten(l[st
 f AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS folder, split_part(lower(regexp_extract(path, '[^/]*$')), '.', 1) IN ({files}) AS is_file FROM d),
 header AS {scored("SELECT * FROM ww")},
 whole AS {scored(f"SELECT doc_id, 1 AS i, unnest({_WORDS.format('text')}) AS t FROM d WHERE doc_id IN (SELECT doc_id FROM f WHERE is_file)")},
-own AS (SELECT f.*, CASE WHEN whole.best IS NOT NULL AND (header.best IS NULL OR whole.best >= header.best) THEN whole.best ELSE header.best END AS best,
-  CASE WHEN whole.best IS NOT NULL AND (header.best IS NULL OR whole.best >= header.best) THEN 'file' WHEN header.best IS NOT NULL THEN 'header' END AS origin
+own AS (SELECT f.*, CASE WHEN whole.best IS NOT NULL AND (header.best IS NULL OR whole.best.tier > 0 OR header.best.tier = 0) THEN whole.best ELSE header.best END AS best,
+  CASE WHEN whole.best IS NOT NULL AND (header.best IS NULL OR whole.best.tier > 0 OR header.best.tier = 0) THEN 'file' WHEN header.best IS NOT NULL THEN 'header' END AS origin
   FROM f LEFT JOIN header ON f.doc_id = header.doc_id LEFT JOIN whole ON f.doc_id = whole.doc_id),
 licensed AS (SELECT folder AS above, max(best) AS given FROM own WHERE is_file AND best IS NOT NULL GROUP BY folder),
 inherited AS (SELECT o.folder, l.above, l.given, row_number() OVER (PARTITION BY o.folder ORDER BY length(l.above) DESC) AS k
