@@ -49,7 +49,7 @@ def license_scan(path: str) -> str:
     scored = lambda rows: f"""
   (WITH c AS (SELECT w.doc_id, w.i, w.t, count(*) * any_value(idf.idf) AS x FROM ({rows}) w JOIN idf ON w.t = idf.t GROUP BY ALL),
   norms AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM c GROUP BY ALL),
-  dots AS (SELECT c.doc_id, c.i, tv.name, tv.k, sum(c.x * tv.unit) AS dot FROM c JOIN tv ON c.t = tv.t GROUP BY ALL)
+  dots AS (SELECT c.doc_id, c.i, tv.name, tv.k, sum(c.x * tv.unit) AS dot FROM c JOIN tv ON c.t = tv.t GROUP BY ALL),
   closest AS MATERIALIZED (SELECT doc_id, i, name, k, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, i) WHERE round(dot / norm, 6) >= {LEAST_SCORE}),
   has AS (SELECT doc_id, i, list(DISTINCT t) AS have FROM c WHERE t IN ({marks}) AND (doc_id, i) IN (SELECT (doc_id, i) FROM closest) GROUP BY ALL)
   SELECT doc_id, max({{'tier': tier, 'sure': score >= {SURE_SCORE}, 'size': size, 'score': score, 'name': name}}) AS best FROM closest JOIN traits USING (name, k) LEFT JOIN has USING (doc_id, i)
