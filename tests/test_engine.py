@@ -122,18 +122,6 @@ def test_foreign_ledger(spark):
             tree.checked_ledger({k: spark.createDataFrame([], ", ".join(f"{c} string" for c in v if (k, c) != (table, lost))) for k, v in tree.LEDGER.items()})
 
 
-def test_arriving_files(spark, tmp_path):
-    from tessella.streaming import incremental
-
-    folder = tmp_path / "in"
-    folder.mkdir()
-    for k in range(3):
-        (folder / f"{k}.bin").write_bytes(b"same")
-    query = incremental.run_once(incremental.duplicates(incremental.arriving(spark, f"file://{folder}")), "arrived", str(tmp_path / "state"))
-    query.awaitTermination()
-    assert [(r["n_files"], r["reclaimable"]) for r in spark.table("arrived").collect()] == [(3, 8)]
-
-
 def test_detail_holds_every_item(spark, sf):
     from tessella.plans.catalog import QUERIES
 
