@@ -8,10 +8,11 @@ n-grams reaches ``num / den``. No link between different texts is lost:
   then by hash. Of a set of ``n`` at most ``m = n - ceil(n * num / den)``
   elements miss in a partner, so the first ``m + k`` elements of two linked
   sets share ``k`` of them, for any ``k`` (Chaudhuri et al., extended prefixes).
-* With ``k = 2``: either they share an n-gram of a rare class, which is indexed
-  alone, or two of frequent classes, whose combination is indexed. Sets too
-  large for combinations index their frequent n-grams singly; around that
-  border sets do both, so partners always meet.
+* Either the first n-gram that they share is of a rare class, which is indexed
+  alone, or the first ``k`` are all of frequent classes. Those are dealt into
+  ``k - 1`` groups by hash, and combinations of two of a group are indexed: two
+  of ``k`` shared ones fall into one group. With ``k`` in proportion to ``m`` a set
+  of any size has a few combinations for each n-gram that may miss.
 * Linked sets are of similar size, so their sizes fall into the same or
   neighbouring bands, ``den / num`` wide. An aggregation notes for each key which
   bands are held; classes without a partner in reach go before any join.
@@ -52,8 +53,6 @@ from tessella.llm import _sketch, _text
 from tessella.llm._cluster import bound_batches, cut, release, remove
 from tessella.llm._graph import components
 
-#: Sets that can miss fewer n-grams than this index pairs of frequent n-grams, larger ones single n-grams.
-COMBINE_MISSES = 24
 #: Classes under one key that are compared with each other in one piece.
 BLOCK_ROWS = 2048
 #: Pairs that a piece gives for each of its classes before it gives a forest.
@@ -101,22 +100,50 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
 
 
+def combination_groups(n: int, num: int, den: int) -> int:
+    """Into how many groups a set of ``n`` deals its frequent n-grams before it combines those of a group; 0: they are indexed singly.
+
+    Sets that link share one n-gram more than there are groups, so two of them
+    fall into one. Half as many groups as n-grams may miss, a power of two, keep
+    the combinations of a set of any size to some three for each of those.
+    """
+    least = -(-n * num // den)
+    most = min(max(1, (n - least) // 2), least - 1)
+    return 1 << (most.bit_length() - 1) if most > 0 else 0
+
+
 def index_keys(shingles: np.ndarray, counts: np.ndarray, limit: int, num: int, den: int) -> np.ndarray:
-    """Keys under which a set is indexed: two sets that link have one in common."""
+    """Keys under which a set is indexed: two sets that link have one in common.
+
+    The first n-gram that they share is among the first ``m + 1`` of each. If it
+    is rare it is a key of both. If not, the first ``g + 1`` that they share are
+    all frequent, and among the first ``m + g + 1`` of each; two of them are in
+    one of ``g`` groups, and their combination is a key of both. ``g`` is that of
+    the smaller set, so a set uses those of all sizes that may link with it.
+    """
     n = len(shingles)
-    least = -(-n * num // den)
+    m = n - -(-n * num // den)
     frequency = counts[(shingles >> _SHIFT).astype(np.int64)]
-    prefix = np.argsort(frequency, kind="stable")[: n - least + min(2, least)]
-    rare = shingles[prefix[frequency[prefix] <= limit]]
-    often = shingles[prefix[frequency[prefix] > limit]]
-    keys = [rare]
-    border = COMBINE_MISSES * den // (den - num)
-    if n < border and len(often) > 1 and least > 1:
-        often = np.sort(often)
-        i, j = np.triu_indices(len(often), 1)
-        keys.append(_text.mix(often[i] * np.uint64(0xD6E8FEB86659FD93) + often[j]))
-    if n * den >= border * num or least == 1:
-        keys.append(often)
+    order = np.argsort(frequency, kind="stable")
+    head = order[: m + 1]
+    keys = [shingles[head[frequency[head] <= limit]]]
+    if len(head) and frequency[head[-1]] > limit:
+        lo, hi = combination_groups(-(-n * num // den), num, den), combination_groups(n, num, den)
+        if lo == 0:
+            keys.append(shingles[head[frequency[head] > limit]])
+        groups = max(1, lo)
+        while groups <= hi:
+            tail = order[: m + groups + 1]
+            often = shingles[tail[frequency[tail] > limit]]
+            group = (often >> np.uint64(20)) & np.uint64(groups - 1)
+            by = np.lexsort((often, group))
+            often, group = often[by], group[by]
+            for step in range(1, len(often)):
+                same = group[step:] == group[:-step]
+                if not same.any():
+                    break
+                keys.append(_text.mix(often[:-step][same] * np.uint64(0xD6E8FEB86659FD93) + often[step:][same] + np.uint64(groups)))
+            groups *= 2
     return np.concatenate(keys)
 
 

@@ -448,6 +448,23 @@ def test_url_filter(spark):
     assert url_filter(pages.where("false"), rules).collect() == [] and {r["verdict"] for r in url_filter(pages, rules.where("false"), default="block").collect()} == {"block"}
 
 
+def test_linked_sets_share_a_key():
+    """Whatever is rare and however large the sets are; and a set has few keys for each n-gram that may miss."""
+    rng = np.random.default_rng(1)
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        for _ in range(150):
+            n = int(rng.integers(12, 300)) if rng.random() < 0.8 else int(rng.integers(300, 2500))
+            both = rng.integers(0, 1 << 64, n, np.uint64)
+            spare = (n * den // num - n) // 2
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, int(k), np.uint64)])) for k in (spare, spare))
+            if n * den < num * (len(a) + len(b) - n):
+                continue
+            counts, every = np.zeros(_sketch.SKETCH_SLOTS, np.int64), np.union1d(a, b)
+            counts[(every >> jaccard._SHIFT).astype(int)] = np.where(rng.random(len(every)) < rng.random(), rng.integers(65, 999, len(every)), rng.integers(1, 65, len(every)))
+            keys = [jaccard.index_keys(x, counts, 64, num, den) for x in (a, b)]
+            assert len(np.intersect1d(*keys)) and max(map(len, keys)) < 20 * (2 + len(a) * (den - num) // den)
+
+
 def test_license_scan(spark):
     rows = [
         (1, "/a/LICENSE", "Released under the MIT License."), (2, "/a/x.py", "code\nmore"), (3, "/a/b/c.py", None), (4, "/a/b/d.py", "licensed under the apache license, version 2.0.\nx = 1"),
