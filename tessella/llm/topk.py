@@ -10,12 +10,15 @@
 * Pivots are members themselves, so a query's k-th best score among them is a
   score that its k-th best vector reaches for sure; so is the least that any
   member of a cell of more than k can have. Cells whose bound is below the
-  greatest of these are left out. The query, the smaller side, is replicated to the cells that
-  remain; data vectors are never replicated.
+  greatest of these are left out. The query, the smaller side, is replicated to
+  what remains; data vectors are never replicated.
 * Large cells are split, neighbouring small ones are put together, so that all
-  blocks are of bounded size, also where a cell holds a third of all rows. A task
-  holds one block and the queries pass by, each solved by a matrix product; the
-  best of the blocks are merged by a window.
+  blocks are of bounded size, also where a cell holds a third of all rows. Blocks
+  next to each other form a group; a query goes once to each group with a block
+  that it needs, and names those blocks with their bounds. A task holds a group
+  and the queries pass by: each takes its blocks by falling bound, by matrix
+  products, and is done when the next bound is below its k-th score so far. The
+  best of the groups are merged by a window.
 
 How much is left out depends on the data. Vectors in clusters need few cells.
 Vectors without any structure in many dimensions are all about equally far from
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm._cluster import bound_batches, cut
 
-#: Cells at most, and vectors of the sample that their pivots are chosen from.
-MOST_PIVOTS, SAMPLE_ROWS = 512, 2048
+#: Cells at most (for 16,777,216 vectors; beyond, cells grow and have several blocks), and vectors of the sample that their pivots are chosen from.
+MOST_PIVOTS, SAMPLE_ROWS = 4096, 16_384
 #: Vectors of a block at most, and bytes of its matrix.
 BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 24
+#: Bytes of the blocks that a task holds at a time; a query goes once to each such group of blocks.
+GROUP_BYTES = 1 << 26
 #: Queries that are solved together.
 QUERY_ROWS = 256
 
@@ -107,6 +112,11 @@ class Cells:
 
     def needed(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
         """Which cells (columns) may hold one of the ``k`` best of each query (rows), whose ids are ``own``."""
+        upper, least = self.bounds(queries, own, k)
+        return upper >= least[:, None]
+
+    def bounds(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a score in each cell (column) can be at most, and a score that the ``k`` best of each query (row) reach; the queries' ids are ``own``."""
         q, p = queries.astype(np.float64), self.pivots.astype(np.float64)
         scores = q @ p.T
         sure = np.where(self.ids[None] == own[:, None], -np.inf, scores)
@@ -114,14 +124,14 @@ class Cells:
         size = np.sqrt((q * q).sum(axis=1))
         reach = np.sqrt((np.maximum(np.abs(self.low), np.abs(self.high)) ** 2).sum(axis=1).max(initial=0))
         if float(size.max(initial=0)) * reach >= 2**62:  # scores may wrap around, so no bound holds
-            return np.ones(scores.shape, bool)
+            return np.full(scores.shape, np.inf), np.full(len(q), -np.inf)
         far, slack = size[:, None] * self.radius[None], 1e-9 * (1 + size[:, None]) * (1 + reach)
         box = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
         full = self.sizes > k  # one more, as the query may be one of them
         if full.any():
             floor = np.maximum(scores - far, np.maximum(q, 0) @ self.low.T + np.minimum(q, 0) @ self.high.T) - slack
             least = np.maximum(least, floor[:, full].max(axis=1))
-        return np.minimum(scores + far, box) + slack >= least[:, None]
+        return np.minimum(scores + far, box) + slack, least
 
 
 def _summaries(placed: DataFrame, pivots: np.ndarray, ids: np.ndarray, width: int) -> Cells:
@@ -188,6 +198,50 @@ def blocks_of(sizes: np.ndarray, pivots: np.ndarray, most: int) -> list[tuple[in
     return out
 
 
+class Nearby:
+    """The blocks of a group: vectors by block, ascending ids in each."""
+
+    def __init__(self, width: int):
+        self.width, self.rows, self.ready = width, {}, {}
+        self.compared = 0
+
+    def add(self, block: int, ids: list[int], data: list[bytes]) -> None:
+        held = self.rows.setdefault(block, ([], []))
+        held[0].extend(ids)
+        held[1].extend(data)
+
+    def _block(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        if block not in self.ready:
+            ids, data = self.rows.pop(block)
+            order = np.argsort(np.asarray(ids), kind="stable")
+            self.ready[block] = np.asarray(ids)[order], _matrix([data[o] for o in order], self.width)
+        return self.ready[block]
+
+    def solve(self, queries: np.ndarray, own: list[int], blocks: list[list[int]], bounds: list[list[float]], k: int) -> list[list[tuple[int, int]]]:
+        """The ``k`` best of each query as ``(-score, id)``, from the blocks that it asks for.
+
+        Each query takes its blocks by falling bound; it is done when the next can't
+        reach its k-th score so far. Queries that take the same block are multiplied
+        together.
+        """
+        best: list[list[tuple[int, int]]] = [[] for _ in own]
+        steps = [sorted(zip((-b for b in bound), block, strict=True), reverse=True) for bound, block in zip(bounds, blocks, strict=True)]
+        while True:
+            turn: dict[int, list[int]] = {}
+            for r, todo in enumerate(steps):
+                if todo and (len(best[r]) < k or -todo[-1][0] >= -best[r][-1][0]):
+                    turn.setdefault(todo.pop()[1], []).append(r)
+            if not turn:
+                return best
+            for block, rows in turn.items():
+                if block not in self.rows and block not in self.ready:
+                    continue  # the query's own vector may have been its only one
+                ids, matrix = self._block(block)
+                self.compared += len(rows) * len(ids)
+                for r, scores in zip(rows, _product(queries[rows], matrix), strict=True):
+                    best[r] = sorted(best[r] + [(-s, i) for s, i in best_of(scores, ids, k, own[r])])[:k]
+
+
 def top_k(
     vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, most_pivots: int =
     MOST_PIVOTS, block_rows: int = BLOCK_ROWS,
@@ -231,52 +285,58 @@ def top_k(
     cells = _summaries(placed, pivots, ids, width)
     blocks = blocks_of(cells.sizes, pivots, max(1, min(block_rows, BLOCK_BYTES // (8 * width))))
     shared = spark.sparkContext.broadcast((cells, blocks))
+    each = max(1, GROUP_BYTES // (8 * width * max(1, min(block_rows, BLOCK_BYTES // (8 * width)))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block that may hold one of the query's best."""
+        """A row for each group of blocks that may hold one of the query's best, with those blocks and their bounds."""
         cells, blocks = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            need = cells.needed(_matrix(batch.column(1).to_pylist(), width), batch.column(0).to_numpy(), k)
-            rows, places = [], []
-            for r in range(len(need)):
-                own = sorted({b for c in np.flatnonzero(need[r]).tolist() for b in range(blocks[c][0], sum(blocks[c]))})
-                rows += [r] * len(own)
-                places += own
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), *(batch.column(c).take(pa.array(rows, pa.int64())) for c in range(2))], ["block", "id", "data"])
-
-    asked = placed.where("asks").select("id", "data").distinct().mapInArrow(spread, "block int, id bigint, data binary").withColumn("side", F.lit(1))
+            upper, least = cells.bounds(_matrix(batch.column(1).to_pylist(), width), batch.column(0).to_numpy(), k)
+            rows, groups, own, reach = [], [], [], []
+            for r in range(len(upper)):
+                bound: dict[int, float] = {}
+                for c in np.flatnonzero((upper[r] >= least[r]) & (cells.sizes > 0)).tolist():
+                    for b in range(blocks[c][0], sum(blocks[c])):
+                        bound[b] = max(bound.get(b, -np.inf), float(upper[r, c]))
+                for g in sorted({b // each for b in bound}):
+                    rows.append(r)
+                    groups.append(g)
+                    own.append([b for b in bound if b // each == g])
+                    reach.append([bound[b] for b in own[-1]])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), *(batch.column(c).take(take) for c in range(2)), pa.array(own, pa.list_(pa.int32())), pa.array(reach, pa.list_(pa.float64()))], ["group", "id", "data", "blocks", "bounds"])
+
+    asked = placed.where("asks").select("id", "data").distinct().mapInArrow(spread, "group int, id bigint, data binary, blocks array<int>, bounds array<double>").withColumn("side", F.lit(1))
     first, parts = (F.array(*[F.lit(x[j]) for x in blocks])[F.col("cell")] for j in (0, 1))
-    held = placed.select((first + F.pmod(F.xxhash64("id", "data", F.lit(7)), parts)).cast("int").alias("block"), "id", "data", F.lit(0).alias("side"))
+    block = (first + F.pmod(F.xxhash64("id", "data", F.lit(7)), parts)).cast("int")
+    held = placed.select(block.alias("block"), "id", "data").select(F.expr(f"block div {each}").cast("int").alias("group"), "id", "data", F.array("block").alias("blocks"), F.lit(None).cast("array<double>").alias("bounds"), F.lit(0).alias("side"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block, its vectors first, then the queries."""
-        now, ids, data, matrix = None, [], [], np.zeros((0, width), np.int64)
+        """Rows come by group, its vectors first, then the queries."""
+        now, near = None, Nearby(width)
         for batch in batches:
             at, n = 0, batch.num_rows
-            block, side = batch.column("block").to_numpy(), batch.column("side").to_numpy()
+            group, side = batch.column("group").to_numpy(), batch.column("side").to_numpy()
             while at < n:
-                end = at + int(np.argmax((block[at:] != block[at]) | (side[at:] != side[at]))) or n
+                end = at + int(np.argmax((group[at:] != group[at]) | (side[at:] != side[at]))) or n
                 end = end if end > at else n
                 some = batch.slice(at, min(end - at, QUERY_ROWS) if side[at] else end - at)
-                if block[at] != now:
-                    now, ids, data, matrix = block[at], [], [], np.zeros((0, width), np.int64)
+                if group[at] != now:
+                    now, near = group[at], Nearby(width)
+                ids, data, blocks = (some.column(c).to_pylist() for c in ("id", "data", "blocks"))
                 if side[at] == 0:
-                    ids += some.column("id").to_pylist()
-                    data += some.column("data").to_pylist()
-                elif ids:
-                    if len(matrix) != len(ids):
-                        order = np.argsort(np.asarray(ids), kind="stable")
-                        ids, matrix, data = [ids[o] for o in order], _matrix([data[o] for o in order], width), []
-                    names, out = np.asarray(ids), []
-                    for query, scores in zip(some.column("id").to_pylist(), _product(_matrix(some.column("data").to_pylist(), width), matrix), strict=True):
-                        out += [(query, i, s) for s, i in best_of(scores, names, k, query)]
+                    for i, x, (b,) in zip(ids, data, blocks, strict=True):
+                        near.add(b, [i], [x])
+                else:
+                    found = near.solve(_matrix(data, width), ids, blocks, some.column("bounds").to_pylist(), k)
+                    out = [(query, i, -s) for query, best in zip(ids, found, strict=True) for s, i in best]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["query_id", "id", "score"])
                 at += some.num_rows
 
-    solved = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(solve, "query_id bigint, id bigint, score bigint")
+    solved = held.unionByName(asked).repartition("group").sortWithinPartitions("group", "side").mapInArrow(solve, "query_id bigint, id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = solved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

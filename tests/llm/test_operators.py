@@ -376,7 +376,7 @@ def test_encoder_equals_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in code.encode(texts)] == [plain.ids(t, 0)[:-1] for t in texts]
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(k, [rng.gauss(0, 0.2) for _ in range(8)]) for k in range(300)]
     rows += [(300 + k, rows[7][1]) for k in range(60)] + [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (450, [float("inf")] * 8), (None, rows[1][1]), (500, [0.5, 0.5])]
@@ -387,6 +387,7 @@ def test_top_k(spark):
         scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q)
         expected[q] = [(i, -s) for s, i in scores[:5]]
     found = {}
+    monkeypatch.setattr(topk, "GROUP_BYTES", 3 * 40 * 8 * 8)
     for r in topk.top_k(df, F.col("vec_id") % 50 == 0, most_pivots=6, block_rows=40).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert found == expected
@@ -399,6 +400,22 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_blocks_are_taken_by_bound():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-50, 50, (600, 4))
+    far = np.argsort(-x[:, 0], kind="stable")
+    near = topk.Nearby(4)
+    for b in range(6):
+        own = far[b * 100 : b * 100 + 100]
+        near.add(b, own.tolist(), [x[o].tobytes() for o in own])
+    queries = np.array([[9, 0, 0, 0], [-9, 1, 0, 0], [1, 1, 1, 1]])
+    bounds = [[float((queries[r] @ x[far[b * 100 : b * 100 + 100]].T).max()) for b in range(6)] for r in range(3)]
+    found = near.solve(queries, [-1, -1, int(far[0])], [list(range(6))] * 3, bounds, 5)
+    for q, own, best in zip(queries, (-1, -1, int(far[0])), found, strict=True):
+        assert best == sorted((-int(s), i) for i, s in enumerate(x @ q) if i != own)[:5]
+    assert near.compared < 3 * 600
+
+
 def test_top_k_leaves_cells_out():
     """Vectors in clusters need few cells; without structure bounds exclude none. No needed cell is ever left out."""
     rng = np.random.default_rng(9)
