@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
-from tessella.llm._cluster import bound_batches
+from tessella.llm._cluster import bound_batches, cut
 
 #: Bits of a fingerprint.
 BITS = 256
@@ -154,7 +155,7 @@ class Items:
         self.keys = np.unique(self.held)
         self.short = sorted({min(width, n) for n in lengths})
         odd = np.asarray([len(np.unique(x)) < len(x) for x in self.shingles], bool)
-        self.groups: dict[int, tuple[np.ndarray, HammingIndex, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.groups: dict[int, tuple[np.ndarray, HammingIndex, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]] = {}
         for n in sorted(set(lengths)):
             members = np.flatnonzero(self.lengths == n)
             plain = members[~odd[members]]
@@ -163,7 +164,9 @@ class Items:
             prints = simhash(np.concatenate(runs), ends - [len(x) for x in runs], ends) if runs else np.zeros((0, BITS // 64), np.uint64)
             every, of = np.concatenate([self.shingles[k] for k in members]), np.repeat(members, [len(self.shingles[k]) for k in members])
             order = np.argsort(every, kind="stable")
-            self.groups[n] = (plain, HammingIndex(prints, radius), every[order], of[order], odd)
+            every, of = every[order], of[order]
+            strange = odd[of]  # items of this length in which a shingle repeats
+            self.groups[n] = (plain, HammingIndex(prints, radius), (every, of), (every[strange], of[strange]))
 
     def matches(self, words: np.ndarray, hits: dict[int, np.ndarray], least: float) -> list[tuple[int, int, int, float]]:
         """``item, first word, words, similarity`` of the best window for each item that one reaches ``least`` for.
@@ -205,19 +208,22 @@ class Items:
 
     def _pairs(self, length: int, shingles: np.ndarray, starts: np.ndarray, n: int) -> list[tuple[int, int]]:
         """Windows of ``n`` shingles at ``starts`` and the items of a length that they are candidates for."""
-        plain, index, keys, of, odd = self.groups[length]
+        plain, index, every, strange = self.groups[length]
         twice = repeats(shingles, starts, starts + n)
         clear = np.flatnonzero(~twice)
         out: list[tuple[int, int]] = []
         if len(clear) and len(plain):
             row, at = index.near(simhash(shingles, starts[clear], starts[clear] + n))
             out += zip(starts[clear][row].tolist(), plain[at].tolist(), strict=True)
-        for start, whole in zip(starts.tolist(), twice.tolist(), strict=True):
-            if whole or odd.any():
-                own = np.unique(shingles[start : start + n])
-                lo, hi = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
-                met = {int(k) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for k in of[a:b]}
-                out += [(start, k) for k in sorted(met) if whole or odd[k]]
+        # where a shingle repeats, in the window or in an item, all that share one are candidates
+        for windows, (keys, of) in ((starts[twice], every), (starts[clear], strange)):
+            if len(windows) and len(keys):
+                at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+                held = np.concatenate([[0], np.cumsum(keys[at] == shingles)])
+                for start in windows[held[windows + n] > held[windows]].tolist():
+                    own = np.unique(shingles[start : start + n])
+                    lo, hi = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
+                    out += [(start, k) for k in sorted({int(k) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for k in of[a:b]})]
         return out
 
 
@@ -248,14 +254,16 @@ def contamination(
     found = None
     for k in range(shards):
         rows = clean.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).orderBy("item").collect()  # a shard's words
-        part = _scan(data, Items([(r["item"], r["text"]) for r in rows], width, radius), least, schema)
+        shared = spark.sparkContext.broadcast(Items([(r["item"], r["text"]) for r in rows], width, radius))
+        part = _scan(data, shared, least, schema)
+        if shards > 1:  # one shard at a time, in the driver and in the tasks
+            part = cut(part, "leaks", slim=True)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _scan(data: DataFrame, items: Items, least: float, schema) -> DataFrame:
-    shared = data.sparkSession.sparkContext.broadcast(items)
-
+def _scan(data: DataFrame, shared: Broadcast, least: float, schema) -> DataFrame:
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
