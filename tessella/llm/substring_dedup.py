@@ -45,6 +45,8 @@ from tessella.llm._cluster import bound_batches, cut, release, remove, scratch
 
 #: Runs that the index holds before it merges them.
 FANOUT = 2
+#: Hashes of a run that one bucket holds before the index is dealt into more.
+BUCKET_ROWS = 1 << 22
 #: Words of the runs that are selected from a window.
 GRAM = 16
 
@@ -177,7 +179,7 @@ class FingerprintIndex:
         self._names[name] = name
         dealt = run.select("h", "lo", "hi").repartition(self.buckets, "h").sortWithinPartitions("h")
         dealt.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
-        return {"name": name, "level": level, "kind": kind}
+        return {"name": name, "level": level, "kind": kind, "rows": self.spark.table(name).count()}
 
     def _table(self, run: dict) -> DataFrame:
         if run["name"] not in self._names:
@@ -209,6 +211,24 @@ class FingerprintIndex:
                 merged = self._write(every.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), level + 1)
                 self._record([*(r for r in self.runs if r not in own), merged])
             level += 1
+        most = max((r.get("rows", 0) for r in self.runs), default=0)
+        if most > BUCKET_ROWS * self.buckets:
+            self.rebucket(-(-2 * most // BUCKET_ROWS))
+
+    def rebucket(self, buckets: int) -> None:
+        """Deal the index into that many buckets, in one run; all later runs have as many."""
+        every = None
+        for run in self.runs:
+            every = self._table(run) if every is None else every.unionByName(self._table(run))
+        old, self.buckets = self.buckets, buckets
+        if every is None:
+            return
+        try:
+            merged = self._write(every.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), max(r["level"] for r in self.runs))
+            self._record([merged])
+        except BaseException:
+            self.buckets = old
+            raise
 
     def forget(self) -> None:
         """Delete the index and its folder."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import _sketch, lm, topk
+from tessella.llm import substring_dedup as substring_dedup_module
 from tessella.llm import ngram_jaccard as jaccard
 from tessella.llm._graph import components
 from tessella.llm._tokens import Encoder
@@ -189,6 +190,21 @@ def test_index_keeps_repeats_over_compactions(spark):
     again.forget()
 
 
+def test_index_is_dealt_into_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup_module, "BUCKET_ROWS", 20)
+    rng, seen = random.Random(2), Counter()
+    index = FingerprintIndex(spark, fanout=1)
+    for k in range(5):
+        rows = [(d, h) for d in range(k * 10, k * 10 + 10) for h in {rng.randrange(300) for _ in range(12)}]
+        for _, h in rows:
+            seen[h] += 1
+        found = FingerprintIndex(spark, index.folder).add(spark.createDataFrame(rows, "doc bigint, h bigint"))
+        assert {r["h"] for r in found.collect()} == {h for h in {h for _, h in rows} if seen[h] > 1}
+    last = FingerprintIndex(spark, index.folder)
+    assert last.buckets > index.buckets
+    last.forget()
+
+
 def test_dedup_of_three_batches_against_a_stored_index(spark, docs):
     """Batches one after another, each in a newly opened index, give what all documents at once do."""
     expected, index = plain.substring_dedup(TEXTS), FingerprintIndex(spark)
