@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths
 from tessella.operators.rank import ranked, within
-from tessella.sources import tree
+from tessella.sources import export, tree
 from tessella.sources.scratch import stage
 
 #: Scans that are retained.
@@ -132,10 +132,11 @@ def lacking_evidence(ops: DataFrame, items: DataFrame, has_hash: Column) -> Data
     return per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("items"), F.count("*").alias("ops"))
 
 
-def mirror(ops: DataFrame, items: DataFrame) -> DataFrame:
-    """A nested JSON document for each operation with its items in order."""
-    inner = items.groupBy("op_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "orig_path", "size", "state"))).alias("items"))
-    return ops.join(inner, "op_id", "left").select("op_id", F.to_json(F.struct("op_id", "op_kind", "undoable", F.coalesce("items", F.array()).alias("items"))).alias("json"))
+def mirror(ops: DataFrame, items: DataFrame, part_rows: int = export.PART_ROWS) -> DataFrame:
+    """Nested JSON documents ``op_id, part, json`` of operations with their items in order, in parts of bounded size."""
+    inner = export.parted(items.select("op_id", "item_id", "orig_path", "size", "state"), "op_id", "item_id", part_rows)
+    every = ops.join(inner, "op_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    return every.select("op_id", "part", F.to_json(F.struct("op_id", "op_kind", "undoable", F.coalesce("rows", F.array()).alias("items"))).alias("json"))
 
 
 def json_or_empty(text: Column) -> Column:

@@ -10,7 +10,8 @@ from tessella.operators import actions, cache, dedup, ledger, policy, run, scan
 from tessella.plans.dedup_queries import CHUNK, SMALL, cache_rows, grouped
 from tessella.plans.registry import FILES, GROUPS, LEDGER, query
 from tessella.plans.scan_queries import _DIRS_SQL, _IN, dirs
-from tessella.sources import corpus
+from tessella.sources import corpus, export
+from tessella.sources.scratch import drop_folder, shared_folder, stage
 
 
 def _every(n: int) -> Column:
@@ -374,6 +375,28 @@ def import_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.count_distinct("group_id").alias("groups"), F.sum("size").alias("bytes"))
 
 
+@query(f"""WITH {LEDGER}, {_HIST}, h AS (SELECT op_id, item_id, orig_path, size, state FROM items)
+SELECT 'scan_history' AS name, count(*) AS n, sum(c_custkey)::BIGINT AS ids, count(DISTINCT c_mktsegment) AS texts, 0::BIGINT AS bytes FROM customer
+UNION ALL SELECT 'hist_groups', count(*), sum(id)::BIGINT, count(DISTINCT id), 0 FROM hgroups UNION ALL SELECT 'hist_files', count(*), sum(id)::BIGINT, count(DISTINCT path), sum(size)::BIGINT FROM hfiles
+UNION ALL SELECT 'op_records', count(*), sum(op_id)::BIGINT, count(DISTINCT op_kind), 0 FROM ops UNION ALL SELECT 'op_items', count(*), sum(item_id)::BIGINT, count(DISTINCT orig_path), sum(size)::BIGINT FROM h""")
+def export_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole ledger exported, and read again by its manifest."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/tessella-exports/{uuid.uuid4().hex}"
+    tables = {name: stage(t, "ledger") for name, t in _ledgers(spark, sf_dir)[1].items()}
+    export.write_export(tables, folder)
+    back = export.read_export(spark, folder)
+    drop_folder(spark, folder)
+    text = {"scan_history": "roots", "hist_groups": "id", "hist_files": "path", "op_records": "op_kind", "op_items": "orig_path"}
+    out = None
+    for name, t in back.items():
+        size = F.sum("size") if name in ("hist_files", "op_items") else F.lit(0)
+        one = t.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_distinct(text[name]).alias("texts"), size.cast("bigint").alias("bytes")).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- texts of other programs ----------------------------------------------------------------------
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import cache, dedup, policy
+from tessella.operators.pages import PageStore
 from tessella.plans.registry import FILES, GROUPS, query
 from tessella.plans.scan_queries import _DIRS_SQL, _IN, dirs
 from tessella.sources import corpus
+from tessella.sources.scratch import drop_folder, shared_folder, stage
 
 #: Sample sizes fitting the test documents, of which none reaches the production threshold.
 CHUNK, SMALL = 512, 1024
@@ -251,6 +253,15 @@ def results_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, "count", 0, 0)
 
 
+@query(_page_sql("n_files", 20, 40))
+def results_page_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a store whose files have ten groups each."""
+    store = PageStore.write(dedup.groups(members0(spark, sf_dir)), f"{shared_folder(spark)}/tessella-pages", "count", 10)
+    found = stage(store.page(2, 20).select("group_id", "size", "n_files", "reclaimable"), "page")
+    drop_folder(spark, store.folder)
+    return found
+
+
 @query(f"WITH {GROUPS} SELECT count(*) AS groups, coalesce(sum(reclaimable), 0)::BIGINT AS reclaimable, coalesce(sum(n_files), 0)::BIGINT AS duplicate_files FROM grp WHERE group_id IN (SELECT group_id FROM members WHERE ext = '.txt')")
 def results_totals_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, m = grouped(spark, sf_dir)

@@ -185,7 +185,7 @@ def import_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LEDGER}, j AS (SELECT op_id, string_agg('{{"item_id":' || item_id || ',"orig_path":"' || orig_path || '","size":' || size || ',"state":"' || state || '"}}', ',' ORDER BY item_id, orig_path, size, state) AS s FROM items GROUP BY op_id)
-SELECT o.op_id, '{{"op_id":' || o.op_id || ',"op_kind":"' || op_kind || '","undoable":' || CASE WHEN undoable THEN 'true' ELSE 'false' END || ',"items":[' || coalesce(s, '') || ']}}' AS json FROM ops o LEFT JOIN j USING (op_id)""")
+SELECT o.op_id, 0 AS part, '{{"op_id":' || o.op_id || ',"op_kind":"' || op_kind || '","undoable":' || CASE WHEN undoable THEN 'true' ELSE 'false' END || ',"items":[' || coalesce(s, '') || ']}}' AS json FROM ops o LEFT JOIN j USING (op_id)""")
 def export_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.mirror(*_ledger(spark, sf_dir))
 
