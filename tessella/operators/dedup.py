@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.rank import ranked
 from tessella.sources.contents import CHUNK, SAMPLES, SMALL, InTable, OnDisk, sample_hashes
-from tessella.sources.scratch import stage
+from tessella.sources.scratch import drop, stage
 
 Contents = InTable | OnDisk
 #: Files of a group that a row of a report or of a decision lists, about.
@@ -93,8 +93,11 @@ def detect(rows: DataFrame, contents: Contents, chunk: int = CHUNK, small: int =
     true length; one that can't be read or has grown is a reject. ``known`` may
     give rows with samples a ``cached`` hash, which is then not computed.
     """
-    alive = stage(collapse_identity(stage(size_candidates(rows), "sized")), "alive")
+    sized = stage(size_candidates(rows), "sized")
+    alive = stage(collapse_identity(sized), "alive")
+    drop(sized)
     taken = stage(contents.samples(alive, chunk, small), "samples")
+    drop(alive)
     rejects, reads = _read(taken, "prefilter")
     fine = taken.where("problem is null and length > 0").withColumn("size", F.col("length")).drop("problem", "length", "read_bytes")
     if known is not None:

@@ -21,12 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application's tables between stages lie."""
+    return f"{shared_folder(spark)}/tessella-stages/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once, so that what follows may read it more than once and a lost executor costs a task."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessella-stages/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df._staged)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged: when its results have been read."""
+    drop_folder(spark, session_folder(spark))
 
 
 def mounted_folder(spark: SparkSession, name: str) -> str:
