@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.sources.scratch import shared_folder
+from tessella.sources.scratch import session_folder, shared_folder
 
 #: Rows that go to a Python worker at a time. Texts can be long, so it is well below Spark's default of 10,000.
 BATCH_ROWS = 500
@@ -36,10 +36,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan starts anew.
 
+    What isn't removed before lies there until ``tessella.sources.scratch.clear``.
+
     ``slim``: rows are few and short, so one file for each core will do.
     """
     spark = df.sparkSession
-    path = scratch(spark, label)
+    path = f"{session_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
     (df.coalesce(spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -55,6 +57,6 @@ def remove(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: they go when the driver collects what refers to them."""
+    """Let Spark delete the shuffle files of steps that are over: they go when the driver collects what refers to them, so its garbage is collected now."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
