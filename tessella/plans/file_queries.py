@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import paths
-from tessella.operators import dedup, run, scan
+from tessella.operators import dedup, execute, run, scan
 from tessella.plans.dedup_queries import CHUNK, SMALL
 from tessella.plans.registry import FILES, GROUPS, query
 from tessella.sources import corpus
@@ -108,3 +108,64 @@ def files_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
         return parts.join(parts.groupBy("part").agg(F.min("rel").alias("first_rel")), "part").select("rel", "first_rel")
 
     return _with_tree(spark, sf_dir, use)
+
+
+#: What is done with a duplicate, by its extension.
+KINDS = {".txt": "delete", ".md": "hardlink", ".log": "symlink", ".tmp": "move"}
+_KIND_SQL = "CASE ext WHEN '.txt' THEN 'delete' WHEN '.md' THEN 'hardlink' WHEN '.log' THEN 'symlink' WHEN '.tmp' THEN 'move' ELSE 'trash' END"
+_LEFT = f"""WITH {_FOUND}, m AS (SELECT substr(path, 2) AS rel, size, {_KIND_SQL} AS kind, row_number() OVER (PARTITION BY size, hash ORDER BY octet_length(encode(path)), path) = 1 AS keeps FROM members0)"""
+
+
+def _executed(spark: SparkSession, folder: str, found: Listing) -> tuple[DataFrame, DataFrame]:
+    """The members of all groups, and what came of all but the keepers."""
+    result = _run(folder, found)
+    m = result.members.select("id", "path", "ext", "size", "volume_id", "file_index", "hash", "keeper")
+    first = m.where("id = keeper").select(F.col("keeper"), F.col("path").alias("kept"))
+    kind = F.lit("trash")
+    for ext, name in KINDS.items():
+        kind = F.when(F.col("ext") == ext, name).otherwise(kind)
+    plan = m.where("id <> keeper").join(first, "keeper").select("id", kind.alias("kind"), "path", "size", "volume_id", "file_index", "hash", F.col("kept").alias("keeper"))
+    plan = plan.withColumn("target", F.when(F.col("kind") == "move", f"{folder}/moved").otherwise(f"{folder}/bin"))
+    return m, execute.execute(plan, f"{folder}-journal")
+
+
+@query(f"""{_LEFT} SELECT kind, 'ok' AS outcome, count(*) AS items, sum(CASE WHEN kind IN ('delete', 'hardlink', 'symlink') THEN size ELSE 0 END)::BIGINT AS freed FROM m WHERE NOT keeps GROUP BY kind""")
+def files_executed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates deleted, linked, moved and put in a bin, each by its extension."""
+
+    def use(folder: str, found: Listing) -> DataFrame:
+        done = _executed(spark, folder, found)[1]
+        drop_folder(spark, f"{folder}-journal")
+        return done.groupBy("kind", "outcome").agg(F.count("*").alias("items"), F.sum("freed").alias("freed"))
+
+    return _with_tree(spark, sf_dir, use)
+
+
+@query(f"{_LEFT} SELECT rel, NOT keeps AND kind = 'symlink' AS symlink, NOT keeps AND kind = 'hardlink' AS linked FROM m WHERE keeps OR kind IN ('hardlink', 'symlink')")
+def files_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second walk finds at the places of all members after the operations: keepers, and links to them."""
+
+    def use(folder: str, found: Listing) -> DataFrame:
+        m, done = _executed(spark, folder, found)
+        kept = m.where("id = keeper").select(F.col("file_index").alias("kept_index"), "hash", "size")
+        now = walk(spark, [folder], _filters(folder)).files.select("path", "rel", "kind", F.col("file_index").alias("now_index"))
+        met = m.join(kept, ["hash", "size"]).join(now, "path")
+        drop_folder(spark, f"{folder}-journal")
+        return met.select("rel", (F.col("kind") == "symlink").alias("symlink"), ((F.col("now_index") == F.col("kept_index")) & (F.col("id") != F.col("keeper"))).alias("linked"))
+
+    return _with_tree(spark, sf_dir, use)
+
+
+@query(f"{_LEFT} SELECT 'restored' AS outcome, kind, count(*) AS items FROM m WHERE NOT keeps AND kind <> 'delete' GROUP BY kind")
+def files_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations taken back: all files but deleted ones are at their places again with their contents."""
+
+    def use(folder: str, found: Listing) -> DataFrame:
+        m, done = _executed(spark, folder, found)
+        back = execute.undo(done, f"{folder}-journal")
+        again = OnDisk().hashes(m.join(back.where("outcome = 'restored'").select("id"), "id").select("id", "path", "size", F.col("hash").alias("was")))
+        right = again.where("hash = was").select("id")
+        drop_folder(spark, f"{folder}-journal")
+        return back.join(right, "id").join(done.select("id", "kind"), "id").groupBy("outcome", "kind").agg(F.count("*").alias("items"))
+
+    return _with_tree(spark, sf_dir, use)
