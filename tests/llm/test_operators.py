@@ -325,6 +325,17 @@ def test_key_filter_holds_no_key_back(spark):
         assert _sketch.passes(bits, keys.view(np.uint64)).all() and _sketch.passes(bits, others).mean() < 0.03
 
 
+def test_registered_lm_equals_a_plain_tree(spark, sf):
+    """``op7_lm_score`` itself, on all documents and with production parameters."""
+    tokens = {r["doc_id"]: [*plain.words(r["text"]), None] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    tree = plain.SuffixTree([w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2], lm.DEPTH, lm.LEAST_CONTEXT, lm.LEAST_NEXT, lm.PRIOR)
+    assert len(tree.states) > 50
+    rows = QUERIES["op7_lm_score"](spark, sf).collect()
+    assert len(rows) == len(tokens)
+    for r in rows:
+        assert math.isclose(r["score"], tree.score(tokens[r["doc_id"]], lm.DEPTH), rel_tol=1e-9)
+
+
 def test_lm_beats_single_words_on_held_out_documents(spark, sf):
     held = QUERIES["op7_lm_score"](spark, sf).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert held["s"] >= held["b"]
@@ -623,7 +634,7 @@ def test_license_scan_weighs_terms_by_their_document_frequency(spark):
     assert found[100]["license"] == "MIT" and found[101]["license"] == "Proprietary" and found[5]["license"] is None
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op3_language_id"}))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, duck, sf, name):
     same(QUERIES[name](spark, sf), duck.execute(ORACLES[name]))
 
