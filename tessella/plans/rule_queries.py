@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import classify, formats, paths
+from tessella.functions import classify, formats, markdown, paths
 from tessella.plans.registry import FILES, query
 from tessella.sources import corpus
 
@@ -172,3 +172,18 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS id, p_size * 1024 AS bytes, round(p_partkey / 1024.0)::BIGINT AS kib FROM part""")
 def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 1024).alias("bytes"), F.round(F.col("p_partkey") / 1024.0).cast("bigint").alias("kib"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, '# turn ' || turn || ' of *' || coalesce(role, '') || '*' AS head, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, turn, 0 AS block, 'heading' AS kind, 0 AS item, 'turn ' || turn || ' of *' || substr(head, position('*' IN head) + 1) AS text, CASE WHEN ends_with(head, '**') THEN 1 ELSE 2 END AS segments FROM t
+UNION ALL SELECT conv_id, turn, 1, 'bullets', 0, 'characters: ' || length(text), 1 FROM t UNION ALL SELECT conv_id, turn, 1, 'bullets', 1, 'words: [here](docs/' || conv_id || ')', 2 FROM t
+UNION ALL SELECT conv_id, turn, 2, 'code', 0, text, 0 FROM t""")
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as notes in Markdown: a heading, a list, the text as it is; parsed into rows."""
+    t = corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    number = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit("# turn "), number("turn"), F.lit(" of *"), "role", F.lit("*\n"))
+    items = F.concat(F.lit("- characters: "), F.char_length("text").cast("string"), F.lit("\n- words:\n  [here](docs/"), number("conv_id"), F.lit(")\n"))
+    note = F.concat(head, items, F.lit("```\n"), "text", F.lit("\n```\n"))
+    found = markdown.parsed(t.select(F.struct("conv_id", "turn").alias("id"), note.alias("note")), "id", "note")
+    return found.select("id.conv_id", "id.turn", "block", "kind", "item", "text", F.size("segments").alias("segments"))
