@@ -70,6 +70,11 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
 JUDGED, DUMPED = 4096, 256
 
 
+def preview(content: Column) -> Column:
+    """The bytes of a content that a preview of text shows."""
+    return F.substring(content, 1, JUDGED)
+
+
 def likely_text(content: Column) -> Column:
     """Whether more than 85 % of the bytes are printable, line ends, tabs or above 0x7F; an empty content is text."""
     codes = F.hex(content)

@@ -143,6 +143,11 @@ def wanted_records(wanted: DataFrame, records: DataFrame, not_before: Column) ->
     return keyed.join(new, "key").select("path", F.concat(folder, F.lit("/$R"), F.substr(name, F.lit(3))).alias("file"))
 
 
+def positions_in(listed: DataFrame, dirs: DataFrame) -> DataFrame:
+    """The rows of ``listed(list, position, path)`` whose path lies in any of some directories; positions count from 0 in each list."""
+    return scan.in_dirs(listed.withColumn("id", F.struct("list", "position")), scan.distinct_dirs(dirs)).select("list", "position", "path")
+
+
 def in_scope(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """Ids of files in any of some directories."""
     return scan.in_dirs(files, scan.distinct_dirs(dirs)).select("id")

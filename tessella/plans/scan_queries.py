@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, formats, paths
-from tessella.operators import scan
+from tessella.operators import actions, scan
+from tessella.operators.rank import within
 from tessella.plans.registry import FILES, query
 from tessella.sources import corpus
 
@@ -93,10 +94,10 @@ def scan_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).groupBy("volume_id", "ext").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("""SELECT page_id AS id, left(html, 4096) AS head, octet_length(encode(html))::BIGINT AS size, sha256(html) AS digest FROM pages""")
+@query("""SELECT page_id AS id, substr(hex(encode(html)), 1, 8192) AS head, octet_length(encode(html))::BIGINT AS size, sha256(html) AS digest FROM pages""")
 def scan_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = corpus.table(spark, sf_dir, "pages")
-    return pages.select(F.col("page_id").alias("id"), F.substring("html", 1, 4096).alias("head"), F.octet_length("html").cast("bigint").alias("size"), F.sha2("html", 256).alias("digest"))
+    return pages.select(F.col("page_id").alias("id"), F.hex(formats.preview(F.encode("html", "UTF-8"))).alias("head"), F.octet_length("html").cast("bigint").alias("size"), F.sha2("html", 256).alias("digest"))
 
 
 @query("""SELECT source, max(s) AS worst, CASE max(s) WHEN 3 THEN 2 WHEN 2 THEN 2 ELSE 8 END AS workers FROM (SELECT source, CASE doc_id % 40 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS s FROM documents) GROUP BY source""")
@@ -164,6 +165,14 @@ def filter_in_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.in_dirs(files(spark, sf_dir), scan.distinct_dirs(dirs(spark))).select("id", "dir_ord", "dir")
 
 
+@query(f"""WITH {FILES}, {_DIRS_SQL}, l AS (SELECT volume_id AS list, path, row_number() OVER (PARTITION BY volume_id ORDER BY path) - 1 AS position FROM files)
+SELECT DISTINCT f.list, f.position, f.path FROM l f JOIN dirs d ON {_IN}""")
+def filter_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in each volume's list of paths, in path order, that lie in the chosen directories."""
+    listed = within(files(spark, sf_dir).select(F.col("volume_id").alias("list"), "path"), ["list"], [F.col("path")], "k")
+    return actions.positions_in(listed.select("list", (F.col("k") - 1).alias("position"), "path"), dirs(spark))
+
+
 @query(f"""WITH {FILES} SELECT id, lower(path) AS folded, (lower(path) = '/src2' OR starts_with(lower(path), '/src2/')) AS inside FROM files WHERE path <> lower(path)""")
 def filter_fold_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = F.lower("path")
