@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions import paths
+
 # Where a deletion record of either layout keeps its path, and the start of its clock in units of 100 ns.
 PATH_AT = {"short": 28, "long": 32}
 CLOCK_START = 116444736000000000
@@ -69,6 +71,25 @@ def setting_state(error: Column, value: Column) -> Column:
     return F.when(error.isNull(), F.when(value != 0, "on").otherwise("off")).when(error == "wrong-type", "unknown").when(error.isin("key-missing", "path-missing"), "off").otherwise("unknown")
 
 
+#: UTF-16 units of the longest path that the system's bin takes; it drops files with longer ones.
+LONGEST_PATH = 259
+
+
+def too_long(path: Column) -> Column:
+    """``too-long`` for a path that the bin would lose."""
+    return F.when(paths.utf16_units(path) > LONGEST_PATH, "too-long")
+
+
+def over_capacity(size: Column, capacity: Column) -> Column:
+    """``too-large`` for a file that the bin of its volume can't hold; a capacity of 0 or less, or none, isn't known."""
+    return F.when((capacity > 0) & (size > capacity), "too-large")
+
+
+def switched_off(everywhere: Column, volume: Column) -> Column:
+    """Why there is no bin, from the ``setting_state`` of the policy for all and of the volume's own; the policy comes first."""
+    return F.when(everywhere == "on", "off-by-policy").when(volume == "on", "off-for-volume")
+
+
 # What a shell operation's code tells.
 SHELL_CODES = {2: "missing", 3: "path-missing", 5: "denied", 32: "in-use", 33: "locked", 112: "full"}
 

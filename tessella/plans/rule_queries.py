@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import classify, formats, markdown, paths
+from tessella.functions import classify, formats, markdown, paths, records
 from tessella.plans.registry import FILES, query
 from tessella.sources import corpus
 
@@ -135,16 +135,19 @@ def rule_pack_u64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), swap(digits).alias("packed")).withColumn("unpacked", F.conv(swap(F.col("packed")), 16, 10).cast("bigint"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN cap > 0 AND o_orderkey * 1000 > cap THEN 'too-large' END AS capacity, CASE WHEN o_custkey % 7 = 0 THEN 'off-by-policy' WHEN o_custkey % 5 = 0 THEN 'off-for-volume' END AS policy, CASE WHEN o_orderkey % 400 > 259 THEN 'too-long' END AS length
-FROM (SELECT *, (o_custkey % 3) * 4000000 AS cap FROM orders)""")
+@query(f"""WITH {FILES}, v AS (SELECT volume_id, sum(size) // 400 AS cap, count(*) FILTER (resolved) % 2 = 0 AS own FROM files WHERE size IS NOT NULL GROUP BY volume_id),
+d AS (SELECT f.id, f.size, v.cap, v.own, f.path || '/' || coalesce(f.text, '') AS p, f.actual_known FROM files f JOIN v USING (volume_id))
+SELECT id, CASE WHEN cap > 0 AND size > cap THEN 'too-large' END AS capacity, CASE WHEN NOT actual_known THEN 'off-by-policy' WHEN own THEN 'off-for-volume' END AS policy,
+  CASE WHEN length(p) + length(regexp_replace(p, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 259 THEN 'too-long' END AS length FROM d""")
 def recycle_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cap, size = (F.col("o_custkey") % 3) * 4000000, F.col("o_orderkey") * 1000
-    return corpus.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.when((cap > 0) & (size > cap), "too-large").alias("capacity"),
-        F.when(F.col("o_custkey") % 7 == 0, "off-by-policy").when(F.col("o_custkey") % 5 == 0, "off-for-volume").alias("policy"),
-        F.when(F.col("o_orderkey") % 400 > 259, "too-long").alias("length"),
-    )
+    """What speaks against the bin for each file: its volume's capacity and setting, and how long its path would be with the text as its last part."""
+    f = corpus.documents(spark, sf_dir)
+    per = f.where("size is not null").groupBy("volume_id").agg(F.expr("sum(size) div 400").alias("cap"), (F.count_if("resolved") % 2 == 0).alias("own"))
+    state = lambda on: records.setting_state(F.lit(None).cast("string"), on.cast("int"))
+    d = f.join(F.broadcast(per) if per.count() < 1000 else per, "volume_id")
+    path = F.concat("path", F.lit("/"), F.coalesce(F.col("content").cast("string"), F.lit("")))
+    off = records.switched_off(state(~F.col("actual_known")), state(F.col("own")))
+    return d.select("id", records.over_capacity(F.col("size"), F.col("cap")).alias("capacity"), off.alias("policy"), records.too_long(path).alias("length"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN l <= 100 THEN 100 ELSE greatest(100, least(l, 500)) END AS segment_size, CASE WHEN l <= 100 THEN 1 ELSE ceil(l / greatest(100, least(l, 500)))::BIGINT END AS segments, CASE WHEN l <= 100 THEN 1 ELSE ceil(l / 100)::BIGINT END AS next_page
