@@ -54,6 +54,15 @@ def duration(seconds: Column) -> Column:
     )
 
 
+def bytes_of(kib: Column) -> Column:
+    return kib * 1024
+
+
+def kib_of(size: Column) -> Column:
+    """Whole KiB, rounded."""
+    return F.round(size / 1024.0).cast("bigint")
+
+
 def percent(done: Column, total: Column) -> Column:
     """0 to 100; 0 where the total isn't positive or a figure is unknown."""
     return F.when(done.isNull() | total.isNull() | (total <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), done / total * 100)))

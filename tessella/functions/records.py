@@ -71,6 +71,21 @@ def setting_state(error: Column, value: Column) -> Column:
     return F.when(error.isNull(), F.when(value != 0, "on").otherwise("off")).when(error == "wrong-type", "unknown").when(error.isin("key-missing", "path-missing"), "off").otherwise("unknown")
 
 
+def _swapped(digits: Column) -> Column:
+    """Hexadecimal digits with their bytes in reverse order."""
+    return F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), "")
+
+
+def pack_u64(number: Column) -> Column:
+    """Eight little-endian bytes of a number, as 16 hexadecimal digits."""
+    return _swapped(F.lpad(F.lower(F.hex(number)), 16, "0"))
+
+
+def unpack_u64(digits: Column) -> Column:
+    """The number that ``pack_u64`` has packed."""
+    return F.conv(_swapped(digits), 16, -10).cast("bigint")
+
+
 #: UTF-16 units of the longest path that the system's bin takes; it drops files with longer ones.
 LONGEST_PATH = 259
 

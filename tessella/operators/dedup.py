@@ -207,6 +207,11 @@ def totals(g: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("reclaimable"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("duplicate_files"))
 
 
+def cross_volume(members: DataFrame) -> DataFrame:
+    """``group_id, cross_volume``: whether a group's files surely lie on several volumes; not if any one's volume isn't known."""
+    return members.groupBy("group_id").agg(((F.min("volume_id") != F.max("volume_id")) & F.bool_and("resolved")).alias("cross_volume"))
+
+
 def digest(members: DataFrame) -> DataFrame:
     """``digest, n``: a figure of all groups that doesn't depend on any order: the sum of 60 bits of each member's SHA-256 over size, hash and path."""
     own = F.sha2(F.concat_ws("\n", F.col("size").cast("string"), "hash", "path"), 256)

@@ -96,6 +96,19 @@ def page(g: DataFrame, sort: str = "reclaimable", number: int = 0, size: int = P
     return ordered.offset(max(0, number) * size).limit(size)
 
 
+def reload_plan(shown: Column) -> dict[str, Column]:
+    """``segment_size, segments, next_page``: how as many rows as are shown are read again in few pages, and which page of the usual size follows."""
+    default, most, one = (F.lit(n).cast("bigint") for n in (PAGE_DEFAULT, PAGE_MOST, 1))
+    few, segment = shown <= PAGE_DEFAULT, F.greatest(default, F.least(shown, most))
+    return {"segment_size": F.when(few, default).otherwise(segment), "segments": F.when(few, one).otherwise(F.ceil(shown / segment)), "next_page": F.when(few, one).otherwise(F.ceil(shown / PAGE_DEFAULT))}
+
+
+def first_excluded(rows: Column, pending: Column, before: Column) -> Column:
+    """Where on a page of ``rows``, before which there are ``before``, the first excluded row is, when the first ``pending`` of all aren't; -1 if it isn't there."""
+    at = pending - before
+    return F.when(rows == 0, -1).when(at <= 0, 0).when(at < rows, at).otherwise(-1)
+
+
 def with_extension(g: DataFrame, members: DataFrame, ext: str) -> DataFrame:
     """Groups with any member of an extension."""
     return g.join(members.where(F.lower("ext") == ext.lower()).select("group_id").distinct(), "group_id", "left_semi")

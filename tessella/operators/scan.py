@@ -99,6 +99,15 @@ def reject_reason(
     )
 
 
+#: Bytes that four samples of a file read at most.
+SAMPLED = 4 * 65536
+
+
+def byte_totals(files: DataFrame) -> DataFrame:
+    """``files, bytes, prefilter_bytes`` of files that aren't empty: how much there is, and what taking samples reads at most."""
+    return files.where("size > 0").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.least("size", F.lit(SAMPLED))).alias("prefilter_bytes"))
+
+
 def with_actual_bytes(files: DataFrame) -> DataFrame:
     """``disk_bytes``: a volume's zeros count once another of its files has reported more than zero; those of an unknown volume never do."""
     known = files.where("volume_id is not null").groupBy("volume_id").agg(F.max(F.coalesce(F.col("actual_known") & (F.col("actual") > 0), F.lit(False))).alias("trusts_zero"))

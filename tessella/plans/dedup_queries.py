@@ -90,8 +90,7 @@ def dedup_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GROUPS} SELECT group_id, count(DISTINCT volume_id) > 1 AND bool_and(resolved) AS cross_volume FROM members GROUP BY group_id")
 def dedup_cross_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, m = grouped(spark, sf_dir)
-    return m.groupBy("group_id").agg(((F.min("volume_id") != F.max("volume_id")) & F.bool_and("resolved")).alias("cross_volume"))
+    return dedup.cross_volume(grouped(spark, sf_dir)[1])
 
 
 @query(f"""WITH {GROUPS} SELECT coalesce(sum(('0x' || left(sha256(size || chr(10) || hash || chr(10) || path), 15))::BIGINT), 0)::VARCHAR AS digest, count(*) AS n FROM members""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, formats, markdown, paths, records
+from tessella.operators import policy
 from tessella.plans.registry import FILES, query
 from tessella.sources import corpus
 
@@ -130,9 +131,7 @@ def rule_filetime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS id, array_to_string(list_reverse(regexp_extract_all(printf('%016x', o_orderkey), '..')), '') AS packed, o_orderkey AS unpacked FROM orders""")
 def rule_pack_u64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digits = F.lpad(F.lower(F.hex("o_orderkey")), 16, "0")
-    swap = lambda x: F.array_join(F.reverse(F.regexp_extract_all(x, F.lit("(..)"), F.lit(1))), "")
-    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), swap(digits).alias("packed")).withColumn("unpacked", F.conv(swap(F.col("packed")), 16, 10).cast("bigint"))
+    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), records.pack_u64(F.col("o_orderkey")).alias("packed")).withColumn("unpacked", records.unpack_u64(F.col("packed")))
 
 
 @query(f"""WITH {FILES}, v AS (SELECT volume_id, sum(size) // 400 AS cap, count(*) FILTER (resolved) % 2 = 0 AS own FROM files WHERE size IS NOT NULL GROUP BY volume_id),
@@ -153,16 +152,14 @@ def recycle_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS id, CASE WHEN l <= 100 THEN 100 ELSE greatest(100, least(l, 500)) END AS segment_size, CASE WHEN l <= 100 THEN 1 ELSE ceil(l / greatest(100, least(l, 500)))::BIGINT END AS segments, CASE WHEN l <= 100 THEN 1 ELSE ceil(l / 100)::BIGINT END AS next_page
 FROM (SELECT o_orderkey, o_orderkey % 3000 AS l FROM orders)""")
 def page_reload_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("o_orderkey") % 3000
-    one, segment = F.lit(1).cast("bigint"), F.greatest(F.lit(100).cast("bigint"), F.least(n, F.lit(500).cast("bigint")))
-    few = n <= 100
-    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(few, F.lit(100).cast("bigint")).otherwise(segment).alias("segment_size"), F.when(few, one).otherwise(F.ceil(n / segment)).alias("segments"), F.when(few, one).otherwise(F.ceil(n / 100)).alias("next_page"))
+    plan = policy.reload_plan(F.col("o_orderkey") % 3000)
+    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *[c.alias(name) for name, c in plan.items()])
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN r = 0 THEN -1 WHEN i <= 0 THEN 0 WHEN i < r THEN i ELSE -1 END AS first_excluded FROM (SELECT o_orderkey, o_orderkey % 50 AS r, o_custkey % 200 - (o_orderkey % 4) * 50 AS i FROM orders)""")
 def page_first_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, i = F.col("o_orderkey") % 50, F.col("o_custkey") % 200 - (F.col("o_orderkey") % 4) * 50
-    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(r == 0, -1).when(i <= 0, 0).when(i < r, i).otherwise(-1).alias("first_excluded"))
+    first = policy.first_excluded(F.col("o_orderkey") % 50, F.col("o_custkey") % 200, (F.col("o_orderkey") % 4) * 50)
+    return corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), first.alias("first_excluded"))
 
 
 @query("""SELECT page_id, sum((regexp_matches(l, '^#{1,6} '))::INT)::BIGINT AS headings, sum((regexp_matches(l, '^[-*] '))::INT)::BIGINT AS bullets, count(*) AS lines FROM (SELECT page_id, unnest(string_split(replace(html, '<', chr(10) || '- <'), chr(10))) AS l FROM pages) GROUP BY page_id""")
@@ -174,7 +171,7 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey AS id, p_size * 1024 AS bytes, round(p_partkey / 1024.0)::BIGINT AS kib FROM part""")
 def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 1024).alias("bytes"), F.round(F.col("p_partkey") / 1024.0).cast("bigint").alias("kib"))
+    return corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), formats.bytes_of(F.col("p_size")).alias("bytes"), formats.kib_of(F.col("p_partkey")).alias("kib"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, '# turn ' || turn || ' of *' || coalesce(role, '') || '*' AS head, coalesce(text, '') AS text FROM conversations)

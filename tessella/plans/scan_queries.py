@@ -86,7 +86,7 @@ def scan_actual_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES} SELECT count(*) AS files, sum(size)::BIGINT AS bytes, sum(least(size, 262144))::BIGINT AS prefilter_bytes FROM files WHERE size > 0")
 def scan_byte_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where("size > 0").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum(F.least("size", F.lit(262144))).alias("prefilter_bytes"))
+    return scan.byte_totals(files(spark, sf_dir))
 
 
 @query(f"""WITH {FILES} SELECT volume_id, ext, count(*) AS n, sum(size)::BIGINT AS bytes FROM files GROUP BY ALL""")
