@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds of lines, tried in this order where no block is open.
+# Patterns of lines, tried in this order where no block is open.
 LINES = {
     "code": re.compile(r"\s{0,3}(?:`{3}|~{3})\s*([\w+-]*)\s*"),
     "blank": re.compile(r"\s*"),
@@ -26,7 +26,7 @@ LINES = {
     "bullets": re.compile(r"\s{0,3}[-*+]\s+(.*)"),
 }
 _DEEP = re.compile(r"\s{2,}\S")
-#: Segments by what they begin with; the first that fits at a place is taken.
+# Patterns of segments, of which the first that fits at a place is taken, and of addresses that are safe.
 SEGMENTS = re.compile(r"`(?P<code>[^`]+)`|\[(?P<link>[^\]]*)\]\((?P<href>[^)\s]+)\)|\*\*(?P<bold>[^*]+)\*\*|\*(?P<italic>[^*]+)\*|~~(?P<struck>[^~]+)~~")
 _SAFE = re.compile(r"[#/?]|[\w.\-]+/|(?:https?:|mailto:)", re.IGNORECASE)
 BLOCKS = "block int, kind string, level int, lang string, item int, text string, segments array<struct<style: string, text: string, href: string>>"
