@@ -24,7 +24,8 @@ _TOGETHER = 50
 class Encoder:
     """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = MEMORY_PIECES):
+        self.pieces = pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -73,7 +74,7 @@ class Encoder:
             cuts.append((head, words, found))
         fresh: dict[str, bytes] = {}
         self._learn(list(new), fresh)
-        if len(self.memory) + len(fresh) <= MEMORY_PIECES:
+        if len(self.memory) + len(fresh) <= self.pieces:
             self.memory.update(fresh)
         out = []
         for text, cut in zip(texts, cuts, strict=True):
@@ -87,12 +88,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
-    if path not in KEPT:
+def encoder(path: str, pieces: int = MEMORY_PIECES) -> Encoder:
+    """This worker's encoder for a tokenizer file, which remembers up to ``pieces``."""
+    if (path, pieces) not in KEPT:
         KEPT.clear()
-        KEPT[path] = Encoder(path)
-    return KEPT[path]
+        KEPT[path, pieces] = Encoder(path, pieces)
+    return KEPT[path, pieces]
 
 
 def pieces_of(column, limit: int = 1 << 20):

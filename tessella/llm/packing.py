@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm._cluster import bound_batches, cut
-from tessella.llm._tokens import encoder, pieces_of
+from tessella.llm._tokens import MEMORY_PIECES, encoder, pieces_of
 
 #: Windows that a task keeps open.
 OPEN_WINDOWS = 128
@@ -57,7 +57,7 @@ class BestFit:
 
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, open_windows: int =
-    OPEN_WINDOWS,
+    OPEN_WINDOWS, remembered: int = MEMORY_PIECES,
 ) -> DataFrame:
     """``<id_col>, start, length, doc_tokens, sequence_id, offset, ids``: a row per piece of a document.
 
@@ -69,7 +69,8 @@ def pack(
 
     Null and empty texts are documents of one id. Null and repeated ids keep
     their rows: a row is a document. Very long texts are cut into full windows.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read. ``remembered``:
+    words whose ids a worker keeps, some 200 bytes each; the rest is encoded anew.
     """
     bound_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType
@@ -78,7 +79,7 @@ def pack(
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task = encoder(tokenizer), TaskContext.get().partitionId()
+        code, task = encoder(tokenizer, remembered), TaskContext.get().partitionId()
         fit = BestFit(size, open_windows)
         held: dict[int, list[tuple]] = {}
         arrow_kind = None
