@@ -26,6 +26,8 @@ from tessella.llm.substring_dedup import substring_dedup
 #: Least language score. Taught languages score 0.36 and more, 0.7 in the middle; other languages, random letters and hex
 #: digits 0.27 and less from some fifty n-grams on. Shorter ones may score more and stay.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Words that a worker remembers in packing: fewer than where packing is alone, since executors hold what earlier stages left.
+REMEMBERED = 300_000
 #: The shingles of the near-duplicate stage and its similarity, in hundredths.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
@@ -84,7 +86,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens; a row is a document, whatever its id. Null and empty texts are one token."""
-    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
