@@ -86,12 +86,16 @@ def preview(content: Column) -> Column:
 
 def likely_text(content: Column) -> Column:
     """Whether more than 85 % of the bytes are printable, line ends, tabs or above 0x7F; an empty content is text."""
-    codes = F.hex(content)
     n = F.octet_length(content)
-    bad = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.substr(codes, 2 * k + 1, F.lit(2))), lambda h: ((h < "20") & ~h.isin("09", "0A", "0D")) | (h == "7F")))
+    bad = n - F.char_length(F.regexp_replace(_chars(content), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
     return F.when(n == 0, True).otherwise((n - bad) / n > 0.85)
 
 
+def _chars(content: Column) -> Column:
+    """A character for each byte."""
+    return F.decode(content, "ISO-8859-1")
+
+
 def hex_rows(content: Column) -> Column:
     """Lines of 16 bytes: offset, bytes, and characters between bars."""
     codes, n = F.lower(F.hex(content)), F.octet_length(content)
