@@ -98,13 +98,13 @@ def _chars(content: Column) -> Column:
 
 def hex_rows(content: Column) -> Column:
     """Lines of 16 bytes: offset, bytes, and characters between bars."""
-    codes, n = F.lower(F.hex(content)), F.octet_length(content)
+    n = F.octet_length(content)
 
     def line(k: Column) -> Column:
         start = k * 16
-        width = F.least(F.lit(16), n - start)
-        cells = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.substr(codes, (start + j) * 2 + 1, F.lit(2)))
-        shown = F.transform(cells, lambda h: F.when((h >= "20") & (h < "7f"), F.unhex(h).cast("string")).otherwise("."))
-        return F.concat(F.lower(F.lpad(F.hex(start.cast("bigint")), 8, "0")), F.lit("  "), F.rpad(F.concat(F.array_join(cells, " "), F.lit(" ")), 48, " "), F.lit(" |"), F.array_join(shown, ""), F.lit("|"))
+        own = F.substring(content, start + 1, 16)
+        cells = F.regexp_replace(F.lower(F.hex(own)), "(..)", "$1 ")
+        shown = F.regexp_replace(_chars(own), r"[^\x20-\x7E]", ".")
+        return F.concat(F.lower(F.lpad(F.hex(start.cast("bigint")), 8, "0")), F.lit("  "), F.rpad(cells, 48, " "), F.lit(" |"), shown, F.lit("|"))
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int")), line)).otherwise(F.array().cast("array<string>"))

@@ -223,5 +223,5 @@ c AS (SELECT doc_id, k, list_transform(range(0, least(16, length(h) // 2 - 16 *
 SELECT doc_id, k AS line_no, printf('%08x', k * 16) || '  ' || rpad(array_to_string(c, ' ') || ' ', 48, ' ') || ' |' ||
   array_to_string(list_transform(c, lambda x: CASE WHEN x >= '20' AND x < '7f' THEN chr(('0x' || x)::INTEGER) ELSE '.' END), '') || '|' AS line FROM c""")
 def content_hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(formats.hex_rows(F.substring(F.encode("text", "UTF-8"), 1, formats.DUMPED))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    heads = corpus.table(spark, sf_dir, "documents").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, formats.DUMPED).alias("data"))
+    return heads.select("doc_id", F.posexplode(formats.hex_rows(F.col("data"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))

@@ -16,11 +16,21 @@ def test_text_is_judged_by_every_byte(spark):
     assert all(r["t"] is r["want"] for r in edge.select("want", formats.likely_text(F.col("data")).alias("t")).collect())
 
 
-def test_text_takes_time_in_proportion(spark):
+def test_text_and_dump_take_time_in_proportion(spark):
     data = F.encode(F.repeat(F.concat(F.lit("café "), F.col("id").cast("string")), 1000), "UTF-8")
     df = spark.range(4000, numPartitions=4).select(F.substring(data, 1, formats.JUDGED).alias("data")).cache()
     df.count()
     start = time.time()
     assert df.where(formats.likely_text(F.col("data"))).count() == 4000
+    assert df.select(F.explode(formats.hex_rows(F.substring("data", 1, formats.DUMPED)))).count() == 64_000
     df.unpersist()
     assert time.time() - start < 20  # 57 s for as many before
+
+
+def test_dump_of_all_bytes(spark):
+    data = bytes(range(256)) + b"end"
+    lines = spark.createDataFrame([(data,)], "d binary").select(F.explode(formats.hex_rows(F.col("d"))).alias("x")).collect()
+    for k, r in enumerate(lines):
+        own = data[16 * k : 16 * k + 16]
+        assert r["x"] == f"{16 * k:08x}  " + "".join(f"{b:02x} " for b in own).ljust(48) + " |" + "".join(chr(b) if 32 <= b < 127 else "." for b in own) + "|"
+    assert len(lines) == 17
