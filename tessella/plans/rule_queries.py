@@ -14,7 +14,9 @@ _NUMBERS = "n AS (SELECT o_orderkey AS id, (o_orderkey * pow(1024, o_orderkey %
 
 
 def _numbers(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * F.pow(F.lit(1024.0), F.col("o_orderkey") % 5)).cast("bigint").alias("n"))
+    """Sizes of every order of magnitude; those of large keys don't fit 64 bits."""
+    n = F.col("o_orderkey").cast("decimal(20,0)") * F.pow(F.lit(1024.0), F.col("o_orderkey") % 5).cast("decimal(18,0)")
+    return corpus.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), n.alias("n"))
 
 
 _UNIT = "CASE {} WHEN 1 THEN 'K' WHEN 2 THEN 'M' WHEN 3 THEN 'G' WHEN 4 THEN 'T' WHEN 5 THEN 'P' ELSE 'E' END"

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessella.functions import formats
+from tessella.plans.catalog import QUERIES
 
 
 def test_text_is_judged_by_every_byte(spark):
@@ -34,3 +35,13 @@ def test_dump_of_all_bytes(spark):
         own = data[16 * k : 16 * k + 16]
         assert r["x"] == f"{16 * k:08x}  " + "".join(f"{b:02x} " for b in own).ljust(48) + " |" + "".join(chr(b) if 32 <= b < 127 else "." for b in own) + "|"
     assert len(lines) == 17
+
+
+def test_figures_beyond_64_bits(spark, tmp_path):
+    keys = [4, 1, 8_388_604, 8_388_609, 8_999_999]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["id"]: tuple(r)[1:] for r in QUERIES["fmt_human_bytes"](spark, str(tmp_path)).collect()}
+    assert found == {
+        4: ("4.0TiB", "4.0 TiB", "4.00 TiB"), 1: ("1.0KiB", "1.0 KiB", "1.0 KiB"), 8_388_604: ("8.0EiB", "8.0 EiB", "8388604.00 TiB"),
+        8_388_609: ("8.0EiB", "8.0 EiB", "8388609.00 TiB"), 8_999_999: ("8.6EiB", "8.6 EiB", "8999999.00 TiB"),
+    }
