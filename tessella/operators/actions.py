@@ -58,9 +58,11 @@ def begun(ops: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, plan.select("op_id", "orig_path", empty.alias("dest_path"), empty.alias("link_src"), "size", F.lit("planned").alias("state"), empty.alias("err"))
 
 
-def finished(items: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items after ``results(op_id, orig_path, dest_path, link_src, state, err)``, and results that no planned item has."""
+def finished(items: DataFrame, results: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items after ``results(op_id, orig_path, dest_path, link_src, state, err)``, and results that no planned item has; ``parts``: of the join."""
     keys, changed = ["op_id", "orig_path"], ["dest_path", "link_src", "state", "err"]
+    if parts:
+        items, results = items.repartition(parts, *keys), results.repartition(parts, *keys)
     new = results.select(*keys, *[F.col(c).alias(f"_{c}") for c in changed], F.lit(True).alias("_met"))
     both = items.join(new, keys, "left")
     out = both.select(*[F.when(F.col("_met"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in items.columns])

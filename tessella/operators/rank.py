@@ -1,4 +1,4 @@
-"""Row numbers over whole tables and within groups without a task that sorts everything."""
+"""Row numbers over whole tables and within groups without a task that sorts everything, and joins whose tasks stay small."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessella.sources.scratch import stage
 
+#: Rows that a task of a join or a grouping gets, about, and those that aren't dealt out any further.
+TASK_ROWS, FEW_ROWS = 250_000, 10_000
 #: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
 _ROW_BITS = 33
 
@@ -33,3 +35,8 @@ def within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     out = ranked(df, [*(F.col(c) for c in group), *order], "_rank")
     first = out.groupBy(*group).agg(F.min("_rank").alias("_first"))
     return out.join(first, list(group)).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
+
+
+def parts_for(df: DataFrame, rows: int) -> int:
+    """How many partitions ``rows`` rows are dealt into, so that tasks stay as they are when tables grow."""
+    return max(1, -(-rows // TASK_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import classify, formats, paths, records
 from tessella.operators import actions, cache, dedup, ledger, policy, run, scan
+from tessella.operators.rank import parts_for
 from tessella.plans.dedup_queries import CHUNK, SMALL, cache_rows, grouped
 from tessella.plans.registry import FILES, GROUPS, LEDGER, query
 from tessella.plans.scan_queries import _DIRS_SQL, _IN, dirs
@@ -166,7 +167,8 @@ def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
     content = F.when(n(7), "failed").when(n(19), "skipped").when(n(23), "unverifiable").otherwise("pass")
     keeper = F.when(n(29), F.lit(None).cast("string")).when(n(31), "failed").otherwise("pass")
     done = F.when(n(37), "privilege").when(n(41), "missing").when(n(43), "denied")
-    return items.join(o.select("op_id", "op_kind"), "op_id").withColumn("outcome", actions.outcome(F.col("op_kind"), ident, content, keeper, done, n(5), n(2), n(3)))
+    parts = parts_for(items, items.count())
+    return items.repartition(parts, "op_id").join(o.select("op_id", "op_kind").repartition(parts, "op_id"), "op_id").withColumn("outcome", actions.outcome(F.col("op_kind"), ident, content, keeper, done, n(5), n(2), n(3)))
 
 
 @query(f"WITH {_OUTCOMES} SELECT item_id, op_kind, outcome FROM o")
@@ -191,11 +193,12 @@ _JOURNAL = f"{_OUTCOMES}, p AS (SELECT DISTINCT op_id, orig_path || '#' || item_
 
 def _journal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     made = _outcomes(spark, folder).select("op_id", F.concat_ws("#", "orig_path", F.col("item_id").cast("string"), F.col("size").cast("string")).alias("orig_path"), "size", "item_id", "outcome").distinct()
+    made = stage(made, "journal")
     _, items = actions.begun(corpus.operations(spark, folder)[0], made)
     state = F.when(F.col("outcome") == "ok", "done").when(F.col("outcome") == "skipped", "skipped").otherwise("failed")
     results = made.where("item_id % 10 <> 0").select("op_id", "orig_path", F.concat(F.lit("/t"), "orig_path").alias("dest_path"), F.lit("").alias("link_src"), state.alias("state"), F.col("outcome").alias("err"))
     stray = results.where("state = 'skipped'").withColumn("orig_path", F.concat("orig_path", F.lit("?")))
-    return actions.finished(items, results.unionByName(stray))
+    return actions.finished(items, results.unionByName(stray), parts_for(made, made.count()))
 
 
 @query(f"""WITH {_JOURNAL} SELECT op_id, orig_path, CASE WHEN item_id % 10 = 0 THEN '' ELSE '/t' || orig_path END AS dest_path, '' AS link_src, size,
