@@ -387,8 +387,9 @@ def export_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     folder = f"{shared_folder(spark)}/tessella-exports/{uuid.uuid4().hex}"
-    tables = {name: stage(t, "ledger") for name, t in _ledgers(spark, sf_dir)[1].items()}
-    export.write_export(tables, folder)
+    joined = ("hist_files", "op_records")  # the others are columns of a table
+    tables = {name: stage(t, "ledger") if name in joined else t for name, t in _ledgers(spark, sf_dir)[1].items()}
+    export.write_export(tables, folder, compression="gzip")
     back = export.read_export(spark, folder)
     drop_folder(spark, folder)
     text = {"scan_history": "roots", "hist_groups": "id", "hist_files": "path", "op_records": "op_kind", "op_items": "orig_path"}

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.rank import parts_for
 from tessella.sources.scratch import stage
 from tessella.sources.tree import LEDGER, checked_ledger
 
@@ -27,10 +28,16 @@ class Torn(ValueError):
     """An export whose tables aren't what its manifest says."""
 
 
+def _numbered(children: DataFrame, key: str, order: str, part_rows: int) -> DataFrame:
+    """Children with the ``part`` of their key's list; only keys with more than a part are sent to them, at most one for each ``part_rows`` rows."""
+    long = children.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows)
+    part = F.pmod(F.xxhash64(order), F.ceil(F.col("_n") / part_rows)).cast("int")
+    return children.join(F.broadcast(long), key, "left").withColumn("part", F.coalesce(part, F.lit(0)))
+
+
 def parted(children: DataFrame, key: str, order: str, part_rows: int = PART_ROWS) -> DataFrame:
     """``<key>, part, rows``: the children of each key in lists of ``part_rows`` or so, each in order."""
-    sizes = children.groupBy(key).agg(F.count("*").alias("_n"))
-    held = children.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(order), F.ceil(F.col("_n") / part_rows)).cast("int"))
+    held = _numbered(children, key, order, part_rows)
     rest = [order, *[c for c in children.columns if c not in (key, order)]]
     return held.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
 
@@ -39,10 +46,15 @@ def _documents(tables: dict[str, DataFrame], part_rows: int) -> DataFrame:
     """``kind, json``: a document for each parent and part of its children; children without a parent have one without its row."""
     out = None
     for parent, child, key in _NESTED:
-        rows = parted(tables[child].select(*LEDGER[child]), key, "id", part_rows).withColumnRenamed(key, "_key")
         own = [c for c in LEDGER[parent] if parent != "hist_groups"] or ["id"]  # a group's own row is in its scan's list
+        held = _numbered(tables[child].select(*LEDGER[child]), key, "id", part_rows)
+        rest = ["id", *[c for c in LEDGER[child] if c not in (key, "id")]]
         heads = tables[parent].select(F.col("id").alias("_key"), F.lit(0).alias("part"), F.struct(*own).alias("row"))
-        both = heads.join(rows, ["_key", "part"], "full_outer")
+        lines = held.select(F.col(key).alias("_key"), "part", F.struct(*rest).alias("child"))
+        both = heads.unionByName(lines, allowMissingColumns=True)
+        dealt = both.repartition(parts_for(both, tables[child].count() + tables[parent].count()), "_key", "part")
+        both = dealt.groupBy("_key", "part").agg(F.first("row", ignorenulls=True).alias("row"), F.sort_array(F.collect_list("child")).alias("rows"))
+        both = both.withColumn("rows", F.when(F.size("rows") > 0, F.col("rows")))
         docs = both.select(F.lit(parent).alias("kind"), F.to_json(F.struct(F.col("_key").alias("key"), "row", "rows")).alias("json"))
         out = docs if out is None else out.unionByName(docs)
     return out
@@ -64,15 +76,18 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_export(tables: dict[str, DataFrame], folder: str, part_rows: int = PART_ROWS) -> dict[str, dict]:
-    """Export a ledger to a new folder; its figures. Until the manifest is there, which comes last and at once, there is no export."""
+def write_export(tables: dict[str, DataFrame], folder: str, part_rows: int = PART_ROWS, compression: str = "none") -> dict[str, dict]:
+    """Export a ledger to a new folder; its figures. Until the manifest is there, which comes last and at once, there is no export.
+
+    ``compression``: of the documents' files, ``gzip`` or another that Spark's text files know.
+    """
     checked_ledger(tables)
     spark = tables["scan_history"].sparkSession
     manifest, fs = _path(spark, f"{folder}/manifest.json")
     if fs.exists(manifest):
         raise FileExistsError(f"{folder} holds an export")
     data = f"data-{uuid.uuid4().hex}"
-    _documents(tables, part_rows).write.partitionBy("kind").text(f"{folder}/{data}")
+    _documents(tables, part_rows).write.partitionBy("kind").option("compression", compression).text(f"{folder}/{data}")
     found = figures(tables)
     kinds = {name: {c: tables[name].schema[c].dataType.simpleString() for c in columns} for name, columns in LEDGER.items()}
     part, _ = _path(spark, f"{folder}/manifest.json.part")

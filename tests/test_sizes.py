@@ -1,7 +1,8 @@
 """Tasks that stay small when tables grow."""
 
 from tessella.operators import rank
-from tessella.plans.action_queries import _journal
+from tessella.plans.action_queries import _journal, _ledgers
+from tessella.sources import export
 
 
 def test_journal_joins_are_dealt_by_rows(spark, sf, monkeypatch):
@@ -10,3 +11,13 @@ def test_journal_joins_are_dealt_by_rows(spark, sf, monkeypatch):
     items, strays = _journal(spark, sf)
     assert len(whole[0]) > 5000 and min(items.rdd.getNumPartitions(), strays.rdd.getNumPartitions()) >= len(whole[0]) // 200  # 4 at most before
     assert [sorted(map(str, t.collect())) for t in (items, strays)] == whole
+
+
+def test_an_export_is_compressed_and_dealt_by_rows(spark, sf, tmp_path, monkeypatch):
+    tables = dict(_ledgers(spark, sf)[1])
+    monkeypatch.setattr(rank, "TASK_ROWS", 500)
+    export.write_export(tables, f"file://{tmp_path}/a", compression="gzip")
+    files = list((tmp_path / "a").glob("data-*/kind=op_records/part-*"))
+    assert len(files) > 8 and all(f.name.endswith(".txt.gz") for f in files)  # 4 files of plain text at most before
+    back = export.read_export(spark, f"file://{tmp_path}/a")
+    assert all(back[n].count() == tables[n].count() for n in back)
