@@ -3,6 +3,7 @@
 from tessella.operators import rank
 from tessella.plans.action_queries import _journal, _ledgers
 from tessella.sources import export
+from tessella.sources.walk import lay_out
 
 
 def test_journal_joins_are_dealt_by_rows(spark, sf, monkeypatch):
@@ -21,3 +22,20 @@ def test_an_export_is_compressed_and_dealt_by_rows(spark, sf, tmp_path, monkeypa
     assert len(files) > 8 and all(f.name.endswith(".txt.gz") for f in files)  # 4 files of plain text at most before
     back = export.read_export(spark, f"file://{tmp_path}/a")
     assert all(back[n].count() == tables[n].count() for n in back)
+
+
+def test_contents_are_laid_out_in_small_batches(spark, tmp_path):
+    def checked(batches):
+        for batch in batches:
+            assert batch.num_rows <= 500 and batch.nbytes < 8 << 20  # 2,000 rows of 40 MB before
+            yield batch
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(2000, numPartitions=1).selectExpr("concat('/d/', id) as path", "cast(repeat('x', 20000) as binary) as content")
+    spark.conf.set(key, "10000")
+    try:
+        assert lay_out(rows.mapInArrow(checked, rows.schema), f"{tmp_path}/t") == 2000 and spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "t/d").iterdir())) == 2000
