@@ -78,12 +78,19 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((keys >> np.uint64(40)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
 
 
-def bloom(df: DataFrame) -> np.ndarray:
-    """A Bloom filter of the first column of ``df``, 64-bit hashes as long."""
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def bloom(df: DataFrame, keys: Callable[[pa.Array], np.ndarray] = _longs) -> np.ndarray:
+    """A Bloom filter of the first column of ``df``: 64-bit hashes as long, or what ``keys`` makes of the column.
+
+    The hashes are made where the filter is filled: two Python steps in one task
+    would take two workers, all of which stay and get later stages' work in turn.
+    """
 
     def fill(batch: pa.RecordBatch, bits: np.ndarray) -> None:
-        keys = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for p in _places(keys):
+        for p in _places(keys(batch.column(0))):
             np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
     return merged(df, fill, BLOOM_BITS // 8, "uint8", "or")

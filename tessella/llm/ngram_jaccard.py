@@ -447,12 +447,7 @@ def _bridges(apart: DataFrame, classes: DataFrame, sets: DataFrame, num: int, de
 def _contents(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """``c, items``: the sets of the classes in ``wanted(c)``, a written table."""
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(_hash64(batch.column(0).to_pylist())))], ["k"])
-
-    shared = docs.sparkSession.sparkContext.broadcast(_sketch.bloom(wanted.mapInArrow(keys, "k bigint")))
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch.bloom(wanted, lambda names: _hash64(names.to_pylist())))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()

@@ -305,12 +305,7 @@ def _seq64(seqs: list[bytes]) -> np.ndarray:
 
 
 def _filter_of(seqs: DataFrame):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(_seq64(batch.column(0).to_pylist())))], ["k"])
-
-    return seqs.sparkSession.sparkContext.broadcast(_sketch.bloom(seqs.mapInArrow(keys, "k bigint")))
+    return seqs.sparkSession.sparkContext.broadcast(_sketch.bloom(seqs, lambda names: _seq64(names.to_pylist())))
 
 
 def _chosen(docs: DataFrame, seqs: DataFrame, once: bool) -> DataFrame:

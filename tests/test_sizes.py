@@ -1,5 +1,8 @@
 """Tasks that stay small when tables grow."""
 
+import pyarrow as pa
+
+from tessella.llm import _sketch, ngram_jaccard, substring_dedup
 from tessella.operators import rank
 from tessella.plans.action_queries import _journal, _ledgers
 from tessella.sources import export
@@ -39,3 +42,20 @@ def test_contents_are_laid_out_in_small_batches(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert len(list((tmp_path / "t/d").iterdir())) == 2000
+
+
+def test_filters_are_filled_by_one_worker_a_task(spark, monkeypatch):
+    names = spark.createDataFrame([(bytes([k]) * 16,) for k in range(50)], "c binary")
+    plans, whole = [], _sketch.gathered
+
+    def seen(pieces, *rest):
+        plans.append(pieces._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return whole(pieces, *rest)
+
+    monkeypatch.setattr(_sketch, "gathered", seen)
+    bits = substring_dedup._filter_of(names).value
+    assert _sketch.may_hold(bits, substring_dedup._seq64([bytes([k]) * 16 for k in range(50)])).all() and bits.any()
+    docs = spark.createDataFrame([("a b c",), ("d e f",), (None,)], "text string")
+    wanted = spark.createDataFrame([(ngram_jaccard.class_of(next(iter(ngram_jaccard.shingle_sets(pa.array(["a b c"]), 2)))),)], "c binary")
+    assert ngram_jaccard._contents(docs, "text", 2, wanted).count() == 1
+    assert plans == [1, 1]  # two workers a task before
