@@ -8,6 +8,8 @@ the whole from the nodes of all ranges, in any order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 CHUNK = 1024
@@ -53,36 +55,30 @@ def _compress(values: np.ndarray, words: np.ndarray, counter: np.ndarray, length
     return np.concatenate([a ^ c, b ^ d])
 
 
-def _chunk_values(data: bytes, first: int, root: bool) -> np.ndarray:
-    """Chaining values, 8 x n, of the chunks of ``data``, numbered from ``first``; only the last may be short."""
-    whole = len(data) // CHUNK
-    parts = []
-    every = np.frombuffer(data, "<u4", whole * 256).reshape(whole, 16, 16)
-    for k in range(0, whole, _SIDE):
-        some = every[k : k + _SIDE]
-        counter = np.arange(first + k, first + k + len(some), dtype=np.uint64)
-        values = np.repeat(_IV[:, None], len(some), 1)
-        for block in range(16):
-            flags = (_CHUNK_START if block == 0 else 0) | (_CHUNK_END if block == 15 else 0) | (_ROOT if root and block == 15 else 0)
-            values = _compress(values, np.ascontiguousarray(some[:, block].T).astype(np.uint32), counter, 64, flags)
-        parts.append(values)
-    rest = data[whole * CHUNK :]
-    if rest or not whole:
-        values, blocks = _IV[:, None], max(1, -(-len(rest) // 64))
-        for block in range(blocks):
-            own = rest[block * 64 : block * 64 + 64]
-            last = block == blocks - 1
-            flags = (_CHUNK_START if block == 0 else 0) | (_CHUNK_END | (_ROOT if root else 0) if last else 0)
-            values = _compress(values, np.frombuffer(own.ljust(64, b"\0"), "<u4").astype(np.uint32)[:, None], np.array([first + whole], np.uint64), len(own), flags)
-        parts.append(values)
-    return np.concatenate(parts, 1)
-
-
-def _parents(values: np.ndarray, root: bool = False) -> np.ndarray:
+def _chunk_values(pieces: Sequence[tuple[bytes, int, bool]]) -> np.ndarray:
+    """Chaining values, 8 x n, of the chunks of all ``(data, first, root)``, numbered from ``first``; only a piece's last may be short."""
+    counts = [chunks_of(len(data)) for data, _, _ in pieces]
+    every = np.frombuffer(b"".join(data.ljust(n * CHUNK, b"\0") for (data, _, _), n in zip(pieces, counts, strict=True)), "<u4").reshape(-1, 16, 16)
+    counter = np.concatenate([np.arange(first, first + n, dtype=np.uint64) for (_, first, _), n in zip(pieces, counts, strict=True)])
+    root = np.repeat(np.where([r for _, _, r in pieces], _ROOT, 0), counts)
+    length = np.full(len(every), CHUNK)
+    length[np.cumsum(counts) - 1] = [len(data) - (n - 1) * CHUNK for (data, _, _), n in zip(pieces, counts, strict=True)]
+    last = np.maximum(1, -(-length // 64)) - 1
+    out = np.repeat(_IV[:, None], len(every), 1)
+    for k in range(0, len(every), _SIDE):
+        for block in range(last[k : k + _SIDE].max() + 1):
+            on = k + np.flatnonzero(last[k : k + _SIDE] >= block)
+            flags = (_CHUNK_START if block == 0 else 0) | np.where(last[on] == block, _CHUNK_END | root[on], 0)
+            words = np.ascontiguousarray(every[on, block].T).astype(np.uint32)
+            out[:, on] = _compress(out[:, on], words, counter[on], np.minimum(64, length[on] - 64 * block), flags)
+    return out
+
+
+def _parents(values: np.ndarray, root: np.ndarray | bool = False) -> np.ndarray:
     """Of neighbours, 8 x 2n, their parents, 8 x n."""
     words = np.concatenate([values[:, 0::2], values[:, 1::2]])
     n = words.shape[1]
-    return _compress(np.repeat(_IV[:, None], n, 1), words, np.zeros(n, np.uint64), 64, _PARENT | (_ROOT if root else 0))
+    return _compress(np.repeat(_IV[:, None], n, 1), words, np.zeros(n, np.uint64), 64, np.where(root, _PARENT | _ROOT, _PARENT))
 
 
 def _bytes(values: np.ndarray) -> list[bytes]:
@@ -93,42 +89,78 @@ def chunks_of(size: int) -> int:
     return max(1, -(-size // CHUNK))
 
 
+def ranges_nodes(ranges: Sequence[tuple[bytes, int, int]]) -> list[list[Node]]:
+    """For each ``(data, first, total)`` the nodes of the chunks in ``data``, which begins with chunk ``first`` of a file of ``total`` chunks.
+
+    All ranges are hashed side by side: a call of numpy costs the same for one short range as for hundreds.
+    """
+    if not ranges:
+        return []
+    out: list[list[Node]] = [[] for _ in ranges]
+    values = _chunk_values([(data, first, total == 1) for data, first, total in ranges])
+    edges = np.cumsum([chunks_of(len(data)) for data, _, _ in ranges])[:-1]
+    held, level = [(k, first, own) for k, ((_, first, _), own) in enumerate(zip(ranges, np.split(values, edges, 1), strict=True))], 0
+    while held:
+        pairs = []
+        for k, first, own in held:
+            if first % 2:
+                out[k].append((level, first, _bytes(own[:, :1])[0]))
+                own, first = own[:, 1:], first + 1
+            n = own.shape[1]
+            if 2 << level >= ranges[k][2]:  # what stands above is the root
+                out[k] += [(level, first + i, v) for i, v in enumerate(_bytes(own))]
+                continue
+            if n % 2:
+                out[k].append((level, first + n - 1, _bytes(own[:, -1:])[0]))
+                own = own[:, :-1]
+            if own.shape[1]:
+                pairs.append((k, first // 2, own))
+        level += 1
+        if pairs:
+            above = _parents(np.concatenate([own for _, _, own in pairs], 1))
+            edges = np.cumsum([own.shape[1] // 2 for _, _, own in pairs])[:-1]
+            pairs = [(k, first, own) for (k, first, _), own in zip(pairs, np.split(above, edges, 1), strict=True)]
+        held = pairs
+    return out
+
+
 def range_nodes(data: bytes, first: int, total: int) -> list[Node]:
     """The nodes of the chunks in ``data``, which begins with chunk ``first`` of a file of ``total`` chunks."""
-    values, level, out = _chunk_values(data, first, total == 1), 0, []
-    while values.shape[1]:
-        if first % 2:
-            out.append((level, first, _bytes(values[:, :1])[0]))
-            values, first = values[:, 1:], first + 1
-        n = values.shape[1]
-        if 2 << level >= total:  # what stands above is the root
-            return out + [(level, first + k, v) for k, v in enumerate(_bytes(values))]
-        if n % 2:
-            out.append((level, first + n - 1, _bytes(values[:, -1:])[0]))
-            values = values[:, :-1]
-        values, level, first = _parents(values) if values.shape[1] else values, level + 1, first // 2
-    return out
+    return ranges_nodes([(data, first, total)])[0]
+
+
+def _joined(values: list[bytes], root: np.ndarray | bool = False) -> list[bytes]:
+    """The parents of neighbours."""
+    return _bytes(_parents(np.ascontiguousarray(np.frombuffer(b"".join(values), "<u4").astype(np.uint32).reshape(-1, 8).T), root))
+
+
+def all_combined(files: Sequence[tuple[list[Node], int]]) -> list[bytes]:
+    """For each ``(nodes, total)`` the hash of a file of ``total`` chunks from the nodes of ranges that cover it once; all side by side."""
+    trees: list[dict[int, dict[int, bytes]]] = []
+    for nodes, _ in files:
+        trees.append(by := {})
+        for level, index, value in nodes:
+            by.setdefault(level, {})[index] = value
+    for level in range(max((total for _, total in files), default=0).bit_length()):
+        pairs = []
+        for by, (_, total) in zip(trees, files, strict=True):
+            own = by.get(level, {})
+            if 2 << level < total:
+                pairs += [(by, k, own.pop(k), own.pop(k + 1)) for k in sorted(own) if k % 2 == 0 and k + 1 in own]
+        if pairs:
+            for (by, k, _, _), value in zip(pairs, _joined([v for p in pairs for v in p[2:]]), strict=True):
+                by.setdefault(level + 1, {})[k // 2] = value
+    peaks = [[v for _, v in sorted((k << level, v) for level, own in by.items() for k, v in own.items())] for by in trees]
+    while several := [p for p in peaks if len(p) > 1]:
+        found = _joined([v for p in several for v in p[-2:]], np.array([len(p) == 2 for p in several]))
+        for p, value in zip(several, found, strict=True):
+            p[-2:] = [value]
+    return [p[0] for p in peaks]
 
 
 def combined(nodes: list[Node], total: int) -> bytes:
-    """The hash of a file of ``total`` chunks from the nodes of ranges that cover it once."""
-    if total == 1:
-        return nodes[0][2]
-    by: dict[int, dict[int, bytes]] = {}
-    for level, index, value in nodes:
-        by.setdefault(level, {})[index] = value
-    for level in range(total.bit_length()):
-        own = by.get(level, {})
-        pairs = [k for k in sorted(own) if k % 2 == 0 and k + 1 in own] if 2 << level < total else []
-        if pairs:
-            values = np.frombuffer(b"".join(own.pop(k) + own.pop(k + 1) for k in pairs), "<u4").astype(np.uint32).reshape(-1, 8).T
-            by.setdefault(level + 1, {}).update(zip([k // 2 for k in pairs], _bytes(_parents(np.ascontiguousarray(values))), strict=True))
-    peaks = [v for _, v in sorted((k << level, v) for level, own in by.items() for k, v in own.items())]
-    value = peaks.pop()
-    while peaks:
-        both = np.frombuffer(peaks.pop() + value, "<u4").astype(np.uint32).reshape(2, 8).T
-        value = _bytes(_parents(np.ascontiguousarray(both), root=not peaks))[0]
-    return value
+    """The hash of a file of ``total`` chunks from the nodes of ranges that cover it once, in any order."""
+    return all_combined([(nodes, total)])[0]
 
 
 def digest(data: bytes) -> bytes:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -134,32 +134,58 @@ def take_samples(path: str, size: int, chunk: int, small: int, whole: int) -> tu
         os.close(handle)
 
 
+def hash_ranges(asked: Iterable[tuple[str, int, int, int]], whole: int) -> list[tuple[list[dict] | None, str | None, int]]:
+    """For each ``(path, size, at, n)`` nodes of that range (or one with the hash, if the file isn't over ``whole`` bytes), a problem, and the bytes read.
+
+    Ranges of large files are hashed together, ``_PIECE`` bytes or so at a time.
+    """
+    out, waiting, held = [], [], 0
+
+    def close() -> None:
+        for (nodes, *_), found in zip(waiting, treehash.ranges_nodes([w[1:] for w in waiting]), strict=True):
+            nodes += found
+        waiting.clear()
+
+    for path, size, at, n in asked:
+        nodes: list[treehash.Node] = []
+        problem, read = None, 0
+        total, running = treehash.chunks_of(size), hashlib.sha256()
+        try:
+            handle = os.open(path, os.O_RDONLY)
+        except (OSError, ValueError) as e:
+            out.append((nodes, type(e).__name__, 0))
+            continue
+        try:
+            for k in range(at, at + n, _PIECE):
+                data = read_at(handle, k, min(_PIECE, at + n - k))
+                read += len(data)
+                if len(data) < min(_PIECE, at + n - k):
+                    problem = "short"
+                    break
+                if size <= whole:
+                    running.update(data)
+                    continue
+                waiting.append((nodes, data, k // treehash.CHUNK, total))
+                held += len(data)
+                if held >= _PIECE:
+                    close()
+                    held = 0
+            if problem is None and at + n >= size and os.pread(handle, 1, size):
+                problem = "grown"
+        except OSError as e:
+            problem = type(e).__name__
+        finally:
+            os.close(handle)
+        if size <= whole:
+            nodes.append((-1, 0, running.digest()))
+        out.append((nodes, problem, read))
+    close()
+    return [(None if problem else [{"level": level, "index": index, "value": value} for level, index, value in nodes], problem, read) for nodes, problem, read in out]
+
+
 def hash_range(path: str, size: int, at: int, n: int, whole: int) -> tuple[list[dict] | None, str | None, int]:
-    """Nodes of a range (or one with the hash, if the file isn't over ``whole`` bytes), a problem, and the bytes read."""
-    total, read = treehash.chunks_of(size), 0
-    try:
-        handle = os.open(path, os.O_RDONLY)
-    except (OSError, ValueError) as e:
-        return None, type(e).__name__, 0
-    try:
-        running, nodes = hashlib.sha256(), []
-        for k in range(at, at + n, _PIECE):
-            data = read_at(handle, k, min(_PIECE, at + n - k))
-            read += len(data)
-            if len(data) < min(_PIECE, at + n - k):
-                return None, "short", read
-            if size <= whole:
-                running.update(data)
-            else:
-                nodes += treehash.range_nodes(data, k // treehash.CHUNK, total)
-        if at + n >= size and os.pread(handle, 1, size):
-            return None, "grown", read
-    except OSError as e:
-        return None, type(e).__name__, read
-    finally:
-        os.close(handle)
-    found = [(-1, 0, running.digest())] if size <= whole else nodes
-    return [{"level": level, "index": index, "value": value} for level, index, value in found], None, read
+    """What ``hash_ranges`` has of one range."""
+    return hash_ranges([(path, size, at, n)], whole)[0]
 
 
 class OnDisk:
@@ -200,16 +226,15 @@ class OnDisk:
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = pa.list_(pa.struct([("level", pa.int32()), ("index", pa.int64()), ("value", pa.binary())]))
             for batch in batches:
-                for k in range(batch.num_rows):
-                    nodes, problem, read = hash_range(*(batch.column(c)[k].as_py() for c in range(1, 5)), whole)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([nodes], node), pa.array([problem]).cast(pa.string()), pa.array([read])], ["id", "nodes", "problem", "read_bytes"])
+                if batch.num_rows:
+                    nodes, problems, reads = zip(*hash_ranges(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True), whole), strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, node), pa.array(problems, pa.string()), pa.array(reads, pa.int64())], ["id", "nodes", "problem", "read_bytes"])
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
-                for size, nodes, problem in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                    one = [(n["level"], n["index"], n["value"]) for n in nodes or []]
-                    found.append(None if problem else (one[0][2] if size <= whole else treehash.combined(one, treehash.chunks_of(size))).hex())
+                files = [(size, [(n["level"], n["index"], n["value"]) for n in nodes or []], problem) for size, nodes, problem in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+                trees = iter(treehash.all_combined([(nodes, treehash.chunks_of(size)) for size, nodes, problem in files if not problem and size > whole]))
+                found = [None if problem else (nodes[0][2] if size <= whole else next(trees)).hex() for size, nodes, problem in files]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(3), batch.column(4)], ["id", "hash", "problem", "read_bytes"])
 
         ranges = self._dealt(work).mapInArrow(one, f"id {kind}, nodes array<struct<level: int, index: bigint, value: binary>>, problem string, read_bytes bigint")

@@ -2,10 +2,11 @@
 
 import pyarrow as pa
 
+from tessella.functions import treehash
 from tessella.llm import _sketch, ngram_jaccard, substring_dedup
 from tessella.operators import rank
 from tessella.plans.action_queries import _journal, _ledgers
-from tessella.sources import export
+from tessella.sources import contents, export
 from tessella.sources.walk import lay_out
 
 
@@ -59,3 +60,18 @@ def test_filters_are_filled_by_one_worker_a_task(spark, monkeypatch):
     wanted = spark.createDataFrame([(ngram_jaccard.class_of(next(iter(ngram_jaccard.shingle_sets(pa.array(["a b c"]), 2)))),)], "c binary")
     assert ngram_jaccard._contents(docs, "text", 2, wanted).count() == 1
     assert plans == [1, 1]  # two workers a task before
+
+
+def test_short_ranges_are_hashed_side_by_side(tmp_path, monkeypatch):
+    files = [bytes(k % 251 for k in range(n, 5 * n)) for n in range(1025, 3000, 100)]
+    asked = []
+    for k, data in enumerate(files):
+        (tmp_path / str(k)).write_bytes(data)
+        asked += [(str(tmp_path / str(k)), len(data), at, min(4096, len(data) - at)) for at in range(0, len(data), 4096)]
+    want, calls, whole = [treehash.digest(data) for data in files], [], treehash._compress
+    monkeypatch.setattr(treehash, "_compress", lambda *x: calls.append(1) or whole(*x))
+    found = contents.hash_ranges([*asked, (str(tmp_path / "none"), 9000, 0, 4096)], 4096)
+    assert found.pop() == (None, "FileNotFoundError", 0) and all(p is None for _, p, _ in found)
+    nodes = [[(n["level"], n["index"], n["value"]) for (path, *_), (own, _, _) in zip(asked, found, strict=True) if path == str(tmp_path / str(k)) for n in own] for k in range(len(files))]
+    assert treehash.all_combined([(own, treehash.chunks_of(len(data))) for own, data in zip(nodes, files, strict=True)]) == want
+    assert len(asked) > 40 and len(calls) < 40  # 17 for each range before
