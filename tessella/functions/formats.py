@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,9 +77,12 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     return F.when((elapsed > 0) & (total > 0) & (done > 0), F.floor(left / rate)).otherwise(-1).cast("bigint")
 
 
-#: Bytes of a content that decide whether it is text, and bytes that a dump shows.
+#: Bytes of a content that decide whether it is text, and bytes that a preview's dump shows.
 JUDGED, DUMPED = 4096, 256
 
+#: Bytes of a piece of a content that is dumped whole, a multiple of 16.
+PIECE = 1 << 16
+
 
 def preview(content: Column) -> Column:
     """The bytes of a content that a preview of text shows."""
@@ -96,15 +101,30 @@ def _chars(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def hex_rows(content: Column) -> Column:
-    """Lines of 16 bytes: offset, bytes, and characters between bars."""
+def pieces(content: Column) -> Column:
+    """All bytes of a content in pieces of ``PIECE`` bytes, the last one shorter; none for no content."""
+    n = F.octet_length(content)
+    cut = lambda d: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), lambda k: F.substring(d, k * PIECE + 1, PIECE))
+    return F.when(n > 0, _bound(content, cut)).otherwise(F.array().cast("array<binary>"))
+
+
+def hex_rows(content: Column, start: Column | None = None) -> Column:
+    """Lines of 16 bytes: offset, counted from ``start``, bytes, and characters between bars."""
     n = F.octet_length(content)
+    first = F.lit(0).cast("bigint") if start is None else start.cast("bigint")
+    cells = F.regexp_replace(F.lower(F.hex(content)), "..", "$0 ").cast("binary")
+    shown = F.regexp_replace(_chars(content), r"[^\x20-\x7E]", ".").cast("binary")
+
+    def lines(both: Column) -> Column:
+        def line(k: Column) -> Column:
+            own = lambda part, width: F.substring(both[part], k * width + 1, width).cast("string")
+            return F.concat(F.lower(F.lpad(F.hex(first + k * 16), 8, "0")), F.lit("  "), F.rpad(own(0, 48), 48, " "), F.lit(" |"), own(1, 16), F.lit("|"))
+
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int")), line)
+
+    return F.when(n > 0, _bound(F.array(cells, shown), lines)).otherwise(F.array().cast("array<string>"))
 
-    def line(k: Column) -> Column:
-        start = k * 16
-        own = F.substring(content, start + 1, 16)
-        cells = F.regexp_replace(F.lower(F.hex(own)), "(..)", "$1 ")
-        shown = F.regexp_replace(_chars(own), r"[^\x20-\x7E]", ".")
-        return F.concat(F.lower(F.lpad(F.hex(start.cast("bigint")), 8, "0")), F.lit("  "), F.rpad(cells, 48, " "), F.lit(" |"), shown, F.lit("|"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int")), line)).otherwise(F.array().cast("array<string>"))
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once; a lambda in it would compute or copy it for each of its elements."""
+    return F.transform(F.array(value), then).getItem(0)

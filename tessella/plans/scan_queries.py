@@ -217,11 +217,14 @@ def content_is_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "b", F.octet_length("data").cast("bigint").alias("n_bytes"), formats.likely_text(F.col("data")).alias("is_text"))
 
 
-@query("""WITH h AS (SELECT doc_id, left(hex(encode(text)), 512) AS h FROM documents),
+@query("""WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
 r AS (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 15) // 16)) AS k FROM h WHERE h <> ''),
 c AS (SELECT doc_id, k, list_transform(range(0, least(16, length(h) // 2 - 16 * k)), lambda j: lower(substr(h, (2 * (16 * k + j) + 1)::BIGINT, 2))) AS c FROM r)
 SELECT doc_id, k AS line_no, printf('%08x', k * 16) || '  ' || rpad(array_to_string(c, ' ') || ' ', 48, ' ') || ' |' ||
   array_to_string(list_transform(c, lambda x: CASE WHEN x >= '20' AND x < '7f' THEN chr(('0x' || x)::INTEGER) ELSE '.' END), '') || '|' AS line FROM c""")
 def content_hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = corpus.table(spark, sf_dir, "documents").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, formats.DUMPED).alias("data"))
-    return heads.select("doc_id", F.posexplode(formats.hex_rows(F.col("data"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    """All bytes of every text, by pieces, so a long text's lines are never all in memory."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    cut = docs.select("doc_id", F.posexplode(formats.pieces(F.col("data"))).alias("piece", "data")).withColumn("start", F.col("piece").cast("bigint") * formats.PIECE)
+    lines = cut.select("doc_id", "start", F.posexplode(formats.hex_rows(F.col("data"), F.col("start"))).alias("k", "line"))
+    return lines.select("doc_id", (F.shiftright("start", 4) + F.col("k")).alias("line_no"), "line")

@@ -2,10 +2,11 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessella.functions import formats
-from tessella.plans.catalog import QUERIES
+from tessella.plans.catalog import ORACLES, QUERIES
 
 
 def test_text_is_judged_by_every_byte(spark):
@@ -37,6 +38,34 @@ def test_dump_of_all_bytes(spark):
     assert len(lines) == 17
 
 
+def dumped(data):
+    own = [data[k : k + 16] for k in range(0, len(data), 16)]
+    return [f"{16 * k:08x}  " + "".join(f"{b:02x} " for b in x).ljust(48) + " |" + "".join(chr(b) if 32 <= b < 127 else "." for b in x) + "|" for k, x in enumerate(own)]
+
+
+def test_whole_texts_are_dumped(spark, tmp_path, monkeypatch):
+    texts = ["", None, "a", "x" * 256, "x" * 256 + "end", "café \n" * 100, "x" * 47 + "é🎈\0\x7f" * 33, "y" * 96]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, k): line for d, t in enumerate(texts) for k, line in enumerate(dumped((t or "").encode()))}
+    assert max(k for _, k in want) > 16  # 16 lines at most before
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {(d, k): line for d, k, line in duck.execute(ORACLES["content_hex_dump"]).fetchall()} == want
+    for size in (formats.PIECE, 48):
+        monkeypatch.setattr(formats, "PIECE", size)
+        rows = QUERIES["content_hex_dump"](spark, str(tmp_path)).collect()
+        assert len(rows) == len(want) and {(r["doc_id"], r["line_no"]): r["line"] for r in rows} == want
+
+
+def test_a_long_text_is_dumped_in_time_in_proportion(spark, tmp_path):
+    text = "".join(f"{k} naïve\t" for k in range(400_000))
+    spark.createDataFrame([(7, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    rows = QUERIES["content_hex_dump"](spark, str(tmp_path)).orderBy("line_no").collect()
+    assert time.time() - start < 60
+    assert [r["line"] for r in rows] == dumped(text.encode()) and [r["line_no"] for r in rows] == list(range(len(rows)))
+
+
 def test_figures_beyond_64_bits(spark, tmp_path):
     keys = [4, 1, 8_388_604, 8_388_609, 8_999_999]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
